@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import packing, quality
+from weftline.llm import minhash, packing, quality
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
