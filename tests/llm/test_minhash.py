@@ -79,5 +79,9 @@ def test_odd_rows(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (500, 500), (None, 3)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    df, want = spark.createDataFrame(edges, "u long, v long"), {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+    for one_task in (0, 10**6):
+        assert {r.id: r.component for r in components(df, one_task=one_task).collect()} == want
+    assert components(df.limit(0)).count() == 0
+    got = {r.id: r.component for r in components(df, one_task=50).collect()}
     assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}

@@ -7,8 +7,8 @@ independently until the target recall is met.
 
 At a node, everybody is first compared with one leader. Documents that are connected already need no further comparison, which
 settles groups of any number of near copies in one round without their pairs. Nodes with several components left are compared
-exhaustively where they are small and branched where they are large; what is large still at the last level is compared
-exhaustively too, so nothing is dropped. Comparisons start with a 4-bit sketch and end with the full sets.
+exhaustively across these where that is linear work (SMALL pairs a document) and branched otherwise; what is left at the last
+level is compared exhaustively too, so nothing is dropped. Comparisons start with a 4-bit sketch and end with the full sets.
 
 Exact copies are one class from the start. Only class representatives take part; membership is by the set's 128-bit digest.
 """
@@ -29,11 +29,10 @@ from weftline.llm.common import bounded_batches, components, session_of, stash
 WORDS, PERCENT = 5, 80
 COORDS = 64
 TREES = 16
-#: Nodes of so many documents or fewer are compared exhaustively.
-SMALL = 48
-DEPTH = 8
-#: Equal 4-bit minwise values of 64 from which a pair is checked; the chance that a pair at 80 % has fewer is below 1e-9.
-LEAST_EQUAL = 33
+#: Nodes with at most so many pairs a document that aren't connected yet are compared exhaustively.
+SMALL = 128
+#: Rounds of two levels each after the first level.
+DEPTH = 6
 NIBBLES = 0x1111111111111111
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -114,15 +113,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(id, key, hashes) of the documents whose id is in wanted (id)."""
-    schema = T.StructType.fromDDL("id long, key binary, hashes array<long>")
+    """(id, hashes) of the documents whose id is in wanted (id)."""
+    schema = T.StructType.fromDDL("id long, hashes array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x, words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names
-            )
+            sets = [shingles(x, words).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
     return picked.mapInArrow(run, schema)
@@ -136,13 +133,21 @@ def _branches(nodes: DataFrame, percent: int, deep: bool) -> DataFrame:
         at = F.pmod(F.xxhash64(node, F.lit(b)), F.lit(COORDS))
         return F.xxhash64(node, at, F.element_at("sig", (at + 1).cast("int")))
 
-    if deep:
-        node = F.col("node")
-        second = F.when(F.pmod(F.xxhash64(node, F.lit(7)), F.lit(1000)) < more, child(node, 1))
-        kids = F.array_compact(F.array(child(node, 0), second))
-    else:
+    if not deep:
         kids = F.array(*[child(F.lit(t), b) for t in range(TREES) for b in range(1 + ((t * 379) % 1000 < more))])
-    return nodes.withColumn("node", F.explode(F.array_distinct(kids)))
+        return nodes.withColumn("node", F.explode(F.array_distinct(kids)))
+    node = F.col("node")
+    second = F.when(F.pmod(F.xxhash64(node, F.lit(7)), F.lit(1000)) < more, child(node, 1))
+    for _ in range(2):
+        nodes = nodes.withColumn("node", F.explode(F.array_compact(F.array(child(node, 0), second))))
+    return nodes
+
+
+def least_equal(percent: int) -> int:
+    """Equal 4-bit minwise values of COORDS from which a pair is checked: six deviations below the mean at the threshold, so
+    that about one pair in 1e9 there has fewer."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(COORDS * p - 6 * (COORDS * p * (1 - p)) ** 0.5)
 
 
 def _alike(a: str, b: str, percent: int):
@@ -152,7 +157,7 @@ def _alike(a: str, b: str, percent: int):
         F.lit(0),
     )
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (equal >= LEAST_EQUAL)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (equal >= least_equal(percent))
 
 
 def _fold(x):
@@ -164,40 +169,39 @@ def _fold(x):
 class _Sets:
     """Full sets of the documents that were compared so far; each text is read again once at most."""
 
-    def __init__(self, docs, id_col, text_col, words, reps):
-        self.source, self.reps, self.have = (docs, id_col, text_col, words), reps, None
+    def __init__(self, docs, id_col, text_col, words):
+        self.source, self.have = (docs, id_col, text_col, words), None
 
     def confirm(self, pairs: DataFrame, percent: int) -> DataFrame:
         """The pairs (u, v) whose full sets meet the threshold."""
         pairs = stash(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         if self.have is not None:
             ids = ids.join(self.have, "id", "left_anti")
         ids = stash(ids, "ids")
         if not ids.isEmpty():
-            new = full_sets(*self.source, ids)
-            keyed = self.reps.select(F.col("rep").alias("id"), "key").join(ids, "id", "left_semi")
-            new = stash(new.join(keyed, ["id", "key"]).select("id", "hashes"), "sets")
+            new = stash(full_sets(*self.source, ids), "sets")
             self.have = new if self.have is None else self.have.unionByName(new)
-        if self.have is None:
-            return pairs.limit(0)
         both = F.size(F.array_intersect("a", "b"))
-        return (
+        links = (
             pairs.join(self.have.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
             .join(self.have.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
             .withColumn("both", both)
             .where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both")))
             .select("u", "v")
         )
+        return stash(links, "links")
 
 
-def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and edges (u, v) that connect what is linked; not all links, but the same components."""
+def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the class representatives, and edges (u, v) between these that connect what is linked: not all links,
+    but the same components."""
     rows = stash(signed(docs, id_col, text_col, words), "signed")
     alive = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = stash(alive.groupBy("key").agg(F.min(F.struct("id", "n", *SKETCH, "sig")).alias("x")).select("key", F.col("x.id").alias("rep"), "x.n", *[f"x.{s}" for s in SKETCH], "x.sig"), "reps")
-    same = alive.join(reps.select("key", "rep"), "key").where(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    sets = _Sets(docs, id_col, text_col, words, reps)
+    sets = _Sets(docs, id_col, text_col, words)
     sigs = reps.select("rep", "sig")
     nodes = _branches(reps, percent, False).select("node", "rep", "n", *SKETCH)
     found, comp = [], None
@@ -208,25 +212,26 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         star = flat.where((F.col("rep") != F.col("leader")) & _alike("", "l_", percent)).select(F.col("leader").alias("u"), F.col("rep").alias("v"))
         if comp is not None:
             star = _apart(star, comp)
-        new = stash(sets.confirm(star, percent), "links")
+        new = sets.confirm(star, percent)
         if not new.isEmpty() or comp is None:
             found.append(new)
             comp = stash(components(_union(found)), "comp")
         named = full.drop("l").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("node")
-        rest = stash(named.join(mixed, "node", "left_semi"), "mixed")
+        each = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+        per = each.groupBy("node").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "component"))["component"].alias("major"))
+        per = per.where("all * all > within").withColumn("few", (F.col("all") * F.col("all") - F.col("within")) / 2 <= SMALL * F.col("all"))
+        rest = stash(named.join(per, "node"), "mixed")
         last = depth == DEPTH - 1
-        few = rest if last else rest.where(F.col("size") <= SMALL)
+        few = rest if last else rest.where("few")
+        # whoever isn't in the node's largest component, against all others there
         other = few.select("node", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", *SKETCH)])
-        pairs = few.join(other, "node").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
-        new = stash(sets.confirm(pairs.select(F.col("rep").alias("u"), F.col("o_rep").alias("v")), percent), "links")
-        if not new.isEmpty():
-            found.append(new)
-        large = rest.where(F.col("size") > SMALL)
+        pairs = few.where("component != major").join(other, "node").where((F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
+        found.append(sets.confirm(pairs.select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")), percent))
+        large = rest.where("not few")
         if last or large.isEmpty():
             break
         nodes = stash(_branches(large.join(sigs, "rep"), percent, True).select("node", "rep", "n", *SKETCH), "branches")
-    return rows, _union([same, *found])
+    return rows, reps, _union(found)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -251,15 +256,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id, kept) of every row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
-    reachable. Null, empty or wordless texts link with nothing. Rows that repeat an id are one document with the links of each
-    of them; a row with a null id links with nothing, has a null component and is kept. An empty table gives no rows.
+    reachable. Null, empty or wordless texts link with nothing. Rows that repeat an id are judged by their own texts; a row
+    with a null id links with nothing, has a null component and is kept. An empty table gives no rows.
     """
-    rows, edges = links(docs, id_col, text_col, words, percent)
-    comp = components(edges)
+    rows, reps, edges = links(docs, id_col, text_col, words, percent)
+    comp = components(edges).withColumnRenamed("id", "rep")
+    named = reps.select("key", "rep").join(comp, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return (
-        rows.select("id", "n")
-        .join(comp, "id", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        rows.select("id", "n", "key")
+        .join(named, "key", "left")
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, embeddings, minhash, packing, quality
+from weftline.llm import chat, embeddings, langid, minhash, packing, quality, secrets
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,19 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs.where(~held_out), "text", "lang", key="doc_id")
+    told = langid.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, percent=85)
@@ -65,7 +78,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_chat_formatting, op9_minhash_near_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_chat_formatting, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
