@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, embeddings, langid, minhash, packing, quality, secrets
+from weftline.llm import chat, embeddings, langid, linededup, lmscore, minhash, mixing, packing, quality, secrets
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    told = lmscore.score(docs, good)
+    return told.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")], "in_target")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -55,6 +62,17 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rated, domains = mixing.rates(docs, read(spark, sf_dir, "labels"))
+    p = [F.round(F.element_at("p", i + 1), 9).alias(f"p_{d}") for i, d in enumerate(domains)]
+    return rated.select("doc_id", "n_tokens", *p, F.round("rate", 9).alias("rate"), "copies")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -78,7 +96,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_chat_formatting, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup)}
+    from corpus_pipeline import run as pipeline
+
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup)}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
