@@ -1,9 +1,8 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
-Every document has a set of word shingles and COORDS minwise values of it. A tree sends a document to the nodes named by a few
-chosen coordinates and their values; at a node, further coordinates are chosen by a hash of the node, 1 / similarity of them on
-average, so that a pair at the threshold stays together in one branch on average and dissimilar documents part. Trees repeat
-independently until the target recall is met.
+Every document has a set of word shingles and COORDS minwise values of it. A tree sends a document to the node named by CHOSEN
+coordinates and their values; at a node, further coordinates are chosen by a hash of the node, so that similar documents keep
+to one path and dissimilar ones part. TREES independent trees meet the target recall.
 
 At a node, everybody is first compared with one leader. Documents that are connected already need no further comparison, which
 settles groups of any number of near copies in one round without their pairs. Nodes with several components left are compared
@@ -28,10 +27,14 @@ from weftline.llm.common import bounded_batches, components, session_of, stash
 
 WORDS, PERCENT = 5, 80
 COORDS = 64
-TREES = 16
+#: Coordinates that a level chooses. A pair of similarity s stays together for a level with probability s ** CHOSEN.
+CHOSEN = 2
+#: At 0.8, a pair parts at the first level of all trees with probability (1 - 0.64) ** 18 = 1e-8, at one of two levels 1e-4.
+TREES = 18
+LEADERS = 4
 #: Nodes with at most so many pairs a document that aren't connected yet are compared exhaustively.
 SMALL = 128
-#: Rounds of two levels each after the first level.
+#: Levels; the last one is compared exhaustively.
 DEPTH = 6
 NIBBLES = 0x1111111111111111
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -121,26 +124,14 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: D
             sets = [shingles(x, words).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     return picked.mapInArrow(run, schema)
 
 
-def _branches(nodes: DataFrame, percent: int, deep: bool) -> DataFrame:
-    """Replace node by its children: one chosen coordinate always, a second one for 100 / percent - 1 of the nodes."""
-    more = round((100 / percent - 1) * 1000)
-
-    def child(node, b):
-        at = F.pmod(F.xxhash64(node, F.lit(b)), F.lit(COORDS))
-        return F.xxhash64(node, at, F.element_at("sig", (at + 1).cast("int")))
-
-    if not deep:
-        kids = F.array(*[child(F.lit(t), b) for t in range(TREES) for b in range(1 + ((t * 379) % 1000 < more))])
-        return nodes.withColumn("node", F.explode(F.array_distinct(kids)))
-    node = F.col("node")
-    second = F.when(F.pmod(F.xxhash64(node, F.lit(7)), F.lit(1000)) < more, child(node, 1))
-    for _ in range(2):
-        nodes = nodes.withColumn("node", F.explode(F.array_compact(F.array(child(node, 0), second))))
-    return nodes
+def _child(node):
+    """The node below a node: chosen by two coordinates that a hash of the node picks, and the values there."""
+    at = [F.pmod(F.xxhash64(node, F.lit(b)), F.lit(COORDS)) for b in range(CHOSEN)]
+    return F.xxhash64(node, *at, *[F.element_at("sig", (a + 1).cast("int")) for a in at])
 
 
 def least_equal(percent: int) -> int:
@@ -166,33 +157,19 @@ def _fold(x):
     return y.bitwiseAND(F.lit(NIBBLES))
 
 
-class _Sets:
-    """Full sets of the documents that were compared so far; each text is read again once at most."""
-
-    def __init__(self, docs, id_col, text_col, words):
-        self.source, self.have = (docs, id_col, text_col, words), None
-
-    def confirm(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """The pairs (u, v) whose full sets meet the threshold."""
-        pairs = stash(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return pairs
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        if self.have is not None:
-            ids = ids.join(self.have, "id", "left_anti")
-        ids = stash(ids, "ids")
-        if not ids.isEmpty():
-            new = stash(full_sets(*self.source, ids), "sets")
-            self.have = new if self.have is None else self.have.unionByName(new)
-        both = F.size(F.array_intersect("a", "b"))
-        links = (
-            pairs.join(self.have.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
-            .join(self.have.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-            .withColumn("both", both)
-            .where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both")))
-            .select("u", "v")
-        )
-        return stash(links, "links")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets meet the threshold."""
+    pairs = stash(pairs.distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    links = (
+        pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
+        .join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+        .withColumn("both", F.size(F.array_intersect("a", "b")))
+        .where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both")))
+        .select("u", "v")
+    )
+    return stash(links, "links")
 
 
 def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -201,22 +178,21 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     rows = stash(signed(docs, id_col, text_col, words), "signed")
     alive = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = stash(alive.groupBy("key").agg(F.min(F.struct("id", "n", *SKETCH, "sig")).alias("x")).select("key", F.col("x.id").alias("rep"), "x.n", *[f"x.{s}" for s in SKETCH], "x.sig"), "reps")
-    sets = _Sets(docs, id_col, text_col, words)
     sigs = reps.select("rep", "sig")
-    nodes = _branches(reps, percent, False).select("node", "rep", "n", *SKETCH)
-    found, comp = [], None
+    paths = reps.withColumn("node", F.explode(F.array(*[_child(F.lit(t)) for t in range(TREES)])))
+    nodes = paths.select("node", "rep", "n", *SKETCH)
+    # a leader by one of a few hashes, so that trees name different ones, but not each its own
+    rank = F.xxhash64("rep", F.pmod("node", F.lit(LEADERS)))
+    size = nodes.select("node", "rep").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", rank).alias("leader")).where("size > 1")
+    full = stash(nodes.join(size, "node"), "nodes")
+    # whoever shares a node with another: their texts are read once more, for the full sets
+    sets = stash(full_sets(docs, id_col, text_col, words, full.select(F.col("rep").alias("id")).distinct()), "sets")
+    lead = full.where("rep = leader").select("node", *[F.col(c).alias(f"l_{c}") for c in ("n", *SKETCH)])
+    star = full.where("rep != leader").join(lead, "node").where(_alike("", "l_", percent))
+    found = [_confirm(star.select(F.col("leader").alias("u"), F.col("rep").alias("v")), sets, percent)]
+    comp = stash(components(found[0]), "comp").select(F.col("id").alias("rep"), "component")
+    named = full.drop("size", "leader").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     for depth in range(DEPTH):
-        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n", *SKETCH)).alias("l")).where("size > 1")
-        full = stash(nodes.join(size, "node"), "nodes")
-        flat = full.select("*", F.col("l.rep").alias("leader"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("n", *SKETCH)])
-        star = flat.where((F.col("rep") != F.col("leader")) & _alike("", "l_", percent)).select(F.col("leader").alias("u"), F.col("rep").alias("v"))
-        if comp is not None:
-            star = _apart(star, comp)
-        new = sets.confirm(star, percent)
-        if not new.isEmpty() or comp is None:
-            found.append(new)
-            comp = stash(components(_union(found)), "comp")
-        named = full.drop("l").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         each = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
         per = each.groupBy("node").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "component"))["component"].alias("major"))
         per = per.where("all * all > within").withColumn("few", (F.col("all") * F.col("all") - F.col("within")) / 2 <= SMALL * F.col("all"))
@@ -226,11 +202,11 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         # whoever isn't in the node's largest component, against all others there
         other = few.select("node", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", *SKETCH)])
         pairs = few.where("component != major").join(other, "node").where((F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
-        found.append(sets.confirm(pairs.select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")), percent))
+        found.append(_confirm(pairs.select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")), sets, percent))
         large = rest.where("not few")
         if last or large.isEmpty():
             break
-        nodes = stash(_branches(large.join(sigs, "rep"), percent, True).select("node", "rep", "n", *SKETCH), "branches")
+        named = stash(large.join(sigs, "rep").withColumn("node", _child(F.col("node"))).select("node", "rep", "n", *SKETCH, "component"), "branches")
     return rows, reps, _union(found)
 
 
@@ -241,17 +217,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't connected yet."""
-    return (
-        pairs.distinct()
-        .join(comp.select(F.col("id").alias("u"), F.col("component").alias("a")), "u", "left")
-        .join(comp.select(F.col("id").alias("v"), F.col("component").alias("b")), "v", "left")
-        .where(F.coalesce("a", "u") != F.coalesce("b", "v"))
-        .select("u", "v")
-    )
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row.
 
