@@ -1,15 +1,361 @@
-"""Registry of the engine's own queries."""
+"""Registered queries of the engine's own operators over the driver tables, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.functions import geometry as G
+from weftline.functions import text as X
+from weftline.operators import catalog as C
+from weftline.operators import chunks as K
+from weftline.operators import relations as R
+from weftline.operators import rows as O
+from weftline.sources import tables as S
+from weftline.streaming import incremental as I
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+SMALLEST = "/root/testdata/sf0.001"
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+# ---- text and scalar functions
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce({0}, ''), chr(160), ' '), chr(8203), ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(11) || chr(12))"""
+_INLINE = r"trim(regexp_replace(" + _CLEAN + r", '\s+', ' ', 'g'))"
+_COMPARE = "translate(replace(lower(" + _INLINE + "), 'ß', 'ss'), 'ёſςµ–—«»\"', 'еsσμ--')"
+
+
+@query(f"SELECT doc_id, md5({_CLEAN.format('text')}) AS clean_md5, length({_INLINE.format('text')}) AS inline_chars, md5({_COMPARE.format('text')}) AS compare_md5 FROM documents")
+def text_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """Clean, inline and comparison text of whole documents."""
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", F.md5(X.clean_text(t)).alias("clean_md5"), F.length(X.inline_text(t)).alias("inline_chars"), F.md5(X.comparison_text(t)).alias("compare_md5"))
+
+
+@query(r"""
+SELECT page_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(html, '<[^>]+>|[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'),
+  lambda p: CASE WHEN p[1] = '<' AND length(p) > 1 THEN ceil(length(p) / 12.0) WHEN regexp_full_match(p, '[\pL\pN\pM_]+') THEN ceil(length(p) / 4.0) ELSE 1 END)), 0) AS INT) AS n_tokens
+FROM pages""")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Rough token count of whole pages."""
+    return read(spark, d, "pages").select("page_id", X.approximate_tokens(F.col("html")).alias("n_tokens"))
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS bare_md5 FROM pages""")
+def drop_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without HTML comments."""
+    return read(spark, d, "pages").select("page_id", F.md5(X.without_comments(F.col("html"))).alias("bare_md5"))
+
+
+@query("""
+SELECT event_id, CASE WHEN v IN ('+', 'да', '1') THEN true WHEN v IN ('-', '0') THEN false END AS mark,
+  CASE WHEN v IN ('+', 'да', '1') THEN '+' WHEN v IN ('-', '0') THEN '-' ELSE '' END AS shown
+FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '+' WHEN 1 THEN 'да' WHEN 2 THEN '-' WHEN 3 THEN '1' WHEN 4 THEN '0' WHEN 5 THEN '?' ELSE '' END AS v FROM events)""")
+def equipment_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Three-valued marks."""
+    raw = F.element_at(F.array(*map(F.lit, ("+", " Да ", "–", "1", "0", "?", ""))), (F.col("event_id") % 7 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", X.parse_equipment(raw).alias("mark"), X.equipment_mark(X.parse_equipment(raw)).alias("shown"))
+
+
+@query("""SELECT page_id, NOT (len(list_filter(string_split(replace(p, chr(92), '/'), '/'), lambda x: x IN ('', '.', '..') OR contains(x, ':'))) > 0) AS safe
+FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'a/../' || page_id ELSE 'img/' || page_id || '.png' END AS p FROM pages)""")
+def asset_paths(spark: SparkSession, d: str) -> DataFrame:
+    """asset path safety."""
+    n = F.col("page_id")
+    p = F.when(n % 3 == 0, F.col("url")).when(n % 3 == 1, F.concat(F.lit("a/../"), n)).otherwise(F.concat(F.lit("img/"), n, F.lit(".png")))
+    return read(spark, d, "pages").select("page_id", X.safe_path(p).alias("safe"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, x >= -1e-6 AND y >= -1e-6 AND w > 0 AND h > 0 AND x + w <= 1 + 1e-6 AND y + h <= 1 + 1e-6 AS valid,
+  CASE WHEN (l_partkey * 45) % 360 IN (0, 90, 180, 270) THEN CAST((l_partkey * 45) % 360 AS INT) END AS turn, w > 0 AND w < 1 AS cuts
+FROM (SELECT *, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_quantity / 60 AS h FROM lineitem)""")
+def region_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles, rotations and grid cuts."""
+    w, h = F.col("l_quantity") / 50, F.col("l_quantity") / 60
+    rect = F.array("l_discount", "l_tax", w, h)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.valid_rect(rect).alias("valid"), G.rotation(F.col("l_partkey") * 45).alias("turn"), G.valid_cuts(F.array(F.lit(0.0), w, F.lit(1.0))).alias("cuts"))
+
+
+# ---- windows, numbering, sets
+
+
+@query("""SELECT o_orderkey, last_value(mark IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS mark
+FROM (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'c' || o_custkey END AS mark FROM orders)""")
+def fill_down(spark: SparkSession, d: str) -> DataFrame:
+    """Last non-null value carried down, over bucket borders too."""
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("c"), "o_custkey")).alias("mark"))
+    return O.fill_down(rows, ["mark"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048))
+
+
+@query("""SELECT o_orderkey, 'R' || lpad(CAST(n AS VARCHAR), 6, '0') AS row_id, 'B' || lpad(CAST((n - 1) // 10 + 1 AS VARCHAR), 6, '0') AS batch_id
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P')""")
+def serial_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Dense ids over kept rows, and batches of ten."""
+    kept = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
+    out = O.batches(O.serial(kept, "n", ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048)), "n", 10)
+    return out.select("o_orderkey", F.format_string("R%06d", "n").alias("row_id"), "batch_id")
+
+
+@query("SELECT l_returnflag, l_linestatus, l_suppkey, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY ALL")
+def distinct_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct rows with their first place."""
+    rows = read(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return O.distinct_in_order(rows, ["l_returnflag", "l_linestatus", "l_suppkey"], "ord")
+
+
+@query("""SELECT c_custkey, role, raw FROM (SELECT c_custkey, unnest(['main', 'note']) AS role, unnest([c_mktsegment, CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE '' END]) AS raw FROM customer) WHERE raw <> ''""")
+def unpivot_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Filled cells in long form."""
+    rows = read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("main"), F.when(F.col("c_acctbal") < 0, "in debt").otherwise("").alias("note"))
+    return O.unpivot_filled(rows, ["c_custkey"], ["main", "note"], "role", "raw")
+
+
+# ---- joins and relations
+
+_ITEMS = """SELECT l_orderkey AS row_id, CASE l_returnflag WHEN 'N' THEN 'main' WHEN 'A' THEN 'duplicate' ELSE 'reserve' END AS role, l_linenumber AS idx,
+  l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS item_id, 'p' || l_partkey AS brand FROM lineitem WHERE l_suppkey % 3 <> 0"""
+_SIZES = f"""WITH i AS ({_ITEMS}), m AS (SELECT row_id, count(*) AS nm, list(item_id ORDER BY item_id) AS mains FROM i WHERE role = 'main' GROUP BY 1),
+  r AS (SELECT row_id, role, count(*) AS nr, list(item_id ORDER BY item_id) AS rels FROM i WHERE role <> 'main' GROUP BY 1, 2),
+  s AS (SELECT r.*, coalesce(nm, 0) AS nm, mains FROM r LEFT JOIN m USING (row_id))"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").where("l_suppkey % 3 <> 0")
+    role = F.when(F.col("l_returnflag") == "N", "main").when(F.col("l_returnflag") == "A", "duplicate").otherwise("reserve")
+    brand = F.concat(F.lit("p"), "l_partkey")
+    return rows.select(F.col("l_orderkey").alias("row_id"), role.alias("role"), F.col("l_linenumber").alias("index"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"), brand.alias("brand"), X.brand_key(brand, F.lit(None).cast("string")).alias("brand_key"))
+
+
+@query(f"""{_SIZES}, n AS (SELECT *, row_number() OVER (PARTITION BY row_id, role ORDER BY idx, item_id) AS place FROM i)
+SELECT a.row_id, a.role, m2.item_id AS main_item_id, a.item_id AS related_item_id, m2.brand || ' || ∅' AS main_brand_key, a.brand || ' || ∅' AS related_brand_key, CASE WHEN nm = 1 THEN 'single-main' ELSE 'positional' END AS mapping_basis
+FROM n a JOIN s USING (row_id, role) JOIN n m2 ON m2.row_id = a.row_id AND m2.role = 'main' AND m2.place = CASE WHEN nm = 1 THEN 1 ELSE a.place END
+WHERE nm = 1 OR nm = nr""")
+def map_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Main items related to the others of a row, all to one or pair by pair."""
+    pairs, _ = R.map_relations(_items(spark, d))
+    return pairs.select("row_id", "role", "main_item_id", "related_item_id", "main_brand_key", "related_brand_key", "mapping_basis")
+
+
+@query(f"""{_SIZES} SELECT row_id, role, CASE WHEN nm = 0 THEN 'missing_main_item' ELSE 'ambiguous_relation_mapping' END AS flag,
+  array_to_string(coalesce(mains, []), ',') AS mains, array_to_string(rels, ',') AS related FROM s WHERE nm <> 1 AND nm <> nr""")
+def unresolved_relations(spark: SparkSession, d: str) -> DataFrame:
+    """What can't be mapped, with the ids of both sides."""
+    _, open_ = R.map_relations(_items(spark, d))
+    return open_.select("row_id", "role", "flag", F.array_join("main_item_ids", ",").alias("mains"), F.array_join("related_item_ids", ",").alias("related"))
+
+
+_PURPOSES = """p AS (SELECT p_partkey, lower(p_brand) || ' || ' || lower(p_type) AS k, lower(p_brand) AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'g' || p_size % 3 END AS grp, 'use ' || p_size % 4 AS purpose FROM part WHERE p_partkey % 40 = 1),
+  i AS (SELECT p_partkey AS item_id, lower(p_brand) || ' || ' || lower(p_type) AS k, lower(p_brand) AS b, 'g' || p_size % 3 AS grp FROM part)"""
+
+
+@query(f"""WITH {_PURPOSES}, c AS (
+  SELECT i.item_id, i.grp, 'exact' AS how, p.* EXCLUDE (grp), p.grp AS pgrp FROM i JOIN p USING (k)
+  UNION ALL SELECT i.item_id, i.grp, 'brand_only', p.* EXCLUDE (grp), p.grp FROM i JOIN p USING (b) WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.k = i.k)),
+f AS (SELECT *, coalesce(pgrp = grp, true) AS fits FROM c), g AS (SELECT *, bool_or(fits) OVER (PARTITION BY item_id) AS any_fits FROM f),
+a AS (SELECT item_id, how, count(DISTINCT purpose) AS n, arg_min(purpose, p_partkey) AS purpose FROM g WHERE fits OR NOT any_fits GROUP BY 1, 2)
+SELECT i.item_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE how END AS match_type, CASE WHEN n = 1 THEN purpose END AS purpose_text
+FROM i LEFT JOIN a USING (item_id)""")
+def match_purposes(spark: SparkSession, d: str) -> DataFrame:
+    """Purpose by full key, else by brand, one distinct purpose among those of the same group."""
+    part = read(spark, d, "part").withColumn("brand", F.col("p_brand")).withColumn("document", F.col("p_type")).withColumn("subgroup", F.lit(None).cast("string"))
+    purposes = R.keyed(part.where("p_partkey % 40 = 1")).withColumn("group", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("g"), F.col("p_size") % 3)))
+    purposes = purposes.select("*", F.concat(F.lit("use "), F.col("p_size") % 4).alias("purpose"), F.col("p_partkey").alias("purpose_index"), F.format_string("P%06d", "p_partkey").alias("purpose_row_id"))
+    items = R.keyed(part).select(F.col("p_partkey").alias("item_id"), "match_key", "match_brand", F.concat(F.lit("g"), F.col("p_size") % 3).alias("group"), "subgroup")
+    return R.match_purposes(items, purposes).select("item_id", "match_type", "purpose_text")
+
+
+@query("""SELECT p_partkey AS item_id, coalesce(b, p_brand) AS brand, coalesce(b, p_brand) || ' || ' || p_type AS brand_key
+FROM part LEFT JOIN (SELECT p_partkey AS k, 'reviewed ' || p_partkey AS b FROM part WHERE p_size = 7) ON k = p_partkey""")
+def item_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed values over parsed ones, keys anew."""
+    part = read(spark, d, "part")
+    items = R.keyed(part.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("document"), F.array(F.lit("normdoc_not_found")).alias("review_flags")))
+    over = part.where("p_size = 7").select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("reviewed "), "p_partkey").alias("brand"), F.col("p_type").alias("document"))
+    return R.with_overrides(items, over).select("item_id", "brand", "brand_key")
+
+
+@query("""SELECT l_suppkey, l_returnflag, arg_max(note, (prio, pos)) AS note, min(pos) AS pos FROM (
+  SELECT l_suppkey, l_returnflag, 'g' || l_linenumber AS note, 0 AS prio, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos FROM lineitem
+  UNION ALL SELECT l_suppkey, l_returnflag, 'manual' || l_partkey, 1, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey FROM lineitem WHERE l_quantity = 50) GROUP BY ALL""")
+def manual_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Manual rows win, the first position stays."""
+    rows = read(spark, d, "lineitem").withColumn("pos", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey"))
+    made = rows.select("l_suppkey", "l_returnflag", F.concat(F.lit("g"), "l_linenumber").alias("note"), "pos")
+    manual = rows.where("l_quantity = 50").select("l_suppkey", "l_returnflag", F.concat(F.lit("manual"), "l_partkey").alias("note"), "pos")
+    return R.with_manual_relations(made, manual, ["l_suppkey", "l_returnflag"], "pos")
+
+
+@query("""SELECT brand_key, min(ord) AS ord, arg_min(l_shipdate::DATE::VARCHAR, ord) AS first_ship, coalesce(arg_min(purpose, ord) FILTER (WHERE purpose <> ''), '') AS purpose,
+  CASE bool_or(ground) WHEN true THEN '+' WHEN false THEN '-' ELSE '' END AS ground FROM (
+  SELECT 'p' || l_partkey AS brand_key, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS ord, l_shipdate, CASE WHEN l_quantity > 30 THEN 'q' || l_quantity::INT ELSE '' END AS purpose,
+    CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS ground FROM lineitem) GROUP BY 1""")
+def export_brands(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A2: one row a brand, first values, three-valued or."""
+    l = read(spark, d, "lineitem")  # noqa: E741
+    facts = l.select(
+        F.concat(F.lit("p"), "l_partkey").alias("brand_key"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")).alias("ord"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("brand"),
+        F.lit("").alias("document"), F.when(F.col("l_quantity") > 30, F.concat(F.lit("q"), F.col("l_quantity").cast("int"))).otherwise("").alias("purpose_text"),
+        F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("ground"), F.lit(None).cast("boolean").alias("aviation"), F.lit(None).cast("boolean").alias("marine"),
+    )
+    return R.export_brands(facts).select("brand_key", "ord", F.col("brand").alias("first_ship"), "purpose", "ground")
+
+
+@query("""SELECT k AS c_custkey, gap FROM (SELECT c_custkey AS k, 'not staged' AS gap FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)
+  UNION ALL SELECT DISTINCT o_custkey, 'not expected' FROM orders WHERE o_totalprice > 100000 AND o_custkey NOT IN (SELECT c_custkey FROM customer))""")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that either side lacks."""
+    staged = read(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return R.coverage_gaps(read(spark, d, "customer"), staged, "c_custkey")
+
+
+@query("SELECT l_partkey, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+def conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """A5: keys with several values."""
+    return R.conflicts(read(spark, d, "lineitem"), "l_partkey", F.col("l_returnflag"))
+
+
+@query("""SELECT p_partkey, s + CASE WHEN p_type = (SELECT p_type FROM part WHERE p_partkey = 1) THEN 10 ELSE 0 END AS score
+FROM (SELECT *, CASE WHEN p_brand = (SELECT p_brand FROM part WHERE p_partkey = 1) THEN 70 WHEN contains(p_brand, (SELECT p_brand FROM part WHERE p_partkey = 1)) OR contains((SELECT p_brand FROM part WHERE p_partkey = 1), p_brand) THEN 30 ELSE 0 END AS s FROM part) WHERE s > 0 ORDER BY score DESC, p_partkey LIMIT 100""")
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """O1: ranked purposes of one item, the top 100 (a top-k report)."""
+    part = read(spark, d, "part")
+    one = part.where("p_partkey = 1").first()
+    p = part.select("*", F.lit("").alias("match_key"), F.col("p_brand").alias("match_brand"), F.col("p_type").alias("group"), F.lit("").alias("subgroup"), F.col("p_partkey").alias("purpose_row_id"))
+    return R.candidates(p, F.lit(None), F.lit(one.p_brand), F.lit(one.p_type), F.lit(None), 100).select("p_partkey", "score")
+
+
+# ---- catalog and stores
+
+
+@query("""SELECT l_orderkey, bool_and(e.k IS NOT NULL) AS linked FROM lineitem
+LEFT JOIN (SELECT DISTINCT l_partkey || '-' || l_suppkey AS k FROM lineitem WHERE l_returnflag = 'N') e ON e.k = l_partkey || '-' || l_suppkey GROUP BY 1""")
+def every_edge(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all wanted edges exist."""
+    rows = read(spark, d, "lineitem")
+    return C.every_edge(rows.select("l_orderkey", "l_partkey", "l_suppkey"), rows.where("l_returnflag = 'N'"), ["l_orderkey"], ["l_partkey", "l_suppkey"])
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT * FROM (SELECT DISTINCT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 = 0)""")
+def append_new(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the store lacks are appended, once each."""
+    s = read(spark, d, "supplier").select("s_suppkey", "s_name")
+    return C.append_new(s.where("s_suppkey % 4 <> 0"), s.unionByName(s), ["s_suppkey", "s_name"])
+
+
+@query("""SELECT p_partkey, coalesce(v, p_brand) AS p_brand, e AS error FROM part LEFT JOIN (
+  SELECT l_partkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS v, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'conflicting' END AS e FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""")
+def merge_values(spark: SparkSession, d: str) -> DataFrame:
+    """Updates merged by key, conflicting ones reported instead."""
+    store = read(spark, d, "part").select("p_partkey", "p_brand")
+    updates = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("p_brand"))
+    merged, errors = C.merge_values(store, updates, ["p_partkey"], "p_brand")
+    return merged.join(errors, "p_partkey", "left")
+
+
+@query("""SELECT stem, total, count(DISTINCT CASE WHEN part BETWEEN 1 AND total THEN part END) AS n_parts, count(DISTINCT CASE WHEN part BETWEEN 1 AND total THEN part END) = total AS complete
+FROM (SELECT 'm' || o_custkey AS stem, CAST(o_orderkey % 3 + 1 AS INT) AS part, 3 AS total FROM orders) GROUP BY 1, 2""")
+def shard_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Completeness of numbered parts."""
+    from weftline.functions.fixed import SHARD_NAME
+
+    names = read(spark, d, "orders").select(F.format_string("M%d-%05d-of-00003.gguf", "o_custkey", F.col("o_orderkey") % 3 + 1).alias("name"))
+    return C.shard_sets(names, "name", SHARD_NAME)
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each key."""
+    return C.first_by(read(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query()
+def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Dirty part names resolved against the catalog of nation names and brands (tested against brute force)."""
+    names = read(spark, d, "nation").select(F.col("n_name").alias("entry"))
+    dirty = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("от "), F.lower("n_name"))).when(F.col("c_custkey") % 3 == 1, F.regexp_replace("n_name", "A", "А")).otherwise(F.regexp_replace("n_name", "[EI]", ""))
+    got = C.resolve(dirty.select("c_custkey", text.alias("text")), names, "text", "entry")
+    return got.select("c_custkey", "text", F.round("best", 6).alias("best"), "n_plausible", "resolved")
+
+
+# ---- recognition results, chunks, tables, batches
+
+
+@query()
+def budget_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts cut under a token budget (tested against the rule and by round trip)."""
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("text").alias("label"))
+    parts = K.chunked(docs, budget=300)
+    return parts.select("doc_id", "chunk_no", F.md5("content").alias("content_md5"), X.approximate_tokens(F.col("content")).alias("n_tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) <> '' THEN md5('a' || doc_id || chr(10) || trim(text, ' ')) ELSE md5('a' || doc_id) END AS text_md5 FROM documents""")
+def flatten_results(spark: SparkSession, d: str) -> DataFrame:
+    """Nested recognition results to text, picture blocks left out."""
+    block = lambda label, text: F.struct(F.lit(label).alias("block_label"), text.alias("block_content"))
+    blocks = F.array(block("text", F.concat(F.lit("a"), "doc_id")), block("image", F.lit("x")), block("text", F.col("text")))
+    page = F.struct(F.struct(blocks.alias("parsing_res_list")).alias("prunedResult"))
+    lines = read(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.struct(F.array(page).alias("layoutParsingResults")).alias("result"))).alias("value"))
+    return K.flatten(lines).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _brand_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One HTML file a part type: its parts as main brands, spanning rows of the group, with purpose-free columns."""
+    p = read(spark, d, "part").withColumn("cell", F.format_string("<tr><td>%s</td><td>%s по ГОСТ %d</td><td>Д-%d по ТУ %d</td><td></td><td></td><td>%s</td></tr>", F.when(F.col("p_size") % 4 == 0, F.col("p_brand")).otherwise(""), F.col("p_name"), "p_partkey", "p_partkey", "p_size", F.when(F.col("p_size") % 2 == 0, "+").otherwise("нет")))
+    head = "<table><tr><th>Группа ГСМ</th><th>Основная марка</th><th>Дублирующая марка</th><th>Резервная марка</th><th>Зарубежная марка</th><th>Наземная техника</th></tr>"
+    rows = p.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "cell"))).alias("r"))
+    html = F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["cell"]), ""), F.lit("</table>"))
+    return rows.select(F.concat(F.regexp_replace("p_type", "[^A-Za-z]", "_"), F.lit(".html")).alias("path"), html.cast("binary").alias("content"))
+
+
+@query("""WITH o AS (SELECT *, regexp_replace(p_type, '[^A-Za-z]', '_', 'g') || '.html' AS f FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY lower(f), f, p_partkey) AS n, last_value(CASE WHEN p_size % 4 = 0 THEN p_brand END IGNORE NULLS) OVER (ORDER BY lower(f), f, p_partkey ROWS UNBOUNDED PRECEDING) AS grp FROM o)
+SELECT 'R' || lpad(n::VARCHAR, 6, '0') AS row_id, f AS source_file, grp AS "group", p_size % 2 = 0 AS ground, p_name AS main_brand, 'ГОСТ ' || p_partkey AS main_document, 'Д-' || p_partkey AS related_brand, 'Дублирующая' AS relation_type FROM r""")
+def table_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """S2, S5, O2, W1-W3, X6-X9, N1-N3, J4 end to end: HTML tables to typed relations with their rows."""
+    tables = S.with_headers(S.extract_tables(_brand_pages(spark, d)))
+    rows = R.source_rows(S.select_tables(tables, "brand"))
+    items = R.items(R.source_cells(rows))
+    pairs, _ = R.map_relations(items)
+    main = items.select(F.col("item_id").alias("main_item_id"), F.col("document").alias("main_document"))
+    out = R.typed(pairs).join(main, "main_item_id").join(rows.select("row_id", "source_file", "group", "ground"), "row_id")
+    return out.select("row_id", "source_file", "group", "ground", "main_brand", "main_document", "related_brand", "relation_type")
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (WHERE n <= 500) AS n_staged, min(CASE WHEN n > 500 THEN 'B' || lpad(CAST((n - 1) // 10 + 1 AS VARCHAR), 6, '0') END) AS next_batch, CASE WHEN count(*) > 500 THEN 'open' ELSE 'complete' END AS state
+FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""")
+def batch_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Counters and the cursor of a half-done run."""
+    rows = O.serial(read(spark, d, "orders").select("o_orderkey"), "n", ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048))
+    staged = O.batches(rows.where("n <= 500"), "n", 10)
+    return I.progress(rows, staged, "n", 10)
+
+
+def flagship(spark: SparkSession) -> DataFrame:
+    return table_pipeline(spark, SMALLEST)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

@@ -1,0 +1,141 @@
+"""CSV catalogs, JSON lines, OOXML views and other file sources and sinks."""
+
+from __future__ import annotations
+
+import csv
+import io
+import json
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+ENCODINGS = ("utf-8-sig", "utf-8", "cp1251")
+SNIFFED = 8192
+
+
+def decode(raw: bytes) -> str:
+    """Text of a file in the first of ENCODINGS that fits."""
+    for name in ENCODINGS[:-1]:
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode(ENCODINGS[-1])
+
+
+def delimiter(text: str, default: str = ";") -> str:
+    try:
+        return csv.Sniffer().sniff(text[:SNIFFED], delimiters=";,\t").delimiter
+    except csv.Error:
+        return default
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files as (path, line, cells map by lower-cased title); delimiter and encoding are found per file."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, raw in zip(frame["path"], frame["content"]):
+                text = decode(raw)
+                rows = csv.reader(io.StringIO(text), delimiter=delimiter(text))
+                titles = [t.strip().lower() for t in next(rows, [])]
+                yield pd.DataFrame([(name, i, dict(zip(titles, r))) for i, r in enumerate(rows, 2) if any(r)], columns=["path", "line", "cells"])
+
+    return files.mapInPandas(run, "path string, line int, cells map<string,string>")
+
+
+def catalog(rows: DataFrame, brand: Column, document: Column, key: Column, order: Column) -> DataFrame:
+    """First entry of each key in order; rows without brand and document are skipped, half-empty ones are an error column."""
+    named = rows.withColumn("brand", F.trim(F.coalesce(brand, F.lit("")))).withColumn("document", F.trim(F.coalesce(document, F.lit(""))))
+    named = named.where((F.col("brand") != "") | (F.col("document") != "")).withColumn("key", key).withColumn("order", order)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+    broken = F.when((F.col("brand") == "") | (F.col("document") == ""), F.lit("incomplete"))
+    return named.withColumn("error", broken).withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of JSON lines files; a line that is no object of the schema is an error, blank ones are skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_variant(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a schemaless JSON file as variants."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("value"))
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
+    """CSV with a title line and minimal quotes; texts keep their outer blanks, empty texts stay empty."""
+    df.write.mode("overwrite").options(sep=sep, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def replace_batch(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
+    """Write the batches in df in place of what path holds of them; other batches stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(path)
+
+
+def file_kind(content: Column) -> Column:
+    """pdf, png, jpeg, tiff or bmp by the first bytes, else null."""
+    starts = lambda hexes: F.startswith(F.hex(F.substring(content, 1, 8)), F.lit(hexes))
+    return F.when(starts("25504446"), "pdf").when(starts("89504E470D0A1A0A"), "png").when(starts("FFD8FF"), "jpeg").when(starts("49492A00") | starts("4D4D002A"), "tiff").when(starts("424D"), "bmp")
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def docx_paragraphs(raw: bytes) -> list[tuple[str, int, str]]:
+    """(part, index, text) of the non-empty paragraphs of a document's body, headers and footers."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        for part in sorted(n for n in z.namelist() if n == "word/document.xml" or n.startswith(("word/header", "word/footer"))):
+            root = ElementTree.fromstring(z.read(part))
+            texts = ("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p"))
+            out += [(part.split("/")[1].split(".")[0], i, t) for i, t in enumerate(texts) if t.strip()]
+    return out
+
+
+def xlsx_cells(raw: bytes, formulas: bool = True) -> list[tuple[str, str, str, str]]:
+    """(sheet, cell, value, type) of the filled cells of a workbook; type is formula, number, boolean or text."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+        for i, title in enumerate(titles, 1):
+            for c in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{_S}c"):
+                f, v, kind = c.find(f"{_S}f"), c.find(f"{_S}v"), c.get("t", "n")
+                if f is not None and formulas:
+                    out.append((title, c.get("r"), "=" + (f.text or ""), "formula"))
+                elif kind == "inlineStr":
+                    out.append((title, c.get("r"), "".join(t.text or "" for t in c.iter(f"{_S}t")), "text"))
+                elif v is not None:
+                    text = shared[int(v.text)] if kind == "s" else v.text or ""
+                    out.append((title, c.get("r"), text, {"s": "text", "str": "text", "b": "boolean"}.get(kind, "number")))
+    return out
+
+
+def office_view(files: DataFrame) -> DataFrame:
+    """(path, part, place, value, kind) of every paragraph or cell of DOCX and XLSX files given as (path, content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, raw in zip(frame["path"], frame["content"]):
+                if name.lower().endswith(".docx"):
+                    rows += [(name, part, str(i), text, "text") for part, i, text in docx_paragraphs(raw)]
+                elif name.lower().endswith(".xlsx"):
+                    rows += [(name, *cell) for cell in xlsx_cells(raw)]
+            yield pd.DataFrame(rows, columns=["path", "part", "place", "value", "kind"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, part string, place string, value string, kind string")
+
+
+def merged(base: dict, over: dict) -> dict:
+    """over laid on base: objects merge, everything else is replaced."""
+    return {k: merged(base[k], over[k]) if isinstance(base.get(k), dict) and isinstance(over.get(k), dict) else json.loads(json.dumps(over.get(k, base.get(k)))) for k in {**base, **over}}
