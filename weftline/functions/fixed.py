@@ -32,3 +32,9 @@ SHARD_NAME = r"^(.*)-(\d{5})-of-(\d{5})\.gguf$"
 #: column type: relation types that it stands for
 TYPED_RELATIONS = {"duplicate": ("дублирующая",), "reserve": ("резервная",), "foreign": ("зарубежная",), "duplicate_reserve": ("дублирующая", "резервная")}
 FIELD, VALUE, COLUMN = "Поле", "Значение", "Колонка"
+LINK = r"\s+по\s+"
+RAW_DOCUMENT = r"(?:^|\s)(?:ГОСТ|ОСТ|ТУ|СТО|ASTM|ISO|DIN|SAE|API)(?:\s|$)"
+REPLACED = "рекомендуется заменить устаревшую на перспективную"
+MARK_TYPES = ("applicable_ground", "applicable_air", "applicable_marine")
+CONJUNCTION = "и"
+TEXT_TYPES = ("assignment_conditions", "nato_index")
