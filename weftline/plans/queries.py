@@ -11,6 +11,9 @@ from weftline.functions import geometry as G
 from weftline.functions import text as X
 from weftline.operators import catalog as C
 from weftline.operators import chunks as K
+from weftline.operators import commands as M
+from weftline.operators import grids as T
+from weftline.operators import normalize as N
 from weftline.operators import relations as R
 from weftline.operators import rows as O
 from weftline.sources import tables as S
@@ -296,6 +299,50 @@ def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
     return got.select("c_custkey", "text", F.round("best", 6).alias("best"), "n_plausible", "resolved")
 
 
+_PAIR = "'NATION_' || {0} || ' по D ' || {0}"
+
+
+@query(f"""WITH c AS (SELECT s_suppkey, s_nationkey AS k, (s_nationkey + s_suppkey) % 25 AS j FROM supplier),
+t AS (SELECT *, (k + j) % 2 = 0 AS dup, CASE s_suppkey % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '?' END AS mark, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS known FROM c)
+SELECT s_suppkey AS grid, 0 AS col, {_PAIR.format("k")} AS value, CASE WHEN dup AND mark = known THEN 'linked' ELSE 'relation-missing' END AS status FROM t
+UNION ALL SELECT s_suppkey, 1, {_PAIR.format("j")}, CASE WHEN dup THEN 'linked' ELSE 'relation-missing' END FROM t
+UNION ALL SELECT s_suppkey, 2, mark, CASE WHEN mark = '?' THEN 'applicability-invalid' WHEN mark = known THEN 'linked' ELSE 'applicability-missing' END FROM t""")
+def grid_status(spark: SparkSession, d: str) -> DataFrame:
+    """Link status of typed grids against catalog and relation store."""
+    pair = lambda c: F.concat(F.lit("NATION_"), c, F.lit(" по D "), c)
+    n = read(spark, d, "nation").select("n_nationkey")
+    entries = n.select(F.concat(F.lit("NATION_"), "n_nationkey").alias("brand"), F.concat(F.lit("D "), "n_nationkey").alias("document"), F.col("n_nationkey").alias("order"))
+    even = F.col("a") % 2 == F.col("b") % 2
+    other = n.select(F.col("n_nationkey").alias("b"), (F.col("n_nationkey") % 2).alias("side"))
+    relations = n.select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") % 2).alias("side")).join(other, "side").where(even).select(pair(F.col("a")).alias("first"), F.lit("дублирующая").alias("type"), pair(F.col("b")).alias("second"))
+    attributes = entries.select("brand", "document", F.lit("applicable_ground").alias("kind"), F.when(F.col("order") % 2 == 0, "+").otherwise("-").alias("value"))
+    s = read(spark, d, "supplier")
+    mark = F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("?")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    cell = lambda i, kind, v: F.struct(F.lit(i).alias("col"), F.lit(kind).alias("kind"), v.alias("value"))
+    cells = s.select(F.col("s_suppkey").alias("grid"), F.lit(0).alias("row"), F.explode(F.array(cell(0, "primary", pair(F.col("s_nationkey"))), cell(1, "duplicate", pair((F.col("s_nationkey") + F.col("s_suppkey")) % 25)), cell(2, "applicable_ground", mark))).alias("c")).select("grid", "row", "c.*")
+    return T.status(cells, entries, relations, attributes).select("grid", "col", "value", "status")
+
+
+@query(f"""SELECT c_custkey, {_PAIR.format("c_nationkey")} || CASE WHEN c_custkey % 2 = 0 THEN '; ' || {_PAIR.format("((c_nationkey + 1) % 25)")} ELSE '' END AS normal, true AS resolved FROM customer""")
+def normalize_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Dirty cells (case, look-alike letters, missing documents) to catalog pairs."""
+    n = read(spark, d, "nation")
+    entries = n.select(F.concat(F.lit("NATION_"), "n_nationkey").alias("brand"), F.concat(F.lit("D "), "n_nationkey").alias("document"), F.col("n_nationkey").alias("order"))
+    one = F.when(F.col("c_custkey") % 3 == 0, F.format_string("nАTION_%d по D %d", "c_nationkey", "c_nationkey")).otherwise(F.format_string("NATION_%d по D %d", "c_nationkey", "c_nationkey"))
+    two = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("; "), F.format_string("NATION_%d  ПО  d %d", (F.col("c_nationkey") + 1) % 25, (F.col("c_nationkey") + 1) % 25))).otherwise("")
+    got = N.normalize(read(spark, d, "customer").select("c_custkey", F.concat(one, two).alias("raw")), entries, "raw")
+    back = F.array_join(F.transform("normal.items", lambda i: F.concat(F.upper(F.translate(F.regexp_replace(i["brand"], "^n", "N"), "А", "A")), F.lit(" по "), F.upper(i["document"]))), "; ")
+    return got.select("c_custkey", back.alias("normal"), F.col("normal.resolved").alias("resolved"))
+
+
+@query("""SELECT s_suppkey AS item_id, CASE WHEN s_suppkey % 5 = 0 THEN 'new' ELSE s_name END AS brand FROM supplier WHERE s_nationkey <> 3""")
+def override_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Q6-Q9: overrides upserted and cleared."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("item_id"), F.col("s_name").alias("brand"), "s_nationkey")
+    new = s.where("item_id % 5 = 0").withColumn("brand", F.lit("new"))
+    return M.clear(M.upsert(s, new, ["item_id"]), s_nationkey=3).select("item_id", "brand")
+
+
 # ---- recognition results, chunks, tables, batches
 
 
