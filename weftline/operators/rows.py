@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+MOST_BUCKETS = 4096
+
+
+def even_buckets(df: DataFrame, key: str, width: int = 2048) -> Column:
+    """Ranges of an integer key: of the given width, or wider ones where there would be more than MOST_BUCKETS."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    span = 0 if low is None else high - low + 1
+    return F.floor((F.col(key) - F.lit(low or 0)) / F.lit(max(width, -(-span // MOST_BUCKETS))))
+
+
 def fill_down(df: DataFrame, cols: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Each null of cols takes the last value above it in `order`.
 

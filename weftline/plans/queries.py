@@ -105,7 +105,7 @@ FROM (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'c' || o_custk
 def fill_down(spark: SparkSession, d: str) -> DataFrame:
     """Last non-null value carried down, over bucket borders too."""
     rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("c"), "o_custkey")).alias("mark"))
-    return O.fill_down(rows, ["mark"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048))
+    return O.fill_down(rows, ["mark"], ["o_orderkey"], O.even_buckets(rows, "o_orderkey"))
 
 
 @query("""SELECT o_orderkey, 'R' || lpad(CAST(n AS VARCHAR), 6, '0') AS row_id, 'B' || lpad(CAST((n - 1) // 10 + 1 AS VARCHAR), 6, '0') AS batch_id
@@ -113,7 +113,7 @@ FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM order
 def serial_ids(spark: SparkSession, d: str) -> DataFrame:
     """Dense ids over kept rows, and batches of ten."""
     kept = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
-    out = O.batches(O.serial(kept, "n", ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048)), "n", 10)
+    out = O.batches(O.serial(kept, "n", ["o_orderkey"], O.even_buckets(kept, "o_orderkey")), "n", 10)
     return out.select("o_orderkey", F.format_string("R%06d", "n").alias("row_id"), "batch_id")
 
 
@@ -391,7 +391,8 @@ def table_pipeline(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""")
 def batch_progress(spark: SparkSession, d: str) -> DataFrame:
     """Counters and the cursor of a half-done run."""
-    rows = O.serial(read(spark, d, "orders").select("o_orderkey"), "n", ["o_orderkey"], F.floor(F.col("o_orderkey") / 2048))
+    keys = read(spark, d, "orders").select("o_orderkey")
+    rows = O.serial(keys, "n", ["o_orderkey"], O.even_buckets(keys, "o_orderkey"))
     staged = O.batches(rows.where("n <= 500"), "n", 10)
     return I.progress(rows, staged, "n", 10)
 
