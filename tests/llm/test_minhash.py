@@ -62,6 +62,8 @@ def test_against_brute_force(spark):
 def test_large_nodes_branch_down_to_the_last_level(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "DEPTH", 2)
+    monkeypatch.setattr(minhash, "TILE", 20)
+    monkeypatch.setattr(minhash, "SHINGLES", 100)
     rows = corpus(9)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 80)

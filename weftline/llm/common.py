@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,21 @@ def _changed(old: DataFrame, new: DataFrame) -> bool:
     return tuple(digest(old)) != tuple(digest(new))
 
 
+def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that connect n vertices as all of them do."""
+    up, out = list(range(n)), []
+    for a, b in pairs.tolist():
+        a0, b0 = a, b
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((a0, b0))
+    return out
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one task; (id, component) of its vertices."""
     up: dict[int, int] = {}

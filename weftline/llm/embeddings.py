@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import components, session_of, stash
+from weftline.llm.common import components, session_of, spanning, stash
 
 COSINE = 0.98
 PASSES = 16
@@ -37,21 +37,6 @@ def _unit(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _roots(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the pairs that connect n vertices as all of them do."""
-    up, out = list(range(n)), []
-    for a, b in pairs.tolist():
-        a0, b0 = a, b
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((a0, b0))
-    return out
-
-
 def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     schema = T.StructType.fromDDL("pass int, key long").fields
 
@@ -86,7 +71,7 @@ def _window_links(cosine: float, window: int):
             close = np.triu(x @ x.T >= cosine, 1)
             i, j = np.nonzero(close & ~np.triu(close, window + 1))
             ok = home[a + i]
-            for p, q in _roots(b - a, np.stack([i[ok], j[ok]], axis=1)):
+            for p, q in spanning(b - a, np.stack([i[ok], j[ok]], axis=1)):
                 u.append(rep[a + p])
                 v.append(rep[a + q])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches, components, session_of, stash
+from weftline.llm.common import bounded_batches, components, session_of, spanning, stash
 
 WORDS, PERCENT = 5, 80
 COORDS = 64
@@ -33,9 +33,11 @@ CHOSEN = 2
 TREES = 18
 LEADERS = 4
 #: Nodes with at most so many pairs a document that aren't connected yet are compared exhaustively.
-SMALL = 128
+SMALL = 1024
+#: Nodes of so many documents or fewer list their pairs; larger ones are compared in tiles of TILE rows a side, SHINGLES at a time.
+PAIRED, TILE, SHINGLES = 16, 512, 4096
 #: Levels; the last one is compared exhaustively.
-DEPTH = 6
+DEPTH = 12
 NIBBLES = 0x1111111111111111
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -172,6 +174,51 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stash(links, "links")
 
 
+def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the minor members of each node and all members of other components, worked out tile by tile on the full
+    sets; a tile is bounded by TILE rows a side, so no node has to fit a task, and no pairs are listed. Only as many links as connect a tile's
+    documents are returned."""
+    minor = F.col("component") != F.col("major")
+    size = rows.groupBy("node").agg(F.ceil(F.count_if(minor) / TILE).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("across"))
+    cut = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    whole = rows.select("node", "rep", "component", minor.alias("minor")).join(size, "node")
+    left = F.when(F.col("minor"), F.transform(spread(F.col("across")), lambda j: F.struct(cut(F.col("down"), 1).alias("i"), j.alias("j"), F.lit(True).alias("left"))))
+    right = F.transform(spread(F.col("down")), lambda i: F.struct(i.alias("i"), cut(F.col("across"), 2).alias("j"), F.lit(False).alias("left")))
+    placed = whole.withColumn("t", F.explode(F.concat(F.coalesce(left, F.array().cast("array<struct<i:int,j:int,left:boolean>>")), right)))
+    placed = placed.select("node", "t.i", "t.j", "t.left", "component", "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_left = table["left"].to_numpy(zero_copy_only=False)
+        rep, comp = table["rep"].to_numpy(), table["component"].to_numpy()
+        column = table["hashes"].combine_chunks()
+        flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+        # shingles as numbers, only those that more than one row has
+        code, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+        row = np.repeat(np.arange(len(rep)), sizes)
+        keep = count[code] > 1
+        number = np.cumsum(count > 1) - 1
+        code, row = number[code[keep]], row[keep]
+        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        place = np.zeros(len(rep), np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        both = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, SHINGLES):
+            here = (code >= at) & (code < at + SHINGLES)
+            side = np.zeros((2, max(len(a), len(b)), SHINGLES), np.float32)
+            side[np.where(is_left[row[here]], 0, 1), place[row[here]], code[here] - at] = 1
+            both += side[0, : len(a)] @ side[1, : len(b)].T
+        union = sizes[a][:, None] + sizes[b][None] - both
+        hit = (100 * both >= percent * union) & (comp[a][:, None] != comp[b][None])
+        ends = np.concatenate([rep[a], rep[b]])
+        names, index = np.unique(ends, return_inverse=True)
+        i, j = np.nonzero(hit)
+        chosen = spanning(len(names), np.stack([index[i], index[len(a) + j]], axis=1))
+        return pa.table({"u": pa.array([names[x] for x, _ in chosen], pa.int64()), "v": pa.array([names[y] for _, y in chosen], pa.int64())})
+
+    return placed.groupBy("node", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
 def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed rows, the class representatives, and edges (u, v) between these that connect what is linked: not all links,
     but the same components."""
@@ -199,10 +246,14 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         rest = stash(named.join(per, "node"), "mixed")
         last = depth == DEPTH - 1
         few = rest if last else rest.where("few")
-        # whoever isn't in the node's largest component, against all others there
-        other = few.select("node", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", *SKETCH)])
-        pairs = few.where("component != major").join(other, "node").where((F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
+        # whoever isn't in the node's largest component, against all others there: pairs where these are few, else tiles
+        sparse = few.where(F.col("all") <= PAIRED)
+        other = sparse.select("node", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", *SKETCH)])
+        pairs = sparse.where("component != major").join(other, "node").where((F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
         found.append(_confirm(pairs.select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")), sets, percent))
+        dense = few.where(F.col("all") > PAIRED)
+        if not dense.isEmpty():
+            found.append(stash(_tiled(dense, sets, percent), "links"))
         large = rest.where("not few")
         if last or large.isEmpty():
             break
