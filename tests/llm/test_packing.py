@@ -56,6 +56,15 @@ def check_gapless(rows, capacity):
     return bins
 
 
+def test_full_memo(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 3)
+    packing._memos.clear()
+    encode = packing._encoder(tokenizer_path())
+    texts = ["one two three four five", "one two six seven six", "a" * 100 + " one"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts * 2])] == [whole(t)[:-1] for t in texts * 2]
+    packing._memos.clear()
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
 

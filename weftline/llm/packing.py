@@ -22,7 +22,7 @@ from weftline.llm.common import bounded_batches, session_of, stash
 CAPACITY = 4096
 END_ID = 1
 #: Distinct chunks of text whose ids a Python worker remembers.
-MEMO = 1_500_000
+MEMO = 900_000
 #: Bytes above which a chunk isn't remembered.
 LONG_CHUNK = 64
 #: Documents of one length are ranked in so many parts, so that one hot length isn't sorted in one task.
@@ -65,13 +65,11 @@ def _encoder(path: str):
                 text = text.lower()
             chunks = text.split()
             new = [c for c in set(chunks) if c not in memo]
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(set(chunks))
             memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, tok.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)))
             yield b"".join([memo[c] for c in chunks])
+            full = len(memo) > MEMO  # by then the frequent chunks are there; later ones are encoded where they occur
             for c in new:
-                if len(c) > LONG_CHUNK:
+                if full or len(c) > LONG_CHUNK:
                     del memo[c]
 
     return encode
