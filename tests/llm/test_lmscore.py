@@ -73,3 +73,23 @@ def test_cutoff_keeps_the_bound():
     assert L._cutoff([(1, 100), (2, 10), (5, 3)], 13) == 2
     assert L._cutoff([(1, 100), (2, 10), (5, 3)], 12) == 5
     assert L._cutoff([(5, 30)], 12) == 6 and L._cutoff([], 5) == 2
+
+
+def test_models_grow_with_the_corpus(spark):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(70_000)] * 2
+    r.shuffle(words)
+    rows = [(i, " ".join(words[i * 700 : i * 700 + 700] + ["the", "end"])) for i in range(200)] + [(300, "the end of w1")]
+    targets = set(range(0, 200, 3))
+    want = brute(rows, targets)
+    df, chosen = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    for x in L.score(df, chosen).collect():
+        assert np.allclose([x.target_loss, x.background_loss], want[x.doc_id][1:], atol=1e-5)
+
+
+def test_what_is_shipped_changes_no_score(spark):
+    r = random.Random(3)
+    rows = [(i % 150, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(1, 80)))) for i in range(160)] + [(None, "w1 w2 w9"), (7, "w1 w2"), (7, "w1 w2")]
+    df, chosen = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in range(0, 150, 2)], "doc_id long")
+    told = [sorted((x.doc_id or -1, x.n_tokens, round(x.target_loss, 9), round(x.background_loss, 9)) for x in L.score(df, chosen, most=most).collect()) for most in (0, 20, 1 << 20)]
+    assert len(told[0]) == len(rows) and told[0] == told[1] == told[2]

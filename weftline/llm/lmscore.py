@@ -4,11 +4,11 @@ A target and a background model with one vocabulary, one order and one smoothing
 corpora; a document's score is the mean over its tokens of the background loss less the target loss. A document's own counts
 are left out of both models while it is scored, so that no text is judged by itself.
 
-Word counts and bigram counts are pre-aggregated in each task and summed by key; bigrams travel as sorted, packed and compressed
-arrays, dealt by a hash of the bigram over a number of parts that follows the number of tokens, so a hot bigram is one entry a
-task. The models hold what a count cutoff leaves of them: the smallest cutoff with at most VOCABULARY words and BIGRAMS
-bigrams (their sizes are thus bounded when they are shipped). Other words are one unknown word, other bigrams back off to
-their second word.
+Every word that occurs LEAST_COUNT times or more is in the vocabulary and every bigram that does is in the models, whatever the
+size of the corpus; words that occur once are one unknown word. Words and bigrams are known by 64-bit hashes. A head of at
+most HEAD of them, those most frequent in a sample, is counted exactly in each task and shipped; which ones it holds changes the
+cost, never a score. All others are postings (key, row) that are dealt by key, counted there and sent back to their rows. One
+that no other row holds isn't sent back: without its own counts nothing is left of it.
 """
 
 from __future__ import annotations
@@ -18,32 +18,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.llm.common import bounded_batches, session_of, stash
 
-VOCABULARY, BIGRAMS = (1 << 16) - 2, 1 << 20
 LEAST_COUNT = 2
+#: Words and bigrams that are shipped, and tokens of the sample they are chosen from.
+HEAD, SAMPLE = 1 << 20, 2_000_000
 #: Pseudo-counts of the backed-off distribution in a context, and of an unseen word.
 BACKOFF, UNSEEN = 50.0, 0.5
-START, UNKNOWN = 0, 1
-#: Tokens that one part of the bigram table stands for.
-TOKENS_A_PART = 2_000_000
+#: Keys of their own: the context of a first word, a word that occurs once, any token.
+START, UNKNOWN, TOKEN = 0, 1, 2
+#: Head counts that travel as one row.
+CHUNK = 1 << 16
 
+_hash = xxhash.xxh3_64_intdigest
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all documents."""
+
+def _hashed(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+    for w in set(words):
+        if w not in memo:
+            memo[w] = _hash(w)
+    return np.fromiter((memo[w] for w in words), np.uint64, len(words))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n, row) over all documents of (row, text): a word's hash, its count and the smallest row that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter[bytes] = Counter()
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                count.update((text or b"").lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            least: dict[bytes, int] = {}
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                own = (text or b"").lower().split()
+                count.update(own)
+                for w in own:
+                    if least.setdefault(w, row) > row:
+                        least[w] = row
+            h = _hashed(list(count), {}).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(count.values()), pa.int64()), pa.array([least[w] for w in count], pa.int64())], names=["word", "n", "row"])
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("row", "text").mapInArrow(run, "word long, n long, row long").groupBy("word").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
 
 
 def _cutoff(histogram: list[tuple[int, int]], most: int) -> int:
@@ -56,197 +74,198 @@ def _cutoff(histogram: list[tuple[int, int]], most: int) -> int:
     return max(cut if cut is not None else max((n for n, _ in histogram), default=0) + 1, LEAST_COUNT)
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> dict[bytes, int]:
-    """Words at or above the cutoff, numbered from 2; at most `most` reach the driver."""
-    cut = _cutoff([(r["n"], r["e"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("e")).collect()], most)
-    words = sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= cut).select("word").collect())
-    return {w: i + 2 for i, w in enumerate(words)}
-
-
-def encoded(docs: DataFrame, id_col: str, text_col: str, words: dict[bytes, int]) -> DataFrame:
-    """(id, ids): little-endian 16-bit word ids of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = words.get
-        for batch in batches:
-            ids = [np.array([get(w, UNKNOWN) for w in (t or b"").lower().split()], "<u2").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, ids binary")
-
-
 def _bigrams(ids: np.ndarray) -> np.ndarray:
-    """Keys (first << 16 | second), the start of the text being the first word's context."""
-    second = ids.astype(np.uint32)
-    first = np.concatenate([[START], second[:-1]]).astype(np.uint32)
-    return first << np.uint32(16) | second
-
+    """Keys of each word after the one before it, the start of the text being the first word's context."""
+    x = np.concatenate([[np.uint64(START)], ids[:-1]]) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + ids) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return x ^ (x >> np.uint64(32))
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(parts)
 
+class Terms:
+    """A text's distinct keys with its own counts, and the places of its tokens among them."""
 
-_codec = "zstd"
+    def __init__(self, ids: np.ndarray) -> None:
+        words, second, n = np.unique(ids, return_inverse=True, return_counts=True)
+        pairs, pair, m = np.unique(_bigrams(ids), return_inverse=True, return_counts=True)
+        self.keys = np.concatenate([np.array([START, TOKEN], np.uint64), words, pairs])
+        self.own = np.concatenate([[1, len(ids)], n, m])
+        self.last = np.zeros(len(self.keys), np.int64)
+        self.last[2 + second[-1]] = 1
+        self.second, self.pair = 2 + second, 2 + len(words) + pair
+        self.context = np.concatenate([[0], self.second[:-1]])
 
 
-def _pack(keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[int, bytes]:
-    raw = np.concatenate([np.diff(keys, prepend=np.uint32(0)).astype("<u4"), n.astype("<u4"), t.astype("<u4")]).tobytes()
-    return len(keys), pa.compress(raw, codec=_codec, asbytes=True)
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Word ids of the texts of a batch of (text, once, ...), once being the hashes of words that occur nowhere else."""
+    memo: dict[bytes, int] = {}
+    for text, once in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+        ids = _hashed((text or b"").lower().split(), memo)
+        if once:
+            ids[np.isin(ids, np.array(once, np.int64).view(np.uint64))] = UNKNOWN
+        yield ids
 
 
-def _unpack(size: int, blob: bytes) -> np.ndarray:
-    x = np.frombuffer(pa.decompress(blob, decompressed_size=12 * size, codec=_codec, asbytes=True), "<u4").reshape(3, size)
-    return np.stack([np.cumsum(x[0], dtype=np.uint32), x[1], x[2]])
+def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
 
 
-def _sum(keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
+def head_keys(base: DataFrame, tokens: int, most: int, sample: int = SAMPLE) -> np.ndarray:
+    """Sorted keys: START, UNKNOWN, TOKEN and at most `most` others, the most frequent of about `sample` tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [Terms(ids) for ids in _texts(batch) if len(ids)]
+            if got:
+                keys, n = _sum(np.concatenate([x.keys for x in got]), np.concatenate([x.own for x in got]))
+                yield pa.RecordBatch.from_arrays([pa.array([keys.astype("<u8").tobytes()], pa.binary()), pa.array([n.astype("<u4").tobytes()], pa.binary())], names=["k", "n"])
 
-_PARTED = "part int, size int, packed binary"
+    share = min(1.0, sample / max(tokens, 1))
+    picked = base.where(F.pmod(F.xxhash64(F.lit("head"), "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = picked.select("text", "once").mapInArrow(run, "k binary, n binary").collect()
+    fixed = np.array([START, UNKNOWN, TOKEN], np.uint64)
+    if not rows:
+        return fixed
+    keys, n = _sum(np.concatenate([np.frombuffer(r["k"], "<u8") for r in rows]), np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows]))
+    counts, entries = np.unique(n, return_counts=True)
+    return np.union1d(fixed, keys[n >= _cutoff(list(zip(counts.tolist(), entries.tolist())), most)])
 
 
-def bigram_counts(coded: DataFrame, parts: int) -> DataFrame:
-    """Parts of the bigram table, (part, size, packed): sorted keys, counts over all and over target documents."""
+def _in_head(head: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+    return at, head[at] == keys
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, target = [], []
-            for ids, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids:
-                    k = _bigrams(np.frombuffer(ids, "<u2"))
-                    keys.append(k)
-                    target.append(np.full(len(k), is_target, np.int64))
-            if not keys:
-                continue
-            keys, n, t = _sum(k := np.concatenate(keys), np.ones(len(k), np.int64), np.concatenate(target))
-            part = _part(keys, parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, *_pack(keys[o], n[o], t[o])) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "size", "packed"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        got = [_unpack(s, b) for s, b in zip(table["size"].to_pylist(), table["packed"].to_pylist())]
-        keys, n, t = (np.concatenate([g[i] for g in got]) for i in range(3))
-        size, packed = _pack(*_sum(keys, n.astype(np.int64), t.astype(np.int64)))
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int32()), "packed": pa.array([packed], pa.binary())})
-
-    return coded.select("ids", "target").mapInArrow(count, _PARTED).groupBy("part").applyInArrow(merge, _PARTED)
-
-
-def pruned(table: DataFrame, most: int = BIGRAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and both counts of the bigrams at or above the cutoff."""
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, e = np.unique(_unpack(s, b)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(e, pa.int64())], names=["n", "e"])
 
-    cut = _cutoff([tuple(r) for r in table.select("size", "packed").mapInArrow(histogram, "n long, e long").groupBy("n").agg(F.sum("e")).collect()], most)
+def head_counts(base: DataFrame, head: np.ndarray) -> np.ndarray:
+    """Counts of the head: over all and over target documents, then those as the last word of a text."""
+    size = -(-len(head) // CHUNK) * CHUNK
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, size), np.int64)
         for batch in batches:
-            for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = _unpack(s, b)
-                x = x[:, x[1] >= cut]
-                size, packed = _pack(x[0], x[1], x[2])
-                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([packed], pa.binary())], names=["size", "packed"])
+            for ids, target in zip(_texts(batch), batch.column(2).to_pylist()):
+                if len(ids):
+                    x = Terms(ids)
+                    at, ok = _in_head(head, x.keys)
+                    at, own, last = at[ok], x.own[ok], x.last[ok]
+                    sums[0, at] += own
+                    sums[2, at] += last
+                    if target:
+                        sums[1, at] += own
+                        sums[3, at] += last
+        chunks = [pa.compress(sums[:, i : i + CHUNK].astype("<i8").tobytes(), codec="zstd", asbytes=True) for i in range(0, size, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "packed"])
+
+    def unpack(blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, decompressed_size=32 * CHUNK, codec="zstd", asbytes=True), "<i8").reshape(4, CHUNK)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = unpack(blob)
+                sums[chunk] = sums[chunk] + x if chunk in sums else x
+        packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "packed"])
 
-    rows = table.select("size", "packed").mapInArrow(keep, "size int, packed binary").collect()  # at most `most` entries
-    got = [_unpack(r["size"], bytes(r["packed"])) for r in rows if r["size"]]
-    if not got:
-        return np.empty(0, np.uint32), np.empty(0), np.empty(0)
-    x = np.concatenate(got, axis=1)
-    x = x[:, np.argsort(x[0], kind="stable")]
-    return x[0], x[1].astype(np.float32), x[2].astype(np.float32)
+    kind = "chunk int, packed binary"
+    out = np.zeros((4, size), np.int64)
+    for r in base.select("text", "once", "target").mapInArrow(run, kind).repartition("chunk").mapInArrow(merge, kind).collect():
+        out[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpack(bytes(r["packed"]))
+    return out[:, : len(head)]
 
 
-def unigrams(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by word id over all and over target documents, as second words and as contexts."""
-    size = 1 << 16
+def tail_counts(base: DataFrame, head: np.ndarray) -> DataFrame:
+    """(row, tail): per row the keys outside the head that other rows hold too, with their counts as of head_counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, size), np.int64)
         for batch in batches:
-            for ids, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids:
-                    x = np.frombuffer(ids, "<u2")
-                    k = _bigrams(x)
-                    both = np.bincount(x, minlength=size), np.bincount(k >> np.uint32(16), minlength=size)
-                    sums[0] += both[0]
-                    sums[2] += both[1]
-                    if is_target:
-                        sums[1] += both[0]
-                        sums[3] += both[1]
-        i = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *(pa.array(s[i], pa.int64()) for s in sums)], names=["i", "a", "b", "c", "d"])
-
-    rows = coded.select("ids", "target").mapInArrow(run, "i int, a long, b long, c long, d long").groupBy("i").agg(*[F.sum(c).alias(c) for c in "abcd"]).toPandas()
-    out = np.zeros((4, size))
-    out[:, rows["i"]] = rows[list("abcd")].to_numpy().T
-    return tuple(out)
-
-
-def totals_of(uni) -> tuple[float, float, float]:
-    """Tokens of the target, tokens of all, and word types with the unknown one."""
-    return float(uni[1].sum()), float(uni[0].sum()), float((uni[0] > 0).sum()) + 1
-
-
-def losses(ids: np.ndarray, own_target: bool, uni, big, totals: tuple[float, float, float]) -> tuple[float, float]:
-    """Mean target and background loss of a text's tokens in nats, its own counts left out; totals as of totals_of(uni)."""
-    second_all, second_t, context_all, context_t = uni
-    keys, n_all, n_t = big
-    k = _bigrams(ids)
-    a, b = k >> np.uint32(16), k & np.uint32(0xFFFF)
-    own_k, inverse, times = np.unique(k, return_inverse=True, return_counts=True)
-    at = np.minimum(np.searchsorted(keys, own_k), max(len(keys) - 1, 0))
-    known = keys[at] == own_k if len(keys) else np.zeros(len(own_k), bool)
-    own_b, own_a = np.bincount(b, minlength=1 << 16)[b], np.bincount(a, minlength=1 << 16)[a]
+            keys, rows, own = [], [], []
+            for ids, target, row in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if len(ids):
+                    x = Terms(ids)
+                    out = ~_in_head(head, x.keys)[1]
+                    keys.append(x.keys[out])
+                    rows.append(np.full(len(keys[-1]), row, np.int64))
+                    own.append(x.own[out] << 2 | x.last[out] << 1 | int(target))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(own).astype(np.int32))], names=["key", "row", "own"])
+
+    flat = base.select("text", "once", "target", "row").mapInArrow(run, "key long, row long, own int")
+    n, last, target = F.shiftright("own", 2).cast("long"), F.shiftright("own", 1).bitwiseAND(F.lit(1)).cast("long"), F.col("own").bitwiseAND(F.lit(1)).cast("long")
+    by = Window.partitionBy("key")
+    told = flat.select("key", "row", n.alias("own"), *[F.sum(c).over(by).alias(a) for a, c in (("n", n), ("t", n * target), ("l", last), ("lt", last * target))])
+    return told.where("n > own").groupBy("row").agg(F.collect_set(F.struct("key", "n", "t", "l", "lt")).alias("tail"))
+
+
+def losses(x: Terms, own_target: bool, counts: np.ndarray, totals: tuple[float, float, float]) -> tuple[float, float]:
+    """Mean target and background loss of a text's tokens in nats, its own counts left out; counts are those of its keys,
+    totals the tokens of the target, the tokens of all, and the word types with the unknown one."""
     in_target, in_all, types = totals
     out = []
     # background counts are brought to the size of the target, so that smoothing weighs as much in both
     even = in_target / max(in_all, 1.0)
-    for second, context, n, tokens, less, share in ((second_t, context_t, n_t, in_target, own_target, 1.0), (second_all, context_all, n_all, in_all, True, even)):
-        word = share * np.maximum(second[b] - less * own_b, 0)
-        total = share * max(tokens - less * len(ids), 0)
-        p_word = (word + UNSEEN) / (total + UNSEEN * types)
-        pair = share * np.where(known, np.maximum((n[at] if len(keys) else 0) - less * times, 0), 0)[inverse]
-        seen = share * np.maximum(context[a] - less * own_a, 0)
+    for n, last, tokens, less, share in ((counts[1], counts[3], in_target, own_target, 1.0), (counts[0], counts[2], in_all, True, even)):
+        rest, context = np.maximum(n - less * x.own, 0), np.maximum(n - last - less * (x.own - x.last), 0)
+        total = share * max(tokens - less * len(x.second), 0)
+        p_word = (share * rest[x.second] + UNSEEN) / (total + UNSEEN * types)
+        pair, seen = share * rest[x.pair], share * context[x.context]
         out.append(float(-np.log((pair + BACKOFF * p_word) / (np.maximum(seen, pair) + BACKOFF)).mean()))
     return out[0], out[1]
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = HEAD) -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score, in_target) of every row of docs; targets holds ids in id_col.
 
     The background is all of docs. score is background_loss - target_loss: above 0, the text is more like the target. Texts
     that are null or have no word have no losses and a null score. Rows that repeat an id are scored, and counted, one by
     one; null ids are never targets; an empty table gives no rows, an empty target is a model of pseudo-counts alone.
+    `most` bounds what is shipped and changes no result.
     """
     spark = session_of(docs)
     bounded_batches(spark)
-    words = vocabulary(stash(word_counts(docs, text_col), "words"))
-    chosen = targets.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
-    coded = stash(encoded(docs, id_col, text_col, words).join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False))), "ids")
-    uni = unigrams(coded)
-    parts = max(8, int(uni[0].sum() / TOKENS_A_PART))
-    big, totals = pruned(stash(bigram_counts(coded, parts), "bigrams")), totals_of(uni)
+    # equal rows share a number, which is right: none of their words occurs once, and they are joined to the same counts
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
+    words = stash(word_counts(keyed), "words")
+    chosen = targets.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id is not null").distinct()
+    once = words.where(F.col("n") < LEAST_COUNT).select("row", "word", F.lit(False).alias("target"))
+    wanted = keyed.select("id", "row").join(chosen, "id").select("row", F.lit(None).cast("long").alias("word"), F.lit(True).alias("target"))
+    about = once.unionByName(wanted).groupBy("row").agg(F.collect_list("word").alias("once"), F.max("target").alias("target"))
+    base = stash(keyed.join(about, "row", "left").withColumn("target", F.coalesce("target", F.lit(False))), "texts")
+    seen = words.agg(F.sum("n"), F.count_if(F.col("n") >= LEAST_COUNT), F.count_if(F.col("n") < LEAST_COUNT)).first()
+    tokens, types = seen[0] or 0, seen[1] + (seen[2] > 0) + 1
+    head = head_keys(base, tokens, most)
+    counts = head_counts(base, head)
+    at = int(np.searchsorted(head, np.uint64(TOKEN)))
+    totals = float(counts[1, at]), float(counts[0, at]), float(types)
+    counts = counts.astype(np.int32 if tokens < 1 << 31 else np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, t, b = [], [], []
-            for ids, is_target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.frombuffer(ids, "<u2")
-                n.append(len(x))
-                lt, lb = losses(x, is_target, uni, big, totals) if len(x) else (None, None)
+            tail = batch.column(4)
+            bounds = np.concatenate([[0], np.cumsum(np.nan_to_num(tail.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
+            flat = [c.to_numpy(zero_copy_only=False) for c in tail.flatten().flatten()]
+            for i, (ids, is_target) in enumerate(zip(_texts(batch), batch.column(2).to_pylist())):
+                n.append(len(ids))
+                lt, lb = None, None
+                if len(ids):
+                    x = Terms(ids)
+                    place, ok = _in_head(head, x.keys)
+                    own = np.where(ok, counts[:, place], 0).astype(float)
+                    if bounds[i] < bounds[i + 1]:
+                        keys, *values = (c[bounds[i] : bounds[i + 1]] for c in flat)
+                        order = np.argsort(keys := keys.view(np.uint64))
+                        place, ok = _in_head(keys[order], x.keys)
+                        own[:, ok] = np.stack(values)[:, order[place[ok]]]
+                    # a key that no other row holds has no counts but its own, and these are left out
+                    lt, lb = losses(x, is_target, own, totals)
                 t.append(lt)
                 b.append(lb)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), batch.column(2)], names=["id", "n", "t", "b", "in_target"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), batch.column(2)], names=["id", "n", "t", "b", "in_target"])
 
-    told = coded.select("id", "ids", "target").mapInArrow(run, "id long, n long, t double, b double, in_target boolean")
+    whole = base.join(tail_counts(base, head), "row", "left").select("text", "once", "target", "id", "tail")
+    told = whole.mapInArrow(run, "id long, n long, t double, b double, in_target boolean")
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("b") - F.col("t")).alias("score"), "in_target")
