@@ -87,3 +87,14 @@ def test_components_of_a_long_chain(spark):
     assert components(df.limit(0)).count() == 0
     got = {r.id: r.component for r in components(df, one_task=50).collect()}
     assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+
+
+def test_recall_in_a_family_below_the_threshold(spark, monkeypatch):
+    """Nodes of a family at 0.71 branch on for several levels; pairs at 0.82 within it stay together."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    common = " ".join(f"c{i}" for i in range(150))
+    rows = [(i, common + "".join(f" x{i}.{j}" for j in range(30))) for i in range(260)]
+    # 13 of the 30 own words are those of the partner
+    rows += [(1000 + i, common + "".join(f" x{i}.{j}" if j < 13 else f" y{i}.{j}" for j in range(30))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert [i for i in range(40) if got[1000 + i] != i] == [] and len(set(got.values())) == 260

@@ -1,8 +1,9 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
 Every document has a set of word shingles and COORDS minwise values of it. A tree sends a document to the node named by CHOSEN
-coordinates and their values; at a node, further coordinates are chosen by a hash of the node, so that similar documents keep
-to one path and dissimilar ones part. TREES independent trees meet the target recall.
+coordinates and their values; at a node, further coordinates are chosen by a hash of the node. Each level gives a document
+BRANCHES children, more than a similar pair loses, so that similar documents keep common paths at any depth and dissimilar ones
+part. TREES independent trees meet the target recall.
 
 At a node, everybody is first compared with one leader. Documents that are connected already need no further comparison, which
 settles groups of any number of near copies in one round without their pairs. Nodes with several components left are compared
@@ -29,7 +30,11 @@ WORDS, PERCENT = 5, 80
 COORDS = 64
 #: Coordinates that a level chooses. A pair of similarity s stays together for a level with probability s ** CHOSEN.
 CHOSEN = 2
-#: At 0.8, a pair parts at the first level of all trees with probability (1 - 0.64) ** 18 = 1e-8, at one of two levels 1e-4.
+#: Children of a document below a node. At 0.8 a pair shares 1.28 of them on average, and all paths below a node part, at any
+#: depth, with probability (0.36 / 0.64) ** 2 = 0.32 at most.
+BRANCHES = 2
+#: At 0.8, a pair parts at the first level of all trees with probability (1 - 0.64) ** 18 = 1e-8, and at any number of levels with
+#: (0.36 + 0.64 * 0.32) ** 18 = 3e-5.
 TREES = 18
 LEADERS = 4
 #: Nodes with at most so many pairs a document that aren't connected yet are compared exhaustively.
@@ -130,9 +135,9 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: D
     return picked.mapInArrow(run, schema)
 
 
-def _child(node):
-    """The node below a node: chosen by two coordinates that a hash of the node picks, and the values there."""
-    at = [F.pmod(F.xxhash64(node, F.lit(b)), F.lit(COORDS)) for b in range(CHOSEN)]
+def _child(node, branch: int = 0):
+    """A node below a node: chosen by two coordinates that a hash of the node picks for the branch, and the values there."""
+    at = [F.pmod(F.xxhash64(node, F.lit(b)), F.lit(COORDS)) for b in range(branch * CHOSEN, (branch + 1) * CHOSEN)]
     return F.xxhash64(node, *at, *[F.element_at("sig", (a + 1).cast("int")) for a in at])
 
 
@@ -257,7 +262,8 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         large = rest.where("not few")
         if last or large.isEmpty():
             break
-        named = stash(large.join(sigs, "rep").withColumn("node", _child(F.col("node"))).select("node", "rep", "n", *SKETCH, "component"), "branches")
+        below = F.array(*[_child(F.col("node"), b) for b in range(BRANCHES)])
+        named = stash(large.join(sigs, "rep").withColumn("node", F.explode(F.array_distinct(below))).select("node", "rep", "n", *SKETCH, "component"), "branches")
     return rows, reps, _union(found)
 
 
