@@ -52,3 +52,24 @@ def test_odd_rows(spark):
     assert domains == ["good"] and [r.rate for r in rated.collect()] == [1.0] * 5
     out = M.mix(df, none)
     assert out.columns == df.columns and out.count() == 5 and M.mix(df.limit(0), none).count() == 0
+
+
+def test_rare_domains_reach_the_optimum(spark):
+    for toxic in (30, 3):
+        p = np.repeat(np.eye(3), [900, 100 - toxic // 3, toxic], axis=0)
+        state = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, p array<double>").repartition(3)
+        how = (state, ["good", "low", "toxic"], M.WEIGHTS, "good", 1.0)
+        rate = M.replay(p, M.settled(*how, M.fit_rates(*how)), 1.0)
+        assert rate[:900].min() > 0.999 and rate[-toxic:].max() < 0.01
+
+
+def test_soft_rates_are_optimal(spark):
+    r = np.random.default_rng(1)
+    p, n = r.dirichlet([4, 1, 0.05], 400), r.integers(1, 500, 400)
+    state = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>").repartition(3)
+    how = (state, ["good", "low", "toxic"], M.WEIGHTS, "good", 1.0)
+    rate = M.replay(p, M.settled(*how, M.fit_rates(*how)), 1.0)
+    own = p.T @ n
+    residual = (p.T @ (n * rate) - own[0] / 0.9 * np.array([0.9, 0.1, 0])) / own.sum()
+    step = np.clip(rate - p @ residual / (own.min() / own.sum()), 0, 1)
+    assert (p.T @ (n * np.abs(step - rate)) <= 0.005 * own).all()

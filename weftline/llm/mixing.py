@@ -2,8 +2,10 @@
 
 A linear softmax over hashed word presence and a few shape features, fitted on a bounded sample of the labelled table, gives
 each document posteriors over the domains. Rates are then fitted by projected gradient on the least squares between expected
-and wanted token totals of the domains. A document's state is its tokens and posteriors; since all its steps follow from the
-residuals of the rounds before, each round ships those few numbers and adds up the totals anew. No rate is ever shuffled.
+and wanted token totals of the domains: ROUNDS plain steps, then implicit ones, whose size no domain's rareness limits, until
+such a step moves no domain by more than MOVED of its own total. An implicit step is p times a small vector as well, which
+Newton's method finds. A document's state is its tokens and posteriors; since all its steps follow from the residuals of the
+rounds before, each round ships those few numbers and adds up the totals anew. No rate is ever shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ PER_DOMAIN = 1500
 CHOSEN, LEAST_DOCS, LEAST_Z = 400, 5, 4.0
 STEPS, RATE, DECAY = 150, 0.5, 1e-4
 ROUNDS = 24
+#: Implicit steps end where one moves no domain by more of its total; domains below LEAST_SHARE of the tokens count as so large.
+MOVED, LEAST_SHARE = 1e-3, 1e-6
+#: Implicit steps, Newton rounds of each, and step lengths that a round tries at once.
+IMPLICIT, NEWTON, LENGTHS = 30, 60, 0.25 ** np.arange(12)
+#: How much longer each implicit step is than the one before, as totals come to rest slowly where posteriors overlap.
+LONGER = 10
 #: Share of the wanted total by domain; `anchor` is the domain that is to be kept in full.
 WEIGHTS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 ANCHOR = "good"
@@ -151,6 +159,13 @@ def replay(p: np.ndarray, history: list[np.ndarray], most: float | None) -> np.n
     return r
 
 
+def _wanted(all_: np.ndarray, domains: list[str], weights: dict[str, float], anchor: str) -> np.ndarray:
+    """Wanted totals by domain, given those of all documents at rate 1."""
+    share = np.array([weights.get(d, 0.0) for d in domains])
+    budget = all_[domains.index(anchor)] / share[domains.index(anchor)] if anchor in domains and weights.get(anchor) else all_.sum()
+    return budget * share
+
+
 def fit_rates(state: DataFrame, domains: list[str], weights: dict[str, float], anchor: str, most: float | None, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Steps by domain and round. state holds n_tokens and p; each round reads it once and returns one small vector a task."""
     k = len(domains)
@@ -174,9 +189,7 @@ def fit_rates(state: DataFrame, domains: list[str], weights: dict[str, float], a
     scale = now.sum()
     if scale <= 0:
         return []
-    share = np.array([weights.get(d, 0.0) for d in domains])
-    budget = now[domains.index(anchor)] / share[domains.index(anchor)] if anchor in domains and weights.get(anchor) else scale
-    want, history, last = budget * share, [], None
+    want, history, last = _wanted(now, domains, weights, anchor), [], None
     for _ in range(rounds):
         residual = (now - want) / scale
         if np.abs(residual).max() < 1e-4 or (last is not None and np.abs(last - residual).max() < 1e-6):
@@ -188,6 +201,73 @@ def fit_rates(state: DataFrame, domains: list[str], weights: dict[str, float], a
     return history
 
 
+def settled(state: DataFrame, domains: list[str], weights: dict[str, float], anchor: str, most: float | None, history: list[np.ndarray]) -> list[np.ndarray]:
+    """The steps of history and those after which projected-gradient optimality holds; RuntimeError if it is not reached.
+
+    An implicit step of length 1 / eps ends where r = clip(before + p @ x, 0, most) with eps * x = -residual(r), so a gradient
+    step of that length from r moves no document further than this one has. x is the minimum of a convex function.
+    """
+    k = len(domains)
+
+    def sums(history: list[np.ndarray], tried: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """By step tried: the convex function's sum, totals, curvature, and tokens moved."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(tried), 1 + k + k * k + k))
+            for batch in batches:
+                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+                before = replay(p, history, most)
+                for row, step in zip(out, tried):
+                    z = before + p @ step
+                    r = np.clip(z, 0, most)
+                    free = n * ((z > 0) & (z < (np.inf if most is None else most)))
+                    row += np.concatenate([[n @ (r * z - r * r / 2)], p.T @ (n * r), ((p * free[:, None]).T @ p).ravel(), p.T @ (n * np.abs(r - before))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel(), pa.float64())], names=["i", "x"])
+
+        out = np.zeros((len(tried), 1 + k + k * k + k))
+        for r in state.select("n_tokens", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out.flat[r["i"]] = r["x"]
+        return [(x[0], x[1 : 1 + k], x[1 + k : 1 + k + k * k].reshape(k, k), x[1 + k + k * k :]) for x in out]
+
+    all_ = sums([], np.zeros((1, k)))[0][1]
+    scale = all_.sum()
+    if scale <= 0:
+        return history
+    want = _wanted(all_, domains, weights, anchor)
+    own = np.maximum(all_, LEAST_SHARE * scale)
+    eps = 0.01 * own.min() / scale
+    history = list(history)
+    for _ in range(IMPLICIT):
+        x = np.zeros(k)
+        at = sums(history, x[None])[0]
+
+        def slope(x: np.ndarray, at) -> np.ndarray:
+            return eps * x + (at[1] - want) / scale
+
+        def value(x: np.ndarray, at) -> float:
+            return eps * (x @ x) / 2 + (at[0] - want @ x) / scale
+
+        for _ in range(NEWTON):
+            g = slope(x, at)
+            if np.abs(g).max() <= max(1e-4 * eps, 1e-12):
+                break
+            way = -np.linalg.solve(at[2] / scale + eps * np.eye(k), g)
+            tried = x + LENGTHS[:, None] * way
+            got = sums(history, tried)
+            falls = [i for i, a in enumerate(LENGTHS) if value(tried[i], got[i]) <= value(x, at) + 1e-4 * a * (g @ way)]
+            # rounding hides the fall close to the minimum; the slope still tells
+            best = falls[0] if falls else min(range(len(tried)), key=lambda i: np.abs(slope(tried[i], got[i])).max())
+            x, at = tried[best], got[best]
+        else:
+            raise RuntimeError(f"an implicit step did not settle in {NEWTON} rounds: slope {np.abs(slope(x, at)).max():.1e}, step {x}")
+        history.append(x)
+        if (at[3] <= MOVED * own).all():
+            return history
+        eps = max(eps / LONGER, 1e-8)
+    raise RuntimeError(f"rates did not settle in {IMPLICIT} implicit steps: the last one moved {at[3] / own} of the domains' totals")
+
+
 def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, anchor: str = ANCHOR, most: float | None = 1.0) -> tuple[DataFrame, list[str]]:
     """docs without text, with n_tokens, p, rate and copies, and the domains in the order of p.
 
@@ -200,6 +280,7 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(docs, labels, id_col, text_col) or Model([anchor], np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
     state = stash(posteriors(docs, model, text_col), "posteriors")
     history = fit_rates(state, model.domains, weights or WEIGHTS, anchor, most)
+    history = settled(state, model.domains, weights or WEIGHTS, anchor, most, history)
     schema = T.StructType([*state.schema.fields, T.StructField("rate", T.DoubleType())])
     at, k = state.columns.index("p"), len(model.domains)
 
