@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import components, session_of, spanning, stash
+from weftline.llm.common import as_id, components, session_of, spanning, stash
 
 COSINE = 0.98
 PASSES = 16
@@ -107,7 +107,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = session_of(vectors)
     v = F.col("embedding")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
+    rows = vectors.select(as_id(id_col).alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     fine = F.coalesce(fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     rows = stash(

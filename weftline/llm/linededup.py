@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A text is cut into lines and these into sentences. A unit's path in the tree is its number of tokens, its LEAD first and its
-TAIL last tokens, with every token that holds a digit read as a wildcard; what lies between is the template's variable part. So
-a unit belongs to one template wherever it is parsed, and no task has to see a whole branch. A template that occurs in two or
-more documents recurs. Only its smallest and largest document id are gathered, by a partial aggregation that no hot template
-can skew.
-
-Recurring units are dropped from every document but the first that holds them. A document of which COPY or more of the words
-recur is a copy, not a text with boilerplate: it is left whole, for near-duplicate removal to decide on.
+A text is cut into lines and these into sentences. A unit goes down the tree by its number of tokens and its LEAD first tokens,
+tokens with a digit being read as a wildcard. In the leaf, units of WHOLE tokens or more belong to two similarity groups: those
+that agree in all but the first half of what follows the lead, and those that agree in all but the second half. So a field that
+varies within either half is generalised to a wildcard by the lines that are seen to share the rest, while shorter units must
+agree in every token. A group is known by the hash of its path and constant tokens, so no task has to see a whole leaf, and what
+a unit belongs to doesn't depend on the order or the number of lines.
+
+A template found in two or more documents recurs. Only its smallest and largest document id are gathered, by a partial
+aggregation that no hot template can skew. Runs of recurring units with LEAST_TOKENS tokens or more in all are dropped from
+every document but the first that holds each; what recurs alone and is shorter (`Yes.`) is ordinary language.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches, session_of, stash
+from weftline.llm.common import as_id, bounded_batches, fresh, map_batches, session_of, stash
 
-LEAD, TAIL = 4, 4
+LEAD, WHOLE = 4, 10
 LEAST_TOKENS = 6
-COPY = 0.8
+#: With spare_copies: share of the larger document's words that a document must have from one earlier document to be left whole.
+COPY = 2 / 3
 WILD = b"<*>"
 
 _cut = re.compile(rb"(\n+|(?<=[.!?])[ \t]+)")
@@ -38,87 +41,123 @@ def units(text: bytes) -> list[bytes]:
     return _cut.split(text)
 
 
-def template(unit: bytes) -> tuple[int | None, int]:
-    """The template's key, None for units of fewer than LEAST_TOKENS tokens, and the number of tokens."""
+def templates(unit: bytes) -> tuple[tuple[int, ...], int]:
+    """The keys of the templates that a unit belongs to, none without tokens, and its number of tokens."""
     tokens = unit.split()
     n = len(tokens)
-    if n < LEAST_TOKENS:
-        return None, n
-    path = tokens if n <= LEAD + TAIL else tokens[:LEAD] + tokens[-TAIL:]
-    line = b" ".join(path)
-    if _digit.search(line):
-        line = b" ".join([WILD if _digit.search(t) else t for t in path])
-    h = _hash(line, seed=n)
-    return h - (1 << 64) if h >> 63 else h, n
+    if not n:
+        return (), 0
+    if _digit.search(unit):
+        tokens = [WILD if _digit.search(t) else t for t in tokens]
+    if n < WHOLE:
+        return (_signed(_hash(b" ".join(tokens), seed=n)),), n
+    half = (LEAD + n) // 2
+    first, second = b" ".join(tokens[:LEAD] + tokens[half:]), b" ".join(tokens[:half])
+    return (_signed(_hash(first, seed=n)), _signed(_hash(second, seed=-n & 0xFFFFFFFF))), n
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, keys, sizes, words): distinct templates of a document, the words of each, and all words of the document."""
+    """(id, keys, words): distinct templates and number of words of each document with an id."""
     bounded_batches(session_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, words = [], [], []
+            keys, words = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own: dict[int, int] = {}
+                own: set[int] = set()
                 total = 0
                 for unit in units(text or b"")[::2]:
-                    key, n = template(unit)
+                    found, n = templates(unit)
                     total += n
-                    if key is not None:
-                        own[key] = own.get(key, 0) + n
+                    own.update(found)
                 keys.append(list(own))
-                sizes.append(list(own.values()))
                 words.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(words, pa.int64())], names=["id", "keys", "sizes", "words"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.int64())], names=["id", "keys", "words"])
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    return picked.mapInArrow(run, "id long, keys array<long>, sizes array<int>, words long")
+    picked = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    return picked.mapInArrow(run, "id long, keys array<long>, words long")
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): per document that has any, the templates to drop from it."""
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
+    """(id, gone): per document that has any, the templates that an earlier document holds too, as (key, first, words): with
+    spare_copies the first holder and its number of words, else nulls."""
     seen = stash(parsed(docs, id_col, text_col), "templates")
-    flat = seen.select("id", "words", F.explode(F.arrays_zip("keys", "sizes")).alias("x")).select("id", "words", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size"))
+    flat = seen.select("id", F.explode("keys").alias("key"))
     common = flat.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") != F.col("last"))
-    hits = flat.join(common.select("key", "first"), "key").where(F.col("id") != F.col("first"))
-    per = hits.groupBy("id").agg(F.collect_set("key").alias("gone"), F.sum("size").alias("hit"), F.max("words").alias("words"))
-    return per.where(F.col("hit") < COPY * F.col("words")).select("id", "gone")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with recurring units removed from the text, plus n_dropped (long).
-
-    Null texts stay null. Rows with a null id are neither compared nor changed; rows that repeat an id are one document, so
-    what they share doesn't recur. Repeats inside one document don't count either. An empty table stays empty; a column
-    n_dropped of docs is replaced.
+    if spare_copies:
+        # rows that repeat an id are one document; a document is the first holder of no more templates than it has
+        size = seen.groupBy(F.col("id").alias("first")).agg(F.sum("words").alias("words"))
+        common = common.select("key", "first").join(size, "first")
+        told = [F.col("first"), F.col("words")]
+    else:
+        told = [F.lit(None).cast("long").alias(c) for c in ("first", "words")]
+    hits = flat.join(common, "key").where(F.col("id") != F.col("first")).select("id", "key", *told)
+    return hits.groupBy("id").agg(F.collect_set(F.struct("key", "first", "words")).alias("gone"))
+
+
+def _drops(sizes: list[int], hit: list[bool]) -> list[bool]:
+    """Which units lie in a run of recurring ones of LEAST_TOKENS tokens or more; units without tokens part no run."""
+    out, start, total = [False] * len(sizes), 0, 0
+    for i in range(len(sizes) + 1):
+        if i == len(sizes) or (sizes[i] and not hit[i]):
+            if total >= LEAST_TOKENS:
+                out[start:i] = [n > 0 for n in sizes[start:i]]
+            start, total = i + 1, 0
+        else:
+            total += sizes[i]
+    return out
+
+
+def _is_copy(found: list[tuple], gone: dict[int, tuple[int, int]]) -> bool:
+    """Whether one earlier document holds COPY or more of the words of the larger of the two."""
+    shared: dict[int, int] = {}
+    for keys, n in found:
+        for first in {gone[k][0] for k in keys if k in gone}:
+            shared[first] = shared.get(first, 0) + n
+    size, own = {first: words for first, words in gone.values()}, sum(n for _, n in found)
+    return any(n >= COPY * max(own, size[first]) for first, n in shared.items())
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
+    """docs with recurring units removed from the text, plus n_dropped (long), the number of units removed.
+
+    With spare_copies, a document of which one earlier document holds most is left whole, for near-duplicate removal to decide
+    on: without the shared units nothing would tell it for a copy. Null texts stay null; empty ones have nothing to remove.
+    Ids are whole numbers; rows whose id is null or no number are neither compared nor changed. Rows that repeat an id are one
+    document, so what they share doesn't recur, nor do repeats inside a document. An empty table stays empty; a column
+    n_dropped of docs is replaced, and any other names may occur in docs.
     """
     bounded_batches(session_of(docs))
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_dropped"])
-    gone = recurring(docs, id_col, text_col).withColumnRenamed("id", "_gone_id").withColumnRenamed("gone", "_gone_keys")
-    gone = stash(gone, "gone")
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left").drop("_gone_id")
     names = docs.columns
+    key, drop = fresh(docs, "_gone_id"), fresh(docs, "_gone_keys")
+    gone = stash(recurring(docs, id_col, text_col, spare_copies).select(F.col("id").alias(key), F.col("gone").alias(drop)), "gone")
+    joined = docs.join(gone, as_id(id_col) == F.col(key), "left").drop(key)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType(), False)])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            drops, counts = batch.column(len(names)).to_pylist(), []
-            for i, drop in enumerate(drops):
+            counts = []
+            for i, told in enumerate(batch.column(len(names)).to_pylist()):
                 counts.append(0)
-                if drop and texts[i] is not None:
-                    drop, parts, out = set(drop), units(texts[i]), []
-                    for k in range(0, len(parts), 2):
-                        if template(parts[k])[0] in drop:
-                            counts[-1] += 1
-                        else:
-                            out += parts[k : k + 2]
-                    texts[i] = b"".join(out).rstrip() if counts[-1] else texts[i]
+                if not told or texts[i] is None:
+                    continue
+                bad = {x["key"]: (x["first"], x["words"]) for x in told}
+                parts = units(texts[i])
+                found = [templates(u) for u in parts[::2]]
+                if spare_copies and _is_copy(found, bad):
+                    continue
+                out = _drops([n for _, n in found], [any(k in bad for k in keys) for keys, _ in found])
+                counts[-1] = sum(out)
+                if counts[-1]:
+                    texts[i] = b"".join(x for k, x in enumerate(parts) if not out[k // 2]).rstrip()
             text = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*(text if k == at else batch.column(k) for k in range(len(names))), pa.array(counts, pa.int64())], names=[*names, "n_dropped"])
 
-    return joined.mapInArrow(run, schema)
+    return map_batches(joined, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import bounded_batches, session_of, stash
+from weftline.llm.common import as_id, bounded_batches, session_of, stash
 
 LEAST_COUNT = 2
 #: Words and bigrams that are shipped, and tokens of the sample they are chosen from.
@@ -226,10 +226,10 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     spark = session_of(docs)
     bounded_batches(spark)
     # equal rows share a number, which is right: none of their words occurs once, and they are joined to the same counts
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
     words = stash(word_counts(keyed), "words")
-    chosen = targets.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id is not null").distinct()
+    chosen = targets.select(as_id(id_col).alias("id")).where("id is not null").distinct()
     once = words.where(F.col("n") < LEAST_COUNT).select("row", "word", F.lit(False).alias("target"))
     wanted = keyed.select("id", "row").join(chosen, "id").select("row", F.lit(None).cast("long").alias("word"), F.lit(True).alias("target"))
     about = once.unionByName(wanted).groupBy("row").agg(F.collect_list("word").alias("once"), F.max("target").alias("target"))

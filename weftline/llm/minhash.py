@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches, components, session_of, spanning, stash
+from weftline.llm.common import as_id, bounded_batches, components, fresh, session_of, spanning, stash
 
 WORDS, PERCENT = 5, 80
 COORDS = 64
@@ -119,7 +119,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                 names=schema.names,
             )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: D
             sets = [shingles(x, words).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    picked = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     return picked.mapInArrow(run, schema)
 
 
@@ -295,6 +295,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without the near copies: of each component, the one with the smallest id, with its own columns."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = stash(gone, "gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    key = fresh(docs, "_gone")
+    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col(f"`{id_col}`").alias(key)).distinct()
+    return docs.join(stash(gone, "gone"), as_id(id_col) == F.col(key), "left_anti")

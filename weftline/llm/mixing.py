@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.common import bounded_batches, session_of, stash
+from weftline.llm.common import as_id, bounded_batches, map_batches, session_of, stash
 
 BITS = 16
 #: Labelled documents of each domain that the classifier is fitted on, those with the smallest hash.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [features(t or b"")[0].astype(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.int32()))], names=["id", "domain", "at"])
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("id", "text", "domain")
+    picked = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("id", "text", "domain")
     rows = picked.mapInArrow(run, "id long, domain string, at array<int>").toPandas().sort_values(["id", "domain"], kind="stable")
     if rows.empty:
         return None
@@ -148,7 +148,7 @@ def posteriors(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 [*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array([n for _, n in got], pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=schema.names
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def replay(p: np.ndarray, history: list[np.ndarray], most: float | None) -> np.ndarray:
@@ -291,7 +291,7 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
-    return state.mapInArrow(run, schema).withColumn("copies", copies.cast("int")), model.domains
+    return map_batches(state, run, schema).withColumn("copies", copies.cast("int")), model.domains
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

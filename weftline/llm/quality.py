@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches, session_of, stash
+from weftline.llm.common import bounded_batches, map_batches, session_of, stash
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -140,7 +140,7 @@ def measured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Dat
                     col.append(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *(f.name for f in SCHEMA)])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
