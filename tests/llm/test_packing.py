@@ -12,29 +12,30 @@ from weftline.llm import packing
 from weftline.llm.queries import op1_best_fit_packing, tokenizer_path
 
 
-def whole(text):
+def whole(text, plain=False):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = plain
     return [*tok.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 TEXTS = [
-    None, "", "  \n", "The the THE don't DON'T we'll", "a" * 300, "É é É é H̱ ẖ ẖ", "x\x1cy\x85z w ΣΑΣ", "!!! ... ,. <|endoftext|> </w>",
+    None, "", "  \n", "The the THE don't DON'T we'll", "a" * 300, "É é É é H̱ ẖ ẖ", "x\x1cy\x85z w ΣΑΣ", "!!! ... ,. <|endoftext|> </w>", "hello <|endoftext|>x <|ENDOFTEXT|> <|EndOfText|>y<|startoftext|><|startoftext|>'LL <| |>", "<|É́endoftext|> <|endoftext|>É́",
     "word " * 9000, "1 22 333 ٣٤ 日本語 text", "The the THE don't DON'T we'll",
 ]
 
 
-def test_ids_and_slots(spark):
+@pytest.mark.parametrize("plain", [False, True])
+def test_ids_and_slots(spark, plain):
     docs = spark.createDataFrame([(i if i != 3 else None, t, i, "c") for i, t in enumerate(TEXTS)], "doc_id long, text string, Length long, other string")
-    rows = packing.pack(docs, tokenizer_path(), capacity=512).collect()
+    rows = packing.pack(docs, tokenizer_path(), capacity=512, plain=plain).collect()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     assert set(by) == {i if i != 3 else None for i in range(len(TEXTS))}
     for k, got in by.items():
-        ids = np.array(whole(TEXTS[3 if k is None else k]), "<u4")
+        ids = np.array(whole(TEXTS[3 if k is None else k], plain), "<u4")
         got.sort(key=lambda r: r.piece)
         assert [r.piece for r in got] == list(range(-(-len(ids) // 512)))
         for r in got:
@@ -59,7 +60,7 @@ def check_gapless(rows, capacity):
 def test_full_memo(monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 3)
     packing._memos.clear()
-    encode = packing._encoder(tokenizer_path())
+    encode = packing._encoder(tokenizer_path(), False)
     texts = ["one two three four five", "one two six seven six", "a" * 100 + " one"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts * 2])] == [whole(t)[:-1] for t in texts * 2]
     packing._memos.clear()
@@ -98,8 +99,14 @@ def test_whole_table(spark):
     rows = op1_best_fit_packing(spark, d).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
     assert {r.doc_id for r in rows} == set(docs)
-    for r in rows[::17]:
-        ids = np.array(whole(docs[r.doc_id]), "<u4")[r.start : r.start + r.length]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    own = {k: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in docs.items()}
+    assert sum(r.length for r in rows) == sum(map(len, own.values()))
+    for r in rows:
+        ids = own[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and (r.length == 4096 or r.start + r.length == len(own[r.doc_id]))
         assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
     bins = check_gapless(rows, 4096)
     assert len(bins) <= sum(r.length for r in rows) / 4096 * 1.02 + 2

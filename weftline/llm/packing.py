@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.common import bounded_batches, session_of, stash
+from weftline.llm.common import bounded_batches, map_batches, session_of, stash
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,28 +40,30 @@ PIECES = T.StructType(
 )
 
 
-_memos: dict[str, tuple] = {}
+_memos: dict[tuple[str, bool], tuple] = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, plain: bool):
     """text bytes -> little-endian ids. Only for tokenizers that drop white space, never look across it and lower-case: each
-    chunk between ASCII white space is encoded once a worker and remembered."""
+    chunk between ASCII white space is encoded once a worker and remembered. Control strings of the tokenizer in a text get
+    their own ids, as its file says, or with `plain` those of ordinary text."""
     import os
 
     import numpy as np
 
-    if path not in _memos:
+    if (path, plain) not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _memos[path] = tok, {}
-    tok, memo = _memos[path]
+        tok.encode_special_tokens = plain
+        _memos[path, plain] = tok, {}
+    tok, memo = _memos[path, plain]
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
-            if b"\xcc" not in text:  # no mark that a letter could be composed with: lower-casing ASCII first changes nothing
+            # lower-casing ASCII first changes nothing where no mark could be composed with a letter and no control string be made
+            if b"\xcc" not in text and b"<|" not in text:
                 text = text.lower()
             chunks = text.split()
             new = [c for c in set(chunks) if c not in memo]
@@ -83,7 +85,7 @@ def _pieces_of(ids: bytes, capacity: int) -> tuple[list[int], list[int], list[in
     return list(range(len(starts))), starts, lengths, [zlib.crc32(view[4 * s : 4 * (s + k)]) for s, k in zip(starts, lengths)]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, plain: bool = False) -> DataFrame:
     """docs without text, plus one row per piece of at most `capacity` ids. Null text counts as empty: one piece holding end_id."""
     spark = session_of(docs)
     bounded_batches(spark)
@@ -93,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path, plain)
         for batch in batches:
             texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
             rows, cols, blobs = [], ([], [], [], []), []
@@ -112,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
                 out.append(pa.array(blobs, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[*names, *(f.name for f in extra)])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -195,13 +197,14 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.join(planned, ["length", "_rank"]).drop("_row", "_part", "_within", "_before", "_rank")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, plain: bool = False) -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens; only longer documents are cut.
 
     Returns the other columns of docs with piece, start, length, ids_crc32, sequence_id, offset. Null or empty text is one
     piece of end_id alone; repeated rows and null ids are packed as rows of their own; an empty table gives no rows. Columns
-    of docs that clash with the result's are dropped first.
+    of docs that clash with the result's are dropped first. Control strings of the tokenizer in a text get their own ids, or
+    with `plain` those of ordinary text.
     """
     taken = {"piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "_row", "_part", "_within", "_before", "_rank"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text or c.lower() not in taken])
-    return place(pieces(docs, tokenizer_path, text, capacity, end_id, keep_ids), capacity)
+    return place(pieces(docs, tokenizer_path, text, capacity, end_id, keep_ids, plain), capacity)
