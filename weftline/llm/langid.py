@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.common import bounded_batches, session_of
+from weftline.llm.common import bounded_batches, map_batches, session_of
 
 BITS, DIM, ORDERS = 15, 24, (1, 2, 3, 4)
 BUCKETS = 1 << BITS
@@ -32,10 +32,10 @@ _fold: np.ndarray | None = None
 
 
 def _table() -> np.ndarray:
-    """Per code point of the basic plane: its lower-case letter, or 0 for what is no letter."""
+    """Per code point: its lower-case letter, or 0 for what is no letter."""
     global _fold
     if _fold is None:
-        _fold = np.array([(ord(c.lower()) if len(c.lower()) == 1 else i) if (c := chr(i)).isalpha() else 0 for i in range(1 << 16)], np.uint32)
+        _fold = np.array([(ord(c.lower()) if len(c.lower()) == 1 else i) if (c := chr(i)).isalpha() else 0 for i in range(0x110000)], np.uint32)
     return _fold
 
 
@@ -63,7 +63,7 @@ def _hashed(x: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
 def _folded(text: str) -> np.ndarray:
     fold = _table()
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(raw < 1 << 16, fold[np.minimum(raw, 0xFFFF)], raw)
+    return fold[raw]
 
 
 def _slices(x: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -218,4 +218,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 names=schema.names,
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
