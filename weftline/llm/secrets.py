@@ -46,31 +46,50 @@ ENCODINGS = {
 VETO = 3.3
 
 
+#: Matches whose offsets are added up one after another; longer lists go by blocks, so that the work stays in proportion.
+RUN = 64
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once, also where f uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _spans(text: Column, pattern: str, keep=None) -> Column:
     """Array of (start, end, match) of the leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    zipped = F.filter(zipped, lambda x: x["hit"].isNotNull())
+    # of each match only its place and itself are carried on
+    sized = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("n"), x["hit"].alias("hit")))
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
-    walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("long").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).cast("long").alias("start"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("long").alias("end"),
-                        x["hit"].alias("hit"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def walk(part: Column, at: Column) -> Column:
+        begin = lambda acc, x: acc["at"] + x["gap"]
+        return F.aggregate(
+            part,
+            F.struct(at.cast("long").alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (begin(acc, x) + x["n"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(begin(acc, x).alias("start"), (begin(acc, x) + x["n"]).alias("end"), x["hit"].alias("hit")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def blocks(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
+        none = F.expr("cast(array() as array<bigint>)")
+
+        def placed(parts: Column) -> Column:
+            length = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["gap"] + x["n"]))
+            starts = F.aggregate(
+                length, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+            )
+            return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), starts.alias("at")), lambda b: walk(b["part"], b["at"])))
+
+        return _let(cut, placed)
+
+    walked = _let(sized, lambda all_: F.when(F.size(all_) <= RUN, walk(all_, F.lit(0))).otherwise(blocks(all_)))
     return walked if keep is None else F.filter(walked, keep)
 
 
@@ -162,33 +181,36 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """docs without text, with base (array of (start, no, end, kind)), n_assign, n_access, n_hex and spans (base and random).
 
     Offsets are code points, end exclusive; kinds in the order of KINDS. Random spans that touch a base span are left out.
-    Null text counts as empty. Repeated rows give repeated results, an empty table none; result names in docs are replaced.
+    Null text counts as empty. Repeated rows give repeated results, an empty table none; columns of docs named as the results
+    are replaced, any others stay as they are, whatever their names.
     """
-    gone = {"base", "spans", "n_assign", "n_access", "n_hex", "_t", "_token", "_row"}
+    gone = {"base", "spans", "n_assign", "n_access", "n_hex"}
     others = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in gone]
-    t = docs.select(*others, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    kept = F.struct(*others) if others else F.lit(True)
+    t = docs.select(kept.alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("whole"))
     long_enough = lambda s: F.length(F.regexp_extract(s["hit"], BASE["assign"], 2)) >= LEAST_VALUE
     shape = lambda no, name: lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), F.lit(name).alias("kind"))
     base = F.array_sort(
         F.concat(
-            F.transform(_spans(F.col("_t"), BASE["assign"], long_enough), shape(0, "assign")),
-            F.transform(_spans(F.col("_t"), BASE["access"]), shape(1, "access")),
-            F.transform(_spans(F.col("_t"), BASE["hex"]), shape(2, "hex")),
+            F.transform(_spans(F.col("whole"), BASE["assign"], long_enough), shape(0, "assign")),
+            F.transform(_spans(F.col("whole"), BASE["access"]), shape(1, "access")),
+            F.transform(_spans(F.col("whole"), BASE["hex"]), shape(2, "hex")),
         )
     )
-    seen = stash(t.select(*others, base.alias("base"), _spans(F.col("_t"), TOKEN).alias("_token")).withColumn("_row", F.monotonically_increasing_id()), "spans")
-    scored = battery(seen.select("_row", F.explode("_token").alias("x")).select("_row", "x.start", "x.end", "x.hit"))
-    scored = stash(scored.select("_row", "start", "end", "n", "log_p"), "scored")
+    seen = stash(t.select("doc", base.alias("base"), _spans(F.col("whole"), TOKEN).alias("token")).withColumn("row", F.monotonically_increasing_id()), "spans")
+    scored = battery(seen.select("row", F.explode("token").alias("x")).select("row", "x.start", "x.end", "x.hit"))
+    scored = stash(scored.select("row", "start", "end", "n", "log_p"), "scored")
     bound = threshold(scored, rate)
     found = (
         scored.where(F.col("log_p") - F.log(_weight(F.col("n"))) <= F.lit(bound))
-        .groupBy("_row")
+        .groupBy("row")
         .agg(F.collect_list(F.struct("start", F.lit(3).alias("no"), "end", F.lit("random").alias("kind"))).alias("extra"))
     )
     apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     extra = F.filter(F.coalesce("extra", F.expr("cast(array() as array<struct<start:bigint,no:int,end:bigint,kind:string>>)")), apart)
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return seen.join(found, "_row", "left").select(*others, "base", count("assign"), count("access"), count("hex"), F.array_sort(F.concat("base", extra)).alias("spans"))
+    told = seen.join(found, "row", "left")
+    return told.select(*(["doc.*"] if others else []), "base", count("assign"), count("access"), count("hex"), F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
