@@ -1,6 +1,7 @@
 """Embedding near-dedup against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import embeddings
 from weftline.llm.queries import op10_embedding_near_dedup
@@ -33,7 +34,6 @@ def test_whole_table(spark):
 
 def test_dense_groups_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
-    monkeypatch.setattr(embeddings, "BLOCK", 32)
     r = np.random.default_rng(1)
     base = r.standard_normal((6, 16))
     rows, n = [], 0
@@ -44,8 +44,41 @@ def test_dense_groups_and_odd_rows(spark, monkeypatch):
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] * 16, rows[0][1][:8]]
     rows += [(n + k, v, 0) for k, v in enumerate(odd)] + [(n + 50, rows[0][1], None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = embeddings.near_duplicates(df, window=8).collect()
+    got = embeddings.near_duplicates(df.select("*", F.lit(1).alias("rep"), F.lit(2).alias("component"), F.lit(3).alias("a.b")), window=8).collect()
     assert {x.vec_id: (x.n_links, x.component_id) for x in got} == brute(rows)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     lost = embeddings.near_duplicates(spark.createDataFrame([(None, rows[0][1], 0), (1, rows[0][1], 0)], df.schema)).collect()
     assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in lost} == {(None, 0, None, True), (1, 0, 1, True)}
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (3, b, 0)], "vec_id long, embedding array<float>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_windows_across_partitions(spark):
+    """All pairs of a sorted order within the window, by brute force, whatever the partitions' sizes."""
+    for n, parts, window in ((7, 9, 4), (60, 8, 20), (60, 30, 9), (300, 8, 5)):
+        classes = spark.createDataFrame([(k, [1.0, k * 1e-7], 0, 2, k) for k in range(n)], "rep long, embedding array<double>, group long, dim int, component long")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = embeddings._candidates(classes, 0, 1, window, 0.98, 7).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        # keys are equal, so the order is that of rep
+        assert sorted((r.u, r.v) for r in got) == [(a, b) for a in range(n) for b in range(a + 1, min(n, a + window + 1))]
+
+
+def test_recall_in_crowded_labels(spark):
+    """20,000 vectors of one label around one direction, mutual cosine about 0.8, with 1,000 planted pairs at 0.982."""
+    r = np.random.default_rng(5)
+    centre = r.standard_normal(64)
+    x = centre + r.standard_normal((20_000, 64)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(1000):
+        off = r.standard_normal(64)
+        off -= (off @ x[k]) * x[k]
+        x[k + 1000] = 0.982 * x[k] + np.sqrt(1 - 0.982**2) * off / np.linalg.norm(off)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[k] == got[k + 1000] for k in range(1000)) >= 995

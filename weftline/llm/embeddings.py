@@ -1,33 +1,42 @@
 """Embedding near-dedup by sorted projection passes.
 
 Each pass gives a vector a key of KEY_BITS sign bits of random projections, most significant first, and sorts all vectors by
-(label, key): vectors at a small angle share a long prefix in some pass. The global order is cut into blocks of equal size plus
-a margin of one window, so that every pair within a window is compared in one bounded task, whatever a label's share of rows.
-Verified pairs of all passes are united. Within the components that this finds, every pair is then compared block by block, so
-that the number of links is complete even where more vectors lie close together than a window holds.
+(label, key): vectors at a small angle share a long prefix in some pass. Neighbours within a window of that order are compared,
+whatever label or task they fall into: what lies across the end of a partition is compared in a second step. What is sorted is
+a few numbers a vector, not the vector itself; a sketch of SKETCH_BITS further sign bits tells pairs that can be close enough,
+and only these fetch their vectors. Verified pairs of all passes are united.
+
+Passes come in rounds. The first looks at the NEAR next neighbours only, which connects groups of any number of near copies;
+later rounds look at whole windows but only for pairs that no links connect yet. Rounds go on until one finds no more than MISSED
+of all links found so far, so larger and denser tables get more passes. Within the components, every pair is compared block by
+block in the end, so that the number of links is complete even where more vectors lie close together than a window holds.
 
 Equal vectors are one class, compared once and counted with their number.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm.common import as_id, components, session_of, spanning, stash
+from weftline.llm.common import as_id, components, session_of, stash, unstash
 
 COSINE = 0.98
-PASSES = 16
-#: Neighbours after a vector in a pass that it is compared with.
-WINDOW = 64
-BLOCK = 448
-KEY_BITS = 62
+#: Neighbours after a vector in a pass that it is compared with; in the first round NEAR of them.
+WINDOW, NEAR = 64, 2
+#: Passes of a round, rounds at the most, and the share of new links at which they end.
+PASSES, ROUNDS, MISSED = 8, 40, 1e-3
+KEY_BITS, SKETCH_BITS = 62, 256
 #: Vectors of a component that one task compares with as many others.
 TILE = 512
 
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+ORDERED = ["seg", "rep", "component", *SKETCH]
+
 
 def _unit(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     """Rows scaled to length one in double precision; they have the same number of finite components, not all zero."""
@@ -37,48 +46,157 @@ def _unit(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    schema = T.StructType.fromDDL("pass int, key long").fields
+def _keyed(classes: DataFrame, first: int, passes: int, seed: int) -> DataFrame:
+    """(pass, group, dim, key, rep, component, s0, s1 ...): the keys of each class in the passes from `first`, and its sketch."""
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        high = np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy(zero_copy_only=False)
+            dims = batch.column(3).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((passes, dim, KEY_BITS))
-                x = _unit(part.column(part.schema.get_field_index("embedding")), part.num_rows)
+                    planes[dim] = (
+                        np.stack([np.random.default_rng([seed, dim, first + p]).standard_normal((dim, KEY_BITS)) for p in range(passes)]),
+                        np.random.default_rng([seed, dim]).standard_normal((dim, SKETCH_BITS)),
+                    )
+                x = _unit(part.column(4), part.num_rows)
+                sketch = [pa.array(s) for s in np.packbits(x @ planes[dim][1] > 0, axis=1).view("<i8").T]
+                rep, component, group = (part.column(i) for i in range(3))
                 for p in range(passes):
-                    key = ((x @ planes[dim][p] > 0) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p] * part.num_rows, pa.int32()), pa.array(key, pa.int64())], names=[*part.schema.names, "pass", "key"])
+                    key = ((x @ planes[dim][0][p] > 0) << high).sum(axis=1)
+                    seg = np.full(part.num_rows, first + p, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(seg), group, part.column(3), pa.array(key, pa.int64()), rep, component, *sketch], names=["pass", "group", "dim", "key", "rep", "component", *SKETCH])
 
-    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, *schema]))
+    picked = classes.select("rep", "component", "group", "dim", "embedding")
+    return picked.mapInArrow(run, "pass int, group long, dim int, key long, rep long, component long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def _window_links(cosine: float, window: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rank")
-        rep = table["rep"].to_numpy()
-        home = table["home"].to_numpy(zero_copy_only=False)
-        seg = np.stack([table[c].to_numpy() for c in ("pass", "dim", "group")])
-        cut = np.flatnonzero(np.concatenate([[True], (seg[:, 1:] != seg[:, :-1]).any(axis=0), [True]]))
-        u, v = [], []
-        for a, b in zip(cut[:-1], cut[1:]):
-            if b - a < 2:
+def unlike_bits(cosine: float) -> int:
+    """Sketch bits that may differ: 4.5 deviations above the mean at the threshold, so that about one pair in 3e5 there differs
+    in more."""
+    p = math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
+    return int(SKETCH_BITS * p + 4.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+
+
+def _close(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
+    """Whether rows a and b (as ORDERED) are of one segment, not connected yet, and alike by their sketches."""
+    unlike = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(a[3:], b[3:]))
+    return (a[0] == b[0]) & (a[2] != b[2]) & (unlike <= most)
+
+
+def _neighbours(window: int, most: int):
+    """Pairs (u, v) within the window of a sorted partition, then its first and last rows as (side, at, size)."""
+    kind = [*ORDERED, "part"]
+
+    def run(batches):
+        before = [np.empty(0, np.int64) for _ in ORDERED]
+        head, size, part = None, 0, None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(kind))]
+            if not len(rows[0]):
                 continue
-            x = _unit(table["embedding"].slice(a, b - a), b - a)
-            close = np.triu(x @ x.T >= cosine, 1)
-            i, j = np.nonzero(close & ~np.triu(close, window + 1))
-            ok = home[a + i]
-            for p, q in spanning(b - a, np.stack([i[ok], j[ok]], axis=1)):
-                u.append(rep[a + p])
-                v.append(rep[a + q])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            part, rows = int(rows.pop()[0]), rows
+            size += len(rows[0])
+            head = rows if head is None else head if len(head[0]) >= window else [np.concatenate(x) for x in zip(head, rows)]
+            old = len(before[0])
+            rows = [np.concatenate(x) for x in zip(before, rows)]
+            u, v = [], []
+            for d in range(1, min(window, len(rows[0]) - 1) + 1):
+                start = max(0, old - d)  # pairs of rows that came before have been compared
+                a, b = [x[start : len(x) - d] for x in rows], [x[start + d :] for x in rows]
+                ok = _close(a, b, most)
+                u.append(np.minimum(a[1], b[1])[ok])
+                v.append(np.maximum(a[1], b[1])[ok])
+            before = [x[-window:].copy() for x in rows]
+            if u:
+                u, v = np.concatenate(u), np.concatenate(v)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v), **{c: pa.nulls(len(u), pa.int64()) for c in (*ORDERED, "part", "at", "size")}})
+        if part is not None:
+            for rows, at in (([x[:window] for x in head], 0), (before, -len(before[0]))):
+                n = len(rows[0])
+                yield pa.RecordBatch.from_pydict(
+                    {"u": pa.nulls(n, pa.int64()), "v": pa.nulls(n, pa.int64()), **{c: pa.array(x, pa.int64()) for c, x in zip(ORDERED, rows)},
+                     "part": pa.array([part] * n, pa.int64()), "at": pa.array(np.arange(n) + at, pa.int64()), "size": pa.array([size] * n, pa.int64())}
+                )
+
+    return run
+
+
+def _across(window: int, most: int):
+    """Pairs of the last rows of a partition (at below 0) with the first rows of those after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        at = table["at"].to_numpy()
+        rows = [table[c].to_numpy() for c in ORDERED]
+        last = int((at < 0).sum())
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(last):
+            stop = int(np.searchsorted(at, at[i] + window, side="right"))
+            if stop > last:
+                a, b = [np.full(stop - last, x[i]) for x in rows], [x[last:stop] for x in rows]
+                ok = _close(a, b, most)
+                u.append(np.minimum(a[1], b[1])[ok])
+                v.append(np.maximum(a[1], b[1])[ok])
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return run
 
 
+def _candidates(classes: DataFrame, first: int, passes: int, window: int, cosine: float, seed: int) -> DataFrame:
+    """Distinct pairs (u, v) of classes of different components that are neighbours in a pass and alike by their sketches."""
+    spark = session_of(classes)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    order = ["pass", "group", "dim", "key", "rep"]
+    most = unlike_bits(cosine)
+    ranged = _keyed(classes, first, passes, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = ranged.select(F.xxhash64("pass", "group", "dim").alias("seg"), *ORDERED[1:], F.spark_partition_id().cast("long").alias("part"))
+    kind = ", ".join(f"{c} long" for c in ("u", "v", *ORDERED, "part", "at", "size"))
+    told = stash(rows.mapInArrow(_neighbours(window, most), kind), "neighbours")
+    pairs = told.where("u is not null").select("u", "v")
+    ends = told.where("u is null")
+    sizes = sorted((r["part"], r["size"]) for r in ends.select("part", "size").distinct().collect())  # one row a partition
+    links = []  # (partition, the one whose last rows meet its first ones, rows between the two)
+    for i, (p, _) in enumerate(sizes):
+        between = 0
+        for q, n in reversed(sizes[:i]):
+            if between >= window:
+                break
+            links.append((p, q, between))
+            between += n
+    if links:
+        # no more than `window` rows of this a partition
+        reach = spark.createDataFrame(links, "part long, to long, between long")
+        heads = ends.where("at >= 0").join(F.broadcast(reach), "part").select(F.col("to").alias("part"), (F.col("at") + F.col("between")).alias("at"), *ORDERED)
+        tails = ends.where("at < 0").select("part", "at", *ORDERED)
+        pairs = pairs.unionByName(tails.unionByName(heads).groupBy("part").applyInArrow(_across(window, most), "u long, v long"))
+    out = stash(pairs.distinct(), "candidates")
+    unstash(told)
+    return out
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """The pairs (u, v) whose vectors meet the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = batch.column(0), batch.column(1)
+            dims = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            ok = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                a, b = (_unit(batch.column(i).take(pa.array(at)), len(at)) for i in (2, 3))
+                ok[at] = np.einsum("ij,ij->i", a, b) >= cosine
+            at = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([u.take(at), v.take(at)], names=["u", "v"])
+
+    side = lambda end, name: classes.select(F.col("rep").alias(end), F.col("embedding").alias(name))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    return stash(both.mapInArrow(run, "u long, v long"), "links")
+
+
 def _tile_links(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("side", "ascending")])
@@ -98,64 +216,62 @@ def _tile_links(cosine: float):
     return run
 
 
+def _connected(classes: DataFrame, cosine: float, window: int, passes: int, seed: int) -> DataFrame:
+    """(rep, component) of the classes that are linked with another."""
+    links = stash(classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0), "links")
+    comp = stash(components(links).withColumnRenamed("id", "rep"), "components")
+    first, total = 0, 0
+    for round_ in range(ROUNDS):
+        named = classes.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if total else classes.withColumn("component", F.col("rep"))
+        pairs = _candidates(named, first, passes if round_ else -(-passes // 2), window if round_ else min(NEAR, window), cosine, seed)
+        first += passes
+        fresh = _verified(pairs, classes, cosine)
+        unstash(pairs)
+        new = fresh.count()
+        if new:
+            links = links.unionByName(fresh)
+            unstash(comp)
+            comp = stash(components(links).withColumnRenamed("id", "rep"), "components")
+        total += new
+        # the first round leaves all pairs alone that aren't next to each other
+        if round_ and new <= MISSED * total:
+            return comp
+    return comp
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """(id_col, n_links, component_id, kept) of every row.
+    """(id_col, n_links, component_id, kept) of every row; passes are those of a round.
 
     Only vectors with equal, non-null labels and as many components are compared. Vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing, nor do rows with a null id (null component, kept). Rows that repeat an
-    id count as vectors of their own. An empty table gives no rows.
+    null or non-finite components link with nothing, nor do rows whose id is null or no whole number (null component, kept).
+    Rows that repeat an id count as vectors of their own. Other columns are left out; an empty table gives no rows.
     """
-    spark = session_of(vectors)
-    v = F.col("embedding")
-    rows = vectors.select(as_id(id_col).alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
+    v = F.col("embedding").cast("array<double>")
+    rows = vectors.select(as_id(id_col).alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("embedding"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     fine = F.coalesce(fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
-    rows = stash(
-        rows.withColumn("ok", fine)
-        .withColumn("k1", F.when(F.col("ok"), F.xxhash64("label", v)))
-        .withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(1), v, "label")))
-        .withColumn("embedding", F.when(F.col("ok"), v)),
-        "vectors",
-    )
-    classes = stash(
-        rows.where("ok")
-        .groupBy("k1", "k2")
-        .agg(F.min(F.struct("id", "label", "embedding")).alias("x"), F.count(F.lit(1)).alias("mult"))
-        .select("k1", "k2", "mult", F.col("x.id").alias("rep"), F.xxhash64("x.label").alias("group"), F.size("x.embedding").alias("dim"), "x.embedding"),
-        "classes",
-    )
-    order = ["pass", "dim", "group", "key", "rep"]
-    keyed = _keyed(classes.select("rep", "group", "dim", "embedding"), passes, seed)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    ranked = stash(
-        keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()),
-        "sorted",
+    rows = rows.withColumn("ok", fine).select(
+        "id",
+        F.when(F.col("ok"), F.xxhash64("label", v)).alias("k1"),
+        F.when(F.col("ok"), F.xxhash64(F.lit(1), v, "label")).alias("k2"),
+        F.xxhash64("label").alias("group"),
+        F.when(F.col("ok"), F.col("embedding")).alias("embedding"),
     )
-    in_part = F.lit(1 << 33)
-    ranked = ranked.withColumn("part", F.floor(F.col("at") / in_part).cast("long")).withColumn("at", F.col("at") % in_part)
-    before, sums = 0, []
-    for r in sorted(ranked.groupBy("part").count().collect()):  # one row a partition
-        sums.append((r[0], before))
-        before += r[1]
-    starts = spark.createDataFrame(sums, "part long, before long")
-    rank = ranked.join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / BLOCK).cast("long"))
-    edge = F.when((F.col("rank") % BLOCK < window) & (F.col("block") > 0), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("home")))
-    copies = F.array_compact(F.array(F.struct("block", F.lit(True).alias("home")), edge))
-    spread = rank.withColumn("b", F.explode(copies)).select("b.block", "b.home", "rank", "rep", "pass", "dim", "group", "embedding")
-    edges = stash(spread.groupBy("block").applyInArrow(_window_links(cosine, window), "u long, v long").distinct(), "edges")
-    comp = stash(components(edges).withColumnRenamed("id", "rep"), "components")
-    counts = _count(classes, comp, cosine)
-    of = classes.select("k1", "k2", "rep", "mult").join(comp, "rep", "left").join(counts, "rep", "left")
-    own = F.col("id")
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    named = stash(rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")), "names")
+    classes = stash(rows.select(F.col("row").alias("rep"), "group", F.size("embedding").alias("dim"), "embedding").join(named.select("rep", "mult"), "rep"), "classes")
+    comp = _connected(classes.select("rep", "group", "dim", "embedding"), cosine, window, passes, seed)
+    least = named.join(comp, "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    of = named.join(comp.join(least, "component").select("rep", "component_id"), "rep", "left").join(_count(classes, comp, cosine), "rep", "left")
     return (
         rows.select("id", "k1", "k2")
         .join(of, ["k1", "k2"], "left")
         .select(
-            own.alias(id_col),
+            F.col("id").alias(id_col),
             F.coalesce(F.coalesce("others", F.lit(0)) + F.col("mult") - 1, F.lit(0)).alias("n_links"),
-            F.coalesce("component", "rep", own).alias("component_id"),
+            F.coalesce("component_id", "least", "id").alias("component_id"),
         )
-        .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+        .withColumn("kept", F.coalesce(F.col("component_id") == F.col(f"`{id_col}`"), F.lit(True)))
     )
 
 
