@@ -7,6 +7,7 @@ however large the input. The posterior of a pattern is a small table again, join
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -38,7 +39,7 @@ RULES = {
     "mixed_case": ("upper", 0.0, 0.25, None, 0.5),
     "calm_punctuation": ("shouts_a_word", 0.0, 0.1, None, 0.3),
     "no_ruling_word": ("top_word", 0.0, 0.2, None, 0.35),
-    "varied_words": ("distinct", 0.3, None, 0.1, None),
+    "varied_words": ("variety", 0.78, None, 0.65, None),
     "no_stutter": ("stutter", 0.0, 0.05, None, 0.2),
     "mostly_letters": ("letters", 0.75, None, 0.6, None),
 }
@@ -104,8 +105,9 @@ def measure(text: bytes) -> tuple[tuple[int, int, int, int, int], dict[str, floa
         "repeat_words": repeated / m,
         "upper": int(hist[_upper].sum()) / max(letters, 1),
         "shouts_a_word": int(hist[33] + hist[63]) / m,
-        "top_word": max(count.values(), default=0) / m if n >= 20 else 0.1,
-        "distinct": len(count) / m if n <= 2000 else max(len(count) / m, 0.2 if len(count) > 400 else 0.0),
+        "top_word": (max(count.values(), default=1) - 1) / m,
+        # Herdan's C: the share of distinct words falls with length, the ratio of the logarithms hardly does
+        "variety": math.log(len(count)) / math.log(n) if n > 1 else 1.0,
         "stutter": sum(map(eq, words, words[1:])) / m,
         "letters": letters / max(word_chars, 1),
     }
