@@ -24,8 +24,9 @@ from pyspark.sql.window import Window
 from weftline.llm.common import as_id, bounded_batches, map_batches, session_of, stash
 
 BITS = 16
-#: Labelled documents of each domain that the classifier is fitted on, those with the smallest hash.
-PER_DOMAIN = 1500
+#: Labelled documents of each domain that the classifier is fitted on, those with the smallest hash. Up to 1000 Spark keeps the
+#: smallest ones of each task before it shuffles, so that no task sees a whole domain.
+PER_DOMAIN = 1000
 CHOSEN, LEAST_DOCS, LEAST_Z = 400, 5, 4.0
 STEPS, RATE, DECAY = 150, 0.5, 1e-4
 ROUNDS = 24
