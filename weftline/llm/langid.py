@@ -147,13 +147,12 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_l
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG) -> Model | None:
     """A model from the rows with a language and a text with letters; None if there are none."""
     bounded_batches(session_of(docs))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    sample = (
-        docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("order"))
-        .where("lang is not null and text is not null")
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= per_lang)
-    )
+    told = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("order")).where("lang is not null and text is not null")
+    # Only hashes are ranked, the smallest ones of each task first; texts stay where they are. A model has a column a language,
+    # so there are few of these.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    last = told.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("order").alias("last"))
+    sample = told.join(F.broadcast(last), "lang").where(F.col("order") <= F.col("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +166,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     n.append(counts[at[-1]].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(order, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "order", "at", "n"])
 
-    rows = sample.select("lang", "text", "order").mapInArrow(run, "lang string, order long, at array<int>, n array<float>").toPandas()
+    features = sample.select("lang", "text", "order").mapInArrow(run, "lang string, order long, at array<int>, n array<float>")
+    # rows that repeat key, text and language are one
+    rows = features.groupBy("lang", "order").agg(F.min(F.struct("at", "n")).alias("x")).select("lang", "order", "x.*").toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["order", "lang"], kind="stable").reset_index(drop=True)
