@@ -17,32 +17,37 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules accept."""
+    """Documents that the weakly supervised rules accept; null, empty and short texts are rejected, repeated rows get one verdict."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the units that recur across documents; n_chars follows the text."""
+    """Texts without the units that recur across documents; n_chars follows the text.
+
+    A document that is mostly one earlier document's text is left whole: the next stage decides on copies, and would not know
+    them without what they share. Null texts and ids stay as they are; rows that repeat an id are one document.
+    """
     from pyspark.sql import functions as F
 
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, spare_copies=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id; null and empty texts and null ids are kept."""
     return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say: the good domain in full, the toxic one's weight is zero."""
+    """Documents as often as their fitted rates say: the good domain in full, the toxic one's weight is zero. Rows are decided
+    one by one, repeated ones alike; null and empty texts have no tokens and keep the rate that their features give them."""
     return mixing.mix(docs, read(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of 4096 tokens."""
+    """Places of all pieces of all documents in sequences of 4096 tokens; null text is one piece of the end id alone."""
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
