@@ -1,9 +1,11 @@
 """Mixing to target weights with soft membership.
 
-A linear softmax over hashed word presence and a few shape features, fitted on a bounded sample of the labelled table, gives
-each document posteriors over the domains. Rates are then fitted by projected gradient on the least squares between expected
-and wanted token totals of the domains: ROUNDS plain steps, then implicit ones, whose size no domain's rareness limits, until
-such a step moves no domain by more than MOVED of its own total. An implicit step is p times a small vector as well, which
+A linear softmax over hashed presence of words and of their beginnings and a few shape features, fitted on a bounded sample of
+the labelled table, gives each document posteriors over the domains. Rates are then fitted by projected gradient on the least
+squares between expected and wanted token totals of the domains: ROUNDS plain steps, then one implicit step, which no domain's
+rareness slows down. Its length is 1 over RIDGE times the rarest domain's share: what it leaves of the squares is no more than
+that times its own square, so totals are met as far as posteriors allow, while rates stay as near as they can to where the plain
+steps left them, instead of resting on the few documents whose posteriors are purest. The step is p times a small vector, which
 Newton's method finds. A document's state is its tokens and posteriors; since all its steps follow from the residuals of the
 rounds before, each round ships those few numbers and adds up the totals anew. No rate is ever shuffled.
 """
@@ -27,15 +29,17 @@ BITS = 16
 #: Labelled documents of each domain that the classifier is fitted on, those with the smallest hash. Up to 1000 Spark keeps the
 #: smallest ones of each task before it shuffles, so that no task sees a whole domain.
 PER_DOMAIN = 1000
-CHOSEN, LEAST_DOCS, LEAST_Z = 400, 5, 4.0
-STEPS, RATE, DECAY = 150, 0.5, 1e-4
+#: Signs of a word's beginning that are a feature beside the word, documents that a feature must stand in, and standard errors by
+#: which its share must differ.
+PREFIX, LEAST_DOCS, LEAST_Z = 6, 5, 4.0
+STEPS, RATE, DECAY = 400, 1.0, 1e-4
+#: Words whose features a worker remembers.
+REMEMBERED = 200_000
 ROUNDS = 24
-#: Implicit steps end where one moves no domain by more of its total; domains below LEAST_SHARE of the tokens count as so large.
-MOVED, LEAST_SHARE = 1e-3, 1e-6
-#: Implicit steps, Newton rounds of each, and step lengths that a round tries at once.
-IMPLICIT, NEWTON, LENGTHS = 30, 60, 0.25 ** np.arange(12)
-#: How much longer each implicit step is than the one before, as totals come to rest slowly where posteriors overlap.
-LONGER = 10
+#: Share of the rarest domain's total that the implicit step may leave, and the least share that a domain counts with.
+RIDGE, LEAST_SHARE = 0.01, 1e-6
+#: Newton rounds of the implicit step, and step lengths that a round tries at once.
+NEWTON, LENGTHS = 60, 0.25 ** np.arange(12)
 #: Share of the wanted total by domain; `anchor` is the domain that is to be kept in full.
 WEIGHTS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 ANCHOR = "good"
@@ -49,12 +53,27 @@ def domain(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good").alias("domain"))
 
 
+_memo: dict[bytes, tuple[int, int]] = {}
+
+
+def _of_word(raw: bytes) -> tuple[int, int]:
+    """Buckets of a word without its marks and of its beginning; twice the word's where it is no longer."""
+    w = raw.strip(b".,;:!?\"'()").lower()
+    at = _hash(w) >> (32 - BITS)
+    got = at, _hash(w[:PREFIX], 1) >> (32 - BITS) if len(w) > PREFIX else at
+    if len(_memo) < REMEMBERED:
+        _memo[raw] = got
+    return got
+
+
 def features(text: bytes) -> tuple[np.ndarray, int]:
     """Distinct hashed features of a whole text, and its number of words."""
     words = text.split()
     n = len(words)
     kinds = set(words)
-    own = {_hash(w) >> (32 - BITS) for w in {w.strip(b".,;:!?\"'()").lower() for w in kinds}}
+    own: set[int] = set()
+    for w in kinds:
+        own.update(_memo.get(w) or _of_word(w))
     m = max(n, 1)
     hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
@@ -76,8 +95,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of a softmax on the CHOSEN features whose share of documents differs most between a domain and the
-    rest, in standard errors; gradient descent with momentum, domains weighing the same whatever their number of rows."""
+    """Weights and bias of a softmax on the features whose share of documents differs between a domain and the rest by more than
+    LEAST_Z standard errors; gradient descent with momentum, domains weighing the same whatever their number of rows."""
     size = 1 << BITS
     at = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -87,8 +106,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, k: int) -> tuple[np.ndarray, np
     pooled = (df.sum(axis=1, keepdims=True) + 1) / (n.sum() + 2)
     z = np.abs(df / np.maximum(n, 1) - rest / rest_n) / np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(n, 1) + 1 / rest_n))
     strength = np.where(df.sum(axis=1) >= LEAST_DOCS, z.max(axis=1), 0)
-    pick = np.argsort(-strength, kind="stable")[:CHOSEN]
-    pick = pick[strength[pick] > LEAST_Z]
+    pick = np.flatnonzero(strength > LEAST_Z)
     new = np.full(size, -1)
     new[pick] = np.arange(len(pick))
     ok = new[at] >= 0
@@ -203,18 +221,18 @@ def fit_rates(state: DataFrame, domains: list[str], weights: dict[str, float], a
 
 
 def settled(state: DataFrame, domains: list[str], weights: dict[str, float], anchor: str, most: float | None, history: list[np.ndarray]) -> list[np.ndarray]:
-    """The steps of history and those after which projected-gradient optimality holds; RuntimeError if it is not reached.
+    """The steps of history and the implicit one; RuntimeError if it is not found.
 
-    An implicit step of length 1 / eps ends where r = clip(before + p @ x, 0, most) with eps * x = -residual(r), so a gradient
-    step of that length from r moves no document further than this one has. x is the minimum of a convex function.
+    With r = clip(before + p @ x, 0, most) and eps * x = -residual(r), a projected-gradient step of length 1 / eps by the residual
+    at its own end: the one minimum of the squares plus eps times those of the change, tokens being the metric.
     """
     k = len(domains)
 
-    def sums(history: list[np.ndarray], tried: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-        """By step tried: the convex function's sum, totals, curvature, and tokens moved."""
+    def sums(history: list[np.ndarray], tried: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """By step tried: the convex function's sum, totals, and curvature."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((len(tried), 1 + k + k * k + k))
+            out = np.zeros((len(tried), 1 + k + k * k))
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
@@ -223,13 +241,13 @@ def settled(state: DataFrame, domains: list[str], weights: dict[str, float], anc
                     z = before + p @ step
                     r = np.clip(z, 0, most)
                     free = n * ((z > 0) & (z < (np.inf if most is None else most)))
-                    row += np.concatenate([[n @ (r * z - r * r / 2)], p.T @ (n * r), ((p * free[:, None]).T @ p).ravel(), p.T @ (n * np.abs(r - before))])
+                    row += np.concatenate([[n @ (r * z - r * r / 2)], p.T @ (n * r), ((p * free[:, None]).T @ p).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel(), pa.float64())], names=["i", "x"])
 
-        out = np.zeros((len(tried), 1 + k + k * k + k))
+        out = np.zeros((len(tried), 1 + k + k * k))
         for r in state.select("n_tokens", "p").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out.flat[r["i"]] = r["x"]
-        return [(x[0], x[1 : 1 + k], x[1 + k : 1 + k + k * k].reshape(k, k), x[1 + k + k * k :]) for x in out]
+        return [(x[0], x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x in out]
 
     all_ = sums([], np.zeros((1, k)))[0][1]
     scale = all_.sum()
@@ -237,43 +255,35 @@ def settled(state: DataFrame, domains: list[str], weights: dict[str, float], anc
         return history
     want = _wanted(all_, domains, weights, anchor)
     own = np.maximum(all_, LEAST_SHARE * scale)
-    eps = 0.01 * own.min() / scale
-    history = list(history)
-    for _ in range(IMPLICIT):
-        x = np.zeros(k)
-        at = sums(history, x[None])[0]
-
-        def slope(x: np.ndarray, at) -> np.ndarray:
-            return eps * x + (at[1] - want) / scale
-
-        def value(x: np.ndarray, at) -> float:
-            return eps * (x @ x) / 2 + (at[0] - want @ x) / scale
-
-        for _ in range(NEWTON):
-            g = slope(x, at)
-            if np.abs(g).max() <= max(1e-4 * eps, 1e-12):
-                break
-            way = -np.linalg.solve(at[2] / scale + eps * np.eye(k), g)
-            tried = x + LENGTHS[:, None] * way
-            got = sums(history, tried)
-            falls = [i for i, a in enumerate(LENGTHS) if value(tried[i], got[i]) <= value(x, at) + 1e-4 * a * (g @ way)]
-            # rounding hides the fall close to the minimum; the slope still tells
-            best = falls[0] if falls else min(range(len(tried)), key=lambda i: np.abs(slope(tried[i], got[i])).max())
-            x, at = tried[best], got[best]
-        else:
-            raise RuntimeError(f"an implicit step did not settle in {NEWTON} rounds: slope {np.abs(slope(x, at)).max():.1e}, step {x}")
-        history.append(x)
-        if (at[3] <= MOVED * own).all():
-            return history
-        eps = max(eps / LONGER, 1e-8)
-    raise RuntimeError(f"rates did not settle in {IMPLICIT} implicit steps: the last one moved {at[3] / own} of the domains' totals")
-
-
-def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, anchor: str = ANCHOR, most: float | None = 1.0) -> tuple[DataFrame, list[str]]:
+    eps = RIDGE * own.min() / scale
+    x = np.zeros(k)
+    at = sums(history, x[None])[0]
+
+    def slope(x: np.ndarray, at) -> np.ndarray:
+        return eps * x + (at[1] - want) / scale
+
+    def value(x: np.ndarray, at) -> float:
+        return eps * (x @ x) / 2 + (at[0] - want @ x) / scale
+
+    for _ in range(NEWTON):
+        g = slope(x, at)
+        if np.abs(g).max() <= max(1e-4 * eps, 1e-12):
+            return [*history, x]
+        way = -np.linalg.solve(at[2] / scale + eps * np.eye(k), g)
+        tried = x + LENGTHS[:, None] * way
+        got = sums(history, tried)
+        falls = [i for i, a in enumerate(LENGTHS) if value(tried[i], got[i]) <= value(x, at) + 1e-4 * a * (g @ way)]
+        # rounding hides the fall close to the minimum; the slope still tells
+        best = falls[0] if falls else min(range(len(tried)), key=lambda i: np.abs(slope(tried[i], got[i])).max())
+        x, at = tried[best], got[best]
+    raise RuntimeError(f"the implicit step did not settle in {NEWTON} rounds: slope {np.abs(slope(x, at)).max():.1e}, step {x}")
+
+
+def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, anchor: str = ANCHOR, most: float | None = None) -> tuple[DataFrame, list[str]]:
     """docs without text, with n_tokens, p, rate and copies, and the domains in the order of p.
 
-    copies is the rate rounded up or down by a hash of the id, right in expectation; most bounds the rate (None: only
-    nonnegative). Null and empty texts have no tokens, only shape features. Repeated rows and ties get equal rates; an empty
+    copies is the rate rounded up or down by a hash of the id, right in expectation; most bounds the rate (None: it is only
+    nonnegative, so domains can be raised). Null and empty texts have no tokens, only shape features. Repeated rows and ties get equal rates; an empty
     table gives no rows; without labels every rate is 1.
     """
     gone = {"n_tokens", "p", "rate", "copies"}
@@ -295,12 +305,24 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return map_batches(state, run, schema).withColumn("copies", copies.cast("int")), model.domains
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with each row as often as its copies say, with its own columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    slim = whole.select("_id", "_text")
-    rated, _ = rates(slim, labels, "_id", "_text", **options)
-    # one decision an id: repeated rows of an id take the decision of their lowest rate
-    taken = stash(rated.groupBy("_id").agg(F.min("copies").alias("_copies")).where("_copies != 1"), "copies")
-    out = whole.join(taken.withColumnRenamed("_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")), "left")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_copies", F.lit(1)), F.lit(1))))).where(F.coalesce("_copies", F.lit(1)) > 0).select("_doc.*")
+def totals(rated: DataFrame, domains: list[str], weights: dict[str, float] | None = None, anchor: str = ANCHOR) -> DataFrame:
+    """(domain, tokens, expected, wanted): expected tokens of each domain at rate 1, at the fitted rates, and as the weights say."""
+    sums = [F.coalesce(F.sum(F.col("n_tokens") * F.element_at("p", i + 1) * r), F.lit(0.0)) for r in (F.lit(1.0), F.col("rate")) for i in range(len(domains))]
+    got = np.array(rated.agg(*[c.alias(f"x{i}") for i, c in enumerate(sums)]).first()).reshape(2, -1)
+    want = _wanted(got[0], domains, weights or WEIGHTS, anchor)
+    return session_of(rated).createDataFrame([(d, float(a), float(b), float(w)) for d, a, b, w in zip(domains, got[0], got[1], want)], "domain string, tokens double, expected double, wanted double")
+
+
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float | None = 1.0, **options) -> DataFrame:
+    """docs with each row as often as its copies say, with its own columns; by default no row more than once.
+
+    Rows are decided one by one: by their own text's posteriors, and by a hash of the id where a rate is no whole number.
+    Null texts count as empty, null and repeated ids as any others; an empty table stays empty.
+    """
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(key, text).alias("row"), key.alias("id"), text.alias("text"))
+    # equal rows share a number, and are decided alike
+    rated, _ = rates(whole.select("row", "id", "text"), labels, "id", "text", most=most, **options)
+    taken = stash(rated.where("copies != 1").groupBy("row").agg(F.max("copies").alias("copies")), "copies")
+    out = whole.join(taken, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
