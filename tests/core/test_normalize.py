@@ -1,6 +1,10 @@
 """Normalisation of dirty cells, link status of typed grids, and review commands."""
 
-from weftline.operators import commands, grids, normalize
+import random
+from difflib import SequenceMatcher
+
+from weftline.functions import text as text_rules
+from weftline.operators import catalog, commands, grids, normalize
 
 ENTRIES = [("Литол-24", "ГОСТ 21150"), ("ЦИАТИМ-201", "ГОСТ 6267"), ("ЦИАТИМ-203", "ГОСТ 8773"), ("Смазка А", "ТУ 1"), ("Смазка Б", "ТУ 1"), ("Масло (зимнее и летнее)", "ТУ 7; 8"), ("Двойная", "ТУ 2"), ("Двойная", "ТУ 3"), ("Mobil X", "-DIN 5")]
 
@@ -29,6 +33,61 @@ def test_analysis(spark):
     assert got[0].normal.text == "Литол-24 по ГОСТ 21150" and got[1].normal.text is None and got[2].normal.items is None
 
 
+def test_both_ways_agree(spark):
+    """Shipped and joined catalogs give the same analysis of texts put together from all kinds of parts."""
+    r = random.Random(5)
+    parts = ["Литол-24", "литол 24", "ЦИАТИМ-201", "ЦИАТIM 203", "Смазка А", "Смазка", "Двойная", "Mobil X", "-DIN 5", "ГОСТ 21150", "по ГОСТ 6267", "по ТУ 1", "ТУ 2", "Неведомая по ГОСТ 999", "- по ТУ 1", "по", "Масло (зимнее", "и летнее)", "x"]
+    texts = ["", " ", None, ";", "Литол-24 по ГОСТ 21150", "Смазка А, Смазка Б по ТУ 1; ЦИАТИМ-201 по ГОСТ 6267", "Новое масло по ТУ 7; 8"]
+    texts += [r.choice(["", " "]).join(x for p in r.choices(parts, k=r.randrange(1, 6)) for x in (p, r.choice([" ", ", ", "; ", " и "]))) for _ in range(150)]
+    entries = spark.createDataFrame([(*e, i) for i, e in enumerate(ENTRIES)], "brand string, document string, order int")
+    cells = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    one, two = ({x.id: x.normal for x in normalize.normalize(cells, entries, "t", shipped=n).collect()} for n in (100, 0))
+    for i, t in enumerate(texts):
+        a, b = one[i], two[i]
+        assert (a and a.text) == (b and b.text) and (a and a.resolved) == (b and b.resolved) and (a and a["items"]) == (b and b["items"]), t
+    book = normalize.Catalog(ENTRIES)
+    got = {x.id: x.pairs for x in normalize.strict(cells, entries, "t").collect()}
+    for i, t in enumerate(texts):
+        want = book.strict(t or "")
+        assert got[i] == (None if want is None else [" по ".join(e) for e in want]), t
+
+
+def test_proposals():
+    book = normalize.Catalog(ENTRIES)
+    item = lambda raw: book.analyze(raw)[2][0][4]
+    assert item("Неведомая по ГОСТ 999") == ("Неведомая", "ГОСТ 999") and item("Чудо ГОСТ 21150") == ("ЧУДО", "ГОСТ 21150")
+    assert item("Литол-24") is None and item("Двойная") is None and item("- по ТУ 1") is None and item("Xyz ISO 77") == ("XYZ", "ISO 77")
+
+
+def test_resolution_against_brute_force(spark, monkeypatch):
+    """All distinct texts against all entries, and no result depends on how they are dealt out."""
+    r = random.Random(2)
+    entries = ["ABCDEF", "ABXCDYEF", "AB1CD1EF", "Q", "QR", "МС-20", "МС 20 П", "Литол-24", "ЛИТОЛ 24 Р", ""] + ["".join(r.choices("ABCD12", k=r.randrange(3, 12))) for _ in range(60)]
+    texts = ["ABZCDWEF", "AB1CD1EF", "x Q y", "мс20", "литол24", "", "по ABCDEF и ещё"] + ["".join(r.choices("ABCD12 -", k=r.randrange(2, 25))) for _ in range(120)]
+    f = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    e = spark.createDataFrame([(x,) for x in entries], "name string")
+    want = {}
+    for k, t in enumerate(texts):
+        scored = [(text_rules.likeness(normalize.bare(t), normalize.bare(x)), x) for x in set(entries)]
+        best = max(s for s, _ in scored)
+        near = [x for s, x in scored if s >= max(catalog.PLAUSIBLE, best - catalog.NEAR)]
+        want[k] = (round(best, 9), len(near), near[0] if best >= catalog.SURE and len(near) == 1 else None) if near else (None, None, None)
+    for tile in (4096, 16):
+        monkeypatch.setattr(catalog, "TILE", tile)
+        got = {x.id: (x.best and round(x.best, 9), x.n_plausible, x.resolved) for x in catalog.resolve(f, e, "text", "name").collect()}
+        assert got == want
+    assert want[0][0] == 0.75
+
+
+def test_likeness_is_the_best_ratio():
+    r = random.Random(9)
+    for _ in range(300):
+        q, t = ("".join(r.choices("ABCD", k=r.randrange(1, 12))) for _ in range(2))
+        spans = [q] + [q[a : a + n] for n in range(max(1, len(t) - 2), len(t) + 3) for a in range(len(q) - n + 1)]
+        want = 1.0 if q == t else 0.9 if t in q else max(SequenceMatcher(None, s, t).ratio() for s in spans)
+        assert text_rules.likeness(q, t) == want
+
+
 def test_grid_status_and_export(spark):
     L, C, A, B = (" по ".join(e) for e in (ENTRIES[0], ENTRIES[1], ENTRIES[3], ENTRIES[4]))
     entries = spark.createDataFrame([(*e, i) for i, e in enumerate(ENTRIES)], "brand string, document string, order int")

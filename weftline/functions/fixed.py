@@ -38,3 +38,23 @@ REPLACED = "рекомендуется заменить устаревшую н
 MARK_TYPES = ("applicable_ground", "applicable_air", "applicable_marine")
 CONJUNCTION = "и"
 TEXT_TYPES = ("assignment_conditions", "nato_index")
+MANUAL = "manual_override"
+#: category: message
+FLAG_MESSAGES = {
+    "mixed_latin_cyrillic": "В позиции смешаны латиница и кириллица.",
+    "multiple_normdocs_in_item": "В одной атомарной позиции обнаружено несколько обозначений НД.",
+    "normdoc_not_found": "Нормативный документ не найден.",
+    "normdoc_without_po": "НД найден без явного шаблона «по ...».",
+    "normdoc_from_separate_column": "НД взят из отдельного столбца.",
+    "normdoc_conflict_with_separate_column": "НД в позиции конфликтует с отдельным столбцом.",
+    "empty_brand": "После разбора не осталось названия марки.",
+    "possible_continuation_row": "Строка похожа на ошибочно отделённое OCR-продолжение.",
+    "ambiguous_relation_mapping": "Основную и связанную марки нельзя сопоставить однозначно.",
+    "missing_main_item": "Связанная марка есть, основной марки в строке нет.",
+    "ambiguous_purpose_match": "Найдено несколько разных текстов назначения.",
+    "purpose_not_found": "Назначение и условия применения не найдены.",
+}
+UNRECOGNIZED, UNRECOGNIZED_MESSAGE = "unrecognized_", "Маркер применимости техники не распознан."
+EXPORT_BRANDS = ("Марка ГСМ", "Нормативный документ", "Назначение и условия применения", "Наземная техника", "Авиационная техника", "Морская техника")
+EXPORT_GROUPS = ("Группа ГСМ", "Подгруппа ГСМ", "Марка ГСМ")
+EXPORT_RELATIONS = ("Марка ГСМ основная", "Тип связи", "Марка ГСМ связанная", "Примечание")

@@ -26,8 +26,13 @@ def clean_text(x: Column) -> Column:
     return _steps(x, (r"\r\n?", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+\z", ""))
 
 
+def inline_from(clean: Column) -> Column:
+    """inline_text() of a text that clean_text() has been through."""
+    return _steps(clean, (r"(?U)\s+", " "), (r"^ | \z", ""))
+
+
 def inline_text(x: Column) -> Column:
-    return _steps(clean_text(x), (r"(?U)\s+", " "), (r"^ | \z", ""))
+    return inline_from(clean_text(x))
 
 
 def casefold(x: Column) -> Column:
@@ -35,8 +40,13 @@ def casefold(x: Column) -> Column:
     return F.translate(F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ŉ"), F.lit("ʼn")), "ſςµ", "sσμ")
 
 
+def comparison_from(inline: Column) -> Column:
+    """comparison_text() of a text that inline_text() has been through."""
+    return F.translate(casefold(inline), "ё–—«»\"", "е--")
+
+
 def comparison_text(x: Column) -> Column:
-    return F.translate(casefold(inline_text(x)), "ё–—«»\"", "е--")
+    return comparison_from(inline_text(x))
 
 
 @F.pandas_udf(T.StringType())
@@ -63,8 +73,7 @@ def normalized_brand_key(brand: Column, document: Column) -> Column:
 
 def parse_equipment(x: Column) -> Column:
     """Three-valued mark: true, false, or null where the mark is empty or unknown."""
-    t = comparison_text(x)
-    return F.when(t.isin(*YES), True).when(t.isin(*NO), False)
+    return let(comparison_text(x), lambda t: F.when(t.isin(*YES), True).when(t.isin(*NO), False))
 
 
 def equipment_mark(x: Column) -> Column:
@@ -90,7 +99,13 @@ def likeness(query: str, target: str) -> float:
     spans = [(0, len(query))]
     for size in range(max(1, len(target) - 2), min(len(query), len(target) + 2) + 1):
         spans += [(at, at + size) for at in range(len(query) - size + 1)]
-    return max(SequenceMatcher(None, query[a:b], target).ratio() for a, b in spans)
+    best, matcher = 0.0, SequenceMatcher(None, "", target)
+    for a, b in spans:
+        matcher.set_seq1(query[a:b])
+        # upper bounds by length and by letters spare most of the work
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+            best = max(best, matcher.ratio())
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
@@ -128,41 +143,62 @@ def document_prefix() -> str:
     return "(?:" + "|".join(r"\s+".join(p.split()) for p in longest) + ")"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def cell_items(x: Column) -> Column:
     """Items of a cell: one a line, list marks dropped; a line with several document prefixes also parts at semicolons."""
     some = rf"(?iuU)\b{document_prefix()}\b"
-    text = _steps(clean_text(x), (r"(?mU)^\s*(?:[•·▪◦*]|\d+[.)])\s*", ""), (r"(?U)\s+(?=\d+[.)]\s+)", "\n"))
     bare = lambda p: F.regexp_replace(p, r"^[ ;]+|[ ;]+\z", "")
-    lines = F.filter(F.transform(F.split(text, r"\n"), bare), lambda p: p != "")
-    parts = F.flatten(F.transform(lines, lambda p: F.when(F.contains(p, F.lit(";")) & (F.regexp_count(p, F.lit(some)) > 1), F.transform(F.split(p, ";"), bare)).otherwise(F.array(p))))
-    parts = F.filter(parts, lambda p: p != "")
-    return F.when(clean_text(x) == "", F.array().cast("array<string>")).when(F.size(parts) > 0, parts).otherwise(F.array(inline_text(text)))
+    none = F.array().cast("array<string>")
+
+    def parted(line: Column) -> Column:
+        several = F.contains(line, F.lit(";")) & (F.regexp_count(line, F.lit(some)) > 1)
+        return F.when(several, F.transform(F.split(line, ";"), bare)).otherwise(F.array(line))
+
+    def of(clean: Column) -> Column:
+        text = _steps(clean, (r"(?mU)^\s*(?:[•·▪◦*]|\d+[.)])\s*", ""), (r"(?U)\s+(?=\d+[.)]\s+)", "\n"))
+        lines = F.filter(F.transform(F.split(text, r"\n"), bare), lambda p: p != "")
+        parts = F.filter(F.flatten(F.transform(lines, parted)), lambda p: p != "")
+        return F.when(clean == "", none).otherwise(let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(inline_text(text)))))
+
+    return let(clean_text(x), of)
 
 
 def brand_item(raw: Column, hint: Column | None = None) -> Column:
     """Struct of an item: brand, document (nullable), raw text and sorted review flags."""
     prefix, edge = document_prefix(), r"^[ ,;]+|[ ,;]+\z"
-    raw = F.regexp_replace(inline_text(raw), r"^[ ;]+|[ ;]+\z", "")
     linked, loose = (rf"(?isuU)^(.+?){gap}({prefix}.*)\z" for gap in (r"\s+по\s+", r"(?:,|\s)+"))
-    is_linked, is_loose = raw.rlike(linked), raw.rlike(loose)
-    take = lambda pattern, i: F.regexp_replace(inline_text(F.regexp_extract(raw, pattern, i)), edge, "")
-    brand = F.when(is_linked, take(linked, 1)).when(is_loose, take(loose, 1)).otherwise(raw)
-    own = F.when(is_linked, take(linked, 2)).when(is_loose, take(loose, 2))
+    tidy = lambda t: F.regexp_replace(inline_text(t), edge, "")
+
+    def found(text: Column) -> Column:
+        """How brand and document are told apart, and both."""
+        take = lambda pattern: (F.regexp_extract(text, pattern, i) for i in (1, 2))
+        parts = lambda how, brand, own: F.struct(F.lit(how).alias("how"), brand.alias("brand"), own.alias("own"))
+        by = [parts(how, *map(tidy, take(pattern))) for how, pattern in (("linked", linked), ("loose", loose))]
+        return F.when(text.rlike(linked), by[0]).when(text.rlike(loose), by[1]).otherwise(parts("none", text, F.lit(None).cast("string")))
+
+    def item(text: Column, at: Column, hint: Column) -> Column:
+        own, brand = at["own"], at["brand"]
+        lacks = own.isNull() | (own == "")
+        words = F.regexp_extract_all(text, F.lit("[0-9A-Za-zА-Яа-яЁё_-]+"), F.lit(0))
+        flags = {
+            "mixed_latin_cyrillic": F.exists(words, lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-яЁё]")),
+            "multiple_normdocs_in_item": F.regexp_count(text, F.lit(rf"(?iuU)\b{prefix}\b")) > 1,
+            "normdoc_without_po": at["how"] == "loose",
+            "normdoc_not_found": (at["how"] == "none") & hint.isNull(),
+            "normdoc_from_separate_column": lacks & hint.isNotNull(),
+            "normdoc_conflict_with_separate_column": ~lacks & hint.isNotNull() & (comparison_text(hint) != comparison_text(own)),
+            "empty_brand": brand == "",
+        }
+        named = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()])))
+        return F.struct(brand.alias("brand"), F.coalesce(F.nullif(own, F.lit("")), hint, own).alias("document"), text.alias("raw_item"), named.alias("flags"))
+
     hint = F.nullif(inline_text(hint), F.lit("")) if hint is not None else F.lit(None).cast("string")
-    document = F.coalesce(F.nullif(own, F.lit("")), hint, own)
-    lacks = own.isNull() | (own == "")
-    words = F.regexp_extract_all(raw, F.lit("[0-9A-Za-zА-Яа-яЁё_-]+"), F.lit(0))
-    flags = {
-        "mixed_latin_cyrillic": F.exists(words, lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-яЁё]")),
-        "multiple_normdocs_in_item": F.regexp_count(raw, F.lit(rf"(?iuU)\b{prefix}\b")) > 1,
-        "normdoc_without_po": ~is_linked & is_loose,
-        "normdoc_not_found": ~is_linked & ~is_loose & hint.isNull(),
-        "normdoc_from_separate_column": lacks & hint.isNotNull(),
-        "normdoc_conflict_with_separate_column": ~lacks & hint.isNotNull() & (comparison_text(hint) != comparison_text(own)),
-        "empty_brand": brand == "",
-    }
-    named = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in flags.items()])))
-    return F.struct(brand.alias("brand"), document.alias("document"), raw.alias("raw_item"), named.alias("flags"))
+    text = F.regexp_replace(inline_text(raw), r"^[ ;]+|[ ;]+\z", "")
+    return let(text, lambda t: let(F.struct(found(t).alias("at"), hint.alias("hint")), lambda x: item(t, x["at"], x["hint"])))
 
 
 def safe_path(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,24 +12,69 @@ from weftline.functions import text as X
 
 PLAUSIBLE, NEAR, SURE = 0.62, 0.055, 0.76
 DOCUMENT_LEAST, DOCUMENT_NEAR = 0.78, 0.035
-#: A catalog up to this many rows is broadcast; larger ones are compared by shared three-letter parts.
-SMALL_CATALOG = 20_000
+#: Texts and entries that one task compares with one another.
+TILE = 4096
+#: Rows of texts whose letters are counted against all entries of a tile at once.
+STRIP = 256
+
+
+def alike(queries: DataFrame, query: str, entries: DataFrame, entry: str, least: float) -> DataFrame:
+    """(query, entry, score) of all pairs of distinct compact texts whose likeness is `least` or more.
+
+    Both sides are dealt out to tiles of about TILE x TILE, so neither is broadcast, whatever its size. In a tile, letters are
+    counted first: a part of the query of about the entry's length can share no more letters with it than the whole does, and
+    only pairs that this allows to reach `least` are compared.
+    """
+    q = queries.select(F.col(query).alias("text")).where(F.length("text") > 0).distinct()
+    e = entries.select(F.col(entry).alias("text")).where(F.length("text") > 0).distinct()
+    down, across = (max(1, -(-side.count() // TILE)) for side in (q, e))
+    deal = lambda n: F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(deal(down).alias("i"), spread(across).alias("j"), "text", F.lit(True).alias("is_query"))
+    right = e.select(spread(down).alias("i"), deal(across).alias("j"), "text", F.lit(False).alias("is_query"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["is_query"].to_numpy(zero_copy_only=False)
+        texts = table["text"].to_pylist()
+        asked, held = ([t for t, s in zip(texts, side) if s == is_query] for is_query in (True, False))
+        signs = {c: i for i, c in enumerate(sorted(set("".join(held))))}
+
+        def counts(of: list[str]) -> np.ndarray:
+            out = np.zeros((len(signs), len(of)), np.int16)
+            for k, t in enumerate(of):
+                for c in t:
+                    if c in signs:
+                        out[signs[c], k] += 1
+            return out
+
+        found: list[tuple[str, str, float]] = []
+        letters, size = counts(held), np.array([len(t) for t in held])
+        for at in range(0, len(asked), STRIP):
+            some = asked[at : at + STRIP]
+            own = np.array([len(t) for t in some])[:, None]
+            shared = np.zeros((len(some), len(held)), np.int16)
+            for a, b in zip(counts(some), letters):
+                shared += np.minimum(a[:, None], b[None])
+            shortest = np.minimum(own, np.maximum(size - 2, 1)[None])
+            for i, k in np.argwhere(2 * shared >= least * (shortest + size) - 1e-9).tolist():
+                if (score := X.likeness(some[i], held[k])) >= least:
+                    found.append((some[i], held[k], score))
+        return pa.table({n: pa.array([f[k] for f in found], t) for k, (n, t) in enumerate((("q", pa.string()), ("e", pa.string()), ("score", pa.float64())))})
+
+    out = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "q string, e string, score double")
+    return out.select(F.col("q").alias(query), F.col("e").alias(entry), "score")
 
 
 def resolve(fragments: DataFrame, entries: DataFrame, text: str, name: str) -> DataFrame:
     """fragments plus best (score), n_plausible and resolved: the one entry that is likely enough and has no near rival.
 
-    entries holds `name`. Distinct texts are compared once each. A catalog whose counted size is small goes to every task;
-    beyond that, a pair is compared where it shares a part of three signs (a likely pair always does).
+    entries holds `name`. Distinct texts are compared once each with all entries, in tiles (alike). Texts without a plausible
+    entry get nulls.
     """
     f = fragments.select(text).distinct().withColumn("_q", X.compact(F.col(text)))
     e = entries.select(name).distinct().withColumn("_e", X.compact(F.col(name)))
-    if e.count() <= SMALL_CATALOG:
-        pairs = f.hint("rebalance").join(F.broadcast(e), F.length("_q") * F.length("_e") > 0)
-    else:
-        grams = lambda c: F.explode(F.array_distinct(F.when(F.length(c) < 3, F.array(F.col(c))).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))))
-        pairs = f.withColumn("_g", grams("_q")).join(e.withColumn("_g", grams("_e")), "_g").drop("_g").distinct()
-    scored = pairs.withColumn("_score", X.similarity(F.col("_q"), F.col("_e")))
+    pairs = alike(f, "_q", e, "_e", PLAUSIBLE)
+    scored = f.join(pairs, "_q").join(e, "_e").select(text, name, F.col("score").alias("_score"))
     best = scored.groupBy(text).agg(F.max("_score").alias("best"))
     plausible = scored.join(best, text).where(F.col("_score") >= F.greatest(F.lit(PLAUSIBLE), F.col("best") - NEAR))
     got = plausible.groupBy(text).agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n_plausible"), F.max_by(name, "_score").alias("_pick"))
@@ -61,12 +108,14 @@ def ranked(entries: DataFrame, match: Column, brand: str, document: str) -> Data
 
 
 def documents_in(texts: DataFrame, documents: DataFrame, text: str, document: str) -> DataFrame:
-    """Documents named in each text as a bounded phrase, by place; (text, document, at)."""
+    """Documents named in each text as a bounded phrase, by place; (text, document, at). Found by joins on words."""
     t = texts.select(text).distinct().withColumn("_t", X.match_text(F.col(text)))
     d = documents.select(document).distinct().withColumn("_d", X.match_text(F.col(document)))
     # a document is found by its first word, which must be one of the text's
-    words = lambda c: F.split(F.regexp_replace(c, "[^0-9A-ZА-Я./-]+", " "), " ")
-    keyed = t.withColumn("_w", F.explode(F.array_distinct(words(F.col("_t"))))).join(d.withColumn("_w", F.element_at(F.filter(words(F.col("_d")), lambda w: w != ""), 1)), "_w")
+    words = lambda c: F.filter(F.split(F.regexp_replace(c, "[^0-9A-ZА-Я./-]+", " "), " "), lambda w: w != "")
+    # one without any word has the empty one, as every text has
+    first = F.coalesce(F.try_element_at(words(F.col("_d")), F.lit(1)), F.lit(""))
+    keyed = t.withColumn("_w", F.explode(F.array_distinct(F.concat(words(F.col("_t")), F.array(F.lit("")))))).join(d.withColumn("_w", first), "_w")
     edge = F.lit("[0-9A-ZА-Я./-]")
     bounded = F.concat(F.lit("(?<!"), edge, F.lit(")\\Q"), F.col("_d"), F.lit("\\E(?!"), edge, F.lit(")"))
     hit = F.regexp_instr(F.col("_t"), bounded)

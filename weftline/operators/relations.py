@@ -16,15 +16,18 @@ from weftline.operators.rows import distinct_in_order, fill_down, last_write_win
 def physical_rows(tables: DataFrame, candidate: str, roles: tuple[str, ...]) -> DataFrame:
     """Rows below the header, one column a role; a role without a column is empty."""
     c = F.col(candidate)
-    rows = tables.select("table_id", "document_order", "source_file", c.alias("c"), F.posexplode("matrix").alias("at", "cells")).where(F.col("at") >= F.col("c.header_depth"))
-    cell = lambda role: X.clean_text(F.try_element_at("cells", F.try_element_at("c.column_map", F.lit(role)) + 1)).alias(role)
+    # cells are cleaned inside the array that is unfolded, so each of them once
+    clean = F.transform("matrix", lambda row: F.transform(row, X.clean_text))
+    rows = tables.select("table_id", "document_order", "source_file", c.alias("c"), F.posexplode(clean).alias("at", "cells")).where(F.col("at") >= F.col("c.header_depth"))
+    cell = lambda role: F.coalesce(F.get("cells", F.try_element_at("c.column_map", F.lit(role))), F.lit("")).alias(role)
     return rows.select("table_id", "document_order", "source_file", (F.col("at") + 1).alias("row_no"), *[cell(r) for r in roles])
 
 
 def repeated_header(cols: dict[str, str] = REPEATED_HEADER_STEMS) -> Column:
     """Whether three of the role cells look like their own titles."""
-    hits = [(X.comparison_text(F.col(r)).contains(HEADER_WORD) & (X.comparison_text(F.col(r)).contains(stem) | X.comparison_text(F.col(r)).contains(r))).cast("int") for r, stem in cols.items()]
-    return reduce(lambda a, b: a + b, hits) >= 3
+    cells = F.array(*[F.struct(F.col(r).alias("text"), F.lit(stem).alias("stem"), F.lit(r).alias("role")) for r, stem in cols.items()])
+    titled = lambda c: X.let(X.comparison_text(c["text"]), lambda t: t.contains(HEADER_WORD) & (t.contains(c["stem"]) | t.contains(c["role"])))
+    return F.size(F.filter(cells, titled)) >= 3
 
 
 def _excerpt(cols: list[str]) -> Column:
@@ -37,14 +40,14 @@ def source_rows(tables: DataFrame) -> DataFrame:
     rows = physical_rows(tables, "brand_candidate", (*ROLES, "group", "subgroup", *marks, "note")).where(~repeated_header())
     raw = rows.select("*", *[F.col(c).alias(f"{c}_cell") for c in ("group", "subgroup", *marks)])
     for c in ("group", "subgroup"):
-        raw = raw.withColumn(c, F.nullif(X.inline_text(F.col(c)), F.lit("")))
+        raw = raw.withColumn(c, X.let(X.inline_text(F.col(c)), lambda t: F.nullif(t, F.lit(""))))
     filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("document_order"))
     kept = filled.where(reduce(lambda a, b: a | b, [F.col(r) != "" for r in ROLES]))
     for m in marks:
-        kept = kept.withColumn(m, X.parse_equipment(F.col(m)))
+        kept = kept.withColumn(m, X.let(F.col(m), X.parse_equipment))
     filled_roles = F.filter(F.array(*[F.col(r) for r in ROLES]), lambda v: v != "")
     alone = (F.col("group_cell") == "") & (F.col("subgroup_cell") == "") & (F.size(filled_roles) == 1) & F.coalesce(*marks).isNull()
-    alone &= ~F.concat(F.lit(" "), X.comparison_text(F.element_at(filled_roles, 1)), F.lit(" ")).contains(" по ")
+    alone &= ~X.let(F.get(filled_roles, 0), lambda t: F.concat(F.lit(" "), X.comparison_text(t), F.lit(" ")).contains(" по "))
     flags = [F.when((F.col(f"{m}_cell") != "") & F.col(m).isNull(), f"unrecognized_{m}_equipment_marker") for m in marks]
     kept = kept.withColumn("row_flags", F.array_sort(F.array_compact(F.array(*flags, F.when(alone, "possible_continuation_row")))))
     kept = kept.withColumn("source_excerpt", _excerpt(["group_cell", "subgroup_cell", *ROLES, "note"])).drop(*[f"{c}_cell" for c in ("group", "subgroup", *marks)])
@@ -60,14 +63,15 @@ def source_cells(rows: DataFrame) -> DataFrame:
 
 def items(cells: DataFrame) -> DataFrame:
     """Parsed items of the cells, numbered within each."""
-    parts = cells.select("*", F.posexplode(X.cell_items(F.col("raw_cell"))).alias("_at", "_raw")).withColumn("_p", X.brand_item(F.col("_raw")))
+    # items are parsed inside the array that is unfolded, so each of them once
+    parts = cells.select("*", F.posexplode(F.transform(X.cell_items(F.col("raw_cell")), lambda raw: X.brand_item(raw))).alias("_at", "_p"))
     out = parts.select("row_id", "row_index", "cell_id", "role", (F.col("_at") + 1).alias("index"), F.col("_p.brand").alias("brand"), F.col("_p.document").alias("document"), F.col("_p.raw_item").alias("raw_item"), F.col("_p.flags").alias("review_flags"))
     return keyed(out.withColumn("item_id", F.format_string("%s.%02d", "cell_id", "index")))
 
 
 def keyed(df: DataFrame) -> DataFrame:
     b, d = F.col("brand"), F.col("document")
-    return df.withColumn("brand_key", X.brand_key(b, d)).withColumn("match_key", X.normalized_brand_key(b, d)).withColumn("match_brand", X.normalized_brand(b))
+    return df.withColumn("brand_key", X.brand_key(b, d)).withColumn("match_brand", X.normalized_brand(b)).withColumn("match_key", X.normalized_brand_key(b, d))
 
 
 def purposes(tables: DataFrame) -> DataFrame:
@@ -75,11 +79,11 @@ def purposes(tables: DataFrame) -> DataFrame:
     roles = ("brand", "purpose", "group", "subgroup", "normdoc", "note")
     raw = physical_rows(tables, "purpose_candidate", roles).withColumn("excerpt", _excerpt(["group", "subgroup", "brand", "purpose", "note"]))
     for c in ("group", "subgroup"):
-        raw = raw.withColumn(c, F.nullif(X.inline_text(F.col(c)), F.lit("")))
+        raw = raw.withColumn(c, X.let(X.inline_text(F.col(c)), lambda t: F.nullif(t, F.lit(""))))
     filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("document_order"))
     kept = filled.withColumn("purpose", X.inline_text(F.col("purpose"))).where("brand != '' and purpose != ''").withColumnRenamed("brand", "brand_raw")
-    parts = kept.select("*", F.posexplode(X.cell_items(F.col("brand_raw"))).alias("at", "raw")).withColumn("p", X.brand_item(F.col("raw"), F.col("normdoc")))
-    parts = parts.withColumn("brand", F.col("p.brand")).withColumn("document", F.col("p.document")).withColumn("review_flags", F.col("p.flags")).drop("p", "raw")
+    parts = kept.select("*", F.posexplode(F.transform(X.cell_items(F.col("brand_raw")), lambda raw: X.brand_item(raw, F.col("normdoc")))).alias("at", "p"))
+    parts = parts.withColumn("brand", F.col("p.brand")).withColumn("document", F.col("p.document")).withColumn("review_flags", F.col("p.flags")).drop("p")
     numbered = serial(keyed(parts), "purpose_index", ["row_no", "at"], F.col("document_order"))
     return numbered.withColumn("purpose_row_id", F.format_string("P%06d", "purpose_index"))
 
@@ -113,25 +117,35 @@ def typed(df: DataFrame) -> DataFrame:
 
 def match_purposes(items: DataFrame, purposes: DataFrame) -> DataFrame:
     """Purpose of each item: by full key, else by brand alone; candidates of the same group are preferred, and only a single
-    distinct purpose is taken. items need match_key, match_brand, group, subgroup; purposes also purpose, purpose_row_id."""
-    p = purposes.select(*[F.col(c).alias(f"p_{c}") for c in ("match_key", "match_brand", "group", "subgroup", "purpose", "purpose_row_id", "purpose_index")])
-    full = items.join(p, F.col("match_key") == F.col("p_match_key")).withColumn("by", F.lit("exact"))
-    rest = items.join(p.select(F.col("p_match_key").alias("match_key")).distinct(), "match_key", "left_anti")
-    brand = rest.select(*items.columns).join(p, F.col("match_brand") == F.col("p_match_brand")).withColumn("by", F.lit("brand_only"))
-    same = lambda c: F.coalesce((F.coalesce(c, F.lit("")) == "") | (F.coalesce(f"p_{c}", F.lit("")) == "") | (X.comparison_text(F.col(c)) == X.comparison_text(F.col(f"p_{c}"))), F.lit(True))
-    both = full.unionByName(brand).withColumn("fits", same("group") & same("subgroup")).withColumn("what", X.comparison_text(F.col("p_purpose")))
-    pick = F.struct("p_purpose_index", "p_purpose", "p_purpose_row_id")
-    one = both.groupBy("item_id", "by").agg(
+    distinct purpose is taken. items need match_key, match_brand, group, subgroup; purposes also purpose, purpose_row_id,
+    purpose_index.
+
+    Purposes are reduced to one row per key, group and subgroup first (least and greatest text tell whether there is one), and
+    items to their distinct keys and groups, so that neither a brand with many purposes nor one with many items is multiplied.
+    """
+    place = lambda c: X.comparison_text(F.coalesce(F.col(c), F.lit("")))
+    p = purposes.withColumn("p_group", place("group")).withColumn("p_subgroup", place("subgroup")).withColumn("what", X.comparison_text(F.col("purpose")))
+    pick = F.struct("purpose_index", "purpose", "purpose_row_id")
+    slim = lambda key: p.groupBy(F.col(key).alias("key"), "p_group", "p_subgroup").agg(F.min("what").alias("low"), F.max("what").alias("high"), F.min(pick).alias("first"), F.collect_set("purpose_row_id").alias("ids"))
+    signs = ["match_key", "match_brand", "i_group", "i_subgroup"]
+    told = items.withColumn("i_group", place("group")).withColumn("i_subgroup", place("subgroup"))
+    asked = told.select(*signs).distinct()
+    known = p.select("match_key").distinct()
+    full = asked.join(known, "match_key", "left_semi").withColumn("by", F.lit("exact")).join(slim("match_key"), F.col("match_key") == F.col("key"))
+    brand = asked.join(known, "match_key", "left_anti").withColumn("by", F.lit("brand_only")).select(*asked.columns, "by").join(slim("match_brand"), F.col("match_brand") == F.col("key"))
+    same = lambda c: (F.col(f"i_{c}") == "") | (F.col(f"p_{c}") == "") | (F.col(f"i_{c}") == F.col(f"p_{c}"))
+    both = full.unionByName(brand).withColumn("fits", same("group") & same("subgroup"))
+    sides = (("fit", F.col("fits")), ("all", F.lit(True)))
+    one = both.groupBy(*signs, "by").agg(
         F.bool_or("fits").alias("any_fits"),
-        *[f.alias(f"{name}{side}") for side, test in (("_fit", F.col("fits")), ("_all", F.lit(True))) for name, f in (("n", F.count_distinct(F.when(test, F.col("what")))), ("first", F.min(F.when(test, pick))), ("rows", F.count_if(test)))],
-        F.sort_array(F.collect_set("p_purpose_row_id")).alias("candidate_purpose_row_ids"),
+        *[F.struct(F.min(F.when(test, F.col("low"))).alias("low"), F.max(F.when(test, F.col("high"))).alias("high"), F.min(F.when(test, F.col("first"))).alias("first")).alias(side) for side, test in sides],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("candidate_purpose_row_ids"),
     )
-    n, first = (F.when(F.col("any_fits"), F.col(f"{c}_fit")).otherwise(F.col(f"{c}_all")) for c in ("n", "first"))
-    one = one.select("item_id", "by", n.alias("n"), first.alias("first"), "candidate_purpose_row_ids")
-    out = items.join(one, "item_id", "left")
-    kind = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise(F.col("by"))
-    taken = F.when(F.col("n") == 1, F.col("first"))
-    return out.select(*items.columns, kind.alias("match_type"), taken["p_purpose"].alias("purpose_text"), taken["p_purpose_row_id"].alias("purpose_row_id"), F.coalesce("candidate_purpose_row_ids", F.array().cast("array<string>")).alias("candidate_purpose_row_ids"))
+    one = one.withColumn("c", F.when(F.col("any_fits"), F.col("fit")).otherwise(F.col("all"))).select(*[F.col(s).alias(f"_{s}") for s in signs], "by", "c", "candidate_purpose_row_ids")
+    out = told.join(one, [F.col(s) == F.col(f"_{s}") for s in signs], "left")
+    kind = F.when(F.col("by").isNull(), "not_found").when(F.col("c.low") != F.col("c.high"), "ambiguous").otherwise(F.col("by"))
+    taken = F.when(F.col("c.low") == F.col("c.high"), F.col("c.first"))
+    return out.select(*items.columns, kind.alias("match_type"), taken["purpose"].alias("purpose_text"), taken["purpose_row_id"].alias("purpose_row_id"), F.coalesce("candidate_purpose_row_ids", F.array().cast("array<string>")).alias("candidate_purpose_row_ids"))
 
 
 def with_overrides(items: DataFrame, over: DataFrame) -> DataFrame:

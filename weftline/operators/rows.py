@@ -6,27 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.sources.scratch import settled
 
-MOST_BUCKETS = 4096
+#: Buckets that even_buckets cuts a key into: COARSE runs of COARSE.
+COARSE = 32
 
 
-def even_buckets(df: DataFrame, key: str, width: int = 2048) -> Column:
-    """Ranges of an integer key: of the given width, or wider ones where there would be more than MOST_BUCKETS."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    span = 0 if low is None else high - low + 1
-    return F.floor((F.col(key) - F.lit(low or 0)) / F.lit(max(width, -(-span // MOST_BUCKETS))))
+def even_buckets(df: DataFrame, key: str) -> Column:
+    """Ranges of a numeric key with about as many rows each, by approximate quantiles, however the key is spread."""
+    shares = [i / COARSE**2 for i in range(1, COARSE**2)]
+    cuts = df.agg(F.percentile_approx(key, shares, 20 * COARSE**2)).first()[0] or []
+    if not cuts:
+        return F.lit(0)
+    runs = F.array(*[F.array(*map(F.lit, cuts[i : i + COARSE])) for i in range(0, len(cuts), COARSE)])
+    below = lambda values: F.size(F.filter(values, lambda c: c <= F.col(key)))
+    first = F.size(F.filter(runs, lambda r: r[0] <= F.col(key)))
+    return F.when(first == 0, 0).otherwise((first - 1) * COARSE + below(F.get(runs, first - 1)))
+
+
+def _ranged(ends: DataFrame) -> DataFrame:
+    """One row a bucket, dealt out in order: _part numbers the partitions, which order buckets as _bucket does."""
+    return settled(ends.repartitionByRange("_bucket").withColumn("_part", F.spark_partition_id()))
 
 
 def fill_down(df: DataFrame, cols: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Each null of cols takes the last value above it in `order`.
 
-    bucket must not fall as order rises (a file number, a range of keys): rows are ordered within buckets only, and what a
-    bucket ends with is carried on over the short list of buckets.
+    bucket must not fall as order rises (a file number, a range of keys): rows are ordered within buckets only, what a bucket
+    ends with is carried on over the buckets of a partition, and what a partition ends with over the partitions.
     """
     df = df.withColumn("_bucket", bucket)
-    ends = df.groupBy("_bucket").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols])
-    above = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col("_bucket").alias("_of"), *[F.last(c, ignorenulls=True).over(above).alias(f"_from_{c}") for c in cols])
+    ends = _ranged(df.groupBy("_bucket").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols]))
+    parts = ends.groupBy("_part").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_bucket"))).alias(c) for c in cols])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = parts.select(F.col("_part").alias("_p"), *[F.last(c, ignorenulls=True).over(above).alias(f"_carried_{c}") for c in cols])
+    inside = Window.partitionBy("_part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    carried = carried.select(F.col("_bucket").alias("_of"), *[F.coalesce(F.last(c, ignorenulls=True).over(inside), f"_carried_{c}").alias(f"_from_{c}") for c in cols])
     within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(carried, F.col("_bucket").eqNullSafe(F.col("_of")))
     for c in cols:
@@ -34,11 +50,19 @@ def fill_down(df: DataFrame, cols: list[str], order: list[str], bucket: Column)
     return joined.drop("_bucket", "_of", *[f"_from_{c}" for c in cols])
 
 
+def totals_before(df: DataFrame, count: str, name: str, order: list[str]) -> DataFrame:
+    """df with `name`: the total of `count` over all rows before in `order`, without a task that sees all rows."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum(count).alias("_n"))
+    parts = parts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    own = F.sum(count).over(Window.partitionBy("_part").orderBy(*order)) - F.col(count)
+    return ranged.join(F.broadcast(parts), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + own).drop("_part", "_p", "_before")
+
+
 def serial(df: DataFrame, name: str, order: list[str], bucket: Column) -> DataFrame:
     """df with 1, 2, 3 ... in `order`; bucket as in fill_down."""
     df = df.withColumn("_bucket", bucket)
-    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
+    starts = totals_before(df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "_n", "_start", ["_bucket"]).select("_bucket", "_start")
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return df.join(starts, "_bucket").withColumn(name, F.col("_start") + within).drop("_bucket", "_start")
 

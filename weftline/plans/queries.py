@@ -15,12 +15,12 @@ from weftline.operators import commands as M
 from weftline.operators import grids as T
 from weftline.operators import normalize as N
 from weftline.operators import relations as R
+from weftline.operators import review as V
 from weftline.operators import rows as O
 from weftline.sources import tables as S
 from weftline.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
-SMALLEST = "/root/testdata/sf0.001"
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -39,6 +39,11 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a single file, dealt out over all cores before costly steps; larger ones come in enough parts."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 # ---- text and scalar functions
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce({0}, ''), chr(160), ' '), chr(8203), ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(11) || chr(12))"""
@@ -49,8 +54,9 @@ _COMPARE = "translate(replace(lower(" + _INLINE + "), 'ß', 'ss'), 'ёſςµ–
 @query(f"SELECT doc_id, md5({_CLEAN.format('text')}) AS clean_md5, length({_INLINE.format('text')}) AS inline_chars, md5({_COMPARE.format('text')}) AS compare_md5 FROM documents")
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Clean, inline and comparison text of whole documents."""
-    t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", F.md5(X.clean_text(t)).alias("clean_md5"), F.length(X.inline_text(t)).alias("inline_chars"), F.md5(X.comparison_text(t)).alias("compare_md5"))
+    # each rule builds on the one before, whose text is worked out once
+    told = X.let(X.clean_text(F.col("text")), lambda c: X.let(X.inline_from(c), lambda i: F.struct(F.md5(c).alias("clean_md5"), F.length(i).alias("inline_chars"), F.md5(X.comparison_from(i)).alias("compare_md5"))))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array(told)).alias("t")).select("doc_id", "t.*")
 
 
 @query(r"""
@@ -134,14 +140,14 @@ def unpivot_cells(spark: SparkSession, d: str) -> DataFrame:
 # ---- joins and relations
 
 _ITEMS = """SELECT l_orderkey AS row_id, CASE l_returnflag WHEN 'N' THEN 'main' WHEN 'A' THEN 'duplicate' ELSE 'reserve' END AS role, l_linenumber AS idx,
-  l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS item_id, 'p' || l_partkey AS brand FROM lineitem WHERE l_suppkey % 3 <> 0"""
+  l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS item_id, 'p' || l_partkey AS brand FROM lineitem"""
 _SIZES = f"""WITH i AS ({_ITEMS}), m AS (SELECT row_id, count(*) AS nm, list(item_id ORDER BY item_id) AS mains FROM i WHERE role = 'main' GROUP BY 1),
   r AS (SELECT row_id, role, count(*) AS nr, list(item_id ORDER BY item_id) AS rels FROM i WHERE role <> 'main' GROUP BY 1, 2),
   s AS (SELECT r.*, coalesce(nm, 0) AS nm, mains FROM r LEFT JOIN m USING (row_id))"""
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").where("l_suppkey % 3 <> 0")
+    rows = read(spark, d, "lineitem")
     role = F.when(F.col("l_returnflag") == "N", "main").when(F.col("l_returnflag") == "A", "duplicate").otherwise("reserve")
     brand = F.concat(F.lit("p"), "l_partkey")
     return rows.select(F.col("l_orderkey").alias("row_id"), role.alias("role"), F.col("l_linenumber").alias("index"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"), brand.alias("brand"), X.brand_key(brand, F.lit(None).cast("string")).alias("brand_key"))
@@ -165,7 +171,7 @@ def unresolved_relations(spark: SparkSession, d: str) -> DataFrame:
     return open_.select("row_id", "role", "flag", F.array_join("main_item_ids", ",").alias("mains"), F.array_join("related_item_ids", ",").alias("related"))
 
 
-_PURPOSES = """p AS (SELECT p_partkey, lower(p_brand) || ' || ' || lower(p_type) AS k, lower(p_brand) AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'g' || p_size % 3 END AS grp, 'use ' || p_size % 4 AS purpose FROM part WHERE p_partkey % 40 = 1),
+_PURPOSES = """p AS (SELECT p_partkey, lower(p_brand) || ' || ' || lower(p_type) AS k, lower(p_brand) AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'g' || p_size % 3 END AS grp, 'use ' || p_size % 4 AS purpose FROM part),
   i AS (SELECT p_partkey AS item_id, lower(p_brand) || ' || ' || lower(p_type) AS k, lower(p_brand) AS b, 'g' || p_size % 3 AS grp FROM part)"""
 
 
@@ -179,7 +185,7 @@ FROM i LEFT JOIN a USING (item_id)""")
 def match_purposes(spark: SparkSession, d: str) -> DataFrame:
     """Purpose by full key, else by brand, one distinct purpose among those of the same group."""
     part = read(spark, d, "part").withColumn("brand", F.col("p_brand")).withColumn("document", F.col("p_type")).withColumn("subgroup", F.lit(None).cast("string"))
-    purposes = R.keyed(part.where("p_partkey % 40 = 1")).withColumn("group", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("g"), F.col("p_size") % 3)))
+    purposes = R.keyed(part).withColumn("group", F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("g"), F.col("p_size") % 3)))
     purposes = purposes.select("*", F.concat(F.lit("use "), F.col("p_size") % 4).alias("purpose"), F.col("p_partkey").alias("purpose_index"), F.format_string("P%06d", "p_partkey").alias("purpose_row_id"))
     items = R.keyed(part).select(F.col("p_partkey").alias("item_id"), "match_key", "match_brand", F.concat(F.lit("g"), F.col("p_size") % 3).alias("group"), "subgroup")
     return R.match_purposes(items, purposes).select("item_id", "match_type", "purpose_text")
@@ -349,7 +355,7 @@ def override_commands(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def budget_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts cut under a token budget (tested against the rule and by round trip)."""
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("text").alias("label"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("content"), F.lit("text").alias("label"))
     parts = K.chunked(docs, budget=300)
     return parts.select("doc_id", "chunk_no", F.md5("content").alias("content_md5"), X.approximate_tokens(F.col("content")).alias("n_tokens"))
 
@@ -397,8 +403,161 @@ def batch_progress(spark: SparkSession, d: str) -> DataFrame:
     return I.progress(rows, staged, "n", 10)
 
 
-def flagship(spark: SparkSession) -> DataFrame:
-    return table_pipeline(spark, SMALLEST)
+# ---- staging, review flags, quality control, export gate
+
+_RUN = """rows_ AS (SELECT 'R' || lpad(CAST(o_orderkey + 1 AS VARCHAR), 6, '0') AS row_id, 'B' || lpad(CAST(o_orderkey // 10 + 1 AS VARCHAR), 6, '0') AS batch_id, o_orderkey + 1 AS row_index,
+  o_orderpriority LIKE '5%' AS cont, CASE WHEN o_orderpriority LIKE '1%' THEN true WHEN o_orderpriority LIKE '2%' THEN false END AS ground FROM orders),
+items_ AS (SELECT l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS item_id, 'R' || lpad(CAST(l_orderkey + 1 AS VARCHAR), 6, '0') AS row_id,
+  CASE l_returnflag WHEN 'N' THEN 'main' WHEN 'A' THEN 'duplicate' ELSE 'reserve' END AS role, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS place, l_linenumber AS idx,
+  'p' || l_partkey AS brand, l_tax > 0.07 AS nf, l_discount = 0 AS eb, p_size % 5 = 0 AND l_linenumber <> 7 AS lost, p_size % 5 = 1 AND l_linenumber <> 7 AS amb,
+  CASE WHEN l_linenumber = 7 THEN 'reviewed' WHEN p_size % 5 > 1 THEN 'use ' || p_size % 4 END AS purpose FROM lineitem JOIN part ON p_partkey = l_partkey),
+known AS (SELECT i.*, batch_id, row_index, cont, ground, i.row_id || '.' || role AS cell_id FROM items_ i JOIN rows_ USING (row_id)),
+m_ AS (SELECT row_id, count(*) AS nm FROM known WHERE role = 'main' GROUP BY 1),
+open_ AS (SELECT k.row_id, batch_id, row_index, role, place, coalesce(nm, 0) AS nm, count(*) AS nr, string_agg(item_id, '; ' ORDER BY item_id) AS ids FROM known k LEFT JOIN m_ USING (row_id) WHERE role <> 'main' GROUP BY ALL HAVING coalesce(nm, 0) <> 1 AND coalesce(nm, 0) <> count(*)),
+raw_flags AS (
+  SELECT batch_id, 'possible_continuation_row' AS category, row_id, '' AS cell_id, '' AS item_id, '' AS evidence, 0 AS part, row_index, 0 AS place, 0 AS idx, 0 AS kind, 0 AS n FROM rows_ WHERE cont
+  UNION ALL SELECT batch_id, 'empty_brand', row_id, cell_id, item_id, brand, 0, row_index, place, idx, 1, 0 FROM known WHERE eb
+  UNION ALL SELECT batch_id, 'normdoc_not_found', row_id, cell_id, item_id, brand, 0, row_index, place, idx, 1, CASE WHEN eb THEN 1 ELSE 0 END FROM known WHERE nf
+  UNION ALL SELECT batch_id, CASE WHEN lost THEN 'purpose_not_found' ELSE 'ambiguous_purpose_match' END, row_id, cell_id, item_id, brand, 0, row_index, place, idx, 2, 0 FROM known WHERE lost OR amb
+  UNION ALL SELECT batch_id, CASE WHEN nm = 0 THEN 'missing_main_item' ELSE 'ambiguous_relation_mapping' END, row_id, '', '', ids, 1, row_index, place, 0, 0, 0 FROM open_),
+flags AS (SELECT batch_id || ':F' || lpad(CAST(row_number() OVER (PARTITION BY batch_id ORDER BY part, row_index, place, idx, kind, n, category, evidence, item_id) AS VARCHAR), 4, '0') AS flag_id, * FROM raw_flags)"""
+
+
+class _Run:
+    """A run over the driver tables: orders as rows in batches of ten, line items as their items."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        text = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+        flagged = lambda test, name: F.when(test, text(name)).otherwise(text())
+        row_id = lambda c: F.format_string("R%06d", F.col(c) + 1)
+        o, p = read(spark, d, "orders"), F.col("o_orderpriority")
+        nothing = F.lit(None).cast("string")
+        self.rows = o.select(
+            row_id("o_orderkey").alias("row_id"), F.format_string("B%06d", F.floor(F.col("o_orderkey") / 10) + 1).alias("batch_id"), (F.col("o_orderkey") + 1).alias("row_index"), F.lit("orders").alias("source_file"),
+            F.lit("T000001").alias("table_id"), F.col("o_orderstatus").alias("group"), nothing.alias("subgroup"), F.when(p.startswith("1"), True).when(p.startswith("2"), False).alias("ground"),
+            F.lit(None).cast("boolean").alias("aviation"), F.lit(None).cast("boolean").alias("marine"), F.lit("").alias("note"), flagged(p.startswith("5"), "possible_continuation_row").alias("row_flags"),
+        )
+        lines = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        role = F.when(F.col("l_returnflag") == "N", "main").when(F.col("l_returnflag") == "A", "duplicate").otherwise("reserve")
+        brand = F.concat(F.lit("p"), "l_partkey")
+        size, reviewed = F.col("p_size") % 5, F.col("l_linenumber") == 7
+        self.all = lines.select(
+            F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"), row_id("l_orderkey").alias("row_id"), role.alias("role"), F.col("l_linenumber").cast("int").alias("index"), brand.alias("brand"),
+            nothing.alias("document"), X.brand_key(brand, nothing).alias("brand_key"), brand.alias("raw_item"), F.concat(flagged(F.col("l_discount") == 0, "empty_brand"), flagged(F.col("l_tax") > 0.07, "normdoc_not_found")).alias("review_flags"),
+            F.when(size == 0, "not_found").when(size == 1, "ambiguous").otherwise("exact").alias("match_type"), F.when(size > 1, F.concat(F.lit("use "), F.col("p_size") % 4)).alias("purpose_text"),
+            F.concat(flagged(size == 0, "purpose_not_found"), flagged(size == 1, "ambiguous_purpose_match")).alias("match_flags"), reviewed.alias("reviewed"),
+        ).withColumn("cell_id", F.concat_ws(".", "row_id", "role"))
+        self.items = self.all.drop("match_type", "purpose_text", "match_flags", "reviewed")
+        self.cells = self.items.select("cell_id", "row_id", "role", F.col("role").alias("raw_cell")).distinct()
+        self.reviewed = self.all.where("reviewed").select("item_id", F.lit("reviewed").alias("purpose_text"))
+        matches = self.all.select("item_id", "match_type", "purpose_text", F.col("match_flags").alias("review_flags"))
+        self.matches = V.effective_matches(matches, self.reviewed)
+        pairs, self.unresolved = R.map_relations(self.items)
+        self.relations = V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items)
+
+    def flags(self) -> DataFrame:
+        return V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed)
+
+    def staged(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return V.staged(self.rows, self.cells, self.items, self.matches, self.relations)
+
+    def checked(self, table1: DataFrame) -> DataFrame:
+        _, table2, _ = self.staged()
+        return V.quality(self.rows, self.cells, self.items, self.matches, self.relations, self.unresolved, table1, table2, self.flags())
+
+
+@query(f"""WITH {_RUN} SELECT flag_id, batch_id, category, row_id, cell_id, item_id, evidence, 'warning' AS severity, CASE category WHEN 'possible_continuation_row' THEN 'Строка похожа на ошибочно отделённое OCR-продолжение.'
+  WHEN 'empty_brand' THEN 'После разбора не осталось названия марки.' WHEN 'normdoc_not_found' THEN 'Нормативный документ не найден.' WHEN 'purpose_not_found' THEN 'Назначение и условия применения не найдены.'
+  WHEN 'ambiguous_purpose_match' THEN 'Найдено несколько разных текстов назначения.' WHEN 'missing_main_item' THEN 'Связанная марка есть, основной марки в строке нет.' ELSE 'Основную и связанную марки нельзя сопоставить однозначно.' END AS message FROM flags""")
+def review_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Review flags of every batch, numbered, with their messages."""
+    return _Run(spark, d).flags().fillna("", ["cell_id", "item_id"])
+
+
+@query(f"WITH {_RUN} SELECT category, count(*) AS n FROM flags GROUP BY 1")
+def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Flags by category."""
+    return V.listed_flags(_Run(spark, d).flags())[1]
+
+
+@query(f"WITH {_RUN} SELECT flag_id, category, row_id FROM flags WHERE category IN ('empty_brand', 'missing_main_item') ORDER BY flag_id LIMIT 50")
+def flag_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 flags of two categories (a review list)."""
+    return V.listed_flags(_Run(spark, d).flags(), ["empty_brand", "missing_main_item"])[0].select("flag_id", "category", "row_id")
+
+
+@query(f"""WITH {_RUN}, c AS (SELECT row_id, cell_id, count(*) AS n FROM known GROUP BY ALL), r AS (SELECT row_id, count(*) AS cells, sum(n) AS items, max(n) AS fullest FROM c GROUP BY 1)
+SELECT batch_id, count(*) AS n_rows, CAST(coalesce(sum(cells), 0) AS BIGINT) AS n_cells, CAST(coalesce(sum(items), 0) AS BIGINT) AS n_items, coalesce(max(fullest), 0) AS most_in_cell FROM rows_ LEFT JOIN r USING (row_id) GROUP BY 1""")
+def batch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """A4: cells a batch, items a cell."""
+    run = _Run(spark, d)
+    return V.sizes(run.rows, run.cells, run.items)
+
+
+@query(f"""WITH {_RUN} SELECT batch_id, row_id, item_id, cell_id, role AS raw_cell, brand, purpose AS purpose_text, ground,
+  array_to_string(list_sort(list_filter([CASE WHEN eb THEN 'empty_brand' END, CASE WHEN nf THEN 'normdoc_not_found' END, CASE WHEN lost THEN 'purpose_not_found' END, CASE WHEN amb THEN 'ambiguous_purpose_match' END, CASE WHEN cont THEN 'possible_continuation_row' END], lambda x: x IS NOT NULL)), ',') AS flags FROM known""")
+def staged_brands(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences with reviewed purposes, row context and joined flags."""
+    one, _, _ = _Run(spark, d).staged()
+    return one.select("batch_id", "row_id", "item_id", "cell_id", "raw_cell", "brand", "purpose_text", "ground", F.array_join("review_flags", ",").alias("flags"))
+
+
+_CHECKED = f"""{_RUN}, rel AS (SELECT k.batch_id, count(*) AS n FROM known k JOIN m_ USING (row_id) WHERE role <> 'main' AND (nm = 1 OR nm = (SELECT count(*) FROM known x WHERE x.row_id = k.row_id AND x.role = k.role)) GROUP BY 1),
+q AS (SELECT batch_id, min(row_id) AS start_row_id, max(row_id) AS end_row_id, count(*) AS n_rows FROM rows_ GROUP BY 1),
+e AS (SELECT batch_id, 'item ' || item_id || ' is missing from Table 1 staging' AS error FROM known WHERE row_index > 5000 AND idx = 1),
+checked AS (SELECT q.*, coalesce((SELECT count(*) FROM known k WHERE k.batch_id = q.batch_id), 0) AS n_items, coalesce(rel.n, 0) AS n_relations, coalesce(f.n, 0) AS open_flags, coalesce(x.errors, '') AS errors,
+  CASE WHEN x.errors IS NOT NULL THEN 'failed' WHEN f.n > 0 THEN 'passed_with_flags' ELSE 'passed' END AS qc_status
+FROM q LEFT JOIN rel USING (batch_id) LEFT JOIN (SELECT batch_id, count(*) AS n FROM flags GROUP BY 1) f USING (batch_id) LEFT JOIN (SELECT batch_id, string_agg(error, '; ' ORDER BY error) AS errors FROM e GROUP BY 1) x USING (batch_id))"""
+
+
+def _with_gaps(run: _Run) -> DataFrame:
+    """Quality of a run whose first table lacks items of later rows."""
+    one, _, _ = run.staged()
+    late = run.rows.where("row_index > 5000").select("row_id")
+    lost = run.items.where(F.col("index") == 1).join(late, "row_id").select("item_id")
+    return run.checked(one.join(lost, "item_id", "left_anti"))
+
+
+@query(f"WITH {_CHECKED} SELECT * FROM checked")
+def batch_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Q1: coverage errors, open flags and the state of every batch."""
+    return _with_gaps(_Run(spark, d)).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query(f"""WITH {_CHECKED}, s AS (SELECT min(batch_id) FILTER (WHERE qc_status = 'failed') AS stop FROM checked), c AS (SELECT batch_id, count(DISTINCT cell_id) AS cells FROM known GROUP BY 1),
+t AS (SELECT CAST(sum(n_rows) AS BIGINT) AS total_rows, CAST(sum(cells) AS BIGINT) AS total_cells, CAST(coalesce(sum(n_rows) FILTER (WHERE stop IS NULL OR batch_id < stop), 0) AS BIGINT) AS processed_rows, CAST(coalesce(sum(cells) FILTER (WHERE stop IS NULL OR batch_id < stop), 0) AS BIGINT) AS processed_cells,
+  max(batch_id) FILTER (WHERE stop IS NULL OR batch_id < stop) AS last_completed_batch, arg_max(qc_status, batch_id) FILTER (WHERE stop IS NULL OR batch_id < stop) AS last_qc_status, any_value(stop) AS next_batch, min(start_row_id) FILTER (WHERE batch_id = stop) AS next_row_id FROM checked LEFT JOIN c USING (batch_id), s)
+SELECT *, total_rows - processed_rows AS remaining_rows, total_cells - processed_cells AS remaining_cells, CASE WHEN next_batch IS NULL THEN 'completed' WHEN processed_rows = 0 THEN 'initialized' ELSE 'in_progress' END AS status FROM t""")
+def run_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """How far a run has come that a failed batch holds up."""
+    run = _Run(spark, d)
+    return V.cursor(run.rows, run.cells, _with_gaps(run))
+
+
+@query(f"""WITH {_RUN} SELECT category, row_id, item_id, '' AS brand_key, '' AS item_ids FROM flags WHERE category IN ('ambiguous_relation_mapping', 'missing_main_item', 'ambiguous_purpose_match')
+UNION ALL SELECT 'conflicting_purpose_values', '', '', brand || ' || ∅', string_agg(item_id, ',' ORDER BY item_id) FROM known GROUP BY brand HAVING count(DISTINCT purpose) > 1""")
+def final_blockers(spark: SparkSession, d: str) -> DataFrame:
+    """What stands in the way of an export, with the items of conflicting purposes."""
+    run = _Run(spark, d)
+    one, two, _ = run.staged()
+    state = V.cursor(run.rows, run.cells, run.checked(one))
+    found = V.blockers(state, run.flags(), one, two)
+    return found.select("category", *[F.coalesce(c, F.lit("")).alias(c) for c in ("row_id", "item_id", "brand_key")], F.coalesce(F.array_join("item_ids", ","), F.lit("")).alias("item_ids"))
+
+
+@query(f"""WITH {_RUN} SELECT row_id, (SELECT md5(string_agg(item_id, ',' ORDER BY place, idx, item_id)) FROM known k WHERE k.row_id = r.row_id) AS items_md5, (SELECT count(*) FROM known k WHERE k.row_id = r.row_id) AS n_purposes,
+  (SELECT count(*) FROM open_ o WHERE o.row_id = r.row_id) AS n_unresolved, (SELECT count(*) FROM flags f WHERE f.row_id = r.row_id) AS n_flags FROM rows_ r""")
+def row_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """All that was made of each row."""
+    run = _Run(spark, d)
+    got = V.lineage(run.rows, run.items, run.matches, run.relations, run.unresolved, run.flags())
+    ids = F.transform(F.array_sort(F.transform("items", lambda i: F.struct(V.role_place(i["role"]).alias("r"), i["index"].alias("n"), i["item_id"].alias("id")))), lambda x: x["id"])
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
+    return got.select("row_id", F.md5(F.array_join(ids, ",")).alias("items_md5"), size("purposes").alias("n_purposes"), size("unresolved").alias("n_unresolved"), size("flags").alias("n_flags"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return table_pipeline(spark, d)
 
 
 def queries() -> dict[str, Query]:

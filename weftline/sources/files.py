@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -50,12 +52,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, line int, cells map<string,string>")
 
 
-def catalog(rows: DataFrame, brand: Column, document: Column, key: Column, order: Column) -> DataFrame:
-    """First entry of each key in order; rows without brand and document are skipped, half-empty ones are an error column."""
+def catalog(rows: DataFrame, brand: Column, document: Column, key: Column, order: Column, marks: dict[str, Column] | None = None) -> DataFrame:
+    """First entry of each key in order; rows without brand and document are skipped, half-empty ones and marks other than `+`,
+    `-` and blank (kept as columns by name) are told in an error column."""
     named = rows.withColumn("brand", F.trim(F.coalesce(brand, F.lit("")))).withColumn("document", F.trim(F.coalesce(document, F.lit(""))))
     named = named.where((F.col("brand") != "") | (F.col("document") != "")).withColumn("key", key).withColumn("order", order)
     rank = F.row_number().over(Window.partitionBy("key").orderBy("order"))
     broken = F.when((F.col("brand") == "") | (F.col("document") == ""), F.lit("incomplete"))
+    for name, mark in (marks or {}).items():
+        named = named.withColumn(name, F.trim(F.coalesce(mark, F.lit(""))))
+        broken = F.coalesce(broken, F.when(~F.col(name).isin("+", "-", ""), F.lit(f"{name} is neither +, - nor blank")))
     return named.withColumn("error", broken).withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
@@ -74,6 +80,126 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.write.mode("overwrite").options(sep=sep, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def read_json(spark: SparkSession, path: str, default=None):
+    """A JSON document, or the default where there is none."""
+    return json.loads(read_bytes(spark, path).decode("utf-8")) if exists(spark, path) else default
+
+
+def write_file(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """One file out of parts, by any file system that Spark reaches: written beside its place, then renamed to it, so that no
+    reader finds half of it."""
+    at, fs = _file_system(spark, path)
+    beside, _ = _file_system(spark, f"{at.getParent()}/.{at.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part))
+    except BaseException:
+        out.close()
+        fs.delete(beside, False)
+        raise
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"{beside} could not be renamed to {at}")
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    write_file(spark, path, [json.dumps(value, ensure_ascii=False, indent=2).encode("utf-8")])
+
+
+def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
+    """JSON lines with compact separators, other letters than ASCII as they are, nulls written. With append, a log."""
+    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+
+
+def checked_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a result file as variants; an error if there are none, or if one is no object."""
+    lines = read_variant(spark, path)
+    told = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.schema_of_variant("value").startswith("OBJECT")).alias("bad")).first()
+    if not told.n or told.bad:
+        raise ValueError(f"{path}: {'no results' if not told.n else f'{told.bad} lines are no objects'}")
+    return lines
+
+
+def write_csv_file(df: DataFrame, path: str, titles: Iterable[str], sep: str = ";", mark: bool = False) -> None:
+    """One CSV file: always a title row, line feeds, quotes only where needed, with `mark` a byte-order mark. Rows are taken in
+    the order of df and pass the driver partition by partition; nulls are empty."""
+
+    def lines() -> Iterator[bytes]:
+        buffer = io.StringIO()
+        writer = csv.writer(buffer, delimiter=sep, lineterminator="\n")
+        writer.writerow(titles)
+        for row in df.toLocalIterator():
+            writer.writerow(["" if v is None else v for v in row])
+            if buffer.tell() > 1 << 20:
+                yield buffer.getvalue().encode("utf-8")
+                buffer.seek(0)
+                buffer.truncate()
+        yield buffer.getvalue().encode("utf-8")
+
+    head = [b"\xef\xbb\xbf"] if mark else []
+    write_file(df.sparkSession, path, chain(head, lines()))
+
+
+def write_catalog(df: DataFrame, path: str, titles: Iterable[str]) -> None:
+    """A catalog or relation file with a byte-order mark; an existing file keeps its delimiter."""
+    spark = df.sparkSession
+    sep = delimiter(decode(read_bytes(spark, path))) if exists(spark, path) else ";"
+    write_csv_file(df, path, titles, sep, mark=True)
+
+
+def relations_of(rows: DataFrame, titles: tuple[str, str, str], note: str) -> DataFrame:
+    """(path, line, first, type, second, note) of read_csv()'s rows; files without a note column have empty notes; rows that are
+    empty in all columns are skipped, a missing title is an error."""
+    cell = lambda t: F.trim(F.coalesce(F.try_element_at("cells", F.lit(t.lower())), F.lit("")))
+    lacking = rows.where(~F.forall(F.array(*[F.lit(t.lower()) for t in titles]), lambda t: F.map_contains_key("cells", t))).select("path").distinct().collect()  # one row a file
+    if lacking:
+        raise ValueError(f"missing columns in {', '.join(r.path for r in lacking)}")
+    named = rows.select("path", "line", *[cell(t).alias(n) for t, n in zip((*titles, note), ("first", "type", "second", "note"))])
+    return named.where("first != '' or type != '' or second != '' or note != ''")
+
+
+class Reloaded:
+    """A table of files that is read again when the files change: their times and sizes are looked at before each use."""
+
+    def __init__(self, spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame]):
+        self.spark, self.path, self.read = spark, path, read
+        self.state, self.table = None, None
+
+    def _now(self) -> list[tuple]:
+        at, fs = _file_system(self.spark, self.path)
+        found = list(fs.listStatus(at)) if fs.exists(at) else []
+        return sorted((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in found)
+
+    def __call__(self) -> DataFrame:
+        now = self._now()
+        if now != self.state:
+            self.spark.catalog.refreshByPath(self.path)
+            self.state, self.table = now, self.read(self.spark, self.path)
+        return self.table
+
+
 def replace_batch(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
     """Write the batches in df in place of what path holds of them; other batches stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,35 +18,57 @@ def stage(rows: DataFrame, path: str, batch_no: int) -> None:
     replace_batch(rows.withColumn("batch_id", F.format_string("B%06d", F.lit(batch_no))).withColumn("stage_seq", F.lit(batch_no)), path)
 
 
-def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_a_batch: int = 1, max_batches: int | None = None) -> int:
+def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_a_batch: int = 1, max_batches: int | None = None, passes: Callable[[DataFrame], bool] | None = None) -> int:
     """Process the files of a folder that earlier runs haven't, batch by batch; a batch that is replayed replaces itself.
 
-    The stream's checkpoint is the cursor: it moves when a batch has been staged. Returns the number of batches of this run.
+    The stream's checkpoint is the cursor: it moves when a batch has been staged and `passes`, if given, is true of it; a batch
+    that fails is tried again by the next run. Returns the number of batches that passed. With max_batches the query is
+    stopped from outside after so many; what it may have begun by then isn't staged and is left to the next run.
     """
-    done = []
+    done: list[int] = []
+    enough = Event()
 
     def one(frame: DataFrame, number: int) -> None:
-        if max_batches is not None and len(done) >= max_batches:
-            raise StopIteration
-        stage(transform(frame), out, number + 1)
+        if enough.is_set():
+            raise Halted
+        made = transform(frame)
+        stage(made, out, number + 1)
+        if passes is not None and not passes(made):
+            enough.set()
+            raise Halted
         done.append(number)
+        if max_batches is not None and len(done) >= max_batches:
+            enough.set()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        # the only failure that is meant is the one that one() raises itself
+        if not enough.is_set():
+            raise
     return len(done)
 
 
+class Halted(Exception):
+    """A batch that isn't to be taken in this run."""
+
+
 def progress(rows: DataFrame, staged: DataFrame, position: str, size: int, failed: DataFrame | None = None) -> DataFrame:
-    """One row: rows in all, rows staged, the next batch, and the state; the cursor stops before the first failed batch."""
-    planned = batches(rows, position, size).select("batch_id").distinct()
-    have = staged.select("batch_id").distinct()
+    """One row: rows in all, rows staged, rows that are left, the next batch, and the state; the cursor stops before the first
+    failed batch."""
+    planned = batches(rows, position, size).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    have = staged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_staged")).withColumn("passed", F.lit(True))
     if failed is not None:
-        have = have.join(failed.select("batch_id"), "batch_id", "left_anti")
-    nxt = planned.join(have, "batch_id", "left_anti").agg(F.min("batch_id").alias("next_batch"))
-    counts = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    state = F.when(F.col("next_batch").isNull(), "complete").otherwise("open")
-    return counts.join(staged.agg(F.count(F.lit(1)).alias("n_staged"))).join(nxt).withColumn("state", state)  # three rows of one
+        have = have.join(failed.select("batch_id", F.lit(False).alias("ok")).distinct(), "batch_id", "left").withColumn("passed", F.coalesce("ok", "passed")).drop("ok")
+    both = planned.join(have, "batch_id", "full")
+    told = both.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("n_staged"), F.lit(0)).alias("n_staged"),
+        F.min(F.when(F.col("n").isNotNull() & ~F.coalesce("passed", F.lit(False)), F.col("batch_id"))).alias("next_batch"),
+    )
+    return told.select("n_rows", "n_staged", "next_batch", F.when(F.col("next_batch").isNull(), "complete").otherwise("open").alias("state"))
 
 
 def qc(rows: DataFrame, cells: DataFrame, items: DataFrame, relations: DataFrame, unresolved: DataFrame) -> DataFrame:
