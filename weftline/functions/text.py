@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.fixed import DOCUMENT_PREFIXES, LOOKALIKES, NO, NO_DOCUMENT, YES
+from weftline.functions.fixed import DOCUMENT_PREFIXES, LOOKALIKES, NO, NO_DOCUMENT, SIDECAR, YES
 
 
 def _steps(x: Column, *steps: tuple[str, str]) -> Column:
@@ -210,3 +210,41 @@ def safe_path(x: Column) -> Column:
 def cell_value(x: Column) -> Column:
     """Kind of a cell literal: formula, json or text."""
     return F.when(F.startswith(x, F.lit("=")), "formula").when(F.try_parse_json(x).isNotNull(), "json").otherwise("text")
+
+
+def asset_path(x: Column) -> Column:
+    """A safe asset path with plain slashes; null for any other."""
+    return F.when(safe_path(x), F.replace(x, F.lit("\\"), F.lit("/")))
+
+
+def markdown_path(x: Column) -> Column:
+    """Where the Markdown of a source file goes: its extension replaced."""
+    return F.concat(F.regexp_replace(x, r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(".md"))
+
+
+def sidecar_path(x: Column) -> Column:
+    """Where the sidecar of a source file goes: beside it, under its whole name."""
+    return F.concat(x, F.lit(SIDECAR))
+
+
+def upload_name(x: Column) -> Column:
+    """The last part of a name, signs that file systems refuse replaced; null if nothing or no PDF is left."""
+    leaf = F.element_at(F.split(F.url_decode(F.regexp_replace(F.trim(x), r"\+", "%2B")), r"[/\\]"), -1)
+    plain = F.regexp_replace(F.regexp_replace(leaf, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[. ]+$", "")
+    return F.when(F.lower(plain).rlike(r".\.pdf$"), plain)
+
+
+def utc_now() -> Column:
+    """This moment as ISO text in UTC."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def json_value(x: Column, kind: T.DataType) -> Column:
+    """A cell's value as JSON tools write it: dates and times as ISO text, stretches of time in seconds, all else as text."""
+    if isinstance(kind, T.DateType):
+        return F.date_format(x, "yyyy-MM-dd")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    if isinstance(kind, T.DayTimeIntervalType):
+        return (F.extract(F.lit("DAY"), x) * 86400 + F.extract(F.lit("HOUR"), x) * 3600 + F.extract(F.lit("MINUTE"), x) * 60 + F.extract(F.lit("SECOND"), x)).cast("double").cast("string")
+    return x.cast("string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.functions.fixed import RELATION_TYPES
 from weftline.operators.rows import last_write_wins
@@ -52,3 +53,28 @@ def after_restart(states: DataFrame) -> DataFrame:
 def admitted(states: DataFrame, wanted: int, workers: int, slots: int) -> bool:
     """Whether a batch fits: all of it or nothing."""
     return states.where(F.col("state").isin("queued", "running")).count() + wanted <= workers + slots
+
+
+def dealt(states: DataFrame, workers: int) -> DataFrame:
+    """Queued jobs that start now, the oldest first, each with the number of the free worker that takes it."""
+    busy = states.where("state = 'running'").count()
+    free = max(0, workers - busy)
+    first = states.where("state = 'queued'").orderBy("created", "job_id").limit(free)  # no more than there are workers
+    return first.withColumn("worker", F.row_number().over(Window.orderBy("created", "job_id")) + busy)
+
+
+def gauges(devices: DataFrame, states: DataFrame, slots: int) -> DataFrame:
+    """One row: devices and their memory in all and in use, jobs that run and wait, and slots that are left."""
+    memory = devices.agg(F.count(F.lit(1)).alias("devices"), F.coalesce(F.sum("total"), F.lit(0)).alias("memory_total"), F.coalesce(F.sum("used"), F.lit(0)).alias("memory_used"))
+    jobs = states.agg(F.count_if(F.col("state") == "running").alias("running"), F.count_if(F.col("state") == "queued").alias("queued"))
+    return memory.join(F.broadcast(jobs)).withColumn("free_slots", F.greatest(F.lit(0), F.lit(slots) - F.col("queued")))  # two rows of one
+
+
+def with_references(items: DataFrame, references: DataFrame) -> DataFrame:
+    """items (index) with the one shared reference, or each with that of its own index; any other number of them is an error."""
+    n, m = items.count(), references.count()
+    if m == 1:
+        return items.join(F.broadcast(references.drop("index")))  # one row
+    if m != n:
+        raise ValueError("give one reference for all items, or one for each")
+    return items.join(references, "index")

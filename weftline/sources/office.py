@@ -9,7 +9,7 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from weftline.sources.files import docx_paragraphs, xlsx_cells
+from weftline.sources.files import cell_place, docx_paragraphs, xlsx_cells
 
 _MAIN = "http://schemas.openxmlformats.org/"
 _W, _S = f"{_MAIN}wordprocessingml/2006/main", f"{_MAIN}spreadsheetml/2006/main"
@@ -56,14 +56,6 @@ def literal(text: str) -> tuple[str, object]:
     return ("boolean" if isinstance(value, bool) else "number", value) if isinstance(value, (bool, int, float)) else ("text", text if value is None else str(value))
 
 
-def _place(cell: str) -> tuple[int, int]:
-    letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", cell).groups()
-    column = 0
-    for c in letters:
-        column = 26 * column + ord(c) - 64
-    return int(digits), column
-
-
 def _cell(name: str, text: str) -> str:
     kind, value = literal(text)
     if kind == "formula":
@@ -78,8 +70,8 @@ def new_xlsx(sheets: dict[str, dict[str, str]]) -> bytes:
     parts, kinds = {}, {"xl/workbook.xml": "spreadsheetml.sheet.main"}
     for i, cells in enumerate(sheets.values(), 1):
         rows: dict[int, list[str]] = {}
-        for name in sorted(cells, key=_place):
-            rows.setdefault(_place(name)[0], []).append(_cell(name, cells[name]))
+        for name in sorted(cells, key=cell_place):
+            rows.setdefault(cell_place(name)[0], []).append(_cell(name, cells[name]))
         data = "".join(f'<row r="{r}">{"".join(c)}</row>' for r, c in rows.items())
         parts[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{_S}"><sheetData>{data}</sheetData></worksheet>'
         kinds[f"xl/worksheets/sheet{i}.xml"] = "spreadsheetml.worksheet"
@@ -93,6 +85,13 @@ def new_xlsx(sheets: dict[str, dict[str, str]]) -> bytes:
     })
 
 
+def checked_output(source: str | None, target: str, overwrite: bool = False) -> str:
+    """The target of an edit, refused if it is the source and that isn't allowed."""
+    if source is not None and source == target and not overwrite:
+        raise ValueError("the original would be overwritten: use another path, or allow it")
+    return target
+
+
 def set_cells(raw: bytes, sheet: str, values: dict[str, str]) -> bytes:
     """A workbook with cells assigned by key over those that it has."""
     sheets: dict[str, dict[str, str]] = {}
