@@ -7,12 +7,12 @@ from collections import Counter
 import numpy as np
 
 from weftline.llm import lmscore as L
+from weftline.llm.queries import op3_lm_scoring
 
 
 def brute(rows, targets):
-    words = {i: (t or "").lower().split() for i, t in rows}
-    vocab = {w for w, n in Counter(w for x in words.values() for w in x).items() if n >= 2}
-    ids = {i: ["<s>", *(w if w in vocab else "<u>" for w in x)] for i, x in words.items()}
+    words = {i: [w.decode() for w in (t or "").encode().lower().split()] for i, t in rows}
+    ids = {i: ["<s>", *x] for i, x in words.items()}
 
     def model(of):
         uni, ctx, big = Counter(), Counter(), Counter()
@@ -23,7 +23,6 @@ def brute(rows, targets):
         return uni, ctx, big
 
     everything, target = model(ids), model(targets)
-    kept = {k for k, n in everything[2].items() if n >= 2}
     types = len(everything[0]) + 1
     even = sum(target[0].values()) / sum(everything[0].values())
     out = {}
@@ -37,7 +36,7 @@ def brute(rows, targets):
             total, s = share * (sum(uni.values()) - less * (len(x) - 1)), 0.0
             for a, b in zip(x, x[1:]):
                 p = (share * (uni[b] - less * own[0][b]) + L.UNSEEN) / (total + L.UNSEEN * types)
-                pair = share * (big[a, b] - less * own[2][a, b]) if (a, b) in kept else 0.0
+                pair = share * (big[a, b] - less * own[2][a, b])
                 seen = share * (ctx[a] - less * own[1][a])
                 s -= math.log((pair + L.BACKOFF * p) / (max(seen, pair) + L.BACKOFF))
             loss.append(s / (len(x) - 1))
@@ -69,10 +68,33 @@ def test_odd_tables(spark):
     assert L.score(df.limit(0), none).count() == 0
 
 
-def test_cutoff_keeps_the_bound():
-    assert L._cutoff([(1, 100), (2, 10), (5, 3)], 13) == 2
-    assert L._cutoff([(1, 100), (2, 10), (5, 3)], 12) == 5
-    assert L._cutoff([(5, 30)], 12) == 6 and L._cutoff([], 5) == 2
+def test_query_on_the_whole_table(spark):
+    """The registered query against plain counts of all its documents."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    targets = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    want = brute([(r.doc_id, r.text) for r in docs], targets & {r.doc_id for r in docs})
+    got = {r.doc_id: r for r in op3_lm_scoring(spark, d).collect()}
+    assert set(got) == set(want)
+    for i, (n, t, b) in want.items():
+        assert got[i].n_tokens == n and (t is None or np.allclose([got[i].target_loss, got[i].background_loss], [t, b], atol=2e-6))
+
+
+def test_packing_of_counts():
+    r = np.random.default_rng(0)
+    for n in (1, 5, 1000):
+        keys = np.unique(r.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        counts = r.integers(0, 2**40, (L.COUNTS, len(keys)))
+        k, c = L.unpacked(L.packed(keys, counts))
+        assert (k == keys).all() and (c == counts).all()
+
+
+def test_long_texts_by_slices(monkeypatch):
+    text = b" One two\x0bthree  \xc3\x89 four\n" * 50
+    want = L.word_keys(text, {})
+    monkeypatch.setattr(L, "SLICE", 17)
+    assert (L.word_keys(text, {}) == want).all() and len(want) == 250 and not (want & np.uint64(1)).any()
+    assert len(L.word_keys(b"x" * 100, {})) == 1 and len(L.word_keys(None, {})) == 0
 
 
 def test_models_grow_with_the_corpus(spark):
@@ -87,9 +109,9 @@ def test_models_grow_with_the_corpus(spark):
         assert np.allclose([x.target_loss, x.background_loss], want[x.doc_id][1:], atol=1e-5)
 
 
-def test_what_is_shipped_changes_no_score(spark):
+def test_buckets_change_no_score(spark):
     r = random.Random(3)
     rows = [(i % 150, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(1, 80)))) for i in range(160)] + [(None, "w1 w2 w9"), (7, "w1 w2"), (7, "w1 w2")]
     df, chosen = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in range(0, 150, 2)], "doc_id long")
-    told = [sorted((x.doc_id or -1, x.n_tokens, round(x.target_loss, 9), round(x.background_loss, 9)) for x in L.score(df, chosen, most=most).collect()) for most in (0, 20, 1 << 20)]
+    told = [sorted((x.doc_id or -1, x.n_tokens, round(x.target_loss, 9), round(x.background_loss, 9)) for x in L.score(df, chosen, bucket=bucket).collect()) for bucket in (1, 200, 1 << 21)]
     assert len(told[0]) == len(rows) and told[0] == told[1] == told[2]

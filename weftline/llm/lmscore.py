@@ -4,268 +4,253 @@ A target and a background model with one vocabulary, one order and one smoothing
 corpora; a document's score is the mean over its tokens of the background loss less the target loss. A document's own counts
 are left out of both models while it is scored, so that no text is judged by itself.
 
-Every word that occurs LEAST_COUNT times or more is in the vocabulary and every bigram that does is in the models, whatever the
-size of the corpus; words that occur once are one unknown word. Words and bigrams are known by 64-bit hashes. A head of at
-most HEAD of them, those most frequent in a sample, is counted exactly in each task and shipped; which ones it holds changes the
-cost, never a score. All others are postings (key, row) that are dealt by key, counted there and sent back to their rows. One
-that no other row holds isn't sent back: without its own counts nothing is left of it.
+Every word is in the vocabulary and every bigram in the models, whatever the size of the corpus; both are known by 64-bit hashes.
+Documents are written in blocks of a few MB. Each block's distinct words and bigrams with their counts are sent, packed, to
+buckets of the hashes; a bucket adds them up and sends back to each block those that several documents hold. A key that no other
+document holds isn't sent back: without its own counts nothing is left of it. A block is then scored with its texts at hand. So
+a key costs some bytes a block on each way, and neither the driver nor any task holds a model.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm.common import as_id, bounded_batches, session_of, stash
 
-LEAST_COUNT = 2
-#: Words and bigrams that are shipped, and tokens of the sample they are chosen from.
-HEAD, SAMPLE = 1 << 20, 2_000_000
 #: Pseudo-counts of the backed-off distribution in a context, and of an unseen word.
 BACKOFF, UNSEEN = 50.0, 0.5
-#: Keys of their own: the context of a first word, a word that occurs once, any token.
-START, UNKNOWN, TOKEN = 0, 1, 2
-#: Head counts that travel as one row.
-CHUNK = 1 << 16
+#: Word keys of their own: the context of a first word, and any token.
+START, TOKEN = 0, 2
+#: Keys that a bucket adds up at once, about.
+BUCKET = 1 << 21
+#: Bytes of a text whose words are listed at once.
+SLICE = 1 << 22
+#: Counts that travel with a key: tokens, tokens of target documents, these as the last word of a text, documents.
+COUNTS = 5
 
 _hash = xxhash.xxh3_64_intdigest
+_space = re.compile(rb"[\x20\x09-\x0D]")
+_ODD = np.uint64(1)
 
 
-def _hashed(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    for w in set(words):
-        if w not in memo:
-            memo[w] = _hash(w)
-    return np.fromiter((memo[w] for w in words), np.uint64, len(words))
+def _slices(text: bytes) -> Iterator[bytes]:
+    """A text in parts that end between words."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = m.start() if (m := _space.search(text, at + SLICE)) else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, row) over all documents of (row, text): a word's hash, its count and the smallest row that holds it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter[bytes] = Counter()
-            least: dict[bytes, int] = {}
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                own = (text or b"").lower().split()
-                count.update(own)
-                for w in own:
-                    if least.setdefault(w, row) > row:
-                        least[w] = row
-            h = _hashed(list(count), {}).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(count.values()), pa.int64()), pa.array([least[w] for w in count], pa.int64())], names=["word", "n", "row"])
-
-    return docs.select("row", "text").mapInArrow(run, "word long, n long, row long").groupBy("word").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
-
-
-def _cutoff(histogram: list[tuple[int, int]], most: int) -> int:
-    """The smallest count with at most `most` entries at or above it, and LEAST_COUNT at least."""
-    left, cut = most, None
-    for n, entries in sorted(histogram, reverse=True):
-        if entries > left:
-            break
-        left, cut = left - entries, n
-    return max(cut if cut is not None else max((n for n, _ in histogram), default=0) + 1, LEAST_COUNT)
-
-
-def _bigrams(ids: np.ndarray) -> np.ndarray:
-    """Keys of each word after the one before it, the start of the text being the first word's context."""
-    x = np.concatenate([[np.uint64(START)], ids[:-1]]) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ (x >> np.uint64(32))) + ids) * np.uint64(0xC2B2AE3D27D4EB4F)
+def word_keys(text: bytes | None, memo: dict[bytes, int]) -> np.ndarray:
+    """Keys of the words of a text; even numbers."""
+    out = []
+    for part in _slices(text or b""):
+        words = part.lower().split()
+        for w in set(words) - memo.keys():
+            memo[w] = _hash(w) & ~1
+        out.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(out)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of bigrams; odd numbers."""
+    x = (first + _ODD) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) | _ODD
 
 
 class Terms:
-    """A text's distinct keys with its own counts, and the places of its tokens among them."""
-
-    def __init__(self, ids: np.ndarray) -> None:
-        words, second, n = np.unique(ids, return_inverse=True, return_counts=True)
-        pairs, pair, m = np.unique(_bigrams(ids), return_inverse=True, return_counts=True)
-        self.keys = np.concatenate([np.array([START, TOKEN], np.uint64), words, pairs])
-        self.own = np.concatenate([[1, len(ids)], n, m])
-        self.last = np.zeros(len(self.keys), np.int64)
-        self.last[2 + second[-1]] = 1
-        self.second, self.pair = 2 + second, 2 + len(words) + pair
-        self.context = np.concatenate([[0], self.second[:-1]])
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """Word ids of the texts of a batch of (text, once, ...), once being the hashes of words that occur nowhere else."""
-    memo: dict[bytes, int] = {}
-    for text, once in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-        ids = _hashed((text or b"").lower().split(), memo)
-        if once:
-            ids[np.isin(ids, np.array(once, np.int64).view(np.uint64))] = UNKNOWN
-        yield ids
-
-
-def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-
-
-def head_keys(base: DataFrame, tokens: int, most: int, sample: int = SAMPLE) -> np.ndarray:
-    """Sorted keys: START, UNKNOWN, TOKEN and at most `most` others, the most frequent of about `sample` tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [Terms(ids) for ids in _texts(batch) if len(ids)]
-            if got:
-                keys, n = _sum(np.concatenate([x.keys for x in got]), np.concatenate([x.own for x in got]))
-                yield pa.RecordBatch.from_arrays([pa.array([keys.astype("<u8").tobytes()], pa.binary()), pa.array([n.astype("<u4").tobytes()], pa.binary())], names=["k", "n"])
-
-    share = min(1.0, sample / max(tokens, 1))
-    picked = base.where(F.pmod(F.xxhash64(F.lit("head"), "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = picked.select("text", "once").mapInArrow(run, "k binary, n binary").collect()
-    fixed = np.array([START, UNKNOWN, TOKEN], np.uint64)
-    if not rows:
-        return fixed
-    keys, n = _sum(np.concatenate([np.frombuffer(r["k"], "<u8") for r in rows]), np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows]))
-    counts, entries = np.unique(n, return_counts=True)
-    return np.union1d(fixed, keys[n >= _cutoff(list(zip(counts.tolist(), entries.tolist())), most)])
-
-
-def _in_head(head: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-    return at, head[at] == keys
+    """The distinct keys of some documents (with words), and where each token's word, context and bigram are among them.
 
+    keys are sorted; group numbers the distinct (key, document) pairs, with the key of each, its document and own counts.
+    """
 
-def head_counts(base: DataFrame, head: np.ndarray) -> np.ndarray:
-    """Counts of the head: over all and over target documents, then those as the last word of a text."""
-    size = -(-len(head) // CHUNK) * CHUNK
+    def __init__(self, texts: list[bytes | None], targets: list[bool]) -> None:
+        memo: dict[bytes, int] = {}
+        words = [word_keys(t, memo) for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.target = np.array(targets, bool)
+        full = np.flatnonzero(self.sizes)
+        doc = np.repeat(np.arange(len(texts)), self.sizes)
+        w = np.concatenate(words) if words else np.empty(0, np.uint64)
+        n, begins = len(w), (np.cumsum(self.sizes) - self.sizes)[full]
+        before = np.concatenate([[np.uint64(START)], w[:-1]]) if n else w
+        before[begins] = START
+        last = np.zeros(n, bool)
+        last[(np.cumsum(self.sizes) - 1)[full]] = True
+        # words, bigrams, and for each text its start and its tokens
+        m = len(full)
+        every = np.concatenate([w, pair_keys(before, w), np.full(m, START, np.uint64), np.full(m, TOKEN, np.uint64)])
+        of = np.concatenate([doc, doc, full, full])
+        weight = np.concatenate([np.ones(2 * n + m, np.int64), self.sizes[full]])
+        final = np.concatenate([last, np.zeros(n + 2 * m, bool)])
+        order = np.argsort(every, kind="stable")
+        k, d = every[order], of[order]
+        new_key = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
+        new_group = new_key.copy()
+        new_group[1:] |= d[1:] != d[:-1]
+        at = np.flatnonzero(new_group)
+        self.keys, self.doc = k[new_key], d[at]
+        self.key_of = np.cumsum(new_key)[at] - 1
+        self.own = np.add.reduceat(weight[order], at) if len(at) else weight
+        self.last = np.add.reduceat(final[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        group = np.empty(len(k), np.int64)
+        group[order] = np.cumsum(new_group) - 1
+        self.word, self.pair = group[:n], group[n : 2 * n]
+        start = np.empty(len(texts), np.int64)
+        start[full] = group[2 * n : 2 * n + m]
+        self.tokens = np.zeros(len(texts), np.int64)
+        self.tokens[full] = group[2 * n + m :]
+        self.context = np.concatenate([[0], self.word[:-1]]) if n else self.word
+        self.context = self.context.copy()
+        self.context[begins] = start[full]
+        self.token_doc = doc
+
+    def counts(self) -> np.ndarray:
+        """COUNTS by key over these documents."""
+        hit = self.target[self.doc]
+        rows = (self.own, self.own * hit, self.last, self.last * hit, np.ones(len(self.doc), np.int64))
+        return np.stack([np.bincount(self.key_of, weights=x, minlength=len(self.keys)) for x in rows]).astype(np.int64)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys with counts by key, small: steps and counts by place value, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    rows = np.ascontiguousarray(np.concatenate([steps[None], counts.astype("<u8")]))
+    raw = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), len(keys), 8).transpose(0, 2, 1)).tobytes()
+    return len(keys).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    raw = pa.decompress(blob[4:], decompressed_size=n * 8 * (COUNTS + 1), codec="zstd", asbytes=True)
+    rows = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(COUNTS + 1, 8, n).transpose(0, 2, 1)).view("<u8")[:, :, 0]
+    return np.cumsum(rows[0], dtype=np.uint64), rows[1:].astype(np.int64)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs plus block: rows that are written together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, size), np.int64)
-        for batch in batches:
-            for ids, target in zip(_texts(batch), batch.column(2).to_pylist()):
-                if len(ids):
-                    x = Terms(ids)
-                    at, ok = _in_head(head, x.keys)
-                    at, own, last = at[ok], x.own[ok], x.last[ok]
-                    sums[0, at] += own
-                    sums[2, at] += last
-                    if target:
-                        sums[1, at] += own
-                        sums[3, at] += last
-        chunks = [pa.compress(sums[:, i : i + CHUNK].astype("<i8").tobytes(), codec="zstd", asbytes=True) for i in range(0, size, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "packed"])
-
-    def unpack(blob: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(blob, decompressed_size=32 * CHUNK, codec="zstd", asbytes=True), "<i8").reshape(4, CHUNK)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = unpack(blob)
-                sums[chunk] = sums[chunk] + x if chunk in sums else x
-        packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "packed"])
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, first + i), pa.int64())], names=["id", "text", "target", "block"])
 
-    kind = "chunk int, packed binary"
-    out = np.zeros((4, size), np.int64)
-    for r in base.select("text", "once", "target").mapInArrow(run, kind).repartition("chunk").mapInArrow(merge, kind).collect():
-        out[:, r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpack(bytes(r["packed"]))
-    return out[:, : len(head)]
+    return docs.select("id", "text", "target").mapInArrow(run, "id long, text string, target boolean, block long")
 
 
-def tail_counts(base: DataFrame, head: np.ndarray) -> DataFrame:
-    """(row, tail): per row the keys outside the head that other rows hold too, with their counts as of head_counts."""
+def sent(base: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, blob): the keys of each block, by ranges of the keys."""
+    shift = np.uint64(64 - max(buckets - 1, 0).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, own = [], [], []
-            for ids, target, row in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if len(ids):
-                    x = Terms(ids)
-                    out = ~_in_head(head, x.keys)[1]
-                    keys.append(x.keys[out])
-                    rows.append(np.full(len(keys[-1]), row, np.int64))
-                    own.append(x.own[out] << 2 | x.last[out] << 1 | int(target))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(own).astype(np.int32))], names=["key", "row", "own"])
-
-    flat = base.select("text", "once", "target", "row").mapInArrow(run, "key long, row long, own int")
-    n, last, target = F.shiftright("own", 2).cast("long"), F.shiftright("own", 1).bitwiseAND(F.lit(1)).cast("long"), F.col("own").bitwiseAND(F.lit(1)).cast("long")
-    by = Window.partitionBy("key")
-    told = flat.select("key", "row", n.alias("own"), *[F.sum(c).over(by).alias(a) for a, c in (("n", n), ("t", n * target), ("l", last), ("lt", last * target))])
-    return told.where("n > own").groupBy("row").agg(F.collect_set(F.struct("key", "n", "t", "l", "lt")).alias("tail"))
-
-
-def losses(x: Terms, own_target: bool, counts: np.ndarray, totals: tuple[float, float, float]) -> tuple[float, float]:
-    """Mean target and background loss of a text's tokens in nats, its own counts left out; counts are those of its keys,
-    totals the tokens of the target, the tokens of all, and the word types with the unknown one."""
-    in_target, in_all, types = totals
+            block = batch.column(3).to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
+            for a, b in zip(ends[:-1], ends[1:]):
+                part = batch.slice(a, b - a)
+                x = Terms(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist())
+                if not len(x.keys):
+                    continue
+                counts = x.counts()
+                place = (x.keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(x.keys), np.int64)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+                blobs = [packed(x.keys[i:j], counts[:, i:j]) for i, j in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]]), pa.array(np.full(len(blobs), block[a]), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+
+    return base.select("id", "text", "target", "block").mapInArrow(run, "bucket long, block long, blob binary")
+
+
+def returned(messages: DataFrame) -> DataFrame:
+    """(block, words, blob): per bucket and block the keys that several documents hold with their counts over all blocks; and
+    per bucket one row of a null block with the number of distinct words."""
+
+    def add(table: pa.Table) -> pa.Table:
+        got = [unpacked(b.as_py()) for b in table["blob"]]
+        ends = np.cumsum([0, *(len(k) for k, _ in got)])
+        keys, at = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+        total = np.zeros((COUNTS, len(keys)), np.int64)
+        for i, (_, counts) in enumerate(got):
+            total[:, at[ends[i] : ends[i + 1]]] += counts
+        shared = total[-1] > 1
+        blobs, blocks_ = [], []
+        for i, (own, _) in enumerate(got):
+            mine = at[ends[i] : ends[i + 1]]
+            keep = shared[mine]
+            if keep.any():
+                blobs.append(packed(own[keep], total[:, mine[keep]]))
+                blocks_.append(table["block"][i].as_py())
+        words = int((keys & _ODD == 0).sum() - np.isin(keys, [START, TOKEN]).sum())
+        return pa.table({"block": pa.array([*blocks_, None], pa.int64()), "words": pa.array([0] * len(blobs) + [words], pa.int64()), "blob": pa.array([*blobs, None], pa.binary())})
+
+    return messages.groupBy("bucket").applyInArrow(add, "block long, words long, blob binary")
+
+
+def losses(x: Terms, keys: np.ndarray, counts: np.ndarray, types: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean target and background loss in nats of each text's tokens, its own counts left out, given the sorted keys that others
+    hold too and their counts; texts without words get nan."""
+    place = np.searchsorted(keys, x.keys)
+    place[place == len(keys)] = 0
+    known = (keys[place] == x.keys) if len(keys) else np.zeros(len(x.keys), bool)
+    whole = np.where(known, counts[:, place] if len(keys) else 0, 0)[:, x.key_of].astype(float)
+    mine = x.target[x.doc]
     out = []
+    # a key that isn't known has no counts but its own
+    rest = lambda total, own: np.where(known[x.key_of], total - own, 0.0)
+    sides = ((rest(whole[1], x.own * mine), rest(whole[3], x.last * mine)), (rest(whole[0], x.own), rest(whole[2], x.last)))
+    tokens = [side[0][x.tokens] for side in sides]  # of the other documents, by text
     # background counts are brought to the size of the target, so that smoothing weighs as much in both
-    even = in_target / max(in_all, 1.0)
-    for n, last, tokens, less, share in ((counts[1], counts[3], in_target, own_target, 1.0), (counts[0], counts[2], in_all, True, even)):
-        rest, context = np.maximum(n - less * x.own, 0), np.maximum(n - last - less * (x.own - x.last), 0)
-        total = share * max(tokens - less * len(x.second), 0)
-        p_word = (share * rest[x.second] + UNSEEN) / (total + UNSEEN * types)
-        pair, seen = share * rest[x.pair], share * context[x.context]
-        out.append(float(-np.log((pair + BACKOFF * p_word) / (np.maximum(seen, pair) + BACKOFF)).mean()))
+    at = np.searchsorted(keys, np.uint64(TOKEN))
+    in_all, in_target = (float(counts[i, at]) if at < len(keys) and keys[at] == TOKEN else 0.0 for i in (0, 1))
+    for (own, last), total, share in zip(sides, tokens, (1.0, in_target / max(in_all, 1.0))):
+        d = x.token_doc
+        p_word = (share * own[x.word] + UNSEEN) / (share * total[d] + UNSEEN * types)
+        pair, seen = share * own[x.pair], share * (own - last)[x.context]
+        loss = -np.log((pair + BACKOFF * p_word) / (np.maximum(seen, pair) + BACKOFF))
+        with np.errstate(invalid="ignore"):
+            out.append(np.bincount(d, weights=loss, minlength=len(x.sizes)) / np.where(x.sizes > 0, x.sizes, np.nan))
     return out[0], out[1]
 
 
-def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score, in_target) of every row of docs; targets holds ids in id_col.
 
     The background is all of docs. score is background_loss - target_loss: above 0, the text is more like the target. Texts
-    that are null or have no word have no losses and a null score. Rows that repeat an id are scored, and counted, one by
-    one; null ids are never targets; an empty table gives no rows, an empty target is a model of pseudo-counts alone.
-    `most` bounds what is shipped and changes no result.
+    that are null or have no word have no losses and a null score. Ids are whole numbers, others count as null; rows that repeat
+    an id are scored, and counted, one by one; null ids are never targets. Other columns are left out; an empty table gives no
+    rows, an empty target is a model of pseudo-counts alone. `bucket` bounds what a task adds up and changes no result.
     """
     spark = session_of(docs)
     bounded_batches(spark)
-    # equal rows share a number, which is right: none of their words occurs once, and they are joined to the same counts
+    chosen = targets.select(as_id(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
     keyed = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
-    words = stash(word_counts(keyed), "words")
-    chosen = targets.select(as_id(id_col).alias("id")).where("id is not null").distinct()
-    once = words.where(F.col("n") < LEAST_COUNT).select("row", "word", F.lit(False).alias("target"))
-    wanted = keyed.select("id", "row").join(chosen, "id").select("row", F.lit(None).cast("long").alias("word"), F.lit(True).alias("target"))
-    about = once.unionByName(wanted).groupBy("row").agg(F.collect_list("word").alias("once"), F.max("target").alias("target"))
-    base = stash(keyed.join(about, "row", "left").withColumn("target", F.coalesce("target", F.lit(False))), "texts")
-    seen = words.agg(F.sum("n"), F.count_if(F.col("n") >= LEAST_COUNT), F.count_if(F.col("n") < LEAST_COUNT)).first()
-    tokens, types = seen[0] or 0, seen[1] + (seen[2] > 0) + 1
-    head = head_keys(base, tokens, most)
-    counts = head_counts(base, head)
-    at = int(np.searchsorted(head, np.uint64(TOKEN)))
-    totals = float(counts[1, at]), float(counts[0, at]), float(types)
-    counts = counts.astype(np.int32 if tokens < 1 << 31 else np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, t, b = [], [], []
-            tail = batch.column(4)
-            bounds = np.concatenate([[0], np.cumsum(np.nan_to_num(tail.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
-            flat = [c.to_numpy(zero_copy_only=False) for c in tail.flatten().flatten()]
-            for i, (ids, is_target) in enumerate(zip(_texts(batch), batch.column(2).to_pylist())):
-                n.append(len(ids))
-                lt, lb = None, None
-                if len(ids):
-                    x = Terms(ids)
-                    place, ok = _in_head(head, x.keys)
-                    own = np.where(ok, counts[:, place], 0).astype(float)
-                    if bounds[i] < bounds[i + 1]:
-                        keys, *values = (c[bounds[i] : bounds[i + 1]] for c in flat)
-                        order = np.argsort(keys := keys.view(np.uint64))
-                        place, ok = _in_head(keys[order], x.keys)
-                        own[:, ok] = np.stack(values)[:, order[place[ok]]]
-                    # a key that no other row holds has no counts but its own, and these are left out
-                    lt, lb = losses(x, is_target, own, totals)
-                t.append(lt)
-                b.append(lb)
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), batch.column(2)], names=["id", "n", "t", "b", "in_target"])
-
-    whole = base.join(tail_counts(base, head), "row", "left").select("text", "once", "target", "id", "tail")
-    told = whole.mapInArrow(run, "id long, n long, t double, b double, in_target boolean")
+    base = stash(blocks(keyed.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "blocks")
+    size = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    # a token is some six signs, and brings two keys at the most
+    messages = sent(base, 1 << (max(1, size // 3 // bucket) - 1).bit_length())
+    back = stash(returned(messages), "counts")
+    types = (back.agg(F.sum("words")).first()[0] or 0) + 1
+    kind = "id long, n long, t double, b double, in_target boolean"
+
+    def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
+        got = sorted((unpacked(b.as_py()) for b in told["blob"]), key=lambda g: g[0][0])
+        keys = np.concatenate([k for k, _ in got]) if got else np.empty(0, np.uint64)
+        counts = np.concatenate([c for _, c in got], axis=1) if got else np.zeros((COUNTS, 0), np.int64)
+        x = Terms(texts["text"].cast(pa.binary()).to_pylist(), texts["target"].to_pylist())
+        t, b = losses(x, keys, counts, types) if len(x.keys) else (np.full(len(x.sizes), np.nan),) * 2
+        number = lambda v: pa.array(v, pa.float64(), from_pandas=True)
+        return pa.table({"id": texts["id"], "n": pa.array(x.sizes), "t": number(t), "b": number(b), "in_target": texts["target"]})
+
+    told = base.groupBy("block").cogroup(back.where("block is not null").select("block", "blob").groupBy("block")).applyInArrow(judge, kind)
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("b") - F.col("t")).alias("score"), "in_target")
