@@ -91,10 +91,38 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, percent=85)
 
 
+#: Classes of links between documents, by reachability: the smallest id that a document reaches.
+_REACHED = """reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT e.v, r.c FROM reach r JOIN edges e ON e.u = r.id), least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY 1)"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), places AS (
+  SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 5 THEN range(1, len(ws) - 3) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM w
+), sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], chr(10)) AS s FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM both_ JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links), nodes AS (SELECT doc_id AS id FROM documents),
+{_REACHED}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN least ON id = d.doc_id
+"""
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = f"""
+WITH RECURSIVE x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+fine AS (SELECT * FROM x WHERE len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links), nodes AS (SELECT vec_id AS id FROM embeddings),
+{_REACHED}, n AS (SELECT u AS id, count(*) AS n FROM edges GROUP BY 1)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM least LEFT JOIN n USING (id)
+"""
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
@@ -103,4 +131,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
