@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch: long texts make batches of fewer rows, not larger ones.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Edges that one task settles by union-find: some tens of MB, whatever the input.
 ONE_TASK = 300_000
 
@@ -65,13 +65,17 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     names = df.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.rename_columns(names) for batch in batches)
+        yield from run(batch.rename_columns(names) for batch in batches)
+        # workers outlive tasks: what this one needed isn't held against the next
+        pa.default_memory_pool().release_unused()
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of a single file is dealt out over all cores, larger ones come in enough parts."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def as_id(name: str) -> Column:

@@ -33,8 +33,8 @@ PER_DOMAIN = 1000
 #: which its share must differ.
 PREFIX, LEAST_DOCS, LEAST_Z = 6, 5, 4.0
 STEPS, RATE, DECAY = 400, 1.0, 1e-4
-#: Words whose features a worker remembers.
-REMEMBERED = 200_000
+#: Words whose features a task remembers.
+REMEMBERED = 60_000
 ROUNDS = 24
 #: Share of the rarest domain's total that the implicit step may leave, and the least share that a domain counts with.
 RIDGE, LEAST_SHARE = 0.01, 1e-6
@@ -53,27 +53,26 @@ def domain(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good").alias("domain"))
 
 
-_memo: dict[bytes, tuple[int, int]] = {}
-
-
 def _of_word(raw: bytes) -> tuple[int, int]:
     """Buckets of a word without its marks and of its beginning; twice the word's where it is no longer."""
     w = raw.strip(b".,;:!?\"'()").lower()
     at = _hash(w) >> (32 - BITS)
-    got = at, _hash(w[:PREFIX], 1) >> (32 - BITS) if len(w) > PREFIX else at
-    if len(_memo) < REMEMBERED:
-        _memo[raw] = got
-    return got
+    return at, _hash(w[:PREFIX], 1) >> (32 - BITS) if len(w) > PREFIX else at
 
 
-def features(text: bytes) -> tuple[np.ndarray, int]:
-    """Distinct hashed features of a whole text, and its number of words."""
+def features(text: bytes, memo: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, int]:
+    """Distinct hashed features of a whole text, and its number of words; memo is a task's, for words that come again."""
     words = text.split()
     n = len(words)
     kinds = set(words)
     own: set[int] = set()
     for w in kinds:
-        own.update(_memo.get(w) or _of_word(w))
+        got = memo.get(w)
+        if got is None:
+            got = _of_word(w)
+            if len(memo) < REMEMBERED:
+                memo[w] = got
+        own.update(got)
     m = max(n, 1)
     hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
@@ -138,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            got = [features(t or b"")[0].astype(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            got = [features(t or b"", memo)[0].astype(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.int32()))], names=["id", "domain", "at"])
 
     picked = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("id", "text", "domain")
@@ -160,8 +160,9 @@ def posteriors(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            got = [features(t or b"") for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
+            got = [features(t or b"", memo) for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
             p = [_softmax(model.weights[at].sum(axis=0) + model.bias) for at, _ in got]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array([n for _, n in got], pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], names=schema.names

@@ -22,7 +22,7 @@ from weftline.llm.common import bounded_batches, map_batches, session_of, stash
 CAPACITY = 4096
 END_ID = 1
 #: Distinct chunks of text whose ids a Python worker remembers.
-MEMO = 900_000
+MEMO = 400_000
 #: Bytes above which a chunk isn't remembered.
 LONG_CHUNK = 64
 #: Documents of one length are ranked in so many parts, so that one hot length isn't sorted in one task.
