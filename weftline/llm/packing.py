@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,9 @@ from weftline.llm.common import bounded_batches, map_batches, session_of, stash
 CAPACITY = 4096
 END_ID = 1
 #: Distinct chunks of text whose ids a Python worker remembers.
-MEMO = 400_000
+MEMO = 900_000
+#: Bytes of texts whose new chunks are encoded at once, and chunks of one call.
+TOGETHER, LOT = 1 << 20, 2000
 #: Bytes above which a chunk isn't remembered.
 LONG_CHUNK = 64
 #: Documents of one length are ranked in so many parts, so that one hot length isn't sorted in one task.
@@ -49,30 +53,48 @@ def _encoder(path: str, plain: bool):
     their own ids, as its file says, or with `plain` those of ordinary text."""
     import os
 
-    import numpy as np
-
     if (path, plain) not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
+        tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         tok.encode_special_tokens = plain
-        _memos[path, plain] = tok, {}
-    tok, memo = _memos[path, plain]
+        # a control string parts a text before anything else looks at it, so chunks joined by one are encoded as if alone
+        marks = [(i, t.content.encode()) for i, t in sorted(bare.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        _memos[path, plain] = tok, bare, next((m for m in marks if m[1].startswith(b"<|") and len(m[1].split()) == 1), None), {}
+    tok, bare, mark, memo = _memos[path, plain]
+
+    def encoded(chunks: list[bytes]) -> dict[bytes, bytes]:
+        alone = [c for c in chunks if mark is None or b"<|" in c]
+        out = dict(zip(alone, [array("I", e.ids).tobytes() for e in tok.encode_batch_fast([c.decode() for c in alone], add_special_tokens=False)]))
+        rest = [c for c in chunks if c not in out] if alone else chunks
+        lots = [rest[i : i + LOT] for i in range(0, len(rest), LOT)]
+        for lot, e in zip(lots, bare.encode_batch_fast([mark[1].join(lot).decode() for lot in lots], add_special_tokens=False) if lots else []):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == mark[0])).tolist()
+            raw = ids.tobytes()
+            out.update(zip(lot, [raw[i:j] for i, j in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)])]))
+        return out
+
+    def chunks_of(text: bytes) -> list[bytes]:
+        # lower-casing ASCII first changes nothing where no mark could be composed with a letter and no control string be made
+        return (text if b"\xcc" in text or b"<|" in text else text.lower()).split()
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            # lower-casing ASCII first changes nothing where no mark could be composed with a letter and no control string be made
-            if b"\xcc" not in text and b"<|" not in text:
-                text = text.lower()
-            chunks = text.split()
-            new = [c for c in set(chunks) if c not in memo]
-            memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, tok.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)))
-            yield b"".join([memo[c] for c in chunks])
-            full = len(memo) > MEMO  # by then the frequent chunks are there; later ones are encoded where they occur
-            for c in new:
-                if full or len(c) > LONG_CHUNK:
-                    del memo[c]
+        at = 0
+        while at < len(texts):
+            size, group = 0, []
+            while at < len(texts) and (not group or size + len(texts[at]) <= TOGETHER):
+                size += len(texts[at])
+                group.append(chunks_of(texts[at]))
+                at += 1
+            known = [list(map(memo.get, chunks)) for chunks in group]
+            new = encoded(list({c for chunks, ids in zip(group, known) if None in ids for c, x in zip(chunks, ids) if x is None}))
+            for chunks, ids in zip(group, known):
+                yield b"".join([new[c] if x is None else x for c, x in zip(chunks, ids)] if None in ids else ids)
+            # by the time that it is full the frequent chunks are there; later ones are encoded where they occur
+            if len(memo) < MEMO:
+                memo.update((c, x) for c, x in new.items() if len(c) <= LONG_CHUNK)
 
     return encode
 
