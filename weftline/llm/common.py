@@ -55,6 +55,11 @@ def unstash(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, False)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect the plans of finished steps now: Spark deletes a shuffle's files when nothing refers to it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, so that very long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

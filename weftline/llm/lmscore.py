@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_id, bounded_batches, session_of, stash
+from weftline.llm.common import as_id, bounded_batches, drop_shuffles, session_of, stash
 
 #: Pseudo-counts of the backed-off distribution in a context, and of an unseen word.
 BACKOFF, UNSEEN = 50.0, 0.5
@@ -33,6 +34,8 @@ START, TOKEN = 0, 2
 BUCKET = 1 << 21
 #: Bytes of a text whose words are listed at once.
 SLICE = 1 << 22
+#: Bytes of the texts of a block, about; target ids up to which they are shipped instead of dealt with the texts.
+BLOCK, SHIPPED = 3 << 20, 1 << 20
 #: Counts that travel with a key: tokens, tokens of target documents, these as the last word of a text, documents.
 COUNTS = 5
 
@@ -56,7 +59,7 @@ def word_keys(text: bytes | None, memo: dict[bytes, int]) -> np.ndarray:
     out = []
     for part in _slices(text or b""):
         words = part.lower().split()
-        for w in set(words) - memo.keys():
+        for w in set(words).difference(memo):
             memo[w] = _hash(w) & ~1
         out.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
     return np.concatenate(out)
@@ -140,34 +143,50 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs plus block: rows that are written together."""
+    """docs plus block: rows that are written together, some BLOCK bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, first + i), pa.int64())], names=["id", "text", "target", "block"])
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            own = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # a row belongs to the block in which it begins
+            begins = size + np.cumsum(own) - own
+            size += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + begins // BLOCK)], names=["id", "text", "target", "block"])
 
     return docs.select("id", "text", "target").mapInArrow(run, "id long, text string, target boolean, block long")
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of each block, as far as they come one after another."""
+    held, now = [], None
+    for batch in batches:
+        block = batch.column(3).to_numpy()
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
+        for a, b in zip(ends[:-1], ends[1:]):
+            if held and block[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(block[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 def sent(base: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, blob): the keys of each block, by ranges of the keys."""
     shift = np.uint64(64 - max(buckets - 1, 0).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column(3).to_numpy()
-            ends = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
-            for a, b in zip(ends[:-1], ends[1:]):
-                part = batch.slice(a, b - a)
-                x = Terms(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist())
-                if not len(x.keys):
-                    continue
-                counts = x.counts()
-                place = (x.keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(x.keys), np.int64)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-                blobs = [packed(x.keys[i:j], counts[:, i:j]) for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]]), pa.array(np.full(len(blobs), block[a]), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+        for block, part in _by_block(batches):
+            x = Terms(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist())
+            if not len(x.keys):
+                continue
+            counts = x.counts()
+            place = (x.keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(x.keys), np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+            blobs = [packed(x.keys[i:j], counts[:, i:j]) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]]), pa.array(np.full(len(blobs), block), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
     return base.select("id", "text", "target", "block").mapInArrow(run, "bucket long, block long, blob binary")
 
@@ -235,11 +254,13 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     bounded_batches(spark)
     chosen = targets.select(as_id(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
     keyed = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = F.broadcast(chosen) if chosen.count() <= SHIPPED else chosen
     base = stash(blocks(keyed.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "blocks")
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
     # a token is some six signs, and brings two keys at the most
     messages = sent(base, 1 << (max(1, size // 3 // bucket) - 1).bit_length())
     back = stash(returned(messages), "counts")
+    drop_shuffles(spark)
     types = (back.agg(F.sum("words")).first()[0] or 0) + 1
     kind = "id long, n long, t double, b double, in_target boolean"
 
