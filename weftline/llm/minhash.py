@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import as_id, bounded_batches, components, fresh, session_of, spanning, stash
+from weftline.llm.common import as_id, bounded_batches, components, fresh, session_of, spanning, stash, unstash
 
 WORDS, PERCENT = 5, 80
 COORDS = 64
@@ -41,6 +41,8 @@ LEADERS = 4
 SMALL = 1024
 #: Nodes of so many documents or fewer list their pairs; larger ones are compared in tiles of TILE rows a side, SHINGLES at a time.
 PAIRED, TILE, SHINGLES = 16, 512, 4096
+#: Pairs of one leader that a task confirms.
+SHARE = 2048
 #: Levels; the last one is compared exhaustively.
 DEPTH = 12
 NIBBLES = 0x1111111111111111
@@ -164,19 +166,31 @@ def _fold(x):
     return y.bitwiseAND(F.lit(NIBBLES))
 
 
+def _with_first_set(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with the set of u as a. A leader of many pairs gets its set sent once to each SHARE of them, so that no task
+    has all of them."""
+    hot = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("shares > 1")
+    dealt = pairs.join(hot, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+    spread = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")).join(hot, "u", "left")
+    spread = spread.select("u", "a", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+    return dealt.join(spread, ["u", "share"]).drop("share")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets meet the threshold."""
     pairs = stash(pairs.distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
     links = (
-        pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u")
+        _with_first_set(pairs, sets)
         .join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
         .withColumn("both", F.size(F.array_intersect("a", "b")))
         .where(100 * F.col("both") >= percent * (F.size("a") + F.size("b") - F.col("both")))
         .select("u", "v")
     )
-    return stash(links, "links")
+    out = stash(links, "links")
+    unstash(pairs)
+    return out
 
 
 def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,9 +275,16 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
             found.append(stash(_tiled(dense, sets, percent), "links"))
         large = rest.where("not few")
         if last or large.isEmpty():
+            unstash(rest)
             break
         below = F.array(*[_child(F.col("node"), b) for b in range(BRANCHES)])
+        above = named
         named = stash(large.join(sigs, "rep").withColumn("node", F.explode(F.array_distinct(below))).select("node", "rep", "n", *SKETCH, "component"), "branches")
+        unstash(rest)
+        if depth:
+            unstash(above)
+    unstash(full)
+    unstash(sets)
     return rows, reps, _union(found)
 
 
