@@ -32,7 +32,7 @@ def valid_cuts(cuts: Column) -> Column:
 def letterbox(width: Column, height: Column, side: int) -> Column:
     """Size of a picture fitted into a square, and its margins."""
     scale = F.least(side / width, side / height)
-    w, h = F.greatest(F.lit(1), F.round(width * scale)).cast("int"), F.greatest(F.lit(1), F.round(height * scale)).cast("int")
+    w, h = F.greatest(F.lit(1), F.bround(width * scale)).cast("int"), F.greatest(F.lit(1), F.bround(height * scale)).cast("int")
     return F.struct(w.alias("width"), h.alias("height"), F.floor((side - w) / 2).cast("int").alias("left"), F.floor((side - h) / 2).cast("int").alias("top"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,14 @@ from weftline.functions import text as X
 from weftline.operators import catalog as C
 from weftline.operators import chunks as K
 from weftline.operators import commands as M
+from weftline.operators import documents as D
 from weftline.operators import grids as T
 from weftline.operators import normalize as N
 from weftline.operators import relations as R
 from weftline.operators import review as V
 from weftline.operators import rows as O
+from weftline.sources import files as L
+from weftline.sources import office as W
 from weftline.sources import tables as S
 from weftline.streaming import incremental as I
 
@@ -414,6 +418,167 @@ def batch_progress(spark: SparkSession, d: str) -> DataFrame:
     return I.progress(rows, staged, "n", 10)
 
 
+# ---- files in other forms, results, sidecars, jobs
+
+@query("""SELECT 'md/' || replace(p_brand, '#', '') || '.md' AS source_file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'a|b' ELSE 'x' || chr(10) || 'y' END AS note, CAST(p_size AS VARCHAR) AS size FROM part""")
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Pipe tables with escapes and breaks, one file a brand."""
+    note = F.when(F.col("p_size") % 2 == 0, r"a\|b").otherwise("x<br>y")
+    row = F.concat(F.lit("| "), "p_name", F.lit(" | "), note, F.lit(" | "), "p_size", F.lit(" |"))
+    per = read(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
+    body = F.concat(F.lit("Text\n\n| Name | Note | Size |\n|---|:---|---:|\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"), F.lit("\n\n| no | table |\n"))
+    files = per.select(F.concat(F.lit("md/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".md")).alias("path"), body.cast("binary").alias("content"))
+    cells = S.extract_tables(files).select("source_file", F.posexplode("matrix").alias("at", "c")).where("at > 0")
+    return cells.select("source_file", F.col("at").cast("int").alias("place"), *[F.get("c", i).alias(n) for i, n in enumerate(("name", "note", "size"))])
+
+
+@query("""SELECT 'c' || n_regionkey || '.csv' AS path, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ';x' ELSE '' END AS brand, 'ГОСТ ' || n_nationkey AS document, CASE WHEN n_nationkey % 5 = 0 THEN 'ground is neither +, - nor blank' END AS error FROM nation""")
+def csv_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogs in two encodings and two delimiters, quoted cells, repeated keys, marks."""
+    n = read(spark, d, "nation")
+    sep = F.when(F.col("n_regionkey") % 2 == 0, ";").otherwise(",")
+    brand = F.concat(F.lit('"'), "n_name", F.when(F.col("n_nationkey") % 2 == 0, ";x").otherwise(""), F.lit('"'))
+    line = F.concat(brand, sep, F.lit("ГОСТ "), "n_nationkey", sep, F.when(F.col("n_nationkey") % 5 == 0, "?").otherwise("+"))
+    rows = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("r"), F.first(sep).alias("sep"))
+    lines = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
+    text = F.concat_ws("\n", F.concat(F.lit("Марка"), "sep", F.lit("НД"), "sep", F.lit("Наземная")), lines, lines)
+
+    @F.pandas_udf("binary")
+    def encoded(texts: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([t.encode("cp1251" if r < 2 else "utf-8-sig") for t, r in zip(texts, region)])
+
+    files = rows.select(F.format_string("c%d.csv", "n_regionkey").alias("path"), encoded(text, F.col("n_regionkey")).alias("content"))
+    cell = lambda c: F.col("cells")[c]
+    got = L.catalog(L.csv_rows(files), cell("марка"), cell("нд"), F.concat_ws("|", X.match_text(F.col("brand")), X.match_text(F.col("document"))), F.struct("path", "line"), {"ground": cell("наземная")})
+    return got.select("path", "brand", "document", "error")
+
+
+@query("""SELECT doc_id, md5('a' || doc_id || chr(10) || 'b' || chr(10) || chr(10) || 'c') AS simple_md5, md5(CASE WHEN doc_id % 2 = 0 THEN 'md ' || doc_id ELSE 'kept' || chr(10) || chr(10) || 'c' END) AS markdown_md5 FROM documents""")
+def result_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text and Markdown of results, both spellings of their keys."""
+    one = F.concat(F.lit('{"prunedResult":{"overallOcrRes":{"recTexts":["a'), "doc_id", F.lit('"," ","b"]},"parsingResList":[{"block_label":"text","block_content":"kept"},{"block_label":"Figure","block_content":"x"}]}}'))
+    two = F.lit('{"prunedResult":{"parsing_res_list":[{"block_label":"text","block_content":" c "}]}}')
+    mark = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(',"markdown":{"text":"md '), "doc_id", F.lit('"}'))).otherwise("")
+    lines = read(spark, d, "documents").select("doc_id", F.concat(F.lit('{"result":{"layoutParsingResults":['), one, F.lit(","), two, F.lit("]"), mark, F.lit("}}")).alias("value"))
+    return K.fallback_markdown(K.simple_result(lines)).select("doc_id", F.md5("text").alias("simple_md5"), F.md5("markdown").alias("markdown_md5"))
+
+
+@query("""SELECT event_id, '{"a":[{"b":' || event_id || '}],"c":"ё"}' AS pruned FROM events""")
+def pruned_results(spark: SparkSession, d: str) -> DataFrame:
+    """Named keys dropped at any depth."""
+    value = F.concat(F.lit('{"input_path":"x","a":[{"page_index":1,"b":'), "event_id", F.lit('}],"c":"ё"}'))
+    return read(spark, d, "events").select("event_id", K.prune(value).alias("pruned"))
+
+
+@query("""SELECT 's' || page_id AS source, CAST(1 AS INT) AS object_no, 't' AS object_type, CAST(u AS INT) AS region_no, 'f' || u AS field, CASE WHEN u = 1 THEN 'pending' ELSE 'done' END AS status, 'text ' || page_id || '.' || u AS text FROM pages, (SELECT unnest([1, 2]) AS u)""")
+def sidecar_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of sidecars, states of a past session back to pending."""
+    region = lambda u, status: F.concat(F.lit(f'<!-- region: {{"kind": "text", "field": "f{u}", "page": 1, "rect": [0, 0, 1, 1], "status": "{status}"}} -->\ntext '), "page_id", F.lit(f".{u}\n<!-- end -->\n"))
+    text = F.concat(F.lit('<!-- object: {"type": "t"} -->\n'), region(1, "running"), region(2, "done"))
+    files = read(spark, d, "pages").select(F.concat(F.lit("s"), "page_id").alias("source"), text.alias("text"))
+    return D.regions(files).select("source", "object_no", "object_type", "region_no", "field", "status", "text")
+
+
+@query("""SELECT c_custkey, string_agg(doc, ',' ORDER BY pos, doc) AS found FROM (
+  SELECT c_custkey, 'ГОСТ ' || c_nationkey AS doc, 5 AS pos FROM customer UNION ALL SELECT c_custkey, 'ТУ ' || (c_nationkey + 1) % 25, 100 FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1""")
+def document_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that stand in texts as bounded phrases, by place."""
+    n = read(spark, d, "nation")
+    documents = n.select(F.concat(F.lit("ГОСТ "), "n_nationkey").alias("document")).unionByName(n.select(F.concat(F.lit("ТУ "), "n_nationkey").alias("document")))
+    text = F.concat(F.lit("тип  гост  "), "c_nationkey", F.lit(", сорт"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("; TУ "), (F.col("c_nationkey") + 1) % 25)).otherwise(F.concat(F.lit("; ТУ "), F.lit("9999"))))
+    texts = read(spark, d, "customer").select("c_custkey", text.alias("text"))
+    found = C.documents_in(texts, documents, "text", "document").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", "document"))).alias("f"))
+    return texts.join(found, "text").select("c_custkey", F.array_join(F.transform("f", lambda x: x["document"]), ",").alias("found"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS job_id, arg_max(o_orderstatus, o_orderkey) AS s, min(o_orderkey) AS created FROM orders GROUP BY 1)
+SELECT job_id, CASE s WHEN 'F' THEN 'done' ELSE 'failed' END AS state, created, CASE WHEN s = 'F' THEN '' ELSE 'interrupted by a restart' END AS error FROM e""")
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    """The latest state of each job; open ones failed when the service stopped."""
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
+    events = read(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), state.alias("state"), F.col("o_orderkey").alias("at"), F.lit(None).cast("string").alias("error"))
+    return M.after_restart(M.job_states(events)).select("job_id", "state", "created", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("""WITH i AS (SELECT l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS item_id, l_orderkey AS row_id, CASE l_returnflag WHEN 'N' THEN 'main' WHEN 'A' THEN 'duplicate' ELSE 'reserve' END AS role, l_linenumber AS n FROM lineitem),
+a AS (SELECT row_id, min(item_id) AS item_id, arg_min(role, item_id) AS role, max(item_id) AS other, arg_max(role, item_id) AS other_role FROM i GROUP BY 1)
+SELECT item_id AS main_item_id, other AS related_item_id, CASE WHEN role <> 'main' OR other_role = 'main' THEN 'not a main and a related item' ELSE 'type doesn''t fit the role' END AS error FROM a WHERE role <> 'main' OR other_role <> 'duplicate'
+UNION ALL SELECT item_id, 'x', 'unknown item' FROM a""")
+def relation_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Q8: manual relations that can't be."""
+    items = _items(spark, d).select("item_id", "row_id", "role")
+    ends = items.groupBy("row_id").agg(F.min("item_id").alias("main_item_id"), F.max("item_id").alias("related_item_id"))
+    new = ends.select("main_item_id", "related_item_id").unionByName(ends.select("main_item_id", F.lit("x").alias("related_item_id"))).withColumn("relation_type", F.lit("Дублирующая"))
+    return M.relation_errors(new, items).select("main_item_id", "related_item_id", "error")
+
+
+def _grids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Grids of one row a supplier (primary, duplicate, mark) and the catalog of their pairs."""
+    pair = lambda c: F.concat(F.lit("NATION_"), c, F.lit(" по D "), c)
+    entries = read(spark, d, "nation").select(F.concat(F.lit("NATION_"), "n_nationkey").alias("brand"), F.concat(F.lit("D "), "n_nationkey").alias("document"), F.col("n_nationkey").alias("order"))
+    k, j = F.col("s_nationkey"), (F.col("s_nationkey") + F.col("s_suppkey")) % 25
+    first = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(pair(k))
+    second = F.when(F.col("s_suppkey") % 7 == 0, "nothing known").otherwise(F.concat(pair(j), F.lit("; "), pair((j + 1) % 25)))
+    cell = lambda i, kind, v: F.struct(F.lit(i).alias("col"), F.lit(kind).alias("kind"), v.alias("value"))
+    cells = F.array(cell(0, "primary", first), cell(1, "duplicate_reserve", second), cell(2, "applicable_air", F.when(F.col("s_suppkey") % 5 == 0, "yes").otherwise("+")))
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("grid"), F.lit(0).alias("row"), F.explode(cells).alias("c")).select("grid", "row", "c.*"), entries
+
+
+@query(f"""WITH c AS (SELECT s_suppkey, s_nationkey AS k, (s_nationkey + s_suppkey) % 25 AS j FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0), e AS (SELECT *, unnest([j, (j + 1) % 25]) AS o FROM c)
+SELECT s_suppkey AS grid, {_PAIR.format("k")} AS "first", t AS type, {_PAIR.format("o")} AS "second" FROM e, (SELECT unnest(['дублирующая', 'резервная']) AS t)""")
+def grid_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The relations that grids state, one a type and pair."""
+    return T.edges(*_grids(spark, d)).select("grid", "first", "type", "second")
+
+
+@query("""SELECT s_suppkey AS grid, 'no primary brand' AS error FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 'not in the catalog' FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_suppkey, 'mark is neither + nor -' FROM supplier WHERE s_suppkey % 5 = 0""")
+def grid_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Q11: why grids can't be exported."""
+    return T.export_errors(*_grids(spark, d)).select("grid", "error")
+
+
+@query("""SELECT o_orderdate::DATE::VARCHAR AS batch, min(o_orderkey) AS "first", max(o_orderkey) AS "last", count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1 HAVING max(o_orderkey) - min(o_orderkey) + 1 <> count(DISTINCT o_orderkey)""")
+def batch_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """batches that are no contiguous range."""
+    rows = read(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("batch"))
+    return I.gaps(rows, "o_orderkey", "batch")
+
+
+@query(r"""SELECT page_id, 'T ' || page_id || chr(10) || 'a & b' || chr(10) || 'c' AS clean, replace(split_part(url, '://', 2), '.', '_') || 'x.md' AS markdown, page_id || '.pdf.digitizer.md' AS sidecar,
+  CASE WHEN page_id % 3 = 0 THEN 'up' || page_id || '_.PDF' END AS upload FROM pages""")
+def markup_and_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised text without markup, and where files go."""
+    raw = F.concat(F.lit("# T "), "page_id", F.lit('  \n<div class="x">a &amp; b</div>\n![i](p.png)<span>c</span> <img src=x>'))
+    path = F.concat(F.replace(F.element_at(F.split("url", "://"), 2), F.lit("."), F.lit("_")), F.lit("x.pdf"))
+    upload = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("C:\\\\d\\\\up"), "page_id", F.lit("%3F.PDF"))).otherwise("x.txt")
+    return read(spark, d, "pages").select("page_id", X.clean_markup(raw).alias("clean"), X.markdown_path(path).alias("markdown"), X.sidecar_path(F.concat("page_id", F.lit(".pdf"))).alias("sidecar"), X.upload_name(upload).alias("upload"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) * 10 AS w, greatest(1, CAST(round_even(l_quantity * 10 * least(100.0 / (l_quantity * 10), 100.0 / 300), 0) AS INT)) AS fit_w, greatest(1, CAST(round_even(300 * least(100.0 / (l_quantity * 10), 100.0 / 300), 0) AS INT)) AS fit_h,
+  least(greatest(0, CAST(round_even(l_linenumber * 50 - least(CAST(l_quantity AS INT), 400) / 2.0, 0) AS INT)), 400 - least(CAST(l_quantity AS INT), 400)) AS start FROM lineitem""")
+def picture_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures fitted into a square, and stretches about a centre."""
+    w = F.col("l_quantity").cast("int") * 10
+    box, held = G.letterbox(w, F.lit(300), 100), G.centred(F.col("l_linenumber") * 50, F.col("l_quantity").cast("int"), F.lit(400))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", w.alias("w"), box["width"].alias("fit_w"), box["height"].alias("fit_h"), held["start"].alias("start"))
+
+
+@query("""SELECT n_regionkey, CAST(sum((length(n_name) - length(replace(n_name, 'A', '')))) AS BIGINT) AS replaced, string_agg(replace(n_name, 'A', '<a>'), chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1""")
+def replaced_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents created, a text replaced in them, and read back."""
+
+    @F.pandas_udf("replaced long, text string")
+    def run(parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in parts:
+            made, n = W.replace_text(W.new_docx(list(p)), "A", "<a>")
+            rows.append((n, "\n".join(t for _, _, t in L.docx_paragraphs(made))))
+        return pd.DataFrame(rows, columns=["replaced", "text"])
+
+    per = read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    return per.select("n_regionkey", run(F.transform("n", lambda x: x["n_name"])).alias("r")).select("n_regionkey", "r.*")
+
+
 # ---- staging, review flags, quality control, export gate
 
 _RUN = """rows_ AS (SELECT 'R' || lpad(CAST(o_orderkey + 1 AS VARCHAR), 6, '0') AS row_id, 'B' || lpad(CAST(o_orderkey // 10 + 1 AS VARCHAR), 6, '0') AS batch_id, o_orderkey + 1 AS row_index,

@@ -40,7 +40,11 @@ def delimiter(text: str, default: str = ";") -> str:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of CSV files as (path, line, cells map by lower-cased title); delimiter and encoding are found per file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return csv_rows(spark.read.format("binaryFile").load(path))
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """read_csv() of files given as (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -50,7 +54,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
                 titles = [t.strip().lower() for t in next(rows, [])]
                 yield pd.DataFrame([(name, i, dict(zip(titles, r))) for i, r in enumerate(rows, 2) if any(r)], columns=["path", "line", "cells"])
 
-    return files.mapInPandas(run, "path string, line int, cells map<string,string>")
+    return files.select("path", "content").mapInPandas(run, "path string, line int, cells map<string,string>")
 
 
 def catalog(rows: DataFrame, brand: Column, document: Column, key: Column, order: Column, marks: dict[str, Column] | None = None) -> DataFrame:
