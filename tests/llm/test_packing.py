@@ -1,6 +1,7 @@
 """Best-fit packing against the tokenizer itself and against the invariants of a packing."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -66,6 +67,17 @@ def test_full_memo(monkeypatch):
     packing._memos.clear()
 
 
+def test_ranks_over_parts(spark, monkeypatch):
+    """One hot length and others, ranked in many parts and unfolded in many rows."""
+    monkeypatch.setattr(packing, "SLOTS_A_ROW", 7)
+    lengths = [5] * 500 + [3] * 100 + [16, 11, 2]
+    cut = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long").repartition(5)
+    got = packing.place(cut, 16, part_rows=20).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    planned = {first + i for _, _, n, first, _ in packing.plan(Counter(lengths), 16) for i in range(n)}
+    assert set(check_gapless(got, 16)) == planned
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
 

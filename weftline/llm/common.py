@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stashed inside are deleted at the end, but for those whose paths are taken off the list: for steps whose results
+    have been written when they end."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = session_of(df)
     path = f"{shared_dir(spark)}/stash/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _scopes:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

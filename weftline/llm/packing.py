@@ -29,10 +29,10 @@ MEMO = 900_000
 TOGETHER, LOT = 1 << 20, 2000
 #: Bytes above which a chunk isn't remembered.
 LONG_CHUNK = 64
-#: Documents of one length are ranked in so many parts, so that one hot length isn't sorted in one task.
-RANK_PARTS = 64
-#: Slots that one task unfolds from a plan row at most.
-SLOTS_A_ROW = 100_000
+#: Documents of one length that are ranked in one task, about, so that one hot length isn't sorted in one.
+PART_ROWS = 1_000_000
+#: Slots that one task unfolds from a plan row at most, and rows that slots are cut to on the driver, about: beyond, rows hold more.
+SLOTS_A_ROW, MOST_SLOT_ROWS = 100_000, 100_000
 
 PIECES = T.StructType(
     [
@@ -189,33 +189,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (with `length`) plus sequence_id and offset. Ties and repeated rows each take a slot of their own."""
+def place(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """cut (with `length`) plus sequence_id and offset. Ties and repeated rows each take a slot of their own. About `part_rows`
+    documents of one length are ranked in one task; that changes no result but which equal documents take which slots."""
     spark = session_of(cut)
-    slim = stash(cut.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int")), "pieces")
-    counts = slim.groupBy("length", "_part").count().collect()  # at most capacity x RANK_PARTS rows
-    before, histogram = [], {}
-    for length, part, n in sorted(counts):
-        before.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    slim = stash(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["length"]: r["count"] for r in slim.groupBy("length").count().collect()}  # at most `capacity` rows
+    total, most = sum(histogram.values()), max(histogram.values(), default=0)
+    slim = slim.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(-(-most // part_rows) or 1)).cast("int"))
+    # ranks within a length: those before a part, and within it; the join is on what the window has been dealt by
+    counts = slim.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row"))
+    ranked = slim.withColumn("_within", within).join(before, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1)
+    step = max(SLOTS_A_ROW, total // MOST_SLOT_ROWS)
     slots = [
-        (length, rank + i, min(SLOTS_A_ROW, n - i), first + i, offset)
+        (length, rank + i, min(step, n - i), first + i, offset)
         for length, rank, n, first, offset in plan(histogram, capacity)
-        for i in range(0, n, SLOTS_A_ROW)
+        for i in range(0, n, step)
     ]
-    base = spark.createDataFrame(before, "length long, _part int, _before long")
     planned = (
         spark.createDataFrame(slots, "length long, rank long, n long, first long, offset long")
         .repartition(F.col("length"), F.col("rank"))
         .select("length", "offset", F.col("rank").alias("_r"), F.col("first").alias("_f"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i"))
         .select("length", "offset", (F.col("_r") + F.col("_i")).alias("_rank"), (F.col("_f") + F.col("_i")).alias("sequence_id"))
     )
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row"))
-    ranked = (
-        slim.withColumn("_within", within)
-        .join(F.broadcast(base), ["length", "_part"])  # at most capacity x RANK_PARTS rows
-        .withColumn("_rank", F.col("_before") + F.col("_within") - 1)
-    )
     return ranked.join(planned, ["length", "_rank"]).drop("_row", "_part", "_within", "_before", "_rank")
 
 
