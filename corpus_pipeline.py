@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import linededup, minhash, mixing, packing, quality
-from weftline.llm.common import read, stash
+from weftline.llm.common import read, scratch, stash, unstash
 from weftline.llm.queries import tokenizer_path
 
 #: SQL can express none of the stages as a whole; tests hold each against a plain version.
@@ -56,7 +56,13 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        # what a stage stashed on its way goes when its result is written, and the result when the next one is
+        with scratch(spark) as made:
+            docs = stash(stage(spark, docs, sf_dir), name)
+            made.pop()
+        if before is not None:
+            unstash(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
