@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 from weftline.functions import text as text_rules
 from weftline.operators import catalog, commands, grids, normalize
+from weftline.plans import queries
 
 ENTRIES = [("Литол-24", "ГОСТ 21150"), ("ЦИАТИМ-201", "ГОСТ 6267"), ("ЦИАТИМ-203", "ГОСТ 8773"), ("Смазка А", "ТУ 1"), ("Смазка Б", "ТУ 1"), ("Масло (зимнее и летнее)", "ТУ 7; 8"), ("Двойная", "ТУ 2"), ("Двойная", "ТУ 3"), ("Mobil X", "-DIN 5")]
 
@@ -79,6 +80,22 @@ def test_resolution_against_brute_force(spark, monkeypatch):
     assert want[0][0] == 0.75
 
 
+def test_resolution_query_against_brute_force(spark):
+    """The registered query on its whole table."""
+    d = "/root/testdata/sf0.01"
+    names = sorted({r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select("n_name").collect()})
+    memo = {}
+    got = queries.queries()["fuzzy_resolution"](spark, d).collect()
+    assert len(got) == spark.read.parquet(f"{d}/customer.parquet").count()
+    for r in got:
+        if r.text not in memo:
+            scored = [(text_rules.likeness(normalize.bare(r.text), normalize.bare(x)), x) for x in names]
+            best = max(s for s, _ in scored)
+            near = [x for s, x in scored if s >= max(catalog.PLAUSIBLE, best - catalog.NEAR)]
+            memo[r.text] = (round(best, 6), len(near), near[0] if best >= catalog.SURE and len(near) == 1 else None) if near else (None, None, None)
+        assert (r.best, r.n_plausible, r.resolved) == memo[r.text]
+
+
 def test_likeness_is_the_best_ratio():
     r = random.Random(9)
     for _ in range(300):

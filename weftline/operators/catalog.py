@@ -93,6 +93,21 @@ def append_new(store: DataFrame, additions: DataFrame, keys: list[str]) -> DataF
     return store.unionByName(additions.dropDuplicates(keys).join(store.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def append_entries(store: DataFrame, additions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """store (brand, document, ...) with the pairs of additions whose normalised keys it lacks, one a key, other columns empty;
+    and the additions that weren't taken, each with its reason."""
+    tidy = additions.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("brand", "document")]).distinct()
+    key = [X.match_text(F.col(c)).alias(f"_{c}") for c in ("brand", "document")]
+    known = store.select(*key).distinct().withColumn("_have", F.lit(True))
+    asked = tidy.select("*", *key).join(known, ["_brand", "_document"], "left")
+    asked = asked.withColumn("_nth", F.row_number().over(Window.partitionBy("_brand", "_document").orderBy("brand", "document")))
+    broken = F.col("brand").rlike(r"[\r\n]") | F.col("document").rlike(r"[\r\n]")
+    reason = F.when((F.col("brand") == "") | (F.col("document") == ""), "incomplete").when(broken, "more than one line").when(F.col("_have") | (F.col("_nth") > 1), "exists")
+    told = asked.withColumn("reason", reason)
+    new = told.where("reason is null").select("brand", "document", *[F.lit("").cast(store.schema[c].dataType).alias(c) for c in store.columns if c not in ("brand", "document")])
+    return store.unionByName(new), told.where("reason is not null").select("brand", "document", "reason")
+
+
 def merge_values(store: DataFrame, updates: DataFrame, keys: list[str], column: str) -> tuple[DataFrame, DataFrame]:
     """store with updated values, and the updates in error: without a row in the store, or of several values for a key."""
     per = updates.groupBy(*keys).agg(F.count_distinct(column).alias("_n"), F.min(column).alias("_value"))

@@ -273,6 +273,19 @@ def append_new(spark: SparkSession, d: str) -> DataFrame:
     return C.append_new(s.where("s_suppkey % 4 <> 0"), s.unionByName(s), ["s_suppkey", "s_name"])
 
 
+@query("""SELECT 'N' || n_nationkey AS brand, 'ГОСТ ' || n_nationkey AS document, '+' AS mark, '' AS reason FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT 'N' || n_nationkey, 'ГОСТ ' || n_nationkey, '', '' FROM nation WHERE n_nationkey >= 20
+UNION ALL SELECT 'n' || n_nationkey, 'гост  ' || n_nationkey, '', 'exists' FROM nation
+UNION ALL SELECT 'N' || n_nationkey, 'ГОСТ ' || n_nationkey, '', 'exists' FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT 'N' || n_nationkey, '', '', 'incomplete' FROM nation""")
+def append_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Q12: pairs appended by normalised key, and those refused."""
+    n = read(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("brand"), F.concat(F.lit("ГОСТ "), "n_nationkey").alias("document"), F.lit("+").alias("mark"), "n_nationkey")
+    dirty = n.select(F.lower("brand").alias("brand"), F.concat(F.lit(" гост  "), "n_nationkey").alias("document"))
+    store, refused = C.append_entries(n.where("n_nationkey < 20").drop("n_nationkey"), n.select("brand", "document").unionByName(dirty).unionByName(n.select("brand", F.lit(None).cast("string").alias("document"))))
+    return store.withColumn("reason", F.lit("")).unionByName(refused.withColumn("mark", F.lit("")))
+
+
 @query("""SELECT p_partkey, coalesce(v, p_brand) AS p_brand, e AS error FROM part LEFT JOIN (
   SELECT l_partkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS v, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'conflicting' END AS e FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""")
 def merge_values(spark: SparkSession, d: str) -> DataFrame:
