@@ -87,6 +87,10 @@ def test_packing_of_counts():
         counts = r.integers(0, 2**40, (L.COUNTS, len(keys)))
         k, c = L.unpacked(L.packed(keys, counts))
         assert (k == keys).all() and (c == counts).all()
+        for share in (0, 0.4, 1):
+            shared = r.random(len(keys)) < share
+            got, c = L.answered(L.answer(shared, counts))
+            assert (got == shared).all() and (c == np.where(shared, counts[:-1], 0)).all()
 
 
 def test_long_texts_by_slices(monkeypatch):

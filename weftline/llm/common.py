@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +80,7 @@ def unstash(df: DataFrame) -> None:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Let the driver collect the plans of finished steps now: Spark deletes a shuffle's files when nothing refers to it."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -5,10 +5,11 @@ corpora; a document's score is the mean over its tokens of the background loss l
 are left out of both models while it is scored, so that no text is judged by itself.
 
 Every word is in the vocabulary and every bigram in the models, whatever the size of the corpus; both are known by 64-bit hashes.
-Documents are written in blocks of a few MB. Each block's distinct words and bigrams with their counts are sent, packed, to
-buckets of the hashes; a bucket adds them up and sends back to each block those that several documents hold. A key that no other
-document holds isn't sent back: without its own counts nothing is left of it. A block is then scored with its texts at hand. So
-a key costs some bytes a block on each way, and neither the driver nor any task holds a model.
+Documents are written in blocks of a few MB, a row each. A block's distinct words and bigrams with their counts are sent, sorted
+and packed, to buckets of the hashes; a bucket adds them up and answers each block, in the order in which it asked, which keys
+several documents hold and how often. A key that no other document holds needs no answer: without its own counts nothing is left
+of it. A block is then scored with its texts at hand. So a key costs some bytes a block on the way there and few bits on the way
+back, and neither the driver nor any task holds a model.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -127,73 +127,94 @@ class Terms:
         return np.stack([np.bincount(self.key_of, weights=x, minlength=len(self.keys)) for x in rows]).astype(np.int64)
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows of numbers by place value, compressed."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(rows.astype("<u8")).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1)).tobytes(), codec="zstd", asbytes=True)
+
+
+def _rows(blob: bytes, height: int, width: int) -> np.ndarray:
+    raw = pa.decompress(blob, decompressed_size=height * width * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(height, 8, width).transpose(0, 2, 1)).view("<u8")[:, :, 0]
+
+
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys with counts by key, small: steps and counts by place value, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    rows = np.ascontiguousarray(np.concatenate([steps[None], counts.astype("<u8")]))
-    raw = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), len(keys), 8).transpose(0, 2, 1)).tobytes()
-    return len(keys).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """A question: sorted keys, as steps, with their COUNTS."""
+    return len(keys).to_bytes(4, "little") + _planes(np.concatenate([np.diff(keys, prepend=np.uint64(0))[None], counts.astype(np.uint64)]))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    raw = pa.decompress(blob[4:], decompressed_size=n * 8 * (COUNTS + 1), codec="zstd", asbytes=True)
-    rows = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(COUNTS + 1, 8, n).transpose(0, 2, 1)).view("<u8")[:, :, 0]
+    rows = _rows(blob[4:], COUNTS + 1, int.from_bytes(blob[:4], "little"))
     return np.cumsum(rows[0], dtype=np.uint64), rows[1:].astype(np.int64)
 
 
+def answer(shared: np.ndarray, counts: np.ndarray) -> bytes:
+    """An answer: which of the keys asked for several documents hold, and the first counts of these over all documents."""
+    bits = np.packbits(shared).tobytes()
+    return len(shared).to_bytes(4, "little") + bits + _planes(counts[: COUNTS - 1, shared])
+
+
+def answered(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """shared and counts of answer(), zero where no other document holds a key."""
+    n = int.from_bytes(blob[:4], "little")
+    stop = 4 + -(-n // 8)
+    shared = np.unpackbits(np.frombuffer(blob[4:stop], np.uint8), count=n).astype(bool)
+    counts = np.zeros((COUNTS - 1, n), np.int64)
+    counts[:, shared] = _rows(blob[stop:], COUNTS - 1, int(shared.sum()))
+    return shared, counts
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs plus block: rows that are written together, some BLOCK bytes of text."""
+    """(block, ids, texts, targets): docs in rows of some BLOCK bytes of text."""
+
+    def whole(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = pa.array([0, table.num_rows], pa.int32())
+        columns = [pa.ListArray.from_arrays(ends, c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in table.columns]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "ids", "texts", "targets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, size = TaskContext.get().partitionId() << 32, 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            own = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            # a row belongs to the block in which it begins
-            begins = size + np.cumsum(own) - own
-            size += int(own.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + begins // BLOCK)], names=["id", "text", "target", "block"])
-
-    return docs.select("id", "text", "target").mapInArrow(run, "id long, text string, target boolean, block long")
-
-
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows of each block, as far as they come one after another."""
-    held, now = [], None
-    for batch in batches:
-        block = batch.column(3).to_numpy()
-        ends = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
-        for a, b in zip(ends[:-1], ends[1:]):
-            if held and block[a] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(block[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
-def sent(base: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, blob): the keys of each block, by ranges of the keys."""
-    shift = np.uint64(64 - max(buckets - 1, 0).bit_length())
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(1).nbytes
+            if size >= BLOCK:
+                yield whole(held, number)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield whole(held, number)
+
+    return docs.select("id", "text", "target").mapInArrow(run, "block long, ids array<long>, texts array<string>, targets array<boolean>")
+
+
+def _terms(texts: pa.ListScalar, targets: pa.ListScalar) -> Terms:
+    return Terms(texts.values.cast(pa.binary()).to_pylist(), targets.values.to_pylist())
+
+
+def _cut(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted keys, and where each begins and the last one ends."""
+    place = (keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return place[begins], np.concatenate([begins, [len(keys)]])
+
+
+def sent(base: DataFrame, shift: np.uint64) -> DataFrame:
+    """(bucket, block, blob): the questions of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in _by_block(batches):
-            x = Terms(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist())
-            if not len(x.keys):
-                continue
-            counts = x.counts()
-            place = (x.keys >> shift).astype(np.int64) if shift < 64 else np.zeros(len(x.keys), np.int64)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-            blobs = [packed(x.keys[i:j], counts[:, i:j]) for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]]), pa.array(np.full(len(blobs), block), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _terms(batch.column(1)[i], batch.column(2)[i])
+                counts, (bucket, ends) = x.counts(), _cut(x.keys, shift)
+                blobs = [packed(x.keys[a:b], counts[:, a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([batch.column(0)[i].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
-    return base.select("id", "text", "target", "block").mapInArrow(run, "bucket long, block long, blob binary")
+    return base.select("block", "texts", "targets").mapInArrow(run, "bucket long, block long, blob binary")
 
 
 def returned(messages: DataFrame) -> DataFrame:
-    """(block, words, blob): per bucket and block the keys that several documents hold with their counts over all blocks; and
-    per bucket one row of a null block with the number of distinct words."""
+    """(block, bucket, words, blob): the answer of each bucket to each block that has one; and per bucket one row of a null block
+    with the number of distinct words."""
 
     def add(table: pa.Table) -> pa.Table:
         got = [unpacked(b.as_py()) for b in table["blob"]]
@@ -203,42 +224,32 @@ def returned(messages: DataFrame) -> DataFrame:
         for i, (_, counts) in enumerate(got):
             total[:, at[ends[i] : ends[i + 1]]] += counts
         shared = total[-1] > 1
-        blobs, blocks_ = [], []
-        for i, (own, _) in enumerate(got):
-            mine = at[ends[i] : ends[i + 1]]
-            keep = shared[mine]
-            if keep.any():
-                blobs.append(packed(own[keep], total[:, mine[keep]]))
-                blocks_.append(table["block"][i].as_py())
+        rows = [(b, answer(shared[mine], total[:, mine])) for i, b in enumerate(table["block"].to_pylist()) if shared[mine := at[ends[i] : ends[i + 1]]].any()]
         words = int((keys & _ODD == 0).sum() - np.isin(keys, [START, TOKEN]).sum())
-        return pa.table({"block": pa.array([*blocks_, None], pa.int64()), "words": pa.array([0] * len(blobs) + [words], pa.int64()), "blob": pa.array([*blobs, None], pa.binary())})
+        return pa.table(
+            {"block": pa.array([*(b for b, _ in rows), None], pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * (len(rows) + 1), pa.int64()),
+             "words": pa.array([0] * len(rows) + [words], pa.int64()), "blob": pa.array([*(a for _, a in rows), None], pa.binary())}
+        )
 
-    return messages.groupBy("bucket").applyInArrow(add, "block long, words long, blob binary")
+    return messages.groupBy("bucket").applyInArrow(add, "block long, bucket long, words long, blob binary")
 
 
-def losses(x: Terms, keys: np.ndarray, counts: np.ndarray, types: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean target and background loss in nats of each text's tokens, its own counts left out, given the sorted keys that others
-    hold too and their counts; texts without words get nan."""
-    place = np.searchsorted(keys, x.keys)
-    place[place == len(keys)] = 0
-    known = (keys[place] == x.keys) if len(keys) else np.zeros(len(x.keys), bool)
-    whole = np.where(known, counts[:, place] if len(keys) else 0, 0)[:, x.key_of].astype(float)
+def losses(x: Terms, shared: np.ndarray, counts: np.ndarray, types: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean target and background loss in nats of each text's tokens, its own counts left out, given which keys others hold too
+    and their counts; texts without words get nan."""
+    whole, known = counts[:, x.key_of].astype(float), shared[x.key_of]
     mine = x.target[x.doc]
-    out = []
-    # a key that isn't known has no counts but its own
-    rest = lambda total, own: np.where(known[x.key_of], total - own, 0.0)
+    # a key that isn't shared has no counts but its own
+    rest = lambda total, own: np.where(known, total - own, 0.0)
     sides = ((rest(whole[1], x.own * mine), rest(whole[3], x.last * mine)), (rest(whole[0], x.own), rest(whole[2], x.last)))
-    tokens = [side[0][x.tokens] for side in sides]  # of the other documents, by text
     # background counts are brought to the size of the target, so that smoothing weighs as much in both
-    at = np.searchsorted(keys, np.uint64(TOKEN))
-    in_all, in_target = (float(counts[i, at]) if at < len(keys) and keys[at] == TOKEN else 0.0 for i in (0, 1))
-    for (own, last), total, share in zip(sides, tokens, (1.0, in_target / max(in_all, 1.0))):
-        d = x.token_doc
-        p_word = (share * own[x.word] + UNSEEN) / (share * total[d] + UNSEEN * types)
+    in_all, in_target = (float(counts[i, np.searchsorted(x.keys, np.uint64(TOKEN))]) for i in (0, 1))
+    out, d = [], x.token_doc
+    for (own, last), share in zip(sides, (1.0, in_target / max(in_all, 1.0))):
+        p_word = (share * own[x.word] + UNSEEN) / (share * own[x.tokens][d] + UNSEEN * types)
         pair, seen = share * own[x.pair], share * (own - last)[x.context]
         loss = -np.log((pair + BACKOFF * p_word) / (np.maximum(seen, pair) + BACKOFF))
-        with np.errstate(invalid="ignore"):
-            out.append(np.bincount(d, weights=loss, minlength=len(x.sizes)) / np.where(x.sizes > 0, x.sizes, np.nan))
+        out.append(np.bincount(d, weights=loss, minlength=len(x.sizes)) / np.where(x.sizes > 0, x.sizes, np.nan))
     return out[0], out[1]
 
 
@@ -256,22 +267,31 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     keyed = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = F.broadcast(chosen) if chosen.count() <= SHIPPED else chosen
     base = stash(blocks(keyed.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "blocks")
-    size = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = base.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.length(t), F.lit(0))))).first()[0] or 0
     # a token is some six signs, and brings two keys at the most
-    messages = sent(base, 1 << (max(1, size // 3 // bucket) - 1).bit_length())
-    back = stash(returned(messages), "counts")
+    shift = np.uint64(64 - (max(1, size // 3 // bucket) - 1).bit_length())
+    back = stash(returned(sent(base, shift)), "counts")
     drop_shuffles(spark)
     types = (back.agg(F.sum("words")).first()[0] or 0) + 1
-    kind = "id long, n long, t double, b double, in_target boolean"
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
-        got = sorted((unpacked(b.as_py()) for b in told["blob"]), key=lambda g: g[0][0])
-        keys = np.concatenate([k for k, _ in got]) if got else np.empty(0, np.uint64)
-        counts = np.concatenate([c for _, c in got], axis=1) if got else np.zeros((COUNTS, 0), np.int64)
-        x = Terms(texts["text"].cast(pa.binary()).to_pylist(), texts["target"].to_pylist())
-        t, b = losses(x, keys, counts, types) if len(x.keys) else (np.full(len(x.sizes), np.nan),) * 2
-        number = lambda v: pa.array(v, pa.float64(), from_pandas=True)
-        return pa.table({"id": texts["id"], "n": pa.array(x.sizes), "t": number(t), "b": number(b), "in_target": texts["target"]})
-
-    told = base.groupBy("block").cogroup(back.where("block is not null").select("block", "blob").groupBy("block")).applyInArrow(judge, kind)
+        out = []
+        for i in range(texts.num_rows):
+            ids, targets = texts["ids"][i], texts["targets"][i]
+            x = _terms(texts["texts"][i], targets)
+            t = b = np.full(len(x.sizes), np.nan)
+            if len(x.keys):
+                shared, counts = np.zeros(len(x.keys), bool), np.zeros((COUNTS - 1, len(x.keys)), np.int64)
+                held = dict(zip(told["bucket"].to_pylist(), told["blob"]))
+                bucket, ends = _cut(x.keys, shift)
+                for k, begin, end in zip(bucket.tolist(), ends[:-1], ends[1:]):
+                    if k in held:
+                        shared[begin:end], counts[:, begin:end] = answered(held[k].as_py())
+                t, b = losses(x, shared, counts, types)
+            number = lambda v: pa.array(v, pa.float64(), from_pandas=True)
+            out.append(pa.table({"id": ids.values, "n": pa.array(x.sizes), "t": number(t), "b": number(b), "in_target": targets.values}))
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "t": pa.array([], pa.float64()), "b": pa.array([], pa.float64()), "in_target": pa.array([], pa.bool_())})
+
+    answers = back.where("block is not null").select("block", "bucket", "blob")
+    told = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, "id long, n long, t double, b double, in_target boolean")
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("t").alias("target_loss"), F.col("b").alias("background_loss"), (F.col("b") - F.col("t")).alias("score"), "in_target")
