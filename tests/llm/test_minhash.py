@@ -79,6 +79,16 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == 4
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Each is judged by its own text, and no text is taken for that of another row of its id."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (3, b), (5, b + " more"), (7, c), (1, c), (9, a), (9, "own words that nobody else has at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 36, 1, True), (3, 36, 3, True), (3, 36, 3, True), (5, 37, 3, False), (7, 36, 1, False), (9, 4, 9, True), (9, 36, 3, False)]
+    assert sorted((r.doc_id, r.text[0]) for r in minhash.keep_one(df).collect()) == [(1, "c"), (3, "a"), (3, "b"), (9, "o")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (500, 500), (None, 3)]
     df, want = spark.createDataFrame(edges, "u long, v long"), {**{i: 0 for i in range(201)}, 400: 400, 500: 400}

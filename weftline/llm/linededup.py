@@ -88,9 +88,9 @@ def recurring(seen: DataFrame, spare_copies: bool = False) -> DataFrame:
         hits = flat.join(common, "key").where(F.col("id") != F.col("first"))
         none = F.lit(None).cast("array<long>")
         return hits.groupBy("id").agg(F.collect_set("key").alias("gone")).select("id", "gone", none.alias("first"), none.alias("words"))
-    # rows that repeat an id are one document; a document is the first holder of no more templates than it has
+    # of rows that repeat an id the longest counts; a document is the first holder of no more templates than it has
     words = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.greatest(n, F.lit(0)))
-    size = seen.groupBy(F.col("id").alias("first")).agg(F.sum(words).alias("words"))
+    size = seen.groupBy(F.col("id").alias("first")).agg(F.max(words).alias("words"))
     hits = flat.join(common.join(size, "first"), "key").where(F.col("id") != F.col("first"))
     got = hits.groupBy("id").agg(F.collect_set(F.struct("key", "first", "words")).alias("x"))
     return got.select("id", F.col("x.key").alias("gone"), F.col("x.first").alias("first"), F.col("x.words").alias("words"))
@@ -145,22 +145,22 @@ def drops(docs: DataFrame, id_col: str, text_col: str, spare_copies: bool) -> Da
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
-    """docs with recurring units removed from the text, plus n_dropped (long), the number of units removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False, count_col: str = "n_dropped") -> DataFrame:
+    """docs with recurring units removed from the text, plus count_col (long), the number of units removed.
 
     With spare_copies, a document of which one earlier document holds most is left whole, for near-duplicate removal to decide
     on: without the shared units nothing would tell it for a copy. Null texts stay null; empty ones have nothing to remove.
     Ids are whole numbers; rows whose id is null or no number are neither compared nor changed. Rows that repeat an id are one
     document, so what they share doesn't recur, nor do repeats inside a document. An empty table stays empty; a column
-    n_dropped of docs is replaced, and any other names may occur in docs.
+    of docs named count_col is replaced, and any other names may occur in docs.
     """
     bounded_batches(session_of(docs))
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_dropped"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != count_col.lower()])
     names = docs.columns
     key, text_hash, gone = (fresh(docs, c) for c in ("_id", "_text_hash", "_units"))
     found = drops(docs, id_col, text_col, spare_copies).select(F.col("id").alias(key), F.col("text_hash").alias(text_hash), F.col("units").alias(gone))
     joined = docs.join(found, (as_id(id_col) == F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(text_hash)), "left").drop(key, text_hash)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType(), False)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(count_col, T.LongType(), False)])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +177,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             out += parts[k : k + 2]
                     texts[i] = b"".join(out).rstrip()
                 column = pa.array(texts, pa.binary()).cast(column.type)
-            yield pa.RecordBatch.from_arrays([*(column if k == at else batch.column(k) for k in range(len(names))), counts], names=[*names, "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*(column if k == at else batch.column(k) for k in range(len(names))), counts], names=[*names, count_col])
 
     return map_batches(joined, run, schema)

@@ -97,14 +97,14 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, key, sig, s0..s3) of each row; key and sig null for empty sets."""
+    """(id, row, n, key, sig, s0..s3) of each row, row being a hash of id and text; key and sig null for empty sets."""
     bounded_batches(session_of(docs))
-    schema = T.StructType.fromDDL("id long, n long, key binary, sig array<long>, s0 long, s1 long, s2 long, s3 long")
+    schema = T.StructType.fromDDL("id long, row long, n long, key binary, sig array<long>, s0 long, s1 long, s2 long, s3 long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs, sketches = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
                 if len(s):
@@ -117,15 +117,20 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                     sigs.append(None)
                     sketches.append([0] * 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in (zip(*sketches) if sketches else [[]] * 4))],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in (zip(*sketches) if sketches else [[]] * 4))],
                 names=schema.names,
             )
 
-    return docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return docs.select(as_id(id_col).alias("id"), _row(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+
+
+def _row(id_col: str, text_col: str):
+    """What tells rows apart that repeat an id with other texts."""
+    return F.xxhash64(as_id(id_col), F.col(f"`{text_col}`"))
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(id, hashes) of the documents whose id is in wanted (id)."""
+    """(id, hashes) of the rows that are in wanted (id), id being their hash."""
     schema = T.StructType.fromDDL("id long, hashes array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: D
             sets = [shingles(x, words).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    picked = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    picked = docs.select(_row(id_col, text_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     return picked.mapInArrow(run, schema)
 
 
@@ -243,7 +248,7 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     but the same components."""
     rows = stash(signed(docs, id_col, text_col, words), "signed")
     alive = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    reps = stash(alive.groupBy("key").agg(F.min(F.struct("id", "n", *SKETCH, "sig")).alias("x")).select("key", F.col("x.id").alias("rep"), "x.n", *[f"x.{s}" for s in SKETCH], "x.sig"), "reps")
+    reps = stash(alive.groupBy("key").agg(F.min(F.struct("id", "row", "n", *SKETCH, "sig")).alias("x")).select("key", F.col("x.row").alias("rep"), F.col("x.id").alias("least"), "x.n", *[f"x.{s}" for s in SKETCH], "x.sig"), "reps")
     sigs = reps.select("rep", "sig")
     paths = reps.withColumn("node", F.explode(F.array(*[_child(F.lit(t)) for t in range(TREES)])))
     nodes = paths.select("node", "rep", "n", *SKETCH)
@@ -295,27 +300,32 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, row, n, component_id, kept) of every row."""
+    rows, reps, edges = links(docs, id_col, text_col, words, percent)
+    comp = components(edges).withColumnRenamed("id", "rep")
+    both = reps.select("key", "rep", "least").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = both.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = both.join(lowest, "component").select("key", "component_id")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    told = rows.select("id", "row", "n", "key").join(named, "key", "left").select("id", "row", "n", own.alias("component_id"))
+    return told.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable. Null, empty or wordless texts link with nothing. Rows that repeat an id are judged by their own texts; a row
-    with a null id links with nothing, has a null component and is kept. An empty table gives no rows.
+    whose id is null or no whole number links with nothing, has a null component and is kept. An empty table gives no rows.
     """
-    rows, reps, edges = links(docs, id_col, text_col, words, percent)
-    comp = components(edges).withColumnRenamed("id", "rep")
-    named = reps.select("key", "rep").join(comp, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return (
-        rows.select("id", "n", "key")
-        .join(named, "key", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
-    )
+    told = _judged(docs, id_col, text_col, words, percent)
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without the near copies: of each component, the one with the smallest id, with its own columns."""
+    """The documents without the near copies: of each component, the one with the smallest id, with its own columns. Rows are
+    decided one by one: rows that repeat an id by their own texts, equal rows alike."""
     key = fresh(docs, "_gone")
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col(f"`{id_col}`").alias(key)).distinct()
-    return docs.join(stash(gone, "gone"), as_id(id_col) == F.col(key), "left_anti")
+    gone = _judged(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("row").alias(key)).distinct()
+    return docs.join(stash(gone, "gone"), _row(id_col, text_col) == F.col(key), "left_anti")
