@@ -7,9 +7,10 @@ the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import linededup, minhash, mixing, packing, quality
-from weftline.llm.common import read, scratch, stash, unstash
+from weftline.llm.common import fresh, read, scratch, stash, unstash
 from weftline.llm.queries import tokenizer_path
 
 #: SQL can express none of the stages as a whole; tests hold each against a plain version.
@@ -27,12 +28,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that is mostly one earlier document's text is left whole: the next stage decides on copies, and would not know
     them without what they share. Null texts and ids stay as they are; rows that repeat an id are one document.
     """
-    from pyspark.sql import functions as F
-
-    out = linededup.dedup_lines(docs, spare_copies=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    count = fresh(docs, "n_dropped")
+    out = linededup.dedup_lines(docs, spare_copies=True, count_col=count)
+    told = F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
+    return out.select(*[told if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
