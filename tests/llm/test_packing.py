@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from weftline.llm import packing
 from weftline.llm.queries import op1_best_fit_packing, tokenizer_path

@@ -1,9 +1,7 @@
 """The pipeline: each stage's decisions take effect and all but the last keep the columns of documents."""
 
 import corpus_pipeline as P
-from weftline.llm import linededup, minhash, packing, quality
 from weftline.llm.common import read
-from weftline.llm.queries import tokenizer_path
 
 D = "/root/testdata/sf0.01"
 
