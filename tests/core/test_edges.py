@@ -31,7 +31,7 @@ def test_refused_files(spark):
 
 def test_paths_and_values(spark):
     got = one(spark, X.asset_path(F.lit("img\\a.png")), X.asset_path(F.lit("../a")), X.markdown_path(F.lit("x/y.z.pdf")), X.markdown_path(F.lit("x/.hidden")), X.sidecar_path(F.lit("a.pdf")), X.upload_name(F.lit(" C:\\d\\a%20b<1>.PDF ")), X.upload_name(F.lit("a.txt")), X.upload_name(F.lit(".pdf")))
-    assert got[:] == ("img/a.png", None, "x/y.z.md", "x/.hidden.md", "a.pdf.digitizer.md", "a b_1_.PDF", None, None)
+    assert got[:] == ("img/a.png", None, "x/y.z.md", "x/.hidden.md", "a.pdf.regions.md", "a b_1_.PDF", None, None)
     now = one(spark, X.utc_now())[0]
     assert abs((dt.datetime.fromisoformat(now) - dt.datetime.now(dt.timezone.utc)).total_seconds()) < 300
     values = one(spark, X.json_value(F.lit(dt.date(2024, 2, 3)), T.DateType()), X.json_value(F.lit("2024-02-03 04:05:06").cast("timestamp_ntz"), T.TimestampNTZType()), X.json_value(F.expr("interval '1 02:03:04.5' day to second"), T.DayTimeIntervalType()), X.json_value(F.lit(5), T.IntegerType()))

@@ -58,6 +58,6 @@ UNRECOGNIZED, UNRECOGNIZED_MESSAGE = "unrecognized_", "Маркер примен
 EXPORT_BRANDS = ("Марка ГСМ", "Нормативный документ", "Назначение и условия применения", "Наземная техника", "Авиационная техника", "Морская техника")
 EXPORT_GROUPS = ("Группа ГСМ", "Подгруппа ГСМ", "Марка ГСМ")
 EXPORT_RELATIONS = ("Марка ГСМ основная", "Тип связи", "Марка ГСМ связанная", "Примечание")
-SIDECAR = ".digitizer.md"
+SIDECAR = ".regions.md"
 PDF_BYTES, IMAGE_BYTES = 1 << 30, 32 << 20
 IMAGE_KINDS = ("png", "jpeg", "webp", "bmp", "tiff")

@@ -222,9 +222,9 @@ def markdown_path(x: Column) -> Column:
     return F.concat(F.regexp_replace(x, r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(".md"))
 
 
-def sidecar_path(x: Column) -> Column:
+def sidecar_path(x: Column, suffix: str = SIDECAR) -> Column:
     """Where the sidecar of a source file goes: beside it, under its whole name."""
-    return F.concat(x, F.lit(SIDECAR))
+    return F.concat(x, F.lit(suffix))
 
 
 def upload_name(x: Column) -> Column:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame

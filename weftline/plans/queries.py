@@ -557,7 +557,7 @@ def batch_gaps(spark: SparkSession, d: str) -> DataFrame:
     return I.gaps(rows, "o_orderkey", "batch")
 
 
-@query(r"""SELECT page_id, 'T ' || page_id || chr(10) || 'a & b' || chr(10) || 'c' AS clean, replace(split_part(url, '://', 2), '.', '_') || 'x.md' AS markdown, page_id || '.pdf.digitizer.md' AS sidecar,
+@query(r"""SELECT page_id, 'T ' || page_id || chr(10) || 'a & b' || chr(10) || 'c' AS clean, replace(split_part(url, '://', 2), '.', '_') || 'x.md' AS markdown, page_id || '.pdf.regions.md' AS sidecar,
   CASE WHEN page_id % 3 = 0 THEN 'up' || page_id || '_.PDF' END AS upload FROM pages""")
 def markup_and_paths(spark: SparkSession, d: str) -> DataFrame:
     """Recognised text without markup, and where files go."""
