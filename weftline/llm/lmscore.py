@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,11 +32,11 @@ BACKOFF, UNSEEN = 50.0, 0.5
 #: Word keys of their own: the context of a first word, and any token.
 START, TOKEN = 0, 2
 #: Keys that a bucket adds up at once, about.
-BUCKET = 1 << 21
+BUCKET = 1 << 22
 #: Bytes of a text whose words are listed at once.
 SLICE = 1 << 22
 #: Bytes of the texts of a block, about; target ids up to which they are shipped instead of dealt with the texts.
-BLOCK, SHIPPED = 3 << 20, 1 << 20
+BLOCK, SHIPPED = 3 << 19, 1 << 20
 #: Counts that travel with a key: tokens, tokens of target documents, these as the last word of a text, documents.
 COUNTS = 5
 
@@ -164,31 +165,44 @@ def answered(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, texts, targets): docs in rows of some BLOCK bytes of text."""
+    """(block, ids, targets, sizes, texts): docs in rows of some BLOCK bytes of text; texts end to end and compressed, sizes
+    their bytes, null for null texts."""
+    codec = ("zstd", 3)
 
     def whole(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        ends = pa.array([0, table.num_rows], pa.int32())
-        columns = [pa.ListArray.from_arrays(ends, c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in table.columns]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "ids", "texts", "targets"])
+        texts = [t for c in table["text"].chunks for t in c.cast(pa.binary()).to_pylist()]
+        raw = b"".join(t for t in texts if t)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), x)
+        flat = lambda c: pa.concat_arrays(table[c].chunks)
+        sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        packed_ = pa.Codec(codec[0], compression_level=codec[1]).compress(raw, asbytes=True) if raw else b""
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed(flat("id")), listed(flat("target")), listed(sizes), pa.array([packed_], pa.binary())], names=["block", "ids", "targets", "sizes", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column(1).nbytes
-            if size >= BLOCK:
-                yield whole(held, number)
-                number, held, size = number + 1, [], 0
+            # a batch may be larger than a block
+            begins = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))).astype(np.int64) // BLOCK
+            ends = [0, *(np.flatnonzero(np.diff(begins)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(ends[:-1], ends[1:]):
+                held.append(batch.slice(a, b - a))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() or 0
+                if size >= BLOCK:
+                    yield whole(held, number)
+                    number, held, size = number + 1, [], 0
         if held:
             yield whole(held, number)
 
-    return docs.select("id", "text", "target").mapInArrow(run, "block long, ids array<long>, texts array<string>, targets array<boolean>")
+    return docs.select("id", "text", "target").mapInArrow(run, "block long, ids array<long>, targets array<boolean>, sizes array<long>, texts binary")
 
 
-def _terms(texts: pa.ListScalar, targets: pa.ListScalar) -> Terms:
-    return Terms(texts.values.cast(pa.binary()).to_pylist(), targets.values.to_pylist())
+def _terms(targets: pa.ListScalar, sizes: pa.ListScalar, texts: pa.BinaryScalar) -> Terms:
+    own = sizes.values.to_pylist()
+    total = sum(n or 0 for n in own)
+    raw = pa.decompress(texts.as_py(), decompressed_size=total, codec="zstd", asbytes=True) if total else b""
+    ends = np.cumsum([0, *(n or 0 for n in own)]).tolist()
+    return Terms([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], targets.values.to_pylist())
 
 
 def _cut(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +218,12 @@ def sent(base: DataFrame, shift: np.uint64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = _terms(batch.column(1)[i], batch.column(2)[i])
+                x = _terms(*(batch.column(k)[i] for k in (1, 2, 3)))
                 counts, (bucket, ends) = x.counts(), _cut(x.keys, shift)
                 blobs = [packed(x.keys[a:b], counts[:, a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([batch.column(0)[i].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
 
-    return base.select("block", "texts", "targets").mapInArrow(run, "bucket long, block long, blob binary")
+    return base.select("block", "targets", "sizes", "texts").mapInArrow(run, "bucket long, block long, blob binary")
 
 
 def returned(messages: DataFrame) -> DataFrame:
@@ -267,8 +281,8 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     keyed = docs.select(as_id(id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = F.broadcast(chosen) if chosen.count() <= SHIPPED else chosen
     base = stash(blocks(keyed.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "blocks")
-    size = base.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.length(t), F.lit(0))))).first()[0] or 0
-    # a token is some six signs, and brings two keys at the most
+    size = base.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.coalesce(n, F.lit(0))))).first()[0] or 0
+    # a token is some six bytes, and brings two keys at the most
     shift = np.uint64(64 - (max(1, size // 3 // bucket) - 1).bit_length())
     back = stash(returned(sent(base, shift)), "counts")
     drop_shuffles(spark)
@@ -278,7 +292,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         out = []
         for i in range(texts.num_rows):
             ids, targets = texts["ids"][i], texts["targets"][i]
-            x = _terms(texts["texts"][i], targets)
+            x = _terms(targets, texts["sizes"][i], texts["texts"][i])
             t = b = np.full(len(x.sizes), np.nan)
             if len(x.keys):
                 shared, counts = np.zeros(len(x.keys), bool), np.zeros((COUNTS - 1, len(x.keys)), np.int64)
