@@ -4,7 +4,8 @@ A target and a background model with one vocabulary, one order and one smoothing
 corpora; a document's score is the mean over its tokens of the background loss less the target loss. A document's own counts
 are left out of both models while it is scored, so that no text is judged by itself.
 
-Every word is in the vocabulary and every bigram in the models, whatever the size of the corpus; both are known by 64-bit hashes.
+Every word is in the vocabulary and every bigram in the models, whatever the size of the corpus; both are known by hashes, whose
+length grows with the corpus up to 64 bits.
 Documents are written in blocks of a few MB, a row each. A block's distinct words and bigrams with their counts are sent, sorted
 and packed, to buckets of the hashes; a bucket adds them up and answers each block, in the order in which it asked, which keys
 several documents hold and how often. A key that no other document holds needs no answer: without its own counts nothing is left
@@ -37,6 +38,8 @@ BUCKET = 1 << 22
 SLICE = 1 << 22
 #: Bytes of the texts of a block, about; target ids up to which they are shipped instead of dealt with the texts.
 BLOCK, SHIPPED = 3 << 19, 1 << 20
+#: Keys are cut to so many bits more than it takes to number them: one in 3e7 shares its bits with another then.
+SPARE = 25
 #: Counts that travel with a key: tokens, tokens of target documents, these as the last word of a text, documents.
 COUNTS = 5
 
@@ -74,13 +77,18 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) | _ODD
 
 
+def cut_keys(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The highest bits of keys, words even and bigrams odd as before."""
+    return (keys >> np.uint64(64 - bits)) & ~_ODD | keys & _ODD if bits < 64 else keys
+
+
 class Terms:
     """The distinct keys of some documents (with words), and where each token's word, context and bigram are among them.
 
     keys are sorted; group numbers the distinct (key, document) pairs, with the key of each, its document and own counts.
     """
 
-    def __init__(self, texts: list[bytes | None], targets: list[bool]) -> None:
+    def __init__(self, texts: list[bytes | None], targets: list[bool], bits: int = 64) -> None:
         memo: dict[bytes, int] = {}
         words = [word_keys(t, memo) for t in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
@@ -95,7 +103,7 @@ class Terms:
         last[(np.cumsum(self.sizes) - 1)[full]] = True
         # words, bigrams, and for each text its start and its tokens
         m = len(full)
-        every = np.concatenate([w, pair_keys(before, w), np.full(m, START, np.uint64), np.full(m, TOKEN, np.uint64)])
+        every = np.concatenate([cut_keys(w, bits), cut_keys(pair_keys(before, w), bits), np.full(m, START, np.uint64), np.full(m, TOKEN, np.uint64)])
         of = np.concatenate([doc, doc, full, full])
         weight = np.concatenate([np.ones(2 * n + m, np.int64), self.sizes[full]])
         final = np.concatenate([last, np.zeros(n + 2 * m, bool)])
@@ -197,12 +205,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "target").mapInArrow(run, "block long, ids array<long>, targets array<boolean>, sizes array<long>, texts binary")
 
 
-def _terms(targets: pa.ListScalar, sizes: pa.ListScalar, texts: pa.BinaryScalar) -> Terms:
+def _terms(bits: int, targets: pa.ListScalar, sizes: pa.ListScalar, texts: pa.BinaryScalar) -> Terms:
     own = sizes.values.to_pylist()
     total = sum(n or 0 for n in own)
     raw = pa.decompress(texts.as_py(), decompressed_size=total, codec="zstd", asbytes=True) if total else b""
     ends = np.cumsum([0, *(n or 0 for n in own)]).tolist()
-    return Terms([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], targets.values.to_pylist())
+    return Terms([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], targets.values.to_pylist(), bits)
 
 
 def _cut(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -212,13 +220,13 @@ def _cut(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return place[begins], np.concatenate([begins, [len(keys)]])
 
 
-def sent(base: DataFrame, shift: np.uint64) -> DataFrame:
+def sent(base: DataFrame, bits: int, shift: np.uint64) -> DataFrame:
     """(bucket, block, blob): the questions of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = _terms(*(batch.column(k)[i] for k in (1, 2, 3)))
+                x = _terms(bits, *(batch.column(k)[i] for k in (1, 2, 3)))
                 counts, (bucket, ends) = x.counts(), _cut(x.keys, shift)
                 blobs = [packed(x.keys[a:b], counts[:, a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([batch.column(0)[i].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
@@ -283,8 +291,9 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     base = stash(blocks(keyed.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))), "blocks")
     size = base.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.coalesce(n, F.lit(0))))).first()[0] or 0
     # a token is some six bytes, and brings two keys at the most
-    shift = np.uint64(64 - (max(1, size // 3 // bucket) - 1).bit_length())
-    back = stash(returned(sent(base, shift)), "counts")
+    bits = min(64, (size // 3).bit_length() + SPARE)
+    shift = np.uint64(bits - (max(1, size // 3 // bucket) - 1).bit_length())
+    back = stash(returned(sent(base, bits, shift)), "counts")
     drop_shuffles(spark)
     types = (back.agg(F.sum("words")).first()[0] or 0) + 1
 
@@ -292,7 +301,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         out = []
         for i in range(texts.num_rows):
             ids, targets = texts["ids"][i], texts["targets"][i]
-            x = _terms(targets, texts["sizes"][i], texts["texts"][i])
+            x = _terms(bits, targets, texts["sizes"][i], texts["texts"][i])
             t = b = np.full(len(x.sizes), np.nan)
             if len(x.keys):
                 shared, counts = np.zeros(len(x.keys), bool), np.zeros((COUNTS - 1, len(x.keys)), np.int64)
