@@ -82,3 +82,14 @@ def test_packing(spark, odd):
 def test_empty_tables(spark, odd, name, stage):
     out = stage(spark, odd.limit(0), D)
     assert out.count() == 0 and (name == "packing" or out.columns == odd.columns)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from weftline.llm.common import scratch, stash
+
+    with scratch(spark) as made:
+        gone, kept = stash(spark.range(3), "gone"), stash(spark.range(4), "kept")
+        made.pop()
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)exist|not.?found"):
+        gone.count()

@@ -73,6 +73,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP6_SQL = r"""
+WITH marked AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(2), 'g'), '(\n+)', chr(1) || '\1' || chr(2), 'g') AS t FROM documents WHERE text IS NOT NULL
+), pieces AS (SELECT doc_id, unnest(string_split(t, chr(2))) AS piece, generate_subscripts(string_split(t, chr(2)), 1) AS k FROM marked),
+units AS (SELECT doc_id, k, split_part(piece, chr(1), 1) AS unit, split_part(piece, chr(1), 2) AS sep FROM pieces),
+words AS (SELECT *, list_filter(regexp_split_to_array(unit, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS own FROM units),
+tokens AS (SELECT doc_id, k, unit, sep, len(own) AS n, list_transform(own, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws FROM words),
+keys AS (
+  SELECT doc_id, k, unnest(CASE WHEN n = 0 THEN [] WHEN n < 10 THEN [n || ':' || array_to_string(ws, ' ')]
+    ELSE [n || 'a' || array_to_string(list_concat(ws[1:4], ws[(4 + n) // 2 + 1:]), ' '), n || 'b' || array_to_string(ws[1:(4 + n) // 2], ' ')] END) AS key FROM tokens
+), firsts AS (SELECT key, min(doc_id) AS first_id FROM keys GROUP BY 1),
+hits AS (SELECT DISTINCT doc_id, k, true AS hit FROM keys JOIN firsts USING (key) WHERE first_id < doc_id),
+told AS (SELECT doc_id, k, n, coalesce(hit, false) AS hit FROM tokens LEFT JOIN hits USING (doc_id, k) WHERE n > 0),
+runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - row_number() OVER (PARTITION BY doc_id, hit ORDER BY k) AS run FROM told),
+gone AS (SELECT doc_id, k, hit AND sum(n) OVER (PARTITION BY doc_id, hit, run) >= 6 AS gone FROM runs),
+left_ AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_dropped, rtrim(coalesce(string_agg(unit || sep, '' ORDER BY k) FILTER (WHERE NOT coalesce(gone, false)), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM tokens LEFT JOIN gone USING (doc_id, k) GROUP BY 1
+)
+SELECT doc_id, CASE WHEN n_dropped > 0 THEN t ELSE text END AS text, coalesce(n_dropped, 0) AS n_dropped FROM documents LEFT JOIN left_ USING (doc_id)
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -131,4 +154,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
