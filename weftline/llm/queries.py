@@ -37,6 +37,29 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")], "in_target")
 
 
+OP3_SQL = r"""
+WITH told AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+docs AS (
+  SELECT d.doc_id, t.doc_id IS NOT NULL AS tgt, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents d LEFT JOIN told t USING (doc_id)
+), tok AS (SELECT doc_id, tgt, len(ws) AS n, unnest(ws) AS b, unnest(list_concat([''], ws[1:len(ws) - 1])) AS a FROM docs WHERE len(ws) > 0),
+own_w AS (SELECT doc_id, tgt, b, count(*) AS n FROM tok GROUP BY ALL), own_c AS (SELECT doc_id, tgt, a, count(*) AS n FROM tok GROUP BY ALL), own_p AS (SELECT doc_id, tgt, n AS size, a, b, count(*) AS n FROM tok GROUP BY ALL),
+all_w AS (SELECT b, sum(n) AS n, coalesce(sum(n) FILTER (WHERE tgt), 0) AS t FROM own_w GROUP BY 1), all_c AS (SELECT a, sum(n) AS n, coalesce(sum(n) FILTER (WHERE tgt), 0) AS t FROM own_c GROUP BY 1),
+all_p AS (SELECT a, b, sum(n) AS n, coalesce(sum(n) FILTER (WHERE tgt), 0) AS t FROM own_p GROUP BY 1, 2),
+k AS (SELECT sum(n) AS n, sum(t) AS t, count(*) + 1 AS types, sum(t) / sum(n) AS share FROM all_w),
+x AS (
+  SELECT p.doc_id, p.size, p.n, p.tgt::INT AS g, types, share,
+    wa.t - g * w.n AS wt, k.t - g * p.size AS tt, pa.t - g * p.n AS pt, ca.t - g * c.n AS ct,
+    share * (wa.n - w.n) AS wb, share * (k.n - p.size) AS tb, share * (pa.n - p.n) AS pb, share * (ca.n - c.n) AS cb
+  FROM own_p p JOIN own_w w ON w.doc_id = p.doc_id AND w.b = p.b JOIN own_c c ON c.doc_id = p.doc_id AND c.a = p.a JOIN all_w wa ON wa.b = p.b JOIN all_c ca ON ca.a = p.a JOIN all_p pa ON pa.a = p.a AND pa.b = p.b, k
+), loss AS (
+  SELECT doc_id, sum(n * -ln((pt + 50.0 * (wt + 0.5) / (tt + 0.5 * types)) / (greatest(ct, pt) + 50.0))) / any_value(size) AS t, sum(n * -ln((pb + 50.0 * (wb + 0.5) / (tb + 0.5 * types)) / (greatest(cb, pb) + 50.0))) / any_value(size) AS b
+  FROM x GROUP BY 1
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(b - t, 6) AS score, tgt AS in_target FROM docs LEFT JOIN loss USING (doc_id)
+"""
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -154,4 +177,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op3_lm_scoring": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
