@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.llm import packing
+from weftline.llm.common import remembered
 from weftline.llm.queries import op1_best_fit_packing, tokenizer_path
 
 
@@ -59,11 +60,11 @@ def check_gapless(rows, capacity):
 
 def test_full_memo(monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 3)
-    packing._memos.clear()
+    remembered.clear()
     encode = packing._encoder(tokenizer_path(), False)
     texts = ["one two three four five", "one two six seven six", "a" * 100 + " one"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts * 2])] == [whole(t)[:-1] for t in texts * 2]
-    packing._memos.clear()
+    remembered.clear()
 
 
 def test_ranks_over_parts(spark, monkeypatch):

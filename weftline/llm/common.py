@@ -89,11 +89,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow for any column names, dots and repeated cases included."""
+#: What operators remember from task to task in a Python worker, by operator.
+remembered: dict[str, dict] = {}
+
+
+def memory_of(owner: str) -> dict:
+    """What an operator remembers in this worker; what others remembered goes, since workers outlive tasks and stages."""
+    for other in [o for o in remembered if o != owner]:
+        del remembered[other]
+    return remembered.setdefault(owner, {})
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, owner: str = "") -> DataFrame:
+    """df.mapInArrow for any column names, dots and repeated cases included; owner is the operator whose memory may stay."""
     names = df.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of(owner)
         yield from run(batch.rename_columns(names) for batch in batches)
         # workers outlive tasks: what this one needed isn't held against the next
         pa.default_memory_pool().release_unused()

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.llm.common import bounded_batches, map_batches, session_of, stash
+from weftline.llm.common import bounded_batches, map_batches, memory_of, session_of, stash
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct chunks of text whose ids a Python worker remembers.
-MEMO = 900_000
+MEMO = 400_000
 #: Bytes of texts whose new chunks are encoded at once, and chunks of one call.
 TOGETHER, LOT = 1 << 20, 2000
 #: Bytes above which a chunk isn't remembered.
@@ -44,16 +44,14 @@ PIECES = T.StructType(
 )
 
 
-_memos: dict[tuple[str, bool], tuple] = {}
-
-
 def _encoder(path: str, plain: bool):
     """text bytes -> little-endian ids. Only for tokenizers that drop white space, never look across it and lower-case: each
     chunk between ASCII white space is encoded once a worker and remembered. Control strings of the tokenizer in a text get
     their own ids, as its file says, or with `plain` those of ordinary text."""
     import os
 
-    if (path, plain) not in _memos:
+    memos = memory_of("packing")
+    if (path, plain) not in memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,8 +59,8 @@ def _encoder(path: str, plain: bool):
         tok.encode_special_tokens = plain
         # a control string parts a text before anything else looks at it, so chunks joined by one are encoded as if alone
         marks = [(i, t.content.encode()) for i, t in sorted(bare.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-        _memos[path, plain] = tok, bare, next((m for m in marks if m[1].startswith(b"<|") and len(m[1].split()) == 1), None), {}
-    tok, bare, mark, memo = _memos[path, plain]
+        memos[path, plain] = tok, bare, next((m for m in marks if m[1].startswith(b"<|") and len(m[1].split()) == 1), None), {}
+    tok, bare, mark, memo = memos[path, plain]
 
     def encoded(chunks: list[bytes]) -> dict[bytes, bytes]:
         alone = [c for c in chunks if mark is None or b"<|" in c]
@@ -136,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
                 out.append(pa.array(blobs, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[*names, *(f.name for f in extra)])
 
-    return map_batches(docs, run, schema)
+    return map_batches(docs, run, schema, "packing")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
