@@ -64,7 +64,7 @@ def test_rows_are_decided_one_by_one(spark):
     docs = read(spark, D, "documents")
     labels = read(spark, D, "labels")
     bad = "trash pathetic idiot disgusting worthless stupid loser clown scum moron " * 8
-    some = docs.where("lang = 'en' and n_chars between 500 and 2000").limit(20)
+    some = docs.where("lang = 'en' and n_chars between 500 and 2000").orderBy("doc_id").limit(20)
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" " + bad))).otherwise(F.col("text"))
     odd = some.withColumn("row", F.col("doc_id")).withColumn("text", text).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(-1).cast("long"))
     same = docs.withColumn("row", F.lit(None).cast("long")).unionByName(odd)
