@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from weftline.operators import rows as O
 from weftline.sources import files as L
 from weftline.sources import office as W
 from weftline.sources import tables as S
+from weftline.sources.scratch import settled
 from weftline.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,8 +415,9 @@ SELECT 'R' || lpad(n::VARCHAR, 6, '0') AS row_id, f AS source_file, grp AS "grou
 def table_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """S2, S5, O2, W1-W3, X6-X9, N1-N3, J4 end to end: HTML tables to typed relations with their rows."""
     tables = S.with_headers(S.extract_tables(_brand_pages(spark, d)))
-    rows = R.source_rows(S.select_tables(tables, "brand"))
-    items = R.items(R.source_cells(rows))
+    # rows and items are read several times below
+    rows = settled(R.source_rows(S.select_tables(tables, "brand")))
+    items = settled(R.items(R.source_cells(rows)))
     pairs, _ = R.map_relations(items)
     main = items.select(F.col("item_id").alias("main_item_id"), F.col("document").alias("main_document"))
     out = R.typed(pairs).join(main, "main_item_id").join(rows.select("row_id", "source_file", "group", "ground"), "row_id")
@@ -636,16 +639,32 @@ class _Run:
             F.when(size == 0, "not_found").when(size == 1, "ambiguous").otherwise("exact").alias("match_type"), F.when(size > 1, F.concat(F.lit("use "), F.col("p_size") % 4)).alias("purpose_text"),
             F.concat(flagged(size == 0, "purpose_not_found"), flagged(size == 1, "ambiguous_purpose_match")).alias("match_flags"), reviewed.alias("reviewed"),
         ).withColumn("cell_id", F.concat_ws(".", "row_id", "role"))
+        self.all = settled(self.all)  # read by every step below
         self.items = self.all.drop("match_type", "purpose_text", "match_flags", "reviewed")
         self.cells = self.items.select("cell_id", "row_id", "role", F.col("role").alias("raw_cell")).distinct()
         self.reviewed = self.all.where("reviewed").select("item_id", F.lit("reviewed").alias("purpose_text"))
         matches = self.all.select("item_id", "match_type", "purpose_text", F.col("match_flags").alias("review_flags"))
         self.matches = V.effective_matches(matches, self.reviewed)
-        pairs, self.unresolved = R.map_relations(self.items)
-        self.relations = V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items)
+
+    @cached_property
+    def mapped(self) -> tuple[DataFrame, DataFrame]:
+        pairs, open_ = R.map_relations(self.items)
+        return settled(V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items)), settled(open_)
+
+    @property
+    def relations(self) -> DataFrame:
+        return self.mapped[0]
+
+    @property
+    def unresolved(self) -> DataFrame:
+        return self.mapped[1]
+
+    @cached_property
+    def _flags(self) -> DataFrame:
+        return settled(V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed))
 
     def flags(self) -> DataFrame:
-        return V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed)
+        return self._flags
 
     def staged(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return V.staged(self.rows, self.cells, self.items, self.matches, self.relations)
