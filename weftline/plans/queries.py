@@ -639,7 +639,6 @@ class _Run:
             F.when(size == 0, "not_found").when(size == 1, "ambiguous").otherwise("exact").alias("match_type"), F.when(size > 1, F.concat(F.lit("use "), F.col("p_size") % 4)).alias("purpose_text"),
             F.concat(flagged(size == 0, "purpose_not_found"), flagged(size == 1, "ambiguous_purpose_match")).alias("match_flags"), reviewed.alias("reviewed"),
         ).withColumn("cell_id", F.concat_ws(".", "row_id", "role"))
-        self.all = settled(self.all)  # read by every step below
         self.items = self.all.drop("match_type", "purpose_text", "match_flags", "reviewed")
         self.cells = self.items.select("cell_id", "row_id", "role", F.col("role").alias("raw_cell")).distinct()
         self.reviewed = self.all.where("reviewed").select("item_id", F.lit("reviewed").alias("purpose_text"))
@@ -649,7 +648,7 @@ class _Run:
     @cached_property
     def mapped(self) -> tuple[DataFrame, DataFrame]:
         pairs, open_ = R.map_relations(self.items)
-        return settled(V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items)), settled(open_)
+        return V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items), open_
 
     @property
     def relations(self) -> DataFrame:
@@ -661,7 +660,7 @@ class _Run:
 
     @cached_property
     def _flags(self) -> DataFrame:
-        return settled(V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed))
+        return V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed)
 
     def flags(self) -> DataFrame:
         return self._flags
