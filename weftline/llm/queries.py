@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, embeddings, langid, linededup, lmscore, minhash, mixing, packing, quality, secrets
+from weftline.llm import chat, compaction, embeddings, langid, linededup, lmscore, minhash, mixing, packing, quality, secrets
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,10 +169,14 @@ SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id
 """
 
 
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
-    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup)}
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup, op11_compaction)}
     return found | {"pipeline": pipeline}
 
 
