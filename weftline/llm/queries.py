@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, compaction, embeddings, langid, linededup, lmscore, minhash, mixing, packing, quality, secrets
+from weftline.llm import chat, compaction, embeddings, langid, linededup, lmscore, manifest, minhash, mixing, packing, quality, secrets
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,12 +173,60 @@ def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compacted(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.third_tampered(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+def _tree_sql(of: str, levels: int) -> str:
+    """CTEs over {of}0 (t, i, h): nodes {of}k of each level, runs {of}rk with their concatenated digests; what is alone stays."""
+    out = ""
+    for k in range(levels):
+        out += f"""{of}r{k} AS (SELECT t, i // 8 AS i, count(*) AS n, max(count(*)) OVER (PARTITION BY t) > 1 OR count(*) OVER (PARTITION BY t) > 1 AS many, string_agg(h, '' ORDER BY i) AS s FROM {of}{k} GROUP BY 1, 2),
+{of}{k + 1} AS (SELECT t, i, CASE WHEN many THEN sha256(s) ELSE s END AS h FROM {of}r{k}),
+"""
+    return out
+
+
+def _climb_sql(of: str, start: str, levels: int) -> str:
+    """CTEs that follow each row of start (row, t, i, proof, fold) to the root of its tree."""
+    out, last = "", start
+    for k in range(levels):
+        at = "l.i % 8"
+        out += f"""{of}c{k} AS (SELECT l.row, l.t, l.i // 8 AS i, CASE WHEN many THEN proof || s[1:64 * ({at})] || s[64 * ({at}) + 65:] ELSE proof END AS proof,
+  CASE WHEN many THEN sha256(s[1:64 * ({at})] || fold || s[64 * ({at}) + 65:]) ELSE fold END AS fold FROM {last} l JOIN {of}r{k} r ON r.t = l.t AND r.i = l.i // 8),
+"""
+        last = f"{of}c{k}"
+    return out
+
+
+_FRAMED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR)))::VARCHAR || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FRAMED.format(text) + ")"
+_LEVELS, _TOP = 9, 4
+
+OP12_SQL = f"""
+WITH crc AS (SELECT list(x.v ORDER BY x.b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b)) x),
+given AS (SELECT *, row_number() OVER () AS row, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(CAST(doc_id AS VARCHAR)[k]) AS BIGINT)) AS codes FROM documents),
+keyed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, codes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM given, crc),
+leaves AS (SELECT doc_id, row, coalesce('+' || lang, '') AS t, {_LEAF('text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged FROM keyed),
+n0 AS (SELECT row, doc_id, forged, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM leaves),
+{_tree_sql('n', _LEVELS)}
+s0 AS (SELECT 0 AS t, row_number() OVER (ORDER BY encode(t)) - 1 AS i, h, t AS name FROM n{_LEVELS}),
+{_tree_sql('s', _TOP)}
+w0 AS (SELECT row, t, i, '' AS proof, coalesce(forged, h) AS fold FROM n0),
+{_climb_sql('n', 'w0', _LEVELS)}
+v0 AS (SELECT c.row, s0.t, s0.i, proof, fold FROM nc{_LEVELS - 1} c JOIN s0 ON s0.name = c.t),
+{_climb_sql('s', 'v0', _TOP)}
+told AS (SELECT n0.doc_id, n0.h AS leaf, s0.h AS subroot, (SELECT h FROM s{_TOP}) AS root, sha256(proof) AS proof_sha256, fold AS folded_root FROM sc{_TOP - 1} c JOIN n0 USING (row) JOIN s0 ON s0.name = n0.t)
+SELECT *, folded_root = root AS verified FROM told
+"""
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
-    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup, op11_compaction)}
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup, op11_compaction, op12_merkle_manifest)}
     return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_scoring": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op3_lm_scoring": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
