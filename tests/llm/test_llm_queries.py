@@ -17,7 +17,7 @@ def norm(rows):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents embeddings conversations labels".split():
+    for t in "documents embeddings conversations labels pages".split():
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     sql = Q.oracle_sql()[name]
     names = sorted(c[0] for c in con.sql(sql).description)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, compaction, embeddings, langid, linededup, lmscore, manifest, minhash, mixing, packing, quality, secrets
+from weftline.llm import chat, compaction, embeddings, langid, linededup, lmscore, manifest, minhash, mixing, packing, pagetext, quality, secrets
 from weftline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,12 +221,26 @@ SELECT *, folded_root = root AS verified FROM told
 """
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: The same pages read by their one template: what stands in the article element, cut at its blocks.
+OP13_SQL = r"""
+WITH inner_ AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS a FROM pages),
+cut AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS b FROM inner_),
+said AS (SELECT page_id, url, list_transform(b, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS b FROM cut),
+told AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM said)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM told
+"""
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run as pipeline
 
-    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup, op11_compaction, op12_merkle_manifest)}
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_chat_formatting, op5_mixing, op6_line_dedup, op7_language_id, op8_secret_scans, op9_minhash_near_dedup, op10_embedding_near_dedup, op11_compaction, op12_merkle_manifest, op13_html_extraction)}
     return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_scoring": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op3_lm_scoring": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_html_extraction": OP13_SQL}
