@@ -82,3 +82,29 @@ def test_recall_in_crowded_labels(spark):
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
     got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
     assert sum(got[k] == got[k + 1000] for k in range(1000)) >= 995
+
+
+def test_labels_do_not_weigh_on_each_other(spark):
+    """One crowded label with few links beside one that is rich in them: the first one's links are found all the same."""
+    r = np.random.default_rng(6)
+    centre, n, pairs = r.standard_normal(48), 5000, 60
+    x = centre + r.standard_normal((n, 48)) * 0.37
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(pairs):
+        off = r.standard_normal(48)
+        off -= (off @ x[k]) * x[k]
+        x[k + pairs] = 0.982 * x[k] + np.sqrt(1 - 0.982**2) * off / np.linalg.norm(off)
+    near = r.standard_normal((300, 48)).repeat(20, axis=0) + r.standard_normal((6000, 48)) * 0.05
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(n + k, v.tolist(), 1) for k, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[k] == got[k + pairs] for k in range(pairs)) >= pairs * 0.99
+
+
+def test_labels_that_do_not_settle_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ROUNDS", 0)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    r = np.random.default_rng(2)
+    rows = [(k, (r.standard_normal(8 if k % 2 else 4) * 0.2 + (k // 40)).tolist(), k % 3) for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()} == brute(rows)

@@ -7,9 +7,10 @@ a few numbers a vector, not the vector itself; a sketch of SKETCH_BITS further s
 and only these fetch their vectors. Verified pairs of all passes are united.
 
 Passes come in rounds. The first looks at the NEAR next neighbours only, which connects groups of any number of near copies;
-later rounds look at whole windows but only for pairs that no links connect yet. Rounds go on until one finds no more than MISSED
-of all links found so far, so larger and denser tables get more passes. Within the components, every pair is compared block by
-block in the end, so that the number of links is complete even where more vectors lie close together than a window holds.
+later rounds look at whole windows but only for pairs that no links connect yet and that weren't refused before. Each label goes
+on until what its last two rounds found says that no more than MISSED of its own links are missing, whatever other labels hold;
+labels that aren't done after ROUNDS are compared in full, block by block. Within the components, every pair is compared that way
+in the end, so that the number of links is complete even where more vectors lie close together than a window holds.
 
 Equal vectors are one class, compared once and counted with their number.
 """
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_id, components, session_of, stash, unstash
+from weftline.llm.common import as_id, components, session_of, spanning, stash, unstash
 
 COSINE = 0.98
 #: Neighbours after a vector in a pass that it is compared with; in the first round NEAR of them.
 WINDOW, NEAR = 64, 2
-#: Passes of a round, rounds at the most, and the share of new links at which they end.
-PASSES, ROUNDS, MISSED = 8, 40, 1e-3
+#: Passes of a round, rounds before a label is compared in full, and the share of a label's links that may be missing at its end.
+PASSES, ROUNDS, MISSED = 8, 16, 1e-3
 KEY_BITS, SKETCH_BITS = 62, 256
 #: Vectors of a component that one task compares with as many others.
 TILE = 512
@@ -178,7 +179,7 @@ def _candidates(classes: DataFrame, first: int, passes: int, window: int, cosine
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
-    """The pairs (u, v) whose vectors meet the threshold."""
+    """The pairs as (u, v, group, near): whether their vectors meet the threshold."""
 
     def run(batches):
         for batch in batches:
@@ -189,29 +190,49 @@ def _verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 a, b = (_unit(batch.column(i).take(pa.array(at)), len(at)) for i in (2, 3))
                 ok[at] = np.einsum("ij,ij->i", a, b) >= cosine
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([u.take(at), v.take(at)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([u, v, batch.column(4), pa.array(ok)], names=["u", "v", "group", "near"])
 
-    side = lambda end, name: classes.select(F.col("rep").alias(end), F.col("embedding").alias(name))
-    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    return stash(both.mapInArrow(run, "u long, v long"), "links")
+    side = lambda end, name, *more: classes.select(F.col("rep").alias(end), F.col("embedding").alias(name), *more)
+    both = pairs.join(side("u", "a", "group"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b", "group")
+    return stash(both.mapInArrow(run, "u long, v long, group long, near boolean"), "links")
 
 
-def _tile_links(cosine: float):
+def _blocks(table: pa.Table, cosine: float):
+    """(rows of the left side, rows of the right, hits) of each group in a task's tiles; a vector doesn't hit itself."""
+    comp, side, rep = (table[c].to_numpy() for c in ("component", "side", "rep"))
+    cut = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
+    for a, b in zip(cut[:-1], cut[1:]):
+        x = _unit(table["embedding"].slice(a, b - a), b - a)
+        left = np.flatnonzero(side[a:b] != 2)  # 0 both sides, 1 left, 2 right
+        right = np.flatnonzero(side[a:b] != 1)
+        yield a + left, a + right, (x[left] @ x[right].T >= cosine) & (rep[a + left][:, None] != rep[a + right][None])
+
+
+def _tile_counts(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("side", "ascending")])
-        comp, side = table["component"].to_numpy(), table["side"].to_numpy()
         rep, mult = table["rep"].to_numpy(), table["mult"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
-        out_rep, out_n = [], []
-        for a, b in zip(cut[:-1], cut[1:]):
-            x = _unit(table["embedding"].slice(a, b - a), b - a)
-            left = np.flatnonzero(side[a:b] != 2)  # 0 both sides, 1 left, 2 right
-            right = np.flatnonzero(side[a:b] != 1)
-            hit = (x[left] @ x[right].T >= cosine) & (rep[a + left][:, None] != rep[a + right][None])
-            out_rep.append(rep[a + left])
-            out_n.append(hit @ mult[a + right])
-        return pa.table({"rep": np.concatenate(out_rep) if out_rep else np.empty(0, np.int64), "others": np.concatenate(out_n).astype(np.int64) if out_n else np.empty(0, np.int64)})
+        out_rep, out_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for left, right, hit in _blocks(table, cosine):
+            out_rep.append(rep[left])
+            out_n.append((hit @ mult[right]).astype(np.int64))
+        return pa.table({"rep": np.concatenate(out_rep), "others": np.concatenate(out_n)})
+
+    return run
+
+
+def _tile_spans(cosine: float):
+    """Links of a tile, but for those that connect what its others connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("side", "ascending")])
+        rep, out = table["rep"].to_numpy(), []
+        for left, right, hit in _blocks(table, cosine):
+            ends, flat = np.unique(rep[np.concatenate([left, right])], return_inverse=True)
+            i, j = np.nonzero(hit)
+            out += [(int(ends[a]), int(ends[b])) for a, b in spanning(len(ends), np.stack([flat[: len(left)][i], flat[len(left) :][j]], axis=1))]
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -219,24 +240,39 @@ def _tile_links(cosine: float):
 def _connected(classes: DataFrame, cosine: float, window: int, passes: int, seed: int) -> DataFrame:
     """(rep, component) of the classes that are linked with another."""
     links = stash(classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0), "links")
+    refused = links
     comp = stash(components(links).withColumnRenamed("id", "rep"), "components")
-    first, total = 0, 0
+    # a label with what its rounds found: all, and in the last one
+    labels = stash(classes.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("group", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last")), "labels")
     for round_ in range(ROUNDS):
-        named = classes.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")) if total else classes.withColumn("component", F.col("rep"))
-        pairs = _candidates(named, first, passes if round_ else -(-passes // 2), window if round_ else min(NEAR, window), cosine, seed)
-        first += passes
-        fresh = _verified(pairs, classes, cosine)
+        active = classes.join(labels.select("group"), "group", "left_semi")
+        named = active.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        pairs = _candidates(named, round_ * passes, passes if round_ else -(-passes // 2), window if round_ else min(NEAR, window), cosine, seed)
+        told = _verified(pairs.join(refused, ["u", "v"], "left_anti") if round_ else pairs, classes, cosine)
         unstash(pairs)
-        new = fresh.count()
-        if new:
-            links = links.unionByName(fresh)
+        refused = refused.unionByName(told.where("not near").select("u", "v"))
+        fresh = told.where("near")
+        found = labels.join(fresh.groupBy("group").agg(F.count(F.lit(1)).alias("new")), "group", "left").fillna(0, ["new"])
+        # of what a round left, the next one finds the same share: this much is still missing, with one link more than were found
+        more, less = F.col("new") + 1, F.col("last") - F.col("new") - 1
+        missing = F.when((F.col("new") == 0) & (F.col("last") == 0), 0.0).otherwise(more * more / F.greatest(less, F.lit(1)))
+        total = F.col("total") + F.col("new")
+        # the first round leaves all pairs alone that aren't next to each other
+        going = (missing > F.greatest(F.lit(0.5), MISSED * total)) if round_ else F.lit(True)
+        left = stash(found.where(going).select("group", total.alias("total"), F.col("new").alias("last")), "labels")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh.select("u", "v"))
             unstash(comp)
             comp = stash(components(links).withColumnRenamed("id", "rep"), "components")
-        total += new
-        # the first round leaves all pairs alone that aren't next to each other
-        if round_ and new <= MISSED * total:
+        unstash(labels)
+        labels = left
+        if labels.isEmpty():
             return comp
-    return comp
+    rest = classes.join(labels.select("group"), "group", "left_semi")
+    # dimensions don't mix in a tile
+    part = rest.select("rep", F.xxhash64("group", "dim").alias("component"))
+    spans = _tiles(rest.withColumn("mult", F.lit(1).cast("long")), part).applyInArrow(_tile_spans(cosine), "u long, v long")
+    return stash(components(links.unionByName(spans)).withColumnRenamed("id", "rep"), "components")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
@@ -277,6 +313,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _count(classes: DataFrame, comp: DataFrame, cosine: float) -> DataFrame:
     """(rep, others): the vectors of other classes that a class is linked with, by comparing all of each component in tiles."""
+    return _tiles(classes, comp).applyInArrow(_tile_counts(cosine), "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def _tiles(classes: DataFrame, comp: DataFrame):
+    """Classes (rep, mult, embedding) dealt to pairs of tiles in which all of each component (rep, component) meets."""
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = comp.count()
     member = classes.select("rep", "mult", "embedding").join(comp, "rep").join(size, "component").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
@@ -289,4 +330,4 @@ def _count(classes: DataFrame, comp: DataFrame, cosine: float) -> DataFrame:
     right = F.when(F.col("own") != F.col("to"), F.struct(F.col("to").alias("i"), F.col("own").alias("j"), F.lit(2).alias("side")))
     many = many.withColumn("x", F.explode(F.array_compact(F.array(left, right)))).select(F.col("component").alias("g"), "x.i", "x.j", "x.side", "component", "rep", "mult", "embedding")
     tiles = few.withColumn("big", F.lit(False)).unionByName(many.withColumn("big", F.lit(True)))
-    return tiles.groupBy("big", "g", "i", "j").applyInArrow(_tile_links(cosine), "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+    return tiles.groupBy("big", "g", "i", "j")
