@@ -16,6 +16,7 @@ from weftline.operators import chunks as K
 from weftline.operators import commands as M
 from weftline.operators import documents as D
 from weftline.operators import grids as T
+from weftline.operators import nested as E
 from weftline.operators import normalize as N
 from weftline.operators import relations as R
 from weftline.operators import review as V
@@ -639,38 +640,12 @@ class _Run:
             F.when(size == 0, "not_found").when(size == 1, "ambiguous").otherwise("exact").alias("match_type"), F.when(size > 1, F.concat(F.lit("use "), F.col("p_size") % 4)).alias("purpose_text"),
             F.concat(flagged(size == 0, "purpose_not_found"), flagged(size == 1, "ambiguous_purpose_match")).alias("match_flags"), reviewed.alias("reviewed"),
         ).withColumn("cell_id", F.concat_ws(".", "row_id", "role"))
-        self.items = self.all.drop("match_type", "purpose_text", "match_flags", "reviewed")
-        self.cells = self.items.select("cell_id", "row_id", "role", F.col("role").alias("raw_cell")).distinct()
-        self.reviewed = self.all.where("reviewed").select("item_id", F.lit("reviewed").alias("purpose_text"))
-        matches = self.all.select("item_id", "match_type", "purpose_text", F.col("match_flags").alias("review_flags"))
-        self.matches = V.effective_matches(matches, self.reviewed)
+        self.all = E.laid_over(self.all, F.lit("reviewed"))
 
     @cached_property
-    def mapped(self) -> tuple[DataFrame, DataFrame]:
-        pairs, open_ = R.map_relations(self.items)
-        return V.effective_relations(R.typed(pairs).withColumn("note", F.lit("")), None, self.items), open_
-
-    @property
-    def relations(self) -> DataFrame:
-        return self.mapped[0]
-
-    @property
-    def unresolved(self) -> DataFrame:
-        return self.mapped[1]
-
-    @cached_property
-    def _flags(self) -> DataFrame:
-        return V.batch_flags(self.rows, self.items, self.matches, self.unresolved, self.relations, self.reviewed)
-
-    def flags(self) -> DataFrame:
-        return self._flags
-
-    def staged(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return V.staged(self.rows, self.cells, self.items, self.matches, self.relations)
-
-    def checked(self, table1: DataFrame) -> DataFrame:
-        _, table2, _ = self.staged()
-        return V.quality(self.rows, self.cells, self.items, self.matches, self.relations, self.unresolved, table1, table2, self.flags())
+    def folded(self) -> DataFrame:
+        """The run as nested rows, written once: all reports read these."""
+        return settled(E.fold(self.rows, self.all))
 
 
 @query(f"""WITH {_RUN} SELECT flag_id, batch_id, category, row_id, cell_id, item_id, evidence, 'warning' AS severity, CASE category WHEN 'possible_continuation_row' THEN 'Строка похожа на ошибочно отделённое OCR-продолжение.'
@@ -678,34 +653,33 @@ class _Run:
   WHEN 'ambiguous_purpose_match' THEN 'Найдено несколько разных текстов назначения.' WHEN 'missing_main_item' THEN 'Связанная марка есть, основной марки в строке нет.' ELSE 'Основную и связанную марки нельзя сопоставить однозначно.' END AS message FROM flags""")
 def review_flags(spark: SparkSession, d: str) -> DataFrame:
     """Review flags of every batch, numbered, with their messages."""
-    return _Run(spark, d).flags().fillna("", ["cell_id", "item_id"])
+    return E.flags(_Run(spark, d).folded).fillna("", ["cell_id", "item_id"])
 
 
 @query(f"WITH {_RUN} SELECT category, count(*) AS n FROM flags GROUP BY 1")
 def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Flags by category."""
-    return V.listed_flags(_Run(spark, d).flags())[1]
+    return V.listed_flags(E.flags(_Run(spark, d).folded))[1]
 
 
 @query(f"WITH {_RUN} SELECT flag_id, category, row_id FROM flags WHERE category IN ('empty_brand', 'missing_main_item') ORDER BY flag_id LIMIT 50")
 def flag_list(spark: SparkSession, d: str) -> DataFrame:
     """The first 50 flags of two categories (a review list)."""
-    return V.listed_flags(_Run(spark, d).flags(), ["empty_brand", "missing_main_item"])[0].select("flag_id", "category", "row_id")
+    return V.listed_flags(E.flags(_Run(spark, d).folded), ["empty_brand", "missing_main_item"])[0].select("flag_id", "category", "row_id")
 
 
 @query(f"""WITH {_RUN}, c AS (SELECT row_id, cell_id, count(*) AS n FROM known GROUP BY ALL), r AS (SELECT row_id, count(*) AS cells, sum(n) AS items, max(n) AS fullest FROM c GROUP BY 1)
 SELECT batch_id, count(*) AS n_rows, CAST(coalesce(sum(cells), 0) AS BIGINT) AS n_cells, CAST(coalesce(sum(items), 0) AS BIGINT) AS n_items, coalesce(max(fullest), 0) AS most_in_cell FROM rows_ LEFT JOIN r USING (row_id) GROUP BY 1""")
 def batch_sizes(spark: SparkSession, d: str) -> DataFrame:
     """A4: cells a batch, items a cell."""
-    run = _Run(spark, d)
-    return V.sizes(run.rows, run.cells, run.items)
+    return E.sizes(_Run(spark, d).folded)
 
 
 @query(f"""WITH {_RUN} SELECT batch_id, row_id, item_id, cell_id, role AS raw_cell, brand, purpose AS purpose_text, ground,
   array_to_string(list_sort(list_filter([CASE WHEN eb THEN 'empty_brand' END, CASE WHEN nf THEN 'normdoc_not_found' END, CASE WHEN lost THEN 'purpose_not_found' END, CASE WHEN amb THEN 'ambiguous_purpose_match' END, CASE WHEN cont THEN 'possible_continuation_row' END], lambda x: x IS NOT NULL)), ',') AS flags FROM known""")
 def staged_brands(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences with reviewed purposes, row context and joined flags."""
-    one, _, _ = _Run(spark, d).staged()
+    one, _, _ = E.staged(_Run(spark, d).folded)
     return one.select("batch_id", "row_id", "item_id", "cell_id", "raw_cell", "brand", "purpose_text", "ground", F.array_join("review_flags", ",").alias("flags"))
 
 
@@ -717,18 +691,16 @@ checked AS (SELECT q.*, coalesce((SELECT count(*) FROM known k WHERE k.batch_id
 FROM q LEFT JOIN rel USING (batch_id) LEFT JOIN (SELECT batch_id, count(*) AS n FROM flags GROUP BY 1) f USING (batch_id) LEFT JOIN (SELECT batch_id, string_agg(error, '; ' ORDER BY error) AS errors FROM e GROUP BY 1) x USING (batch_id))"""
 
 
-def _with_gaps(run: _Run) -> DataFrame:
+def _with_gaps(folded: DataFrame) -> DataFrame:
     """Quality of a run whose first table lacks items of later rows."""
-    one, _, _ = run.staged()
-    late = run.rows.where("row_index > 5000").select("row_id")
-    lost = run.items.where(F.col("index") == 1).join(late, "row_id").select("item_id")
-    return run.checked(one.join(lost, "item_id", "left_anti"))
+    late = F.transform(F.filter("items", lambda i: (F.col("row_index") <= 5000) | (i["index"] != 1)), lambda i: i["item_id"])
+    return E.quality(folded, table1=late)
 
 
 @query(f"WITH {_CHECKED} SELECT * FROM checked")
 def batch_quality(spark: SparkSession, d: str) -> DataFrame:
     """Q1: coverage errors, open flags and the state of every batch."""
-    return _with_gaps(_Run(spark, d)).withColumn("errors", F.array_join("errors", "; "))
+    return _with_gaps(_Run(spark, d).folded).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query(f"""WITH {_CHECKED}, s AS (SELECT min(batch_id) FILTER (WHERE qc_status = 'failed') AS stop FROM checked), c AS (SELECT batch_id, count(DISTINCT cell_id) AS cells FROM known GROUP BY 1),
@@ -737,18 +709,16 @@ t AS (SELECT CAST(sum(n_rows) AS BIGINT) AS total_rows, CAST(sum(cells) AS BIGIN
 SELECT *, total_rows - processed_rows AS remaining_rows, total_cells - processed_cells AS remaining_cells, CASE WHEN next_batch IS NULL THEN 'completed' WHEN processed_rows = 0 THEN 'initialized' ELSE 'in_progress' END AS status FROM t""")
 def run_cursor(spark: SparkSession, d: str) -> DataFrame:
     """How far a run has come that a failed batch holds up."""
-    run = _Run(spark, d)
-    return V.cursor(run.rows, run.cells, _with_gaps(run))
+    folded = _Run(spark, d).folded
+    return E.cursor(folded, _with_gaps(folded))
 
 
 @query(f"""WITH {_RUN} SELECT category, row_id, item_id, '' AS brand_key, '' AS item_ids FROM flags WHERE category IN ('ambiguous_relation_mapping', 'missing_main_item', 'ambiguous_purpose_match')
 UNION ALL SELECT 'conflicting_purpose_values', '', '', brand || ' || ∅', string_agg(item_id, ',' ORDER BY item_id) FROM known GROUP BY brand HAVING count(DISTINCT purpose) > 1""")
 def final_blockers(spark: SparkSession, d: str) -> DataFrame:
     """What stands in the way of an export, with the items of conflicting purposes."""
-    run = _Run(spark, d)
-    one, two, _ = run.staged()
-    state = V.cursor(run.rows, run.cells, run.checked(one))
-    found = V.blockers(state, run.flags(), one, two)
+    folded = _Run(spark, d).folded
+    found = E.blockers(folded, E.cursor(folded, E.quality(folded)))
     return found.select("category", *[F.coalesce(c, F.lit("")).alias(c) for c in ("row_id", "item_id", "brand_key")], F.coalesce(F.array_join("item_ids", ","), F.lit("")).alias("item_ids"))
 
 
@@ -756,11 +726,10 @@ def final_blockers(spark: SparkSession, d: str) -> DataFrame:
   (SELECT count(*) FROM open_ o WHERE o.row_id = r.row_id) AS n_unresolved, (SELECT count(*) FROM flags f WHERE f.row_id = r.row_id) AS n_flags FROM rows_ r""")
 def row_lineage(spark: SparkSession, d: str) -> DataFrame:
     """All that was made of each row."""
-    run = _Run(spark, d)
-    got = V.lineage(run.rows, run.items, run.matches, run.relations, run.unresolved, run.flags())
-    ids = F.transform(F.array_sort(F.transform("items", lambda i: F.struct(V.role_place(i["role"]).alias("r"), i["index"].alias("n"), i["item_id"].alias("id")))), lambda x: x["id"])
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
-    return got.select("row_id", F.md5(F.array_join(ids, ",")).alias("items_md5"), size("purposes").alias("n_purposes"), size("unresolved").alias("n_unresolved"), size("flags").alias("n_flags"))
+    got = E.lineage(_Run(spark, d).folded)
+    ids = F.transform("items", lambda i: i["item_id"])
+    size = lambda c: F.size(c).cast("long")
+    return got.select("row_id", F.when(F.size("items") > 0, F.md5(F.array_join(ids, ","))).alias("items_md5"), size("purposes").alias("n_purposes"), size("unresolved").alias("n_unresolved"), size("flags").alias("n_flags"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
