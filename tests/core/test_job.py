@@ -3,6 +3,7 @@
 import pytest
 
 from weftline.sources import files
+from weftline.sources.versions import Change
 from weftline.streaming import incremental
 from weftline.streaming.job import Job, JobError
 
@@ -132,3 +133,22 @@ def test_sinks(spark, tmp_path):
     assert [(r.first, r.type, r.second, r.note) for r in rel] == [("a", "t", "b", "")]
     with pytest.raises(ValueError):
         files.relations_of(files.read_csv(spark, f"{d}/rel.csv"), ("Первая", "Вид", "Вторая"), "Примечание")
+
+
+def test_a_batch_that_fails_half_way_leaves_the_run_as_it_was(spark, job, monkeypatch):
+    run, source = job
+    run.initialize(source)
+    real, left = Change._segment, [5]
+
+    def segment(self, name, df, batches):
+        left[0] -= 1
+        if left[0] == 0:
+            raise OSError("no space")
+        return real(self, name, df, batches)
+
+    monkeypatch.setattr(Change, "_segment", segment)
+    with pytest.raises(OSError):
+        run.process(batch_size=2)
+    again = Job(spark, run.store.folder)
+    assert again.progress() == run.progress() and again.progress()["processed_rows"] == 0 and not again.store.has("table1")
+    assert [b["batch_id"] for b in again.process(batch_size=2)] == ["B000001"] and again.progress()["processed_rows"] == 2

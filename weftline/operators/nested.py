@@ -239,22 +239,47 @@ def lineage(folded: DataFrame) -> DataFrame:
     return folded.withColumn("purposes", purposes).withColumn("items", items).withColumn("flags", flags)
 
 
+def _shape(category: Column, message: Column, row: Column | None = None, item: Column | None = None, key: Column | None = None, ids: Column | None = None) -> list[Column]:
+    given = (("row_id", row), ("item_id", item), ("brand_key", key))
+    return [category.alias("category"), message.alias("message"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in given], (F.lit(None).cast("array<string>") if ids is None else ids).alias("item_ids")]
+
+
+def conflicts(items: DataFrame) -> DataFrame:
+    """Brands (brand_key) of staged items (item_id, brand_key, purpose_text) with several different purposes, as blockers."""
+    # texts are compared once each, not once an item
+    texts = items.where("purpose_text != ''").select("brand_key", "purpose_text").distinct()
+    several = texts.groupBy("brand_key").agg(F.count_distinct(X.comparison_text(F.col("purpose_text"))).alias("n")).where("n > 1")
+    ids = items.join(several, "brand_key").groupBy("brand_key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("item_id")).alias("ids"))
+    return ids.select(*_shape(F.lit("conflicting_purpose_values"), F.format_string("Brand key has %d different purpose texts", "n"), key=F.col("brand_key"), ids=F.col("ids")))
+
+
+def unfinished(state: DataFrame) -> DataFrame:
+    return state.where("status != 'completed'").select(*_shape(F.lit("incomplete_processing"), F.format_string("%d source rows remain", "remaining_rows")))
+
+
+def uneven(rows: DataFrame, table1: Column, table2: Column) -> DataFrame:
+    """A blocker if some row's items that the two tables hold (arrays of ids) differ."""
+    both = rows.select(F.sort_array(table1).alias("one"), F.sort_array(table2).alias("two")).agg(F.bool_or(F.col("one") != F.col("two")).alias("uneven")).where("uneven")
+    return both.select(*_shape(F.lit("staging_coverage_mismatch"), F.lit("Table 1 and Table 2 do not cover the same items")))
+
+
+def blocking(flags: DataFrame) -> DataFrame:
+    return flags.where(F.col("category").isin(*BLOCKING)).select(*_shape(F.col("category"), F.col("message"), F.col("row_id"), F.col("item_id")))
+
+
 def blockers(folded: DataFrame, state: DataFrame, table1: Column | None = None, table2: Column | None = None, allow_partial: bool = False) -> DataFrame:
     """All that stands in the way of an export: (category, message, row_id, item_id, brand_key, item_ids). table1, table2: ids of a
     row's items that the staged tables hold. Reports show LISTED of them."""
-    none = F.lit(None).cast("string")
-    shape = lambda category, message, row=none, item=none, key=none, ids=F.lit(None).cast("array<string>"): [category.alias("category"), message.alias("message"), row.alias("row_id"), item.alias("item_id"), key.alias("brand_key"), ids.alias("item_ids")]
-    open_ = flags(folded.withColumn("flags", F.filter("flags", lambda f: f["category"].isin(*BLOCKING))))
-    found = [open_.select(*shape(F.col("category"), F.col("message"), F.col("row_id"), F.col("item_id")))]
-    if not allow_partial:
-        found.append(state.where("status != 'completed'").select(*shape(F.lit("incomplete_processing"), F.format_string("%d source rows remain", "remaining_rows"))))
-    one, two = (staged_ids() if t is None else t for t in (table1, table2))
-    uneven = folded.select(F.sort_array(one).alias("one"), F.sort_array(two).alias("two")).agg(F.bool_or(F.col("one") != F.col("two")).alias("uneven")).where("uneven")
-    found.append(uneven.select(*shape(F.lit("staging_coverage_mismatch"), F.lit("Table 1 and Table 2 do not cover the same items"))))
+    found = [blocking(flags(folded))] + ([] if allow_partial else [unfinished(state)])
+    found.append(uneven(folded, *(staged_ids() if t is None else t for t in (table1, table2))))
     each = folded.select(F.explode(F.filter("items", lambda i: i["match_type"].isNotNull())).alias("i")).select("i.brand_key", "i.item_id", "i.purpose_text")
-    # texts are compared once each, not once an item
-    texts = each.where("purpose_text != ''").select("brand_key", "purpose_text").distinct()
-    several = texts.groupBy("brand_key").agg(F.count_distinct(X.comparison_text(F.col("purpose_text"))).alias("n")).where("n > 1")
-    ids = each.join(several, "brand_key").groupBy("brand_key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("item_id")).alias("ids"))
-    found.append(ids.select(*shape(F.lit("conflicting_purpose_values"), F.format_string("Brand key has %d different purpose texts", "n"), key=F.col("brand_key"), ids=F.col("ids"))))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*found, conflicts(each)])
+
+
+def staged_blockers(state: DataFrame, flags: DataFrame, table1: DataFrame, table2: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """blockers() of a run from what has been staged of it."""
+    found = [blocking(flags)] + ([] if allow_partial else [unfinished(state)])
+    sides = [t.groupBy("row_id").agg(F.collect_list("item_id").alias(n)) for t, n in ((table1, "one"), (table2, "two"))]
+    held = sides[0].join(sides[1], "row_id", "full")
+    found.append(uneven(held, _list("one", "array<string>"), _list("two", "array<string>")))
+    return reduce(DataFrame.unionByName, [*found, conflicts(table1)])

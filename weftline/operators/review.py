@@ -1,123 +1,27 @@
-"""Staging, review flags, quality control and the gate before export: set operations over all batches of a run at once.
-
-Tables and their columns:
-rows       row_id, batch_id, row_index, source_file, table_id, group, subgroup, ground, aviation, marine, note, row_flags
-cells      cell_id, row_id, role, raw_cell
-items      item_id, row_id, cell_id, role, index, brand, document, brand_key, raw_item, review_flags
-matches    item_id, match_type, purpose_text, review_flags
-relations  row_id, main_item_id, related_item_id, relation_type, note; brands are those of the items
-unresolved row_id, role, flag, main_item_ids, related_item_ids
-"""
+"""Flags of runs: what they say, and lists of them."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftline.functions import text as X
-from weftline.functions.fixed import BLOCKING, FLAG_MESSAGES, MANUAL, ROLES, UNRECOGNIZED, UNRECOGNIZED_MESSAGE
+from weftline.functions.fixed import FLAG_MESSAGES, ROLES, UNRECOGNIZED, UNRECOGNIZED_MESSAGE
 
 #: Flags and blockers that a report lists at the most.
 LISTED = 500
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def flag_message(category: Column) -> Column:
     """What a flag says; a category without a message says itself."""
     known = F.create_map(*[F.lit(x) for kv in FLAG_MESSAGES.items() for x in kv])
     return F.when(F.startswith(category, F.lit(UNRECOGNIZED)), UNRECOGNIZED_MESSAGE).otherwise(F.coalesce(F.try_element_at(known, category), category))
 
 
-def _placed(df: DataFrame, place: DataFrame) -> DataFrame:
-    """df with the columns of its rows, which win over its own of the same names."""
-    return df.drop(*[c for c in place.columns if c != "row_id"]).join(place, "row_id")
-
-
 def role_place(role: Column) -> Column:
     """Place of a role among the roles of a row."""
     return F.array_position(F.array(*map(F.lit, ROLES)), role)
 
 
-def effective_matches(matches: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """matches with reviewed purposes (item_id, purpose_text) in their place; overrides of unknown items are left out."""
-    if overrides is None:
-        return matches
-    o = overrides.select("item_id", F.col("purpose_text").alias("_text"), F.lit(True).alias("_hit"))
-    hit = F.coalesce("_hit", F.lit(False))
-    put = lambda c, new: F.when(hit, new).otherwise(F.col(c)).alias(c)
-    rest = [F.col(c) for c in matches.columns if c not in ("match_type", "purpose_text", "review_flags")]
-    return matches.join(o, "item_id", "left").select(*rest, put("match_type", F.lit(MANUAL)), put("purpose_text", F.col("_text")), put("review_flags", _none()))
-
-
-def effective_relations(relations: DataFrame, manual: DataFrame | None, items: DataFrame) -> DataFrame:
-    """Relations with manual ones laid over them by (main, type, related), and the brands that the items have now."""
-    cols = ["row_id", "main_item_id", "related_item_id", "relation_type", "note"]
-    both = relations.select(*cols, F.lit(0).alias("late"))
-    if manual is not None:
-        both = both.unionByName(manual.select(*cols, F.lit(1).alias("late")))
-    one = both.groupBy("main_item_id", "relation_type", "related_item_id").agg(F.max_by(F.struct("row_id", "note"), "late").alias("x"))
-    side = lambda name: items.select(F.col("item_id").alias(f"{name}_item_id"), F.col("brand").alias(f"{name}_brand"), F.col("brand_key").alias(f"{name}_brand_key"))
-    out = one.select("x.row_id", "main_item_id", "related_item_id", "relation_type", "x.note")
-    return out.join(side("main"), "main_item_id", "left").join(side("related"), "related_item_id", "left")
-
-
-def joined_flags(*flags: str) -> Column:
-    """Sorted distinct flags of several columns."""
-    return F.array_sort(reduce(F.array_union, [F.coalesce(F.col(f), _none()) for f in flags]))
-
-
-def staged(rows: DataFrame, cells: DataFrame, items: DataFrame, matches: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables of occurrences, by batch: brands with purposes and marks, groups, and relations. Items without a purpose
-    result aren't staged; relations should be effective ones."""
-    place = rows.select("row_id", "batch_id", "source_file", "table_id", "group", "subgroup", "ground", "aviation", "marine", "row_flags", "row_index")
-    told = matches.select("item_id", "purpose_text", F.col("review_flags").alias("match_flags"))
-    each = _placed(items, place).join(told, "item_id").withColumn("flags", joined_flags("review_flags", "match_flags", "row_flags"))
-    each = each.withColumn("ord", F.struct("row_index", role_place(F.col("role")).alias("role_place"), "index"))
-    origin = ["batch_id", "source_file", "table_id", "row_id", "item_id"]
-    one = each.join(cells.select("cell_id", "raw_cell"), "cell_id", "left").select(
-        *origin, F.col("flags").alias("review_flags"), "cell_id", "raw_cell", "raw_item", "brand_key", "brand", "document", "purpose_text", "ground", "aviation", "marine", "ord"
-    )
-    two = each.select(*origin, F.col("flags").alias("review_flags"), "group", "subgroup", "brand", "ord")
-    three = relations.join(place.select("row_id", "batch_id", "source_file", "table_id", "row_index"), "row_id").select(
-        "batch_id", "source_file", "table_id", "row_id", "main_item_id", "related_item_id", _none().alias("review_flags"), "main_brand", "relation_type", "related_brand",
-        X.inline_text(F.col("note")).alias("note"), F.struct("row_index", "main_item_id", "related_item_id", "relation_type").alias("ord"),
-    )
-    return one, two, three
-
-
-def batch_flags(rows: DataFrame, items: DataFrame, matches: DataFrame, unresolved: DataFrame, relations: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
-    """Review flags of every batch: those of rows, of their items and of the items' purposes, unless reviewed (item_id), then the
-    unresolved groups with items that no relation covers. The first of equal ones counts; flag_id numbers them in each batch."""
-    place = rows.select("row_id", "batch_id", "row_index")
-    none = F.lit(None).cast("string")
-    order = lambda part, item, kind, at: F.struct(F.lit(part).alias("part"), F.col("row_index").alias("row"), *item, F.lit(kind).alias("kind"), at.cast("int").alias("at")).alias("ord")
-    of_row = [F.lit(0).cast("long").alias("role"), F.lit(0).alias("index")]
-    of_item = [role_place(F.col("role")).cast("long").alias("role"), F.col("index").cast("int").alias("index")]
-    flag = lambda evidence, cell, item: [F.col("category"), F.col("row_id"), cell.alias("cell_id"), item.alias("item_id"), evidence.alias("evidence"), F.col("batch_id")]
-    a = rows.select("row_id", "batch_id", "row_index", "note", F.posexplode("row_flags").alias("at", "category"))
-    a = a.select(*flag(F.coalesce("note", F.lit("")), none, none), order(0, of_row, 0, F.col("at")))
-    known = _placed(items, place)
-    b = known.select("*", F.posexplode("review_flags").alias("at", "category")).select(*flag(F.col("raw_item"), F.col("cell_id"), F.col("item_id")), order(0, of_item, 1, F.col("at")))
-    open_ = matches.join(reviewed.select("item_id"), "item_id", "left_anti") if reviewed is not None else matches
-    c = known.join(open_.select("item_id", F.col("review_flags").alias("match_flags")), "item_id").select("*", F.posexplode("match_flags").alias("at", "category"))
-    c = c.select(*flag(F.col("brand"), F.col("cell_id"), F.col("item_id")), order(0, of_item, 2, F.col("at")))
-    covered = relations.select("related_item_id").distinct().withColumn("covered", F.lit(True))
-    lost = unresolved.select("row_id", "role", F.col("flag").alias("category"), F.posexplode("related_item_ids").alias("at", "related_item_id")).join(covered, "related_item_id", "left").where("covered is null")
-    lost = lost.groupBy("row_id", "role", "category").agg(F.array_sort(F.collect_list(F.struct("at", "related_item_id"))).alias("x")).join(place, "row_id")
-    named = F.array_join(F.transform("x", lambda x: x["related_item_id"]), "; ")
-    d = lost.select(*flag(named, none, none), order(1, [role_place(F.col("role")).cast("long").alias("role"), F.lit(0).alias("index")], 0, F.lit(0)))
-    same = ["batch_id", "category", "row_id", "cell_id", "item_id", "evidence"]
-    one = a.unionByName(b).unionByName(c).unionByName(d).groupBy(*same).agg(F.min("ord").alias("ord"))
-    nth = F.row_number().over(Window.partitionBy("batch_id").orderBy("ord", "category", "evidence", "item_id"))
-    return one.select(F.format_string("%s:F%04d", "batch_id", nth).alias("flag_id"), *same, F.lit("warning").alias("severity"), flag_message(F.col("category")).alias("message"))
-
-
 def listed_flags(flags: DataFrame, categories: list[str] | None = None, row_id: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """The first flags that meet the filters, up to a limit from 1 to LISTED, and how many there are of each category."""
     if categories:
@@ -125,100 +29,3 @@ def listed_flags(flags: DataFrame, categories: list[str] | None = None, row_id:
     if row_id is not None:
         flags = flags.where(F.col("row_id") == row_id)
     return flags.orderBy("flag_id").limit(max(1, min(int(limit), LISTED))), flags.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-def sizes(rows: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows, filled cells, items and the items of the fullest cell, by batch."""
-    per_cell = cells.select("cell_id", "row_id").join(items.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")), "cell_id", "left")
-    per_row = per_cell.groupBy("row_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.coalesce("n", F.lit(0))).alias("items"), F.max("n").alias("fullest"))
-    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}")
-    return rows.select("row_id", "batch_id").join(per_row, "row_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), some("cells"), some("items"), F.coalesce(F.max("fullest"), F.lit(0)).alias("most_in_cell"))
-
-
-def quality(rows: DataFrame, cells: DataFrame, items: DataFrame, matches: DataFrame, relations: DataFrame, unresolved: DataFrame, table1: DataFrame, table2: DataFrame, flags: DataFrame) -> DataFrame:
-    """One row a batch: its rows and items, how many relations and open flags, the errors found, and its state: failed with an
-    error, else passed_with_flags with a flag, else passed."""
-    place = rows.select("row_id", "batch_id")
-    known = _placed(items, place)
-    says = lambda df, pattern, c: df.select("batch_id", F.format_string(pattern, F.col(c).cast("string")).alias("error"))
-    found = [
-        says(cells.join(items.select("cell_id"), "cell_id", "left_anti").join(place, "row_id"), "source cell %s produced no items", "cell_id"),
-        says(known.join(table1.select("item_id"), "item_id", "left_anti"), "item %s is missing from Table 1 staging", "item_id"),
-        says(known.join(table2.select("item_id"), "item_id", "left_anti"), "item %s is missing from Table 2 staging", "item_id"),
-    ]
-    told = relations.select(F.col("related_item_id").alias("item_id")).unionByName(unresolved.select(F.explode("related_item_ids").alias("item_id"))).distinct()
-    found.append(says(known.where(F.col("role") != ROLES[0]).join(told, "item_id", "left_anti"), "non-main item %s has no relation status", "item_id"))
-    counted = known.join(matches.groupBy("item_id").agg(F.count(F.lit(1)).alias("m")), "item_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_matches"))
-    found.append(counted.where("n_items != n_matches").select("batch_id", F.lit("purpose result count does not equal parsed item count").alias("error")))
-    span = rows.groupBy("batch_id").agg(F.min(F.struct("row_index", "row_id")).alias("first"), F.max(F.struct("row_index", "row_id")).alias("last"), F.count(F.lit(1)).alias("n_rows"))
-    found.append(span.where("last.row_index - first.row_index + 1 != n_rows").select("batch_id", F.lit("batch rows are not a contiguous source range").alias("error")))
-    # the list of a batch is bounded by its rows
-    errors = reduce(DataFrame.unionByName, found).groupBy("batch_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
-    n_relations = relations.join(place, "row_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_relations"))
-    n_flags = flags.groupBy("batch_id").agg(F.count(F.lit(1)).alias("open_flags"))
-    out = span.join(counted.select("batch_id", "n_items"), "batch_id", "left").join(n_relations, "batch_id", "left").join(n_flags, "batch_id", "left").join(errors, "batch_id", "left")
-    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    state = F.when(F.size(F.coalesce("errors", _none())) > 0, "failed").when(F.coalesce("open_flags", F.lit(0)) > 0, "passed_with_flags").otherwise("passed")
-    return out.select(
-        "batch_id", F.col("first.row_id").alias("start_row_id"), F.col("last.row_id").alias("end_row_id"), "n_rows", number("n_items"), number("n_relations"), number("open_flags"), F.coalesce("errors", _none()).alias("errors"), state.alias("qc_status")
-    )
-
-
-def cursor(rows: DataFrame, cells: DataFrame, checked: DataFrame) -> DataFrame:
-    """One row: what is done and what comes next. Batches count as done up to the first one that failed or wasn't checked."""
-    planned = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_index", "row_id")).alias("first"))
-    filled = cells.join(rows.select("row_id", "batch_id"), "row_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("cells"))
-    each = planned.join(filled, "batch_id", "left").join(checked.select("batch_id", "qc_status"), "batch_id", "left").withColumn("ok", F.coalesce(F.col("qc_status") != "failed", F.lit(False)))
-    stop = each.agg(F.min(F.when(~F.col("ok"), F.col("batch_id"))).alias("next_batch"))
-    done = F.col("next_batch").isNull() | (F.col("batch_id") < F.col("next_batch"))
-    told = each.join(F.broadcast(stop)).agg(  # one row
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum("cells"), F.lit(0)).alias("total_cells"),
-        F.coalesce(F.sum(F.when(done, F.col("n"))), F.lit(0)).alias("processed_rows"),
-        F.coalesce(F.sum(F.when(done, F.col("cells"))), F.lit(0)).alias("processed_cells"),
-        F.max(F.when(done, F.col("batch_id"))).alias("last_completed_batch"),
-        F.max_by("qc_status", F.when(done, F.col("batch_id"))).alias("last_qc_status"),
-        F.min("next_batch").alias("next_batch"),
-        F.min(F.when(F.col("batch_id") == F.col("next_batch"), F.col("first.row_id"))).alias("next_row_id"),
-    )
-    state = F.when(F.col("next_batch").isNull(), "completed").when(F.col("processed_rows") == 0, "initialized").otherwise("in_progress")
-    return told.withColumn("remaining_rows", F.col("total_rows") - F.col("processed_rows")).withColumn("remaining_cells", F.col("total_cells") - F.col("processed_cells")).withColumn("status", state)
-
-
-def blockers(state: DataFrame, flags: DataFrame, table1: DataFrame, table2: DataFrame, allow_partial: bool = False) -> DataFrame:
-    """All that stands in the way of an export: (category, message, row_id, item_id, brand_key, item_ids). Reports show LISTED."""
-    none = F.lit(None).cast("string")
-    shape = lambda category, message, row=none, item=none, key=none, ids=F.lit(None).cast("array<string>"): [category.alias("category"), message.alias("message"), row.alias("row_id"), item.alias("item_id"), key.alias("brand_key"), ids.alias("item_ids")]
-    found = [flags.where(F.col("category").isin(*BLOCKING)).select(*shape(F.col("category"), F.col("message"), F.col("row_id"), F.col("item_id")))]
-    if not allow_partial:
-        found.append(state.where("status != 'completed'").select(*shape(F.lit("incomplete_processing"), F.format_string("%d source rows remain", "remaining_rows"))))
-    a, b = table1.select("item_id"), table2.select("item_id")
-    uneven = a.join(b, "item_id", "left_anti").unionByName(b.join(a, "item_id", "left_anti")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    found.append(uneven.select(*shape(F.lit("staging_coverage_mismatch"), F.lit("Table 1 and Table 2 do not cover the same items"))))
-    what = F.when(F.coalesce("purpose_text", F.lit("")) != "", X.comparison_text(F.col("purpose_text")))
-    several = table1.groupBy("brand_key").agg(F.count_distinct(what).alias("n")).where("n > 1")
-    ids = table1.join(several, "brand_key").groupBy("brand_key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("item_id")).alias("ids"))
-    found.append(ids.select(*shape(F.lit("conflicting_purpose_values"), F.format_string("Brand key has %d different purpose texts", "n"), key=F.col("brand_key"), ids=F.col("ids"))))
-    return reduce(DataFrame.unionByName, found)
-
-
-def lineage(rows: DataFrame, items: DataFrame, matches: DataFrame, relations: DataFrame, unresolved: DataFrame, flags: DataFrame) -> DataFrame:
-    """rows with all that was made of each: items, purposes, relations, unresolved groups and flags, as arrays in order."""
-
-    def nested(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
-        cols = [c for c in df.columns if c != "row_id"]
-        got = df.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*cols).alias("x")))).alias(name))
-        return got.withColumn(name, F.transform(name, lambda e: e["x"]))
-
-    of_item = [role_place(F.col("role")).alias("role"), F.col("index")]
-    parts = [
-        nested(items, "items", of_item),
-        nested(matches.join(items.select("item_id", "row_id", "role", "index"), "item_id"), "purposes", of_item).withColumn("purposes", F.transform("purposes", lambda x: x.dropFields("role", "index"))),
-        nested(relations, "relations", [F.col("main_item_id"), F.col("related_item_id"), F.col("relation_type")]),
-        nested(unresolved, "unresolved", [role_place(F.col("role")).alias("role")]),
-        nested(flags, "flags", [F.col("flag_id")]),
-    ]
-    out = rows
-    for p in parts:
-        out = out.join(p, "row_id", "left")
-    return out

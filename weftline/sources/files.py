@@ -110,9 +110,16 @@ def read_json(spark: SparkSession, path: str, default=None):
     return json.loads(read_bytes(spark, path).decode("utf-8")) if exists(spark, path) else default
 
 
-def write_file(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
-    """One file out of parts, by any file system that Spark reaches: written beside its place, then renamed to it, so that no
-    reader finds half of it."""
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    at, fs = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_file(spark: SparkSession, path: str, parts: Iterable[bytes], replace: bool = True) -> None:
+    """One file out of parts, by any file system that Spark reaches: written beside its place, then renamed over it by one step,
+    so that a reader finds the old file or the new one, whole. Without replace, a file that is there already is an error."""
+    jvm = spark.sparkContext._jvm
     at, fs = _file_system(spark, path)
     beside, _ = _file_system(spark, f"{at.getParent()}/.{at.getName()}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
@@ -124,9 +131,15 @@ def write_file(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
         fs.delete(beside, False)
         raise
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"{beside} could not be renamed to {at}")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    kind = spark.sparkContext._gateway.new_array(rename, 1)
+    kind[0] = rename.OVERWRITE if replace else rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(at), kind)
+    except BaseException:
+        fs.delete(beside, False)
+        raise
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:

@@ -2,22 +2,23 @@
 
 All rows are parsed, related and matched by one plan; a batch is a range of rows in the tables, not a loop over files. Processing
 stages the next batches at once, checks them at once, and moves the cursor up to the first that failed. Reviews restage the batch
-that they concern. State is a small JSON document, replaced as a whole.
+that they concern. Every call that changes the run is one commit of sources.versions: its tables, reviews and cursor change
+together or not at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions.fixed import EXPORT_BRANDS, EXPORT_GROUPS, EXPORT_RELATIONS, RELATION_TYPES
-from weftline.operators import commands, relations, review
+from weftline.operators import commands, nested, relations, review
 from weftline.operators.rows import batches
 from weftline.sources import files, tables
 from weftline.sources.scratch import settled
+from weftline.sources.versions import Change, Store
 
 #: Rows of a batch and batches of a call: as a rule, and at the most.
 BATCH, LARGEST_BATCH, MOST_BATCHES = 10, 20, 1000
@@ -37,42 +38,19 @@ class Job:
     """The run in a folder that all executors reach."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.store = spark, Store(spark, folder)
 
     # ---- tables
 
-    def _path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
-
     def table(self, name: str) -> DataFrame:
-        schema = files.read_json(self.spark, self._path(f"{name}.schema"))
-        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(self._path(name))
-
-    def _keep_schema(self, name: str, df: DataFrame) -> None:
-        files.write_json(self.spark, self._path(f"{name}.schema"), df.schema.jsonValue())
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        self._keep_schema(name, df)
-        df.write.mode("overwrite").parquet(self._path(name))
-
-    def _replace(self, name: str, df: DataFrame, ids: list[str]) -> None:
-        """Put df in place of what a table holds of some batches; those without rows in df go."""
-        df = settled(df)
-        self._keep_schema(name, df.select(*[c for c in df.columns if c != "batch_id"], "batch_id"))
-        files.replace_batch(df, self._path(name))
-        for b in set(ids) - {r[0] for r in df.select("batch_id").distinct().collect()}:  # no more than a call stages
-            files.remove(self.spark, f"{self._path(name)}/batch_id={b}")
+        return self.store.table(name)
 
     def overrides(self, kind: str) -> DataFrame:
         name = f"overrides-{kind}"
-        return self.table(name) if files.exists(self.spark, self._path(f"{name}.schema")) else self.spark.createDataFrame([], OVERRIDES[kind])
-
-    def _put_overrides(self, kind: str, df: DataFrame) -> None:
-        # read in full before its own files are replaced
-        self._write(f"overrides-{kind}", settled(df.coalesce(1)))
+        return self.table(name) if self.store.has(name) else self.spark.createDataFrame([], OVERRIDES[kind])
 
     def state(self) -> dict | None:
-        return files.read_json(self.spark, self._path("progress.json"))
+        return self.store.document("progress")
 
     def _known(self) -> dict:
         if (state := self.state()) is None:
@@ -101,60 +79,48 @@ class Job:
         cells, wanted = settled(relations.source_cells(rows)), settled(relations.purposes(purposes))
         if cells.isEmpty() or wanted.isEmpty():
             raise JobError("the chosen tables hold no brand cells or no purposes")
-        if force:
-            files.remove(self.spark, self.folder)
-        self._write("rows", rows)
-        self._write("cells", cells)
-        self._write("purposes", wanted)
-        self._write("catalog", tables.scan(found))
+        change = self.store.change(fresh=True)
+        for name, df in (("rows", rows), ("cells", cells), ("purposes", wanted), ("catalog", tables.scan(found))):
+            change.put(name, df)
         ids = lambda df: [r[0] for r in df.select("table_id").orderBy("document_order").collect()]  # noqa: E731  (tables chosen by hand or by header)
         n, m = rows.count(), cells.count()
-        files.write_json(self.spark, self._path("progress.json"), {"source": source, "brand_tables": ids(brands), "purpose_tables": ids(purposes), "total_rows": n, "total_cells": m, "processed_rows": 0, "processed_cells": 0, "batches": 0, "last_completed_batch": None, "last_qc_status": None, "status": "initialized"})
+        change.document("progress", {"source": source, "brand_tables": ids(brands), "purpose_tables": ids(purposes), "total_rows": n, "total_cells": m, "processed_rows": 0, "processed_cells": 0, "batches": 0, "last_completed_batch": None, "last_qc_status": None, "status": "initialized"})
+        change.commit()
         return self.progress()
 
     # ---- what is made of rows
 
-    def _made(self, rows: DataFrame) -> dict[str, DataFrame]:
-        """Everything of some rows (with batch_id), reviews included."""
+    def _folded(self, rows: DataFrame, overrides: Callable[[str], DataFrame]) -> DataFrame:
+        """Nested rows of some rows (with batch_id), reviews included."""
         cells = self.table("cells").join(rows.select("row_id"), "row_id", "left_semi")
-        items = relations.with_overrides(relations.items(cells), self.overrides("items"))
-        pairs, open_ = relations.map_relations(items)
-        context = rows.select("row_id", "group", "subgroup")
-        told = relations.match_purposes(items.join(context, "row_id"), self.table("purposes"))
+        items = settled(relations.with_overrides(relations.items(cells), overrides("items")))
+        told = relations.match_purposes(items.join(rows.select("row_id", "group", "subgroup"), "row_id"), self.table("purposes"))
         flags = F.when(F.col("match_type") == "ambiguous", F.array(F.lit("ambiguous_purpose_match"))).when(F.col("match_type") == "not_found", F.array(F.lit("purpose_not_found"))).otherwise(F.array().cast("array<string>"))
-        reviewed = self.overrides("purposes")
-        matches = review.effective_matches(told.select("item_id", "match_type", "purpose_text", "purpose_row_id", flags.alias("review_flags")), reviewed)
-        manual = self.overrides("relations").join(rows.select("row_id"), "row_id", "left_semi")
-        notes = rows.select("row_id", "note")
-        linked = review.effective_relations(relations.typed(pairs).join(notes, "row_id"), manual, items)
-        out = {"rows": rows, "cells": cells, "items": settled(items), "matches": settled(matches), "relations": settled(linked), "unresolved": settled(open_)}
-        out["flags"] = review.batch_flags(rows, out["items"], out["matches"], out["unresolved"], out["relations"], reviewed)
-        return out
-
-    def _stage(self, rows: DataFrame) -> DataFrame:
-        """Stage and check the batches of some rows; the checks."""
-        made = self._made(settled(rows))
-        flags = settled(made["flags"])
-        here = made["rows"].select("batch_id").distinct()
-        ids = [r[0] for r in here.collect()]  # no more than a call stages
-        for name, table in zip(STAGED, review.staged(*[made[k] for k in ("rows", "cells", "items", "matches", "relations")])):
-            self._replace(name, table, ids)
-        one, two = (self.table(n).join(here, "batch_id", "left_semi") for n in STAGED[:2])
-        checked = settled(review.quality(*[made[k] for k in ("rows", "cells", "items", "matches", "relations", "unresolved")], one, two, flags))
-        self._replace("flags", flags, ids)
-        self._replace("qc", checked, ids)
+        matches = told.select("item_id", "match_type", "purpose_text", flags.alias("review_flags"))
+        manual = overrides("relations").join(rows.select("row_id"), "row_id", "left_semi")
+        return settled(nested.fold(rows, nested.matched(items, matches, overrides("purposes")), cells, manual))
+
+    def _stage(self, change: Change, rows: DataFrame, first: str, last: str) -> DataFrame:
+        """Stage and check the batches of some rows, from first to last, as part of a change; the checks."""
+        kind = lambda k: change.table(f"overrides-{k}") if f"overrides-{k}" in change.tables else self.spark.createDataFrame([], OVERRIDES[k])
+        folded = self._folded(settled(rows), kind)
+        for name, table in zip(STAGED, nested.staged(folded)):
+            change.replace(name, table, first, last)
+        # what the files hold now is checked, not what was meant to be written
+        held = folded
+        for name in STAGED[:2]:
+            held = nested.with_staged(held, change.table(name).where(F.col("batch_id").between(first, last)), f"_{name}")
+        checked = settled(nested.quality(held, F.col("_table1"), F.col("_table2")))
+        change.replace("flags", nested.flags(folded), first, last)
+        change.replace("qc", checked, first, last)
         return checked
 
-    def batch_rows(self, batch_ids: Iterable[str]) -> DataFrame:
-        known = self.spark.createDataFrame([(b,) for b in batch_ids], "batch_id string")
-        return self.table("staged_rows").join(known, "batch_id")
-
     # ---- batches
 
     def process(self, batch_size: int = BATCH, max_batches: int = 1, stop_on_flags: bool = False) -> list[dict]:
         """Stage the next batches; the summary of each up to the first that failed, or that has flags with stop_on_flags. Later
         ones are staged again by the next call."""
-        state = self._known()
+        state = dict(self._known())
         size, most = max(1, min(int(batch_size), LARGEST_BATCH)), max(1, min(int(max_batches), MOST_BATCHES))
         start, first = state["processed_rows"], state["batches"]
         if start >= state["total_rows"]:
@@ -162,8 +128,10 @@ class Job:
         ahead = self.table("rows").where((F.col("row_index") > start) & (F.col("row_index") <= start + size * most))
         ahead = ahead.withColumn("at", F.col("row_index") - start + size * first)
         ahead = settled(batches(ahead, "at", size).drop("at"))
-        self._replace("staged_rows", ahead, [])
-        told = [r.asDict() for r in self._stage(ahead).orderBy("batch_id").collect()]  # no more than max_batches
+        name = lambda n: f"B{n:06d}"
+        change = self.store.change()
+        change.replace("staged_rows", ahead, name(first + 1), name(first + most))
+        told = [r.asDict() for r in self._stage(change, ahead, name(first + 1), name(first + most)).orderBy("batch_id").collect()]  # no more than max_batches
         done, passed = [], 0
         for t in told:
             done.append(t)
@@ -172,24 +140,19 @@ class Job:
             passed += 1
             if stop_on_flags and t["open_flags"]:
                 break
-        if passed:
-            kept = [t["batch_id"] for t in told[:passed]]
-            n = sum(t["n_rows"] for t in told[:passed])
-            cells = self.table("cells").join(self.batch_rows(kept).select("row_id"), "row_id", "left_semi").count()
-            state |= {"processed_rows": start + n, "processed_cells": state["processed_cells"] + cells, "batches": first + passed, "last_completed_batch": kept[-1], "last_qc_status": told[passed - 1]["qc_status"]}
-            state["status"] = "completed" if state["processed_rows"] >= state["total_rows"] else "in_progress"
-            files.write_json(self.spark, self._path("progress.json"), state)
-        self._drop_after(state["batches"])
+        if not passed:
+            return done
+        # what was staged beyond the cursor is no part of the run yet
+        for table in (*STAGED, "flags", "qc", "staged_rows"):
+            change.keep_until(table, name(first + passed))
+        rows = sum(t["n_rows"] for t in told[:passed])
+        cells = self.table("cells").join(change.table("staged_rows").where(F.col("batch_id") > name(first)).select("row_id"), "row_id", "left_semi").count()
+        state |= {"processed_rows": start + rows, "processed_cells": state["processed_cells"] + cells, "batches": first + passed, "last_completed_batch": name(first + passed), "last_qc_status": told[passed - 1]["qc_status"]}
+        state["status"] = "completed" if state["processed_rows"] >= state["total_rows"] else "in_progress"
+        change.document("progress", state)
+        change.commit()
         return done
 
-    def _drop_after(self, batches_done: int) -> None:
-        """What was staged beyond the cursor isn't part of the run yet."""
-        last = f"B{batches_done:06d}"
-        for name in (*STAGED, "flags", "qc", "staged_rows"):
-            path = self._path(name)
-            for (b,) in self.table(name).where(F.col("batch_id") > last).select("batch_id").distinct().collect():  # no more than a call stages
-                files.remove(self.spark, f"{path}/batch_id={b}")
-
     def progress(self) -> dict:
         """Counters, the next batch, and open flags by category."""
         state = self.state()
@@ -200,7 +163,7 @@ class Job:
         return {**state, **left, "next_batch": f"B{state['batches'] + 1:06d}" if left["remaining_rows"] else None, "open_flags": sum(flags.values()), "flag_categories": flags}
 
     def flags(self) -> DataFrame:
-        if files.exists(self.spark, self._path("flags.schema")):
+        if self.store.has("flags"):
             return self.table("flags")
         return self.spark.createDataFrame([], "flag_id string, batch_id string, category string, row_id string, cell_id string, item_id string, evidence string, severity string, message string")
 
@@ -214,8 +177,16 @@ class Job:
 
     # ---- reviews
 
-    def _restage(self, batch_id: str) -> dict:
-        return self._stage(self.batch_rows([batch_id])).first().asDict()
+    def _reviewed(self, kind: str, df: DataFrame, batch_id: str) -> dict:
+        """Put reviews and the batch that they concern in place together; the batch's checks."""
+        change = self.store.change()
+        change.put(f"overrides-{kind}", df.coalesce(1))
+        rows = self.table("staged_rows").where(F.col("batch_id") == batch_id)
+        told = self._stage(change, rows, batch_id, batch_id).first()
+        if told is None:
+            raise JobError(f"unknown batch: {batch_id}")
+        change.commit()
+        return told.asDict()
 
     def _item(self, batch_id: str, item_id: str):
         found = self.table("table1").where((F.col("batch_id") == batch_id) & (F.col("item_id") == item_id)).select("row_id", "brand", "document").first()
@@ -234,8 +205,7 @@ class Job:
             raise JobError("the brand can't be empty")
         held = None if no_document else (tidy(document) or None) if document is not None else item.document
         row = self.spark.createDataFrame([(item_id, new, held, source_ref, note)], OVERRIDES["items"])
-        self._put_overrides("items", commands.upsert(self.overrides("items"), row, ["item_id"]))
-        return self._restage(batch_id)
+        return self._reviewed("items", commands.upsert(self.overrides("items"), row, ["item_id"]), batch_id)
 
     def override_purpose(self, batch_id: str, item_id: str, purpose_row_id: str | None = None, purpose_text: str | None = None, source_ref: str = "", note: str = "") -> dict:
         """Put a purpose, by its row or by its text, in place of what was matched; the batch is restaged."""
@@ -248,8 +218,7 @@ class Job:
         if not (text := " ".join((purpose_text or "").split())):
             raise JobError("give a purpose row or a text")
         row = self.spark.createDataFrame([(item_id, purpose_row_id, text, source_ref, note)], OVERRIDES["purposes"])
-        self._put_overrides("purposes", commands.upsert(self.overrides("purposes"), row, ["item_id"]))
-        return self._restage(batch_id)
+        return self._reviewed("purposes", commands.upsert(self.overrides("purposes"), row, ["item_id"]), batch_id)
 
     def override_relation(self, batch_id: str, main_item_id: str, related_item_id: str, relation_type: str | None = None, note: str = "", source_ref: str = "") -> dict:
         """Relate two items of a row by hand; the type is that of the related item's role."""
@@ -261,33 +230,30 @@ class Job:
         wrong = commands.relation_errors(new, items).first()
         if wrong is not None:
             raise JobError(wrong.error)
-        self._put_overrides("relations", commands.upsert(self.overrides("relations"), new, ["main_item_id", "related_item_id", "relation_type"]))
-        return self._restage(batch_id)
+        return self._reviewed("relations", commands.upsert(self.overrides("relations"), new, ["main_item_id", "related_item_id", "relation_type"]), batch_id)
 
     def clear_override(self, kind: str, batch_id: str, **match) -> dict:
         """Take back the reviews of a kind that match, and restage the batch."""
-        self._put_overrides(kind, commands.clear(self.overrides(kind), **match))
-        return self._restage(batch_id)
+        return self._reviewed(kind, commands.clear(self.overrides(kind), **match), batch_id)
 
     def row_detail(self, row_id: str) -> dict:
         """All that was made of one row."""
         own = self.table("rows").where(F.col("row_id") == row_id)
         if own.isEmpty():
             raise JobError(f"unknown row: {row_id}")
-        staged = self.table("staged_rows").where(F.col("row_id") == row_id) if files.exists(self.spark, self._path("staged_rows.schema")) else own.limit(0).withColumn("batch_id", F.lit(""))
+        staged = self.table("staged_rows").where(F.col("row_id") == row_id).limit(1) if self.store.has("staged_rows") else own.limit(0).withColumn("batch_id", F.lit(""))
         if staged.isEmpty():
             return {"row": own.first().asDict(True), "batch_id": None}
-        made = self._made(settled(staged))
-        flags = self.flags().where(F.col("row_id") == row_id)
-        told = review.lineage(made["rows"], made["items"], made["matches"], made["relations"], made["unresolved"], flags).first().asDict(True)
-        return {"row": own.first().asDict(True), "batch_id": told["batch_id"], **{k: told[k] or [] for k in ("items", "purposes", "relations", "unresolved", "flags")}}
+        told = nested.lineage(self._folded(settled(staged), self.overrides)).first().asDict(True)
+        flags = [f.asDict() for f in self.flags().where(F.col("row_id") == row_id).orderBy("flag_id").collect()]  # of one row
+        return {"row": own.first().asDict(True), "batch_id": told["batch_id"], **{k: told[k] for k in ("items", "purposes", "relations", "unresolved")}, "flags": flags}
 
     # ---- export
 
     def blockers(self, allow_partial: bool = False) -> DataFrame:
         state = self.progress()
         one = self.spark.createDataFrame([(state["status"], state["remaining_rows"])], "status string, remaining_rows long")
-        return review.blockers(one, self.flags(), self.table("table1"), self.table("table2"), allow_partial)
+        return nested.staged_blockers(one, self.flags(), self.table("table1"), self.table("table2"), allow_partial)
 
     def export(self, folder: str, allow_partial: bool = False, allow_blockers: bool = False) -> dict:
         """Write the three CSV files; refused while anything stands in the way, unless that is allowed."""
