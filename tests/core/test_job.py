@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftline.sources import files
+from weftline.sources import files, tables
 from weftline.sources.versions import Change
 from weftline.streaming import incremental
 from weftline.streaming.job import Job, JobError
@@ -152,3 +152,36 @@ def test_a_batch_that_fails_half_way_leaves_the_run_as_it_was(spark, job, monkey
     again = Job(spark, run.store.folder)
     assert again.progress() == run.progress() and again.progress()["processed_rows"] == 0 and not again.store.has("table1")
     assert [b["batch_id"] for b in again.process(batch_size=2)] == ["B000001"] and again.progress()["processed_rows"] == 2
+
+
+def grid(rows):
+    return HEAD + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+def everything(run):
+    """All tables of a run but for what names files by time, and the state."""
+    names = ("rows", "cells", "purposes", "catalog", "staged_rows", "table1", "table2", "table3", "flags", "qc")
+    return {n: sorted((str(r.asDict(True)) for r in run.table(n).collect())) for n in names}, run.progress()
+
+
+def test_a_changed_file_is_read_alone_and_gives_what_a_new_start_gives(spark, tmp_path, monkeypatch):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.html").write_text(grid(ROWS[:3]), encoding="utf-8")
+    (src / "b.html").write_text(grid(ROWS[3:]), encoding="utf-8")
+    (src / "p.html").write_text(PURPOSES, encoding="utf-8")
+    run = Job(spark, str(tmp_path / "job"))
+    run.initialize(str(src))
+    run.process(batch_size=2, max_batches=3)
+    assert run.refresh() == {"files": 0, "gone": 0, "batches": []}
+    (src / "b.html").write_text(grid([("", "Г-1 по ГОСТ 77", "", "", "", "+"), ROWS[4]]), encoding="utf-8")
+    read = []
+    real = tables.parsed_tables
+    monkeypatch.setattr(tables, "parsed_tables", lambda files: (read.extend(r.path.rsplit("/", 1)[1] for r in files.select("path").collect()), real(files))[1])
+    # the group of the first file's last row reaches into the second file now, down to its last row
+    assert run.refresh() == {"files": 1, "gone": 0, "batches": ["B000002", "B000003"]} and read == ["b.html"]
+    assert [r.group for r in run.table("rows").where("row_index > 3").collect()] == ["Масла"] * 2
+    fresh = Job(spark, str(tmp_path / "fresh"))
+    fresh.initialize(str(src))
+    fresh.process(batch_size=2, max_batches=3)
+    assert everything(run) == everything(fresh)

@@ -8,11 +8,10 @@ together or not at all.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.functions.fixed import EXPORT_BRANDS, EXPORT_GROUPS, EXPORT_RELATIONS, RELATION_TYPES
 from weftline.operators import commands, nested, relations, review
 from weftline.operators.rows import batches
@@ -45,9 +44,9 @@ class Job:
     def table(self, name: str) -> DataFrame:
         return self.store.table(name)
 
-    def overrides(self, kind: str) -> DataFrame:
-        name = f"overrides-{kind}"
-        return self.table(name) if self.store.has(name) else self.spark.createDataFrame([], OVERRIDES[kind])
+    def overrides(self, kind: str, of: Store | Change | None = None) -> DataFrame:
+        name, of = f"overrides-{kind}", of or self.store
+        return of.table(name) if of.has(name) else self.spark.createDataFrame([], OVERRIDES[kind])
 
     def state(self) -> dict | None:
         return self.store.document("progress")
@@ -67,7 +66,19 @@ class Job:
             if old["source"] != source:
                 raise JobError("the job was initialized for another source; use another folder, or force")
             return {**self.progress(), "status": "already_initialized"}
-        found = settled(tables.with_headers(tables.extract_tables(tables.discover(self.spark, source))))
+        known = settled(tables.fingerprints(self.spark, source))
+        change = self.store.change(fresh=True)
+        n, m, chosen = self._read(change, known, tables.with_headers(tables.parsed_tables(tables.discover(self.spark, source))), brand_tables, purpose_tables)
+        change.document("progress", {"source": source, **chosen, "named": brand_tables is not None or purpose_tables is not None, "total_rows": n, "total_cells": m, "processed_rows": 0, "processed_cells": 0, "batches": 0, "last_completed_batch": None, "last_qc_status": None, "status": "initialized"})
+        change.commit()
+        return self.progress()
+
+    def _read(self, change: Change, known: DataFrame, parsed: DataFrame, brand_tables: list[str] | None, purpose_tables: list[str] | None) -> tuple[int, int, dict]:
+        """Put what follows from the parsed tables of a source into a change: rows, cells, purposes; how many rows and cells, and the tables
+        chosen."""
+        change.put("files", known)
+        change.put("parsed", parsed)
+        found = settled(tables.numbered_tables(change.table("parsed")))
         if found.isEmpty():
             raise JobError("no HTML or Markdown tables in the source")
         brands = tables.select_tables(found, "brand", brand_tables)
@@ -77,33 +88,81 @@ class Job:
                 raise JobError(f"no {what} table was found: scan the source and name some")
         rows = settled(relations.source_rows(brands))
         cells, wanted = settled(relations.source_cells(rows)), settled(relations.purposes(purposes))
-        if cells.isEmpty() or wanted.isEmpty():
+        n, m = rows.count(), cells.count()
+        if not m or wanted.isEmpty():
             raise JobError("the chosen tables hold no brand cells or no purposes")
-        change = self.store.change(fresh=True)
         for name, df in (("rows", rows), ("cells", cells), ("purposes", wanted), ("catalog", tables.scan(found))):
             change.put(name, df)
         ids = lambda df: [r[0] for r in df.select("table_id").orderBy("document_order").collect()]  # noqa: E731  (tables chosen by hand or by header)
-        n, m = rows.count(), cells.count()
-        change.document("progress", {"source": source, "brand_tables": ids(brands), "purpose_tables": ids(purposes), "total_rows": n, "total_cells": m, "processed_rows": 0, "processed_cells": 0, "batches": 0, "last_completed_batch": None, "last_qc_status": None, "status": "initialized"})
+        return n, m, {"brand_tables": ids(brands), "purpose_tables": ids(purposes)}
+
+    def refresh(self) -> dict:
+        """Bring the run up to date with its source: only files that are new or have another time or size are read and parsed; ids
+        are those that a new start would give. Staged batches are staged again from the first to the last whose rows, or whose brands'
+        purposes, are others now; all others and all reviews stay. One commit. Returns the files read and gone, and the batches."""
+        state = dict(self._known())
+        if state["named"]:
+            raise JobError("tables were named by id, and ids may change: initialize again, with force")
+        mark = ["path", "modified", "length"]
+        known, old = settled(tables.fingerprints(self.spark, state["source"])), self.table("files")
+        changed, gone = settled(known.join(old, mark, "left_anti")), old.join(known, "path", "left_anti").count()
+        told = {"files": changed.count(), "gone": gone, "batches": []}
+        if not told["files"] and not gone:
+            return told
+        same = known.join(old, mark, "left_semi").select(F.col("path").alias("source_file"))
+        fresh = tables.with_headers(tables.parsed_tables(tables.contents(self.spark, state["source"], changed)))
+        change = self.store.change()
+        before = {n: self.table(n) for n in ("rows", "purposes")}
+        n, m, chosen = self._read(change, known, self.table("parsed").join(same, "source_file", "left_semi").unionByName(fresh), None, None)
+        state |= {"total_rows": n, "total_cells": m, **chosen}
+        if self.store.has("staged_rows"):
+            self._restage_changed(change, before, state, told)
+        change.document("progress", state)
         change.commit()
-        return self.progress()
+        return told
+
+    def _restage_changed(self, change: Change, before: dict[str, DataFrame], state: dict, told: dict) -> None:
+        """Stage again what a change of rows and purposes concerns; the cursor stays, or goes back to what is left or passes."""
+        places = settled(self.table("staged_rows").select("row_index", "batch_id"))
+        content = sorted(set(before["rows"].columns) - {"row_index"})
+        digest = lambda df: df.select("row_index", F.xxhash64(*[F.col(c) for c in content]).alias("is"))
+        now = digest(change.table("rows"))
+        other = places.join(digest(before["rows"]), "row_index").join(now.select("row_index", F.col("is").alias("new")), "row_index", "left").where(~F.col("is").eqNullSafe(F.col("new"))).select("batch_id")
+        # a brand's purposes, in their order
+        wanted = lambda df: df.groupBy("match_brand").agg(F.sum(F.xxhash64("match_key", "purpose", "group", "subgroup", "source_file", "document_order", "row_no", "at").cast("decimal(38,0)")).alias("is"))
+        brands = wanted(before["purposes"]).join(wanted(change.table("purposes")).withColumnRenamed("is", "new"), "match_brand", "full").where(~F.col("is").eqNullSafe(F.col("new"))).select("match_brand")
+        items = self.table("table1").select("batch_id", X.normalized_brand(F.col("brand")).alias("match_brand"))
+        span = other.unionByName(items.join(brands, "match_brand", "left_semi").select("batch_id")).agg(F.min("batch_id").alias("first"), F.max("batch_id").alias("last")).first()
+        if span.first is None:
+            return
+        rows = change.table("rows").join(places.where(F.col("batch_id").between(span.first, span.last)), "row_index")
+        change.replace("staged_rows", rows, span.first, span.last)
+        checked = [r.asDict() for r in self._stage(change, change.table("staged_rows").where(F.col("batch_id").between(span.first, span.last)), span.first, span.last).select("batch_id", "qc_status").orderBy("batch_id").collect()]  # an id and a word a batch
+        told["batches"] = [c["batch_id"] for c in checked]
+        if (failed := next((c["batch_id"] for c in checked if c["qc_status"] == "failed"), None)) is not None:
+            for table in (*STAGED, "flags", "qc", "staged_rows"):
+                change.keep_until(table, f"B{int(failed[1:]) - 1:06d}")
+        done = change.table("staged_rows").agg(F.count(F.lit(1)).alias("rows"), F.max("batch_id").alias("last")).first()
+        last = change.table("qc").orderBy(F.desc("batch_id")).select("qc_status").first()
+        cells = change.table("cells").join(change.table("staged_rows").select("row_id"), "row_id", "left_semi").count()
+        state |= {"processed_rows": done.rows, "processed_cells": cells, "batches": int(done.last[1:]) if done.last else 0, "last_completed_batch": done.last, "last_qc_status": last.qc_status if last else None}
+        state["status"] = "completed" if done.rows >= state["total_rows"] else "in_progress" if done.rows else "initialized"
 
     # ---- what is made of rows
 
-    def _folded(self, rows: DataFrame, overrides: Callable[[str], DataFrame]) -> DataFrame:
-        """Nested rows of some rows (with batch_id), reviews included."""
-        cells = self.table("cells").join(rows.select("row_id"), "row_id", "left_semi")
-        items = settled(relations.with_overrides(relations.items(cells), overrides("items")))
-        told = relations.match_purposes(items.join(rows.select("row_id", "group", "subgroup"), "row_id"), self.table("purposes"))
+    def _folded(self, rows: DataFrame, of: Store | Change) -> DataFrame:
+        """Nested rows of some rows (with batch_id), by the cells, purposes and reviews of a version or a change."""
+        cells = of.table("cells").join(rows.select("row_id"), "row_id", "left_semi")
+        items = settled(relations.with_overrides(relations.items(cells), self.overrides("items", of)))
+        told = relations.match_purposes(items.join(rows.select("row_id", "group", "subgroup"), "row_id"), of.table("purposes"))
         flags = F.when(F.col("match_type") == "ambiguous", F.array(F.lit("ambiguous_purpose_match"))).when(F.col("match_type") == "not_found", F.array(F.lit("purpose_not_found"))).otherwise(F.array().cast("array<string>"))
         matches = told.select("item_id", "match_type", "purpose_text", flags.alias("review_flags"))
-        manual = overrides("relations").join(rows.select("row_id"), "row_id", "left_semi")
-        return settled(nested.fold(rows, nested.matched(items, matches, overrides("purposes")), cells, manual))
+        manual = self.overrides("relations", of).join(rows.select("row_id"), "row_id", "left_semi")
+        return settled(nested.fold(rows, nested.matched(items, matches, self.overrides("purposes", of)), cells, manual))
 
     def _stage(self, change: Change, rows: DataFrame, first: str, last: str) -> DataFrame:
         """Stage and check the batches of some rows, from first to last, as part of a change; the checks."""
-        kind = lambda k: change.table(f"overrides-{k}") if f"overrides-{k}" in change.tables else self.spark.createDataFrame([], OVERRIDES[k])
-        folded = self._folded(settled(rows), kind)
+        folded = self._folded(settled(rows), change)
         for name, table in zip(STAGED, nested.staged(folded)):
             change.replace(name, table, first, last)
         # what the files hold now is checked, not what was meant to be written
@@ -244,7 +303,7 @@ class Job:
         staged = self.table("staged_rows").where(F.col("row_id") == row_id).limit(1) if self.store.has("staged_rows") else own.limit(0).withColumn("batch_id", F.lit(""))
         if staged.isEmpty():
             return {"row": own.first().asDict(True), "batch_id": None}
-        told = nested.lineage(self._folded(settled(staged), self.overrides)).first().asDict(True)
+        told = nested.lineage(self._folded(settled(staged), self.store)).first().asDict(True)
         flags = [f.asDict() for f in self.flags().where(F.col("row_id") == row_id).orderBy("flag_id").collect()]  # of one row
         return {"row": own.first().asDict(True), "batch_id": told["batch_id"], **{k: told[k] for k in ("items", "purposes", "relations", "unresolved")}, "flags": flags}
 
