@@ -135,7 +135,7 @@ class Job:
         span = other.unionByName(items.join(brands, "match_brand", "left_semi").select("batch_id")).agg(F.min("batch_id").alias("first"), F.max("batch_id").alias("last")).first()
         if span.first is None:
             return
-        rows = change.table("rows").join(places.where(F.col("batch_id").between(span.first, span.last)), "row_index")
+        rows = change.table("rows").join(places.where(F.col("batch_id").between(span.first, span.last)), "row_index").select(*self.table("staged_rows").columns)
         change.replace("staged_rows", rows, span.first, span.last)
         checked = [r.asDict() for r in self._stage(change, change.table("staged_rows").where(F.col("batch_id").between(span.first, span.last)), span.first, span.last).select("batch_id", "qc_status").orderBy("batch_id").collect()]  # an id and a word a batch
         told["batches"] = [c["batch_id"] for c in checked]
