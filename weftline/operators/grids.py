@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions.fixed import MARK_TYPES, REPLACED, TEXT_TYPES, TYPED_RELATIONS
 from weftline.functions.text import match_text
 from weftline.operators.normalize import strict
+from weftline.sources.scratch import settled
 
 REPLACEMENT = ("obsolete", "prospective")
 BRAND_KINDS = ("primary", *TYPED_RELATIONS, *REPLACEMENT)
@@ -26,7 +27,11 @@ def _only(cells: DataFrame, kind: str) -> DataFrame:
 
 def edges(cells: DataFrame, entries: DataFrame) -> DataFrame:
     """(grid, row, col, first, type, second): every relation that a cell states."""
-    got = _filled(cells, entries).where(F.col("kind").isin(*BRAND_KINDS) & (F.size("pairs") > 0))
+    return _stated(_filled(cells, entries), cells)
+
+
+def _stated(filled: DataFrame, cells: DataFrame) -> DataFrame:
+    got = filled.where(F.col("kind").isin(*BRAND_KINDS) & (F.size("pairs") > 0))
     one = lambda kind: got.where(F.col("kind") == kind).join(_only(cells, kind), "grid")
     first = one("primary").select("grid", "row", F.explode("pairs").alias("first"))
     types = F.create_map(*[x for k, v in TYPED_RELATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -43,10 +48,11 @@ def status(cells: DataFrame, entries: DataFrame, relations: DataFrame, attribute
     """cells plus status: '', linked, brand-missing, relation-missing, applicability-invalid, applicability-missing or
     catalog-missing. relations: first, type, second; attributes: brand, document, kind, value of the catalog."""
     place = ["grid", "row", "col"]
-    got = _filled(cells, entries)
+    # texts are taken apart once: all that follows reads what was found
+    got = settled(_filled(cells, entries))
     norm = lambda df: df.select(*[match_text(F.col(c)).alias(f"k_{c}") for c in ("first", "type", "second")])
     have = norm(relations).distinct().withColumn("hit", F.lit(True))
-    wanted = edges(cells, entries)
+    wanted = _stated(got, cells)
     wanted = wanted.select(*place, *[match_text(F.col(c)).alias(f"k_{c}") for c in ("first", "type", "second")])
     linked = wanted.join(have, ["k_first", "k_type", "k_second"], "left").groupBy(*place).agg(F.every(F.coalesce("hit", F.lit(False))).alias("linked"))
     primary = got.where("kind = 'primary' and size(pairs) > 0").join(_only(cells, "primary"), "grid").select("grid", "row", F.explode("pairs").alias("pair"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry as G
 from weftline.functions import text as X
+from weftline.functions.fixed import REPLACED
 from weftline.operators import catalog as C
 from weftline.operators import chunks as K
 from weftline.operators import commands as M
@@ -541,6 +542,26 @@ def _grids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("grid"), F.lit(0).alias("row"), F.explode(cells).alias("c")).select("grid", "row", "c.*"), entries
 
 
+@query(f"""WITH c AS (SELECT s_suppkey AS g, s_nationkey AS k, (s_nationkey + s_suppkey) % 25 AS j FROM supplier),
+t AS (SELECT *, CASE WHEN g % 6 = 0 THEN [k, (k + 1) % 25] ELSE [k] END AS olds, g % 5 = 0 AS bare, g % 7 = 0 AS odd FROM c),
+l AS (SELECT *, NOT bare AND NOT odd AND len(list_filter(olds, lambda o: (o + j) % 2 <> 0)) = 0 AS linked FROM t)
+SELECT g AS grid, 0 AS col, array_to_string(list_transform(olds, lambda o: {_PAIR.format("o")}), '; ') AS value, CASE WHEN linked THEN 'linked' ELSE 'relation-missing' END AS status FROM l
+UNION ALL SELECT g, 1, CASE WHEN bare THEN '' WHEN odd THEN 'nothing known' ELSE {_PAIR.format("j")} END, CASE WHEN bare THEN '' WHEN odd THEN 'brand-missing' WHEN linked THEN 'linked' ELSE 'relation-missing' END FROM l""")
+def replacement_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Obsolete brands and what replaces them: linked if every pair of the two cells is a known replacement."""
+    pair = lambda c: F.concat(F.lit("NATION_"), c, F.lit(" по D "), c)
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") % 2).alias("side"))
+    entries = n.select(F.concat(F.lit("NATION_"), "a").alias("brand"), F.concat(F.lit("D "), "a").alias("document"), F.col("a").alias("order"))
+    known = n.join(n.withColumnRenamed("a", "b"), "side").select(pair(F.col("a")).alias("first"), F.lit(REPLACED).alias("type"), pair(F.col("b")).alias("second"))
+    g, k, j = F.col("s_suppkey"), F.col("s_nationkey"), (F.col("s_nationkey") + F.col("s_suppkey")) % 25
+    old = F.when(g % 6 == 0, F.concat(pair(k), F.lit("; "), pair((k + 1) % 25))).otherwise(pair(k))
+    new = F.when(g % 5 == 0, "").when(g % 7 == 0, "nothing known").otherwise(pair(j))
+    cell = lambda i, kind, v: F.struct(F.lit(i).alias("col"), F.lit(kind).alias("kind"), v.alias("value"))
+    cells = read(spark, d, "supplier").select(g.alias("grid"), F.lit(0).alias("row"), F.explode(F.array(cell(0, "obsolete", old), cell(1, "prospective", new))).alias("c")).select("grid", "row", "c.*")
+    none = entries.select("brand", "document", F.lit("").alias("kind"), F.lit("").alias("value")).limit(0)
+    return T.status(cells, entries, known, none).select("grid", "col", "value", "status")
+
+
 @query(f"""WITH c AS (SELECT s_suppkey, s_nationkey AS k, (s_nationkey + s_suppkey) % 25 AS j FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0), e AS (SELECT *, unnest([j, (j + 1) % 25]) AS o FROM c)
 SELECT s_suppkey AS grid, {_PAIR.format("k")} AS "first", t AS type, {_PAIR.format("o")} AS "second" FROM e, (SELECT unnest(['дублирующая', 'резервная']) AS t)""")
 def grid_edges(spark: SparkSession, d: str) -> DataFrame:
