@@ -39,3 +39,17 @@ def test_events_fold(spark):
     got = chat.fold(df).orderBy("conv_id", "seq", "nth").collect()
     assert [(r.conv_id, r.role, r.text) for r in got] == [(1, "user", "hi!"), (1, "assistant", "Bye"), (1, "user", "same"), (1, "user", "same")]
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_streams_fold_back_to_their_turns(spark):
+    long = "Ünï𝄞 </s>[INST] " * 20000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 1, "assistant", "twice"), (1, 1, "assistant", "twice"), (1, 2, "assistant", None), (1, None, "assistant", "x"), (2, 5, None, "a"), (2, 5, "assistant", "ab"), (None, 0, "assistant", ""), (3, 0, "assistant", "𝄞𝄞")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").select("*", *[F.lit(7).alias(c) for c in ("seq", "kind", "target", "at", "e", "a.b")])
+    log = chat.as_stream(df)
+    assert {r.kind for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = [(r.conv_id, r.role, r.text) for r in chat.fold(log).orderBy("conv_id", "seq", "nth").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    assert got == [(r[0], r[2] or "", r[3] or "") for r in sorted(rows, key=key)]
+    whole, parts = (chat.digest(chat.format_chats(e)).orderBy("conv_id").collect() for e in (chat.as_events(df), log))
+    assert whole == parts
+    assert chat.as_stream(df.where("false")).count() == 0

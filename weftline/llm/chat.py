@@ -30,6 +30,32 @@ def as_events(rows: DataFrame, conv: str = "conv_id", seq: str = "turn", role: s
     return rows.select(c(conv).alias("conv_id"), c(seq).cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), c(role).alias("role"), c(text).alias("text"))
 
 
+#: Places between the messages of a stream, for the events that follow each.
+STEP = 8
+
+
+def as_stream(rows: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", streamed: str = "assistant", draft: int = 12) -> DataFrame:
+    """Turn rows as the event log that a chat service would have written: turns of the streamed role begin with a draft (its
+    first characters), which is edited, taken back by a regeneration, and then streamed in three deltas; others are whole messages.
+
+    Folding it gives every turn back. Rows that repeat a turn are messages of their own, by role and text; null roles and texts are
+    empty, a null seq sorts first, a null conv is one conversation; texts of any length and characters outside the basic plane
+    are cut between code points. Other columns are left out; no rows give no events.
+    """
+    c = lambda n: F.col(f"`{n}`")
+    t = rows.select(c(conv).alias("conv_id"), c(seq).cast("long").alias("at"), F.coalesce(c(role), F.lit("")).alias("role"), F.coalesce(c(text), F.lit("")).alias("text"))
+    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "role", "text")).cast("long") * STEP)
+    third = F.floor(F.length("text") / 3).cast("int")
+    event = lambda k, kind, said: F.struct((F.col("seq") + k).alias("seq"), F.lit(kind).alias("kind"), (F.col("seq") if k else F.lit(None).cast("long")).alias("target"), said.alias("text"))
+    piece = lambda start, n: F.col("text").substr(start, n)
+    log = F.array(
+        event(0, "message", piece(F.lit(1), F.lit(draft))), event(1, "edit", F.concat(piece(F.lit(1), F.lit(draft)), F.lit(" ..."))), event(2, "regenerate", F.lit("")),
+        event(3, "delta", piece(F.lit(1), third)), event(4, "delta", piece(third + 1, third)), event(5, "delta", piece(third * 2 + 1, F.length("text"))),
+    )
+    told = t.withColumn("e", F.explode(F.when(F.col("role") == streamed, log).otherwise(F.array(event(0, "message", F.col("text"))))))
+    return told.select("conv_id", "e.seq", "e.kind", "e.target", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, seq, nth, role, text) of an event log (conv_id, seq, kind, target, role, text).
 

@@ -64,7 +64,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
-    return chat.digest(chat.format_chats(chat.as_events(rows.unionByName(planted))))
+    return chat.digest(chat.format_chats(chat.as_stream(rows.unionByName(planted))))
 
 
 OP4_SQL = r"""
