@@ -114,3 +114,19 @@ def test_queues(spark):
     assert {r.ref for r in commands.with_references(items, refs.limit(1)).collect()} == {"ref0"}
     with pytest.raises(ValueError):
         commands.with_references(items, refs.limit(2))
+
+
+def test_candidates_come_in_pages(spark):
+    from weftline.operators import relations as R
+
+    purposes = spark.createDataFrame([(f"P{k:04}", "b || d" if k < 300 else f"b || {k}", "b") for k in range(1000)] + [("P9", None, None)], "purpose_row_id string, match_key string, match_brand string")
+    items = spark.createDataFrame([("b || d", "b")] * 5 + [("b || x", "b"), ("c || d", "c"), (None, None)], "match_key string, match_brand string")
+    got = R.purpose_candidates(items, purposes, page=50).collect()
+    ids = {}
+    for r in got:
+        assert len(r.purpose_row_ids) < 150
+        ids.setdefault((r.match_key, r.by), []).extend(r.purpose_row_ids)
+    assert {k: sorted(v) for k, v in ids.items()} == {("b || d", "exact"): [f"P{k:04}" for k in range(300)], ("b || x", "brand_only"): [f"P{k:04}" for k in range(1000)]}
+    full = items.withColumns({c: F.lit("") for c in ("group", "subgroup")})
+    told = R.match_purposes(full, purposes.withColumn("purpose", F.lit("one")).withColumn("purpose_index", F.substring("purpose_row_id", 2, 9).cast("int")).withColumns({c: F.lit("") for c in ("group", "subgroup")}))
+    assert {(r.match_key, r.match_type, r.n_candidates) for r in told.collect()} == {("b || d", "exact", 300), ("b || x", "brand_only", 1000), ("c || d", "not_found", 0), (None, "not_found", 0)}

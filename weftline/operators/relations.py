@@ -13,6 +13,10 @@ from weftline.functions.fixed import BLOCKING, HEADER_WORD, RELATION_TYPES, REPE
 from weftline.operators.rows import distinct_in_order, fill_down, last_write_wins, serial, unpivot_filled
 
 
+#: Ids of a page of a list that may be long.
+PAGE = 1000
+
+
 def physical_rows(tables: DataFrame, candidate: str, roles: tuple[str, ...]) -> DataFrame:
     """Rows below the header, one column a role; a role without a column is empty."""
     c = F.col(candidate)
@@ -122,11 +126,12 @@ def match_purposes(items: DataFrame, purposes: DataFrame) -> DataFrame:
 
     Purposes are reduced to one row per key, group and subgroup first (least and greatest text tell whether there is one), and
     items to their distinct keys and groups, so that neither a brand with many purposes nor one with many items is multiplied.
+    n_candidates says how many purposes there were to choose from; purpose_candidates() lists them.
     """
     place = lambda c: X.comparison_text(F.coalesce(F.col(c), F.lit("")))
     p = purposes.withColumn("p_group", place("group")).withColumn("p_subgroup", place("subgroup")).withColumn("what", X.comparison_text(F.col("purpose")))
     pick = F.struct("purpose_index", "purpose", "purpose_row_id")
-    slim = lambda key: p.groupBy(F.col(key).alias("key"), "p_group", "p_subgroup").agg(F.min("what").alias("low"), F.max("what").alias("high"), F.min(pick).alias("first"), F.collect_set("purpose_row_id").alias("ids"))
+    slim = lambda key: p.groupBy(F.col(key).alias("key"), "p_group", "p_subgroup").agg(F.min("what").alias("low"), F.max("what").alias("high"), F.min(pick).alias("first"), F.count(F.lit(1)).alias("n"))
     signs = ["match_key", "match_brand", "i_group", "i_subgroup"]
     told = items.withColumn("i_group", place("group")).withColumn("i_subgroup", place("subgroup"))
     asked = told.select(*signs).distinct()
@@ -139,13 +144,31 @@ def match_purposes(items: DataFrame, purposes: DataFrame) -> DataFrame:
     one = both.groupBy(*signs, "by").agg(
         F.bool_or("fits").alias("any_fits"),
         *[F.struct(F.min(F.when(test, F.col("low"))).alias("low"), F.max(F.when(test, F.col("high"))).alias("high"), F.min(F.when(test, F.col("first"))).alias("first")).alias(side) for side, test in sides],
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("candidate_purpose_row_ids"),
+        F.sum("n").alias("n_candidates"),
     )
-    one = one.withColumn("c", F.when(F.col("any_fits"), F.col("fit")).otherwise(F.col("all"))).select(*[F.col(s).alias(f"_{s}") for s in signs], "by", "c", "candidate_purpose_row_ids")
+    one = one.withColumn("c", F.when(F.col("any_fits"), F.col("fit")).otherwise(F.col("all"))).select(*[F.col(s).alias(f"_{s}") for s in signs], "by", "c", "n_candidates")
     out = told.join(one, [F.col(s) == F.col(f"_{s}") for s in signs], "left")
     kind = F.when(F.col("by").isNull(), "not_found").when(F.col("c.low") != F.col("c.high"), "ambiguous").otherwise(F.col("by"))
     taken = F.when(F.col("c.low") == F.col("c.high"), F.col("c.first"))
-    return out.select(*items.columns, kind.alias("match_type"), taken["purpose"].alias("purpose_text"), taken["purpose_row_id"].alias("purpose_row_id"), F.coalesce("candidate_purpose_row_ids", F.array().cast("array<string>")).alias("candidate_purpose_row_ids"))
+    return out.select(*items.columns, kind.alias("match_type"), taken["purpose"].alias("purpose_text"), taken["purpose_row_id"].alias("purpose_row_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+
+
+def purpose_candidates(items: DataFrame, purposes: DataFrame, page: int = PAGE) -> DataFrame:
+    """The purposes that an item's key leads to, once a key and not once an item: (match_key, match_brand, by, page, purpose_row_ids),
+    `by` being exact or brand_only. Lists are dealt out over pages of about `page` ids, so that a brand with very many purposes
+    fills no row and no task; null keys lead nowhere."""
+    asked = items.select("match_key", "match_brand").distinct()
+    known = purposes.select("match_key").distinct()
+    sides = []
+    for by, how, key in (("exact", "left_semi", "match_key"), ("brand_only", "left_anti", "match_brand")):
+        own = purposes.select(F.col(key).alias("key"), "purpose_row_id")
+        pages = own.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / page).alias("pages"))
+        # lists are made a key, before keys that were asked for meet them
+        dealt = own.join(pages, "key").withColumn("page", F.pmod(F.xxhash64("purpose_row_id"), F.col("pages")))
+        lists = dealt.groupBy("key", "page").agg(F.sort_array(F.collect_list("purpose_row_id")).alias("purpose_row_ids"))
+        of = asked.join(known, "match_key", how).select("match_key", "match_brand", F.lit(by).alias("by"))
+        sides.append(of.join(lists, F.col(key) == F.col("key")).drop("key"))
+    return sides[0].unionByName(sides[1])
 
 
 def with_overrides(items: DataFrame, over: DataFrame) -> DataFrame:
