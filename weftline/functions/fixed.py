@@ -38,6 +38,10 @@ REPLACED = "рекомендуется заменить устаревшую н
 MARK_TYPES = ("applicable_ground", "applicable_air", "applicable_marine")
 CONJUNCTION = "и"
 TEXT_TYPES = ("assignment_conditions", "nato_index")
+COLUMN_TYPES = ("other", "primary", *TYPED_RELATIONS, "obsolete", "prospective", *MARK_TYPES, *TEXT_TYPES)
+REGION_STATES = ("pending", "queued", "running", "recognized", "modified", "error")
+#: states of work that ended with its session
+UNFINISHED = ("queued", "running")
 MANUAL = "manual_override"
 #: category: message
 FLAG_MESSAGES = {

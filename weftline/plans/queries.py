@@ -8,6 +8,7 @@ from functools import cached_property
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.functions import geometry as G
 from weftline.functions import text as X
@@ -22,6 +23,7 @@ from weftline.operators import normalize as N
 from weftline.operators import relations as R
 from weftline.operators import review as V
 from weftline.operators import rows as O
+from weftline.operators import sidecars as B
 from weftline.sources import files as L
 from weftline.sources import office as W
 from weftline.sources import tables as S
@@ -497,6 +499,44 @@ def sidecar_regions(spark: SparkSession, d: str) -> DataFrame:
     return D.regions(files).select("source", "object_no", "object_type", "region_no", "field", "status", "text")
 
 
+# one document an order, one object and region a line, with whatever the line's columns break
+_SIDECARS = """s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS o, l_returnflag AS f,
+    CASE l_suppkey % 8 WHEN 0 THEN 'cells' WHEN 1 THEN 'other' ELSE 'body' END AS field, CASE WHEN l_suppkey % 8 = 0 OR l_partkey % 23 = 0 THEN 'table' ELSE 'region' END AS kind, l_linenumber AS page,
+    CASE l_partkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'recognized' WHEN 2 THEN 'error' WHEN 3 THEN 'modified' WHEN 4 THEN '' ELSE CASE WHEN l_partkey % 5 = 0 THEN 'lost' ELSE 'running' END END AS status,
+    l_discount AS x, l_tax AS y, l_quantity / 50.0 AS w, l_quantity / 52.0 AS h, CASE WHEN l_partkey % 11 = 0 THEN 45 ELSE 90 * (l_partkey % 7) END AS turn, l_quantity / 50.0 AS cut FROM lineitem),
+  e AS (SELECT *, CASE WHEN f = 'R' AND o % 9 = 0 THEN 'unknown type' WHEN field = 'other' OR field = 'cells' AND f = 'A' THEN 'unknown field' WHEN kind <> CASE WHEN field = 'cells' THEN 'table' ELSE 'region' END THEN 'marker of the wrong kind'
+    WHEN page > 6 THEN 'no such page' WHEN status = 'lost' THEN 'unknown status' WHEN x + w > 1.000001 OR y + h > 1.000001 THEN 'rect isn''t on the page' WHEN turn % 90 <> 0 THEN 'rotation isn''t a quarter turn'
+    WHEN field = 'cells' AND cut >= 1 THEN 'grid.x doesn''t rise from 0 to 1' END AS error FROM s)"""
+
+
+@query(f"""WITH {_SIDECARS} SELECT l_orderkey, CAST(o AS INT) AS object_no, error, count(error) OVER (PARTITION BY l_orderkey) = 0 AS accepted, CASE WHEN error IS NULL THEN field END AS field,
+  CASE WHEN error IS NULL THEN CASE WHEN status IN ('queued', 'running', '') THEN 'pending' ELSE status END END AS status, CASE WHEN error IS NULL THEN CAST(turn % 360 AS INT) END AS rotation,
+  CASE WHEN error IS NULL AND field = 'cells' THEN 'recognized,pending' END AS cells, CASE WHEN error IS NULL THEN 'text ' || o END AS text FROM e""")
+def sidecar_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Sidecars checked marker by marker, what each rejects, and what the good ones read as once written and read again."""
+    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"))
+    part, supp = F.col("l_partkey"), F.col("l_suppkey") % 8
+    field = F.when(supp == 0, "cells").when(supp == 1, "other").otherwise("body")
+    kind = F.when((supp == 0) | (part % 23 == 0), "table").otherwise("region")
+    status = F.get(F.array(*map(F.lit, ("queued", "recognized", "error", "modified", ""))), (part % 6).cast("int"))
+    status = F.when(part % 6 < 5, status).when(part % 5 == 0, "lost").otherwise("running")
+    grid = F.struct(F.array(F.lit(0.0), F.col("l_quantity") / 50, F.lit(1.0)).alias("x"), F.array(F.lit(0), F.lit(1)).alias("y"), F.array(F.array(F.lit("recognized"))).alias("statuses"))
+    meta = F.struct(field.alias("field"), F.col("l_linenumber").alias("page"), F.array("l_discount", "l_tax", F.col("l_quantity") / 50, F.col("l_quantity") / 52).alias("rect"), F.when(part % 11 == 0, 45).otherwise(part % 7 * 90).alias("rotation"), status.alias("status"), F.when(kind == "table", grid).alias("grid"))
+    lines = read(spark, d, "lineitem").withColumn("o", o)
+    thing = F.when((F.col("l_returnflag") == "R") & (F.col("o") % 9 == 0), "lost").otherwise(F.col("l_returnflag"))
+    text = F.concat(F.lit('<!-- object {"type":"'), thing, F.lit('"} -->\n<!-- '), kind, F.lit(" "), F.to_json(meta), F.lit(" -->\ntext "), "o", F.lit("\n\n"))
+    files = lines.groupBy(F.col("l_orderkey").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", text.alias("text")))), lambda x: x["text"]), "").alias("text"), F.lit(6).alias("page_count"))
+    schema = {"A": {"body": "text"}, "N": {"body": "text", "cells": "grid"}, "R": {"body": "text", "cells": "grid"}}
+    docs = settled(B.parsed(files, schema))
+    good = B.parsed(B.serialized(docs).where("text is not null"), schema)
+    whole = B.regions(good).withColumn("accepted", F.lit(True)).withColumn("why", F.lit(None).cast("string"))
+    why = B.rejections(docs).select("source", "object_no", F.col("error").alias("why"))
+    rest = B.regions(docs.where(F.size("rejections") > 0), accepted=False).withColumn("accepted", F.lit(False)).join(why, ["source", "object_no"], "left")
+    ok = lambda c: F.when(F.col("why").isNull(), c)
+    told = whole.unionByName(rest)
+    return told.select(F.col("source").alias("l_orderkey"), "object_no", F.col("why").alias("error"), "accepted", ok(F.col("field")).alias("field"), ok(F.col("status")).alias("status"), ok(F.col("rotation")).alias("rotation"), ok(F.array_join(F.flatten("grid.statuses"), ",")).alias("cells"), ok(F.col("text")).alias("text"))
+
+
 @query("""SELECT c_custkey, string_agg(doc, ',' ORDER BY pos, doc) AS found FROM (
   SELECT c_custkey, 'ГОСТ ' || c_nationkey AS doc, 5 AS pos FROM customer UNION ALL SELECT c_custkey, 'ТУ ' || (c_nationkey + 1) % 25, 100 FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1""")
 def document_mentions(spark: SparkSession, d: str) -> DataFrame:
