@@ -130,3 +130,36 @@ def test_candidates_come_in_pages(spark):
     full = items.withColumns({c: F.lit("") for c in ("group", "subgroup")})
     told = R.match_purposes(full, purposes.withColumn("purpose", F.lit("one")).withColumn("purpose_index", F.substring("purpose_row_id", 2, 9).cast("int")).withColumns({c: F.lit("") for c in ("group", "subgroup")}))
     assert {(r.match_key, r.match_type, r.n_candidates) for r in told.collect()} == {("b || d", "exact", 300), ("b || x", "brand_only", 1000), ("c || d", "not_found", 0), (None, "not_found", 0)}
+
+
+def test_top_candidates_of_all_items(spark):
+    import random
+
+    from weftline.operators import relations as R
+
+    pick = random.Random(5)
+    brand = lambda: pick.choice(["", "a", "ab", "abc", "abcd", "xabcdx", "bcd", "zz", "abcabc", None])
+    side = lambda: pick.choice(["g", "h", None])
+    row = lambda: (pick.choice(["k1", "k2", "k3", None]), brand(), side(), side())
+    held = [(i, *row()) for i in range(600)]
+    asked = [row() for _ in range(60)] * 2
+    names = "match_key string, match_brand string, group string, subgroup string"
+    purposes, items = spark.createDataFrame(held, f"purpose_row_id int, {names}"), spark.createDataFrame(asked, names)
+
+    def best(item, limit):
+        found = []
+        for i, *p in held:
+            same = [a is not None and a == b for a, b in zip(item, p)]
+            part = item[1] and p[1] is not None and item[1] in p[1]
+            if base := 100 if same[0] else 70 if same[1] and part else 30 if part else 0:
+                found.append((-base - 10 * same[2] - 10 * same[3], i))
+        return [(i, -s) for s, i in sorted(found)[:limit]]
+
+    for limit in (1, 7, 100):
+        got = {}
+        for r in R.top_candidates(items, purposes, limit).orderBy("rank").collect():
+            got.setdefault(tuple(r[:4]), []).append((r.purpose_row_id, r.score))
+        assert got == {item: told for item in set(asked) if (told := best(item, limit))}
+    assert R.top_candidates(items.limit(0), purposes).count() == R.top_candidates(items, purposes.limit(0)).count() == 0
+    plan = R.top_candidates(items, purposes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -219,7 +219,58 @@ def blockers(flags: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def candidates(purposes: DataFrame, key: Column, brand: Column, group: Column, subgroup: Column, limit: int = 10) -> DataFrame:
-    """Ranked purposes for one item: 100 for the full key, 70 for the brand, 30 for a part of it, 10 more for group and subgroup."""
-    base = F.when(F.col("match_key") == key, 100).when(F.col("match_brand") == brand, 70).when(F.col("match_brand").contains(brand) | brand.contains(F.col("match_brand")), 30).otherwise(0)
+    """Ranked purposes for one item: 100 for the full key, 70 for the brand, 30 for a brand that has it as a part, 10 more each for
+    group and subgroup. An empty brand is nobody's."""
+    base = F.when(F.col("match_key") == key, 100).when(brand == "", 0).when(F.col("match_brand") == brand, 70).when(F.col("match_brand").contains(brand), 30).otherwise(0)
     extra = F.when(F.col("group") == group, 10).otherwise(0) + F.when(F.col("subgroup") == subgroup, 10).otherwise(0)
     return purposes.withColumn("score", base + extra).where(base > 0).orderBy(F.desc("score"), "purpose_row_id").limit(max(1, min(limit, 100)))
+
+
+def contained(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
+    """Distinct pairs (needle, text) of which the text contains the needle; nulls are in no pair, an empty needle is in all texts.
+
+    A needle is looked up by its rarest run of three characters (itself, if it has no more), so frequent runs aren't joined.
+    """
+    n, t = (df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct() for df, c in ((needles, needle), (texts, text)))
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda at: F.substring(c, at, k))
+    of = lambda c, k: F.when(F.length(c) >= k, runs(c, k)).otherwise(F.array().cast("array<string>"))
+    held = t.select(text, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[of(F.col(text), k) for k in (1, 2, 3)]))).alias("_run"))
+    short = F.length(needle) <= 3
+    asked = n.select(needle, F.when(short, F.array(needle)).otherwise(F.array_distinct(of(F.col(needle), 3))).alias("_runs"))
+    often = held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    each = asked.select(needle, F.size("_runs").alias("_all"), F.explode("_runs").alias("_run")).join(often, "_run")
+    # a run that no text has rules the needle out
+    key = each.groupBy(needle).agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"), F.count(F.lit(1)).alias("_found"), F.first("_all").alias("_all")).where("_found = _all")
+    return key.join(held, "_run").where(F.contains(F.col(text), F.col(needle))).select(needle, text)
+
+
+def top_candidates(items: DataFrame, purposes: DataFrame, limit: int = 10) -> DataFrame:
+    """The first `limit` purposes (100 at most) of every distinct item, as candidates() ranks them for one.
+
+    items and purposes: match_key, match_brand, group, subgroup; purposes also purpose_row_id. Returns the items' four columns,
+    purpose_row_id, score and rank. Of the purposes that agree in key or brand, and in group or subgroup where that counts, only
+    the first `limit` by id can be among an item's: each such list is cut before it is shuffled, and items are joined to lists.
+    Nulls agree with nothing, nor do empty brands; items without candidates have no row.
+    """
+    limit = max(1, min(limit, 100))
+    own = ["match_key", "match_brand", "group", "subgroup"]
+    # 1: the group must agree, 2: the subgroup
+    masks = F.explode(F.array(*map(F.lit, range(4)))).alias("_mask")
+    due = lambda bit, c: F.when(F.col("_mask").bitwiseAND(bit) == 0, "").otherwise(F.col(c))
+    slots = lambda df: df.where("_value is not null").select("*", masks).select("*", due(1, "group").alias("_g"), due(2, "subgroup").alias("_s")).where("_g is not null and _s is not null")
+    slot = ["_kind", "_value", "_mask", "_g", "_s"]
+    either = F.inline(F.array(*[F.struct(F.lit(c).alias("_kind"), F.col(c).alias("_value")) for c in ("match_key", "match_brand")]))
+
+    ordered = Window.partitionBy(*slot).orderBy("purpose_row_id")
+    lists = slots(purposes.select("purpose_row_id", *own, either)).withColumn("_nth", F.row_number().over(ordered)).where(F.col("_nth") <= limit)
+    lists = lists.select(*slot, "purpose_row_id", *[F.col(c).alias(f"_{c}") for c in own])
+
+    asked = items.select(*own).distinct()
+    near = contained(asked.where("match_brand != ''"), "match_brand", purposes.select(F.col("match_brand").alias("_value")), "_value")
+    probes = asked.select(*own, F.lit("match_key").alias("_kind"), F.col("match_key").alias("_value")).unionByName(asked.join(near, "match_brand").select(*own, F.lit("match_brand").alias("_kind"), "_value"))
+    met = slots(probes).join(lists, slot)
+
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
+    score = F.when(same("match_key"), 100).when(same("match_brand"), 70).otherwise(30) + F.when(same("group"), 10).otherwise(0) + F.when(same("subgroup"), 10).otherwise(0)
+    told = met.groupBy(*own, "purpose_row_id").agg(F.max(score).alias("score"))
+    return told.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("score"), "purpose_row_id"))).where(F.col("rank") <= limit)

@@ -252,7 +252,7 @@ def conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, s + CASE WHEN p_type = (SELECT p_type FROM part WHERE p_partkey = 1) THEN 10 ELSE 0 END AS score
-FROM (SELECT *, CASE WHEN p_brand = (SELECT p_brand FROM part WHERE p_partkey = 1) THEN 70 WHEN contains(p_brand, (SELECT p_brand FROM part WHERE p_partkey = 1)) OR contains((SELECT p_brand FROM part WHERE p_partkey = 1), p_brand) THEN 30 ELSE 0 END AS s FROM part) WHERE s > 0 ORDER BY score DESC, p_partkey LIMIT 100""")
+FROM (SELECT *, CASE WHEN p_brand = (SELECT p_brand FROM part WHERE p_partkey = 1) THEN 70 WHEN contains(p_brand, (SELECT p_brand FROM part WHERE p_partkey = 1)) THEN 30 ELSE 0 END AS s FROM part) WHERE s > 0 ORDER BY score DESC, p_partkey LIMIT 100""")
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     """O1: ranked purposes of one item, the top 100 (a top-k report)."""
     part = read(spark, d, "part")
@@ -261,6 +261,24 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     return R.candidates(p, F.lit(None), F.lit(one.p_brand), F.lit(one.p_type), F.lit(None), 100).select("p_partkey", "score")
 
 
+_ASKED = """p AS (SELECT p_partkey AS id, lower(p_brand) || ' || ' || p_name AS k, lower(p_brand) AS b, CASE WHEN p_size % 5 <> 0 THEN p_type END AS g, 's' || p_size % 3 AS s FROM part),
+  i AS (SELECT DISTINCT CASE WHEN id % 4 <> 0 THEN k END AS k, CASE id % 7 WHEN 0 THEN substr(b, 1, 7) WHEN 1 THEN b || '/a' WHEN 2 THEN substr(b, 6) ELSE b END AS b, g, s FROM p)"""
+
+
+@query(f"""WITH {_ASKED}, c AS (SELECT i.k, i.b, i.g, i.s, p.id, CASE WHEN p.k = i.k THEN 100 WHEN p.b = i.b THEN 70 WHEN contains(p.b, i.b) THEN 30 ELSE 0 END AS base,
+    CASE WHEN p.g = i.g THEN 10 ELSE 0 END + CASE WHEN p.s = i.s THEN 10 ELSE 0 END AS more FROM i, p)
+SELECT k AS match_key, b AS match_brand, g AS "group", s AS subgroup, id AS purpose_row_id, base + more AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY k, b, g, s ORDER BY base + more DESC, id) AS INT) AS rank FROM c WHERE base > 0) WHERE rank <= 10""")
+def top_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """O1, O3: the ten best purposes of every item (a top-k report for each)."""
+    b = F.lower("p_brand")
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("purpose_row_id"), F.concat(b, F.lit(" || "), "p_name").alias("match_key"), b.alias("match_brand"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("group"), F.concat(F.lit("s"), F.col("p_size") % 3).alias("subgroup"))
+    n, brand = F.col("purpose_row_id"), F.col("match_brand")
+    asked = F.when(n % 7 == 0, F.substring(brand, 1, 7)).when(n % 7 == 1, F.concat(brand, F.lit("/a"))).when(n % 7 == 2, F.substring(brand, 6, 99)).otherwise(brand)
+    items = p.select(F.when(n % 4 != 0, F.col("match_key")).alias("match_key"), asked.alias("match_brand"), "group", "subgroup")
+    return R.top_candidates(items, p, 10)
+
+
 # ---- catalog and stores
 
 
