@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.rows import batches
 from weftline.sources.files import replace_batch
+from weftline.streaming.carried import Carried
 
 
 def stage(rows: DataFrame, path: str, batch_no: int) -> None:
@@ -18,12 +19,13 @@ def stage(rows: DataFrame, path: str, batch_no: int) -> None:
     replace_batch(rows.withColumn("batch_id", F.format_string("B%06d", F.lit(batch_no))).withColumn("stage_seq", F.lit(batch_no)), path)
 
 
-def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files_a_batch: int = 1, max_batches: int | None = None, passes: Callable[[DataFrame], bool] | None = None) -> int:
+def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | Carried, files_a_batch: int = 1, max_batches: int | None = None, passes: Callable[[DataFrame], bool] | None = None) -> int:
     """Process the files of a folder that earlier runs haven't, batch by batch; a batch that is replayed replaces itself.
 
     The stream's checkpoint is the cursor: it moves when a batch has been staged and `passes`, if given, is true of it; a batch
     that fails is tried again by the next run. Returns the number of batches that passed. With max_batches the query is
-    stopped from outside after so many; what it may have begun by then isn't staged and is left to the next run.
+    stopped from outside after so many; what it may have begun by then isn't staged and is left to the next run. A Carried
+    transform also takes over what earlier batches left: values filled down, the last number given out.
     """
     done: list[int] = []
     enough = Event()
@@ -31,7 +33,7 @@ def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoi
     def one(frame: DataFrame, number: int) -> None:
         if enough.is_set():
             raise Halted
-        made = transform(frame)
+        made = transform(frame, number) if isinstance(transform, Carried) else transform(frame)
         stage(made, out, number + 1)
         if passes is not None and not passes(made):
             enough.set()
