@@ -546,7 +546,7 @@ def sidecar_checks(spark: SparkSession, d: str) -> DataFrame:
     files = lines.groupBy(F.col("l_orderkey").alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", text.alias("text")))), lambda x: x["text"]), "").alias("text"), F.lit(6).alias("page_count"))
     schema = {"A": {"body": "text"}, "N": {"body": "text", "cells": "grid"}, "R": {"body": "text", "cells": "grid"}}
     docs = settled(B.parsed(files, schema))
-    good = B.parsed(B.serialized(docs).where("text is not null"), schema)
+    good = settled(B.parsed(settled(B.serialized(docs).where("text is not null")), schema))
     whole = B.regions(good).withColumn("accepted", F.lit(True)).withColumn("why", F.lit(None).cast("string"))
     why = B.rejections(docs).select("source", "object_no", F.col("error").alias("why"))
     rest = B.regions(docs.where(F.size("rejections") > 0), accepted=False).withColumn("accepted", F.lit(False)).join(why, ["source", "object_no"], "left")
