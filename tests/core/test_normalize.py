@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from weftline.functions import text as text_rules
 from weftline.operators import catalog, commands, grids, normalize
 from weftline.plans import queries
@@ -82,6 +84,34 @@ def test_resolution_against_brute_force(spark, monkeypatch):
     assert [x.score for x in catalog.alike(one, "t", two.withColumnRenamed("t", "e"), "e", 0.62).collect()] == [0.75]
 
 
+@pytest.mark.parametrize("least, tile", [(0.62, 64), (0.78, 4096), (0.95, 4096)])
+def test_similarity_join_against_brute_force(spark, monkeypatch, least, tile):
+    """All pairs of all lengths: short and long texts, queries cut to pieces, entries longer than queries, repeated and empty ones."""
+    monkeypatch.setattr(catalog, "TILE", tile)
+    r = random.Random(int(least * 100) + tile)
+    word = lambda a, b: "".join(r.choices("ABCDEFGH12", k=r.randrange(a, b)))
+    entries = [word(1, 30) for _ in range(20)] + ["", None, "AB", "AB", "A" * 100]
+    spoilt = lambda t: "".join(c if r.random() > 0.15 else r.choice("ABCDEFGH12") for c in t)
+    asked = [word(1, 20) for _ in range(12)] + [word(0, 30) + spoilt(r.choice(entries[:20])) + word(0, 60) for _ in range(18)] + ["", None, "AB", "AB", "A" * 90, entries[0]]
+    q, e = spark.createDataFrame([(t,) for t in asked], "t string"), spark.createDataFrame([(t,) for t in entries], "e string")
+    got = {(x.t, x.e): round(x.score, 9) for x in catalog.alike(q, "t", e, "e", least).collect()}
+    scores = {(t, x): text_rules.likeness(t, x) for t in set(asked) - {None} for x in set(entries) - {None}}
+    assert got == {k: round(s, 9) for k, s in scores.items() if s >= least} and len(got) > 3
+    assert catalog.alike(q, "t", e.limit(0), "e", least).count() == catalog.alike(q.limit(0), "t", e, "e", least).count() == 0
+
+
+def test_longest_common_subsequence():
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(r.choices("ABC", k=r.randrange(1, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        assert text_rules.in_order(a, text_rules.places(b), len(b)) == row[-1]
+
+
 def test_resolution_query_against_brute_force(spark):
     """The registered query on its whole table."""
     d = "/root/testdata/sf0.01"

@@ -90,22 +90,47 @@ def compact(x: Column) -> Column:
     return F.regexp_replace(match_text(x), "[^0-9A-ZА-Я]+", "")
 
 
-def likeness(query: str, target: str) -> float:
-    """Best ratio of the target with the query or with any part of it of about the target's length; both compact."""
+def places(text: str) -> dict[str, int]:
+    """Bits of the places of each sign in a text."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def in_order(text: str, of: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a text and one of `size` signs given by its places."""
+    full = (1 << size) - 1
+    left = full
+    for c in text:
+        if hit := left & of.get(c, 0):
+            left = (left + hit | left - hit) & full
+    return size - left.bit_count()
+
+
+def likeness(query: str, target: str, least: float = 0.0, whole: bool = True) -> float:
+    """Best ratio of the target with the query or with any part of it of about the target's length; both compact.
+
+    Ratios below `least` may come back as 0. Without `whole`, the query is a part of a longer one and no span of its own.
+    """
     if not query or not target:
         return 0.0
     if query == target or target in query:
-        return 1.0 if query == target else 0.9
-    spans = [(0, len(query))]
+        return 1.0 if whole and query == target else 0.9
+    spans = [(0, len(query))] if whole else []
     for size in range(max(1, len(target) - 2), min(len(query), len(target) + 2) + 1):
         spans += [(at, at + size) for at in range(len(query) - size + 1)]
-    best, matcher = 0.0, SequenceMatcher(None, "", target)
-    for a, b in spans:
+    # the signs that a ratio counts stand in order in both, so spans are tried by their longest common subsequence
+    of, size = places(target), len(target)
+    bounds = sorted(((2.0 * in_order(query[a:b], of, size) / (b - a + size), a, b) for a, b in spans), reverse=True)
+    best = floor = max(0.0, least - 1e-9)
+    matcher = SequenceMatcher(None, "", target)
+    for bound, a, b in bounds:
+        if bound <= best:
+            break
         matcher.set_seq1(query[a:b])
-        # upper bounds by length and by letters spare most of the work
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
-    return best
+        best = max(best, matcher.ratio())
+    return best if best > floor else 0.0
 
 
 @F.pandas_udf(T.DoubleType())

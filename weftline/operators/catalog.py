@@ -2,78 +2,134 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
+from weftline.sources.scratch import settled
 
 PLAUSIBLE, NEAR, SURE = 0.62, 0.055, 0.76
+#: Likeness that is searched first (any value from PLAUSIBLE on gives the same results).
+CLEAR = 0.78
 DOCUMENT_LEAST, DOCUMENT_NEAR = 0.78, 0.035
-#: Texts and entries that one task compares with one another.
-TILE = 4096
+#: Texts and entries that one task compares with one another, and how many signs of either it holds at the most (one text at the least).
+TILE, TILE_SIGNS = 4096, 1 << 22
 #: Rows of texts whose letters are counted against all entries of a tile at once.
 STRIP = 256
+#: Entries of a class differ in length by this factor at the most.
+GROWTH = 1.25
+
+
+def classes(entries: DataFrame) -> DataFrame:
+    """(class, lo, hi, n): lengths and number of the texts in each class of lengths; few rows, whatever the table."""
+    size = F.length("text")
+    by = F.floor(F.log(size) / F.log(F.lit(GROWTH))).cast("int").alias("class")
+    return entries.groupBy(by).agg(F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def pieces(queries: DataFrame, kinds: list[Row], least: float) -> DataFrame:
+    """(class, key, text, whole): what of each query can reach `least` with entries of a class.
+
+    A query that isn't much longer than the class's entries is taken whole. A longer one, whose ratio as a whole can't be enough,
+    is cut into overlapping pieces: each of its parts of up to two signs more than an entry lies in one of them. Entries too long
+    for a query to match aren't asked.
+    """
+    reach = (2 - least) / least
+    told = lambda k: (k["class"], k["lo"], int(max(2 * (k["hi"] + 2), k["hi"] * reach + 1)), k["hi"] + 2, (k["hi"] + 3) // 2)
+    given = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("class", "lo", "limit", "widest", "step"), told(k))]) for k in kinds])
+    size = F.length("text")
+    asked = queries.select("key", "text", F.explode(F.filter(given, lambda c: c["lo"] <= size * reach + 1e-6)).alias("c"))
+    whole = size <= F.col("c.limit")
+    starts = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(size - F.col("c.widest"), F.lit(0)), F.col("c.step")))
+    cut = asked.select("c", "key", "text", whole.alias("whole"), F.explode(starts).alias("at"))
+    part = F.when(F.col("whole"), F.col("text")).otherwise(F.substring("text", F.col("at") + 1, F.col("c.step") + F.col("c.widest") - 1))
+    return cut.select("c.class", "key", part.alias("text"), "whole")
+
+
+def alike_in(asked: list[tuple[str, str, bool]], held: list[str], least: float) -> Iterator[tuple[str, str, float, bool]]:
+    """(key, entry, score, contained) of the pairs of a tile's (key, text, whole) and entries that reach `least` or contain the entry.
+
+    Two bounds are taken before the ratio: the letters that both have, all pairs at once as products of 0/1 rows (a sign's k-th
+    occurrence is a column), and, of the pairs left, the longest subsequence that both have, since a ratio counts signs in order.
+    """
+    columns = {f: i for i, f in enumerate(sorted({(c, k) for t in held for c, n in Counter(t).items() for k in range(n)}))}
+
+    def rows(of: list[str]) -> np.ndarray:
+        out = np.zeros((len(of), len(columns)), np.float32)
+        for row, t in zip(out, of):
+            row[[columns[c, k] for c, n in Counter(t).items() for k in range(n) if (c, k) in columns]] = 1
+        return out
+
+    letters, size, spots = rows(held).T, np.array([len(t) for t in held]), [X.places(t) for t in held]
+    for at in range(0, len(asked), STRIP):
+        some = asked[at : at + STRIP]
+        own = np.array([len(t) for _, t, _ in some])[:, None]
+        # no span is shorter than this, and a ratio is twice the signs matched by the length of both
+        need = least * (np.minimum(own, np.maximum(size - 2, 1)[None]) + size) / 2 - 1e-6
+        for i, k in np.argwhere(rows([t for _, t, _ in some]) @ letters >= need).tolist():
+            key, text, whole = some[i]
+            if X.in_order(text, spots[k], len(held[k])) >= need[i, k]:
+                score, contained = X.likeness(text, held[k], least, whole), held[k] in text
+                if score >= least or contained:
+                    yield key, held[k], score, contained
 
 
 def alike(queries: DataFrame, query: str, entries: DataFrame, entry: str, least: float) -> DataFrame:
-    """(query, entry, score) of all pairs of distinct compact texts whose likeness is `least` or more.
+    """(query, entry, score) of all pairs of distinct compact texts whose likeness is `least` or more; null and empty ones have none.
 
-    Both sides are dealt out to tiles of about TILE x TILE, so neither is broadcast, whatever its size. In a tile, letters are
-    counted first: a part of the query of about the entry's length can share no more letters with it than the whole does, and
-    only pairs that this allows to reach `least` are compared.
+    Entries meet, class by class of their lengths, only those pieces of queries that can be alike (pieces). Within a class both
+    sides are dealt out to tiles, so neither is broadcast and no length, common or rare, fills a task. In a tile, bounds decide
+    which pairs are compared (alike_in). No bound loses a pair: a threshold as low as this one lets two texts be alike that
+    don't share any two neighbouring signs, so an index of their parts would.
     """
-    q = queries.select(F.col(query).alias("text")).where(F.length("text") > 0).distinct()
+    q = queries.select(F.col(query).alias("text")).where(F.length("text") > 0).distinct().withColumn("key", F.sha2("text", 256))
     e = entries.select(F.col(entry).alias("text")).where(F.length("text") > 0).distinct()
-    down, across = (max(1, -(-side.count() // TILE)) for side in (q, e))
-    deal = lambda n: F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(deal(down).alias("i"), spread(across).alias("j"), "text", F.lit(True).alias("is_query"))
-    right = e.select(spread(down).alias("i"), deal(across).alias("j"), "text", F.lit(False).alias("is_query"))
+    kinds = classes(e).collect()
+    asked = {r["class"]: r["count"] for r in pieces(q, kinds, least).groupBy("class").count().collect()} if kinds else {}
+    kinds = [k for k in kinds if k["class"] in asked]
+    if not kinds:
+        return q.select(F.col("text").alias(query), F.lit("").alias(entry), F.lit(0.0).alias("score")).where("false")
+    parts = pieces(q, kinds, least)
+    tile = {k["class"]: max(1, min(TILE, TILE_SIGNS // (2 * (k["hi"] + 2)))) for k in kinds}
+    number = lambda of: F.create_map(*[F.lit(v) for k in kinds for v in (k["class"], -(-of(k) // tile[k["class"]]))])[F.col("class")]
+    down, across = number(lambda k: asked[k["class"]]), number(lambda k: k["n"])
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    by = F.floor(F.log(F.length("text")) / F.log(F.lit(GROWTH))).cast("int").alias("class")
+    left = parts.select("class", deal(down, "text", "key").alias("i"), spread(across).alias("j"), "key", "text", "whole")
+    right = e.select(by, "text").where(F.col("class").isin([k["class"] for k in kinds])).select("class", spread(down).alias("i"), deal(across, "text").alias("j"), F.lit(None).cast("string").alias("key"), "text", F.lit(True).alias("whole"))
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table["is_query"].to_numpy(zero_copy_only=False)
-        texts = table["text"].to_pylist()
-        asked, held = ([t for t, s in zip(texts, side) if s == is_query] for is_query in (True, False))
-        signs = {c: i for i, c in enumerate(sorted(set("".join(held))))}
-
-        def counts(of: list[str]) -> np.ndarray:
-            out = np.zeros((len(signs), len(of)), np.int16)
-            for k, t in enumerate(of):
-                for c in t:
-                    if c in signs:
-                        out[signs[c], k] += 1
-            return out
-
-        found: list[tuple[str, str, float]] = []
-        letters, size = counts(held), np.array([len(t) for t in held])
-        for at in range(0, len(asked), STRIP):
-            some = asked[at : at + STRIP]
-            own = np.array([len(t) for t in some])[:, None]
-            shared = np.zeros((len(some), len(held)), np.int16)
-            for a, b in zip(counts(some), letters):
-                shared += np.minimum(a[:, None], b[None])
-            shortest = np.minimum(own, np.maximum(size - 2, 1)[None])
-            for i, k in np.argwhere(2 * shared >= least * (shortest + size) - 1e-9).tolist():
-                if (score := X.likeness(some[i], held[k])) >= least:
-                    found.append((some[i], held[k], score))
-        return pa.table({n: pa.array([f[k] for f in found], t) for k, (n, t) in enumerate((("q", pa.string()), ("e", pa.string()), ("score", pa.float64())))})
-
-    out = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "q string, e string, score double")
-    return out.select(F.col("q").alias(query), F.col("e").alias(entry), "score")
+        rows = list(zip(*(table[c].to_pylist() for c in ("key", "text", "whole"))))
+        found = list(alike_in([r for r in rows if r[0] is not None], [t for k, t, _ in rows if k is None], least))
+        columns = zip(*found) if found else ((),) * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.bool_()))], names=["key", "e", "score", "contained"])
+
+    out = left.unionByName(right).groupBy("class", "i", "j").applyInArrow(compare, "key string, e string, score double, contained boolean")
+    # only equal texts reach 1; a query that holds the entry scores as such, whatever its other parts do
+    score = F.when(F.max("score") == 1.0, F.lit(1.0)).when(F.max("contained"), F.lit(0.9)).otherwise(F.max("score"))
+    best = out.groupBy("key", "e").agg(score.alias("score")).where(F.col("score") >= least)
+    return best.join(q, "key").select(F.col("text").alias(query), F.col("e").alias(entry), "score")
 
 
 def resolve(fragments: DataFrame, entries: DataFrame, text: str, name: str) -> DataFrame:
     """fragments plus best (score), n_plausible and resolved: the one entry that is likely enough and has no near rival.
 
-    entries holds `name`. Distinct texts are compared once each with all entries, in tiles (alike). Texts without a plausible
+    entries holds `name`. Distinct texts are compared once each with the entries that may be alike (alike). Texts without a plausible
     entry get nulls.
     """
-    f = fragments.select(text).distinct().withColumn("_q", X.compact(F.col(text)))
-    e = entries.select(name).distinct().withColumn("_e", X.compact(F.col(name)))
-    pairs = alike(f, "_q", e, "_e", PLAUSIBLE)
+    f = settled(fragments.select(text).distinct().withColumn("_q", X.compact(F.col(text))))
+    e = settled(entries.select(name).distinct().withColumn("_e", X.compact(F.col(name))))
+    # texts with an entry so near that none below CLEAR can be its rival are settled by the narrower and far cheaper join
+    near = settled(alike(f, "_q", e, "_e", CLEAR))
+    clear = near.groupBy("_q").agg(F.max("score").alias("_top")).where(F.col("_top") >= CLEAR + NEAR + 1e-9).select("_q")
+    pairs = near.join(clear, "_q", "left_semi").unionByName(alike(f.join(clear, "_q", "left_anti"), "_q", e, "_e", PLAUSIBLE))
     scored = f.join(pairs, "_q").join(e, "_e").select(text, name, F.col("score").alias("_score"))
     best = scored.groupBy(text).agg(F.max("_score").alias("best"))
     plausible = scored.join(best, text).where(F.col("_score") >= F.greatest(F.lit(PLAUSIBLE), F.col("best") - NEAR))
