@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from weftline.functions import text as text_rules
@@ -110,6 +111,9 @@ def test_longest_common_subsequence():
             for j, y in enumerate(b):
                 row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
         assert text_rules.in_order(a, text_rules.places(b), len(b)) == row[-1]
+        if len(b) <= catalog.WORD:
+            assert catalog.runs_in_order(["", a], ["", b])(np.array([1, 0, 1]), np.array([1, 1, 0])).tolist() == [row[-1], 0, 0]
+    assert list(catalog.alike_in([("k", "AB", True)], [], 0.62)) == []
 
 
 def test_resolution_query_against_brute_force(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ DOCUMENT_LEAST, DOCUMENT_NEAR = 0.78, 0.035
 TILE, TILE_SIGNS = 4096, 1 << 22
 #: Rows of texts whose letters are counted against all entries of a tile at once.
 STRIP = 256
+#: Signs of an entry that stand for the bits of one number.
+WORD = 62
 #: Entries of a class differ in length by this factor at the most.
 GROWTH = 1.25
 
@@ -52,12 +54,37 @@ def pieces(queries: DataFrame, kinds: list[Row], least: float) -> DataFrame:
     return cut.select("c.class", "key", part.alias("text"), "whole")
 
 
+def runs_in_order(texts: list[str], held: list[str]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of pairs (numbers of texts, numbers of held ones, none longer than WORD): lengths of their longest common subsequences, all pairs at
+    once with the places of a held text as the bits of one number."""
+    signs = {c: i for i, c in enumerate(sorted(set("".join(held))), 1)}
+    spots = np.zeros((len(signs) + 1, len(held)), np.uint64)
+    for k, t in enumerate(held):
+        for c, bits in X.places(t).items():
+            spots[signs[c], k] = bits
+    full = np.array([(1 << len(t)) - 1 for t in held], np.uint64)
+    codes = np.zeros((max(map(len, texts)), len(texts)), np.int32)
+    for i, t in enumerate(texts):
+        codes[: len(t), i] = [signs.get(c, 0) for c in t]
+
+    def lengths(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        left = all_ = full[k]
+        for row in codes:
+            hit = left & spots[row[i], k]
+            left = (left + hit | left - hit) & all_
+        return np.bitwise_count(all_).astype(int) - np.bitwise_count(left)
+
+    return lengths
+
+
 def alike_in(asked: list[tuple[str, str, bool]], held: list[str], least: float) -> Iterator[tuple[str, str, float, bool]]:
     """(key, entry, score, contained) of the pairs of a tile's (key, text, whole) and entries that reach `least` or contain the entry.
 
     Two bounds are taken before the ratio: the letters that both have, all pairs at once as products of 0/1 rows (a sign's k-th
     occurrence is a column), and, of the pairs left, the longest subsequence that both have, since a ratio counts signs in order.
     """
+    if not held:
+        return
     columns = {f: i for i, f in enumerate(sorted({(c, k) for t in held for c, n in Counter(t).items() for k in range(n)}))}
 
     def rows(of: list[str]) -> np.ndarray:
@@ -66,18 +93,23 @@ def alike_in(asked: list[tuple[str, str, bool]], held: list[str], least: float)
             row[[columns[c, k] for c, n in Counter(t).items() for k in range(n) if (c, k) in columns]] = 1
         return out
 
-    letters, size, spots = rows(held).T, np.array([len(t) for t in held]), [X.places(t) for t in held]
+    letters, size = rows(held).T, np.array([len(t) for t in held])
     for at in range(0, len(asked), STRIP):
         some = asked[at : at + STRIP]
-        own = np.array([len(t) for _, t, _ in some])[:, None]
+        texts = [t for _, t, _ in some]
         # no span is shorter than this, and a ratio is twice the signs matched by the length of both
-        need = least * (np.minimum(own, np.maximum(size - 2, 1)[None]) + size) / 2 - 1e-6
-        for i, k in np.argwhere(rows([t for _, t, _ in some]) @ letters >= need).tolist():
+        need = least * (np.minimum(np.array([len(t) for t in texts])[:, None], np.maximum(size - 2, 1)[None]) + size) / 2 - 1e-6
+        left, right = np.nonzero(rows(texts) @ letters >= need)
+        if size.max() <= WORD:
+            common = runs_in_order(texts, held)(left, right)
+        else:
+            common = np.array([X.in_order(texts[i], X.places(held[k]), len(held[k])) for i, k in zip(left, right)])
+        close = common >= need[left, right]
+        for i, k in zip(left[close].tolist(), right[close].tolist()):
             key, text, whole = some[i]
-            if X.in_order(text, spots[k], len(held[k])) >= need[i, k]:
-                score, contained = X.likeness(text, held[k], least, whole), held[k] in text
-                if score >= least or contained:
-                    yield key, held[k], score, contained
+            score, contained = X.likeness(text, held[k], least, whole), held[k] in text
+            if score >= least or contained:
+                yield key, held[k], score, contained
 
 
 def alike(queries: DataFrame, query: str, entries: DataFrame, entry: str, least: float) -> DataFrame:
