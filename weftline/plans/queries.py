@@ -340,7 +340,7 @@ def first_wins(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Dirty part names resolved against the catalog of nation names and brands (tested against brute force)."""
     names = read(spark, d, "nation").select(F.col("n_name").alias("entry"))
-    dirty = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    dirty = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("от "), F.lower("n_name"))).when(F.col("c_custkey") % 3 == 1, F.regexp_replace("n_name", "A", "А")).otherwise(F.regexp_replace("n_name", "[EI]", ""))
     got = C.resolve(dirty.select("c_custkey", text.alias("text")), names, "text", "entry")
     return got.select("c_custkey", "text", F.round("best", 6).alias("best"), "n_plausible", "resolved")
