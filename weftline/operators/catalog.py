@@ -117,8 +117,8 @@ def alike(queries: DataFrame, query: str, entries: DataFrame, entry: str, least:
 
     Entries meet, class by class of their lengths, only those pieces of queries that can be alike (pieces). Within a class both
     sides are dealt out to tiles, so neither is broadcast and no length, common or rare, fills a task. In a tile, bounds decide
-    which pairs are compared (alike_in). No bound loses a pair: a threshold as low as this one lets two texts be alike that
-    don't share any two neighbouring signs, so an index of their parts would.
+    which pairs are compared (alike_in). No bound loses a pair. An index of neighbouring signs could: at 0.62 two texts may be
+    alike that share no two neighbours.
     """
     q = queries.select(F.col(query).alias("text")).where(F.length("text") > 0).distinct().withColumn("key", F.sha2("text", 256))
     e = entries.select(F.col(entry).alias("text")).where(F.length("text") > 0).distinct()
