@@ -1,7 +1,8 @@
 """A run as one nested row per source row: its cells, items, relations, open questions and review flags in arrays.
 
 fold() brings the items of a row together by one shuffle; all that follows from them alone (relations, flags, staging, checks) is
-worked out inside the row by higher-order functions, so a report needs one more shuffle at most: by batch.
+worked out inside the row by higher-order functions. Only counts go by batch, to number flags, and come back to their rows, which
+stay where they are; a report that names no flag does without. It needs one more shuffle at most: by batch.
 
 A folded row has the columns of rows (row_id, batch_id, row_index, source_file, table_id, group, subgroup, ground, aviation, marine,
 note, row_flags) and
@@ -55,23 +56,24 @@ def laid_over(items: DataFrame, text: Column) -> DataFrame:
     return items.withColumns({"match_type": put("match_type", F.lit(MANUAL)), "purpose_text": put("purpose_text", text), "match_flags": put("match_flags", F.array().cast("array<string>"))})
 
 
-def fold(rows: DataFrame, items: DataFrame, cells: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
+def fold(rows: DataFrame, items: DataFrame, cells: DataFrame | None = None, manual: DataFrame | None = None, numbered: bool = True) -> DataFrame:
     """Rows with all that was made of them; items carry their purpose results (see matched()). Without cells, those that have
     items stand for them, with their role as text. manual: relations made by hand (row_id, main_item_id, related_item_id, relation_type,
     note), which win over generated ones of the same items and type. Rows without items have empty arrays; items, cells and relations of unknown rows
-    are left out."""
+    are left out. Row ids aren't null. Unless numbered, flags have no flag_id."""
     sides = {"items": items.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(role_place(F.col("role")).cast("int").alias("place"), *ITEM))).alias("items"))}
     if cells is not None:
         sides["cells"] = cells.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*CELL))).alias("cells"))
     if manual is not None:
         made = F.struct("main_item_id", "related_item_id", "relation_type", "note", F.lit(MANUAL).alias("mapping_basis"), *[F.lit(None).cast("string").alias(c) for c in BRANDS])
         sides["manual"] = manual.groupBy("row_id").agg(F.sort_array(F.collect_list(made)).alias("manual"))
-    out = rows
+    # rows that repeat an id are told apart by their place among these
+    out = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("row_id").orderBy("batch_id", "row_index", F.xxhash64(*rows.columns)))) if numbered else rows
     for name, side in sides.items():
         out = out.join(side, "row_id", "left").withColumn(name, _list(name, side.schema[name].dataType))
     if cells is None:
         out = out.withColumn("cells", F.array_distinct(F.transform("items", lambda i: F.struct(i["cell_id"].alias("cell_id"), i["role"].alias("role"), i["role"].alias("raw_cell")))))
-    return _flagged(_related(out, manual is not None))
+    return _flagged(_related(out, manual is not None), numbered)
 
 
 def _related(rows: DataFrame, by_hand: bool) -> DataFrame:
@@ -111,7 +113,7 @@ def _related(rows: DataFrame, by_hand: bool) -> DataFrame:
     ).select("*", F.col("_r.links").alias("relations"), F.col("_r.unresolved").alias("unresolved")).drop("_r", "manual")
 
 
-def _flagged(rows: DataFrame) -> DataFrame:
+def _flagged(rows: DataFrame, numbered: bool) -> DataFrame:
     """Flags of the row, of its items and of their purposes, then of open questions that no relation answers; the first of equal
     ones counts. Numbers run through each batch: all of the first kinds, by row, come before the open questions."""
     none = F.lit(None).cast("string")
@@ -131,15 +133,21 @@ def _flagged(rows: DataFrame) -> DataFrame:
     side_by_side = F.sort_array(F.transform(F.concat(of_row, of_items, of_open), lambda f: F.struct(same(f).alias("same"), f.alias("f"))))
     first = X.let(side_by_side, lambda fs: F.filter(fs, lambda f, k: (k == 0) | ~f["same"].eqNullSafe(F.get(fs, k - 1)["same"])))
     kept = F.sort_array(F.transform(first, lambda x: x["f"]))
+    told = lambda f, flag_id: F.struct(flag_id.alias("flag_id"), *[f[c].alias(c) for c in ("category", "cell_id", "item_id", "evidence")])
+    if not numbered:
+        return rows.withColumn("flags", F.transform(kept, lambda f: told(f, none)))
     rows = rows.withColumn("_flags", kept).withColumn("_late", F.size(F.filter("_flags", lambda f: f["part"] == 1)))
-    early = F.size("_flags") - F.col("_late")
     batch = Window.partitionBy("batch_id")
     before = batch.orderBy("row_index", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     some = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    rows = rows.withColumns({"_early": early, "_e": some(early, before), "_l": some(F.col("_late"), before), "_all": some(early, batch)})
-    number = lambda f, k: k + 1 + F.when(f["part"] == 0, F.col("_e")).otherwise(F.col("_all") + F.col("_l") - F.col("_early"))
-    out = F.transform("_flags", lambda f, k: F.struct(F.format_string("%s:F%04d", F.col("batch_id"), number(f, k)).alias("flag_id"), *[f[c].alias(c) for c in ("category", "cell_id", "item_id", "evidence")]))
-    return rows.withColumn("flags", out).drop("_flags", "_late", "_early", "_e", "_l", "_all")
+    # only the counts of a row go to its batch and back, not the row
+    counts = rows.select("row_id", "_nth", "batch_id", "row_index", (F.size("_flags") - F.col("_late")).alias("_early"), "_late")
+    at = F.struct("_nth", "_early", some("_early", before).alias("e"), some("_late", before).alias("l"), some("_early", batch).alias("all"))
+    places = counts.select("row_id", at.alias("_at")).groupBy("row_id").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+    rows = rows.join(places, "row_id", "left").withColumn("_at", F.get("_at", F.col("_nth") - 1))
+    number = lambda f, k: k + 1 + F.when(f["part"] == 0, F.col("_at.e")).otherwise(F.col("_at.all") + F.col("_at.l") - F.col("_at._early"))
+    out = F.transform("_flags", lambda f, k: told(f, F.format_string("%s:F%04d", F.col("batch_id"), number(f, k))))
+    return rows.withColumn("flags", out).drop("_flags", "_late", "_nth", "_at")
 
 
 # ---- what is read off folded rows
@@ -230,6 +238,13 @@ def cursor(folded: DataFrame, checked: DataFrame) -> DataFrame:
     return told.withColumns({"remaining_rows": left("rows"), "remaining_cells": left("cells"), "status": state})
 
 
+def checks(folded: DataFrame) -> DataFrame:
+    """What quality(), cursor() and blockers() read of folded rows, for runs that are written once for all of them."""
+    few = lambda c, *names: F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in names])).alias(c)
+    items = few("items", "index", "item_id", "role", "cell_id", "brand_key", "match_type", "purpose_text")
+    return folded.select("batch_id", "row_index", "row_id", few("cells", "cell_id"), items, few("relations", "related_item_id"), few("unresolved", "related_item_ids"), few("flags", "flag_id", "category", "cell_id", "item_id", "evidence"))
+
+
 def lineage(folded: DataFrame) -> DataFrame:
     """Rows with all that was made of each: items, purposes, relations, unresolved groups and flags, as arrays in order."""
     held = F.filter("items", lambda i: i["match_type"].isNotNull())
