@@ -218,10 +218,11 @@ def blockers(flags: DataFrame, limit: int = 500) -> DataFrame:
     return flags.where(F.col("category").isin(*BLOCKING)).orderBy("flag_id").limit(limit)
 
 
-def candidates(purposes: DataFrame, key: Column, brand: Column, group: Column, subgroup: Column, limit: int = 10) -> DataFrame:
-    """Ranked purposes for one item: 100 for the full key, 70 for the brand, 30 for a brand that has it as a part, 10 more each for
-    group and subgroup. An empty brand is nobody's."""
-    base = F.when(F.col("match_key") == key, 100).when(brand == "", 0).when(F.col("match_brand") == brand, 70).when(F.col("match_brand").contains(brand), 30).otherwise(0)
+def candidates(purposes: DataFrame, key: Column, brand: Column, group: Column, subgroup: Column, limit: int = 10, either: bool = False) -> DataFrame:
+    """Ranked purposes for one item: 100 for the full key, 70 for the brand, 30 for a brand that has it as a part (either: or is
+    a part of it), 10 more each for group and subgroup. An empty brand is nobody's, nor a part."""
+    part = F.col("match_brand").contains(brand) | (F.lit(either) & (F.col("match_brand") != "") & F.contains(brand, "match_brand"))
+    base = F.when(F.col("match_key") == key, 100).when(brand == "", 0).when(F.col("match_brand") == brand, 70).when(part, 30).otherwise(0)
     extra = F.when(F.col("group") == group, 10).otherwise(0) + F.when(F.col("subgroup") == subgroup, 10).otherwise(0)
     return purposes.withColumn("score", base + extra).where(base > 0).orderBy(F.desc("score"), "purpose_row_id").limit(max(1, min(limit, 100)))
 
