@@ -8,6 +8,7 @@ one row throughout: its markers are told apart, read and checked inside that row
 from __future__ import annotations
 
 import json
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,23 @@ def _sort(v: Column) -> Column:
 
 def _whole(v: Column) -> Column:
     """A JSON value as a whole number: numbers without their fraction, texts of digits; null for anything else."""
-    number, written = _get(v, "", "double"), _get(v, "", "string")
-    digits = F.when(written.rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(written).cast("int"))
-    return F.when(_sort(v) == "STRING", digits).when(F.abs(number) < 1 << 31, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("int"))
+    digits = let(_get(v, "", "string"), lambda t: F.when(t.rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(t).cast("int")))
+    number = let(_get(v, "", "double"), lambda n: F.when(F.abs(n) < 1 << 31, F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("int")))
+    return F.when(_sort(v) == "STRING", digits).otherwise(number)
 
 
 def _numbers(v: Column) -> Column:
     """A list of finite numbers; null for anything else."""
-    got = _get(v, "", "array<double>")
-    return F.when(F.forall(got, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), got)
+    return let(_get(v, "", "array<double>"), lambda got: F.when(F.forall(got, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), got))
 
 
-def _empty(v: Column) -> Column:
-    """Whether a JSON value is missing or null, false, 0 or empty."""
-    return v.isNull() | F.is_variant_null(v) | _get(v, "", "string").isin("", "false", "0", "0.0", "[]", "{}")
+#: JSON values that count as none, besides null, as they are written.
+NOTHING = ("", "false", "0", "0.0", "[]", "{}")
+
+
+def _written(v: Column, name: str) -> Column:
+    """A part of a JSON value as text; null where it is missing or null, false, 0 or empty. It is looked up once."""
+    return let(_get(v, name, "string"), lambda t: F.when(~t.isin(*NOTHING), t))
 
 
 def _rounded(xs: Column) -> Column:
@@ -108,11 +112,11 @@ def _grid(v: Column) -> Column:
 def _region(mark: Column, kinds: Column, pages: Column) -> Column:
     """A marker's region with the first of its errors, if any; kinds: kind by field of the object's type."""
     v, part = mark["meta"], lambda n: _get(mark["meta"], n, "variant")
-    text = lambda n: F.when(~_empty(part(n)), F.trim(_get(v, n, "string")))
+    text = lambda n: F.trim(_written(v, n))
     read = F.struct(
         mark["kind"].alias("kind"), F.coalesce(text("field"), F.lit("")).alias("field"), let(F.struct(part("page").alias("v")), lambda s: _whole(s["v"])).alias("page"),
-        _numbers(part("rect")).alias("rect"), F.when(_empty(part("rotation")), 0).otherwise(F.pmod(_whole(part("rotation")), F.lit(360))).alias("rotation"),
-        F.coalesce(F.when(~_empty(part("status")), _get(v, "status", "string")), F.lit("pending")).alias("status"), text("error").alias("message"),
+        _numbers(part("rect")).alias("rect"), F.when(_written(v, "rotation").isNull(), 0).otherwise(let(F.struct(part("rotation").alias("v")), lambda s: F.pmod(_whole(s["v"]), F.lit(360)))).alias("rotation"),
+        F.coalesce(_written(v, "status"), F.lit("pending")).alias("status"), text("error").alias("message"),
         F.when((mark["kind"] == "table") & _sort(part("grid")).startswith("OBJECT"), let(F.struct(part("grid").alias("v")), lambda s: _grid(s["v"]))).alias("grid"),
         mark["text"].alias("text"), v.isNull().alias("broken"),
     )
@@ -156,8 +160,10 @@ def parsed(files: DataFrame, schema: dict[str, dict[str, str]]) -> DataFrame:
     def marked(f: Column) -> Column:
         def mark(kind: Column, k: Column) -> Column:
             body = let(F.get(f["texts"], k + 1), lambda t: F.regexp_replace(t, r"^[\r\n]+|[\r\n]+\z", ""))
-            own = F.when(F.lower(kind) == "table", F.regexp_replace(body, REMARK, "")).otherwise(body)
-            return F.struct(F.lower(kind).alias("kind"), F.try_parse_json(F.get(f["metas"], k)).alias("meta"), own.alias("text"))
+            # names of markers are ASCII: lower() would go through the rules of all alphabets
+            name = F.translate(kind, ascii_uppercase, ascii_lowercase)
+            own = F.when(name == "table", F.regexp_replace(body, REMARK, "")).otherwise(body)
+            return F.struct(name.alias("kind"), F.try_parse_json(F.get(f["metas"], k)).alias("meta"), own.alias("text"))
 
         return F.struct(F.get(f["texts"], F.lit(0)).alias("head"), F.transform(f["kinds"], mark).alias("marks"), f["pages"].alias("pages"))
 
