@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from weftline.llm import minhash
 from weftline.llm.common import components
 
@@ -108,3 +110,28 @@ def test_recall_in_a_family_below_the_threshold(spark, monkeypatch):
     rows += [(1000 + i, common + "".join(f" x{i}.{j}" if j < 13 else f" y{i}.{j}" for j in range(30))) for i in range(40)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
     assert [i for i in range(40) if got[1000 + i] != i] == [] and len(set(got.values())) == 260
+
+
+def test_a_family_is_compared_at_home_not_in_every_tree(spark, monkeypatch):
+    """Variants of one text by edits that many of them share, at 0.4 to 1: all trees have them in one node."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    edits = [(k * 6 + 2, f"e{k}.{v}") for k in range(24) for v in range(2)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at, word in r.sample(edits, r.randrange(2, 9)):
+            own[at] = word
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(base[:100] + [f"o{i}.{k}" for k in range(40)])) for i in range(60)]  # too much of their own
+    given, tiled = [], minhash._tiled
+
+    def counted(rows, sets, percent):
+        minor = F.col("minor") if "minor" in rows.columns else F.col("component") != F.col("major")
+        given.append(rows.where(minor).count())
+        return tiled(rows, sets, percent)
+
+    monkeypatch.setattr(minhash, "_tiled", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, 85)
+    assert 0 < sum(given) <= 3 * len(rows), given

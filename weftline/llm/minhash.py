@@ -6,9 +6,11 @@ BRANCHES children, more than a similar pair loses, so that similar documents kee
 part. TREES independent trees meet the target recall.
 
 At a node, everybody is first compared with one leader. Documents that are connected already need no further comparison, which
-settles groups of any number of near copies in one round without their pairs. Nodes with several components left are compared
-exhaustively across these where that is linear work (SMALL pairs a document) and branched otherwise; what is left at the last
-level is compared exhaustively too, so nothing is dropped. Comparisons start with a 4-bit sketch and end with the full sets.
+settles groups of any number of near copies in one round without their pairs. From large nodes with several components left
+those go whose shingles too seldom are in another component to meet the threshold with any of it. The rest are compared
+exhaustively across components where that is linear work (SMALL pairs a document) and branched otherwise; what is left at the
+last level is compared exhaustively too, so nothing is dropped. A document that is in many nodes with the same others is
+compared with these in the largest only. Comparisons start with a 4-bit sketch and end with the full sets.
 
 Exact copies are one class from the start. Only class representatives take part; membership is by the set's 128-bit digest.
 """
@@ -198,15 +200,55 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of nodes with several components, with their number (all), the number of pairs within components (within), the
+    largest component (major) and its rows (most), and whether few pairs a row are left."""
+    each = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+    per = each.groupBy("node").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "component")).alias("m"))
+    per = per.where("all * all > within").select("node", "all", "within", F.col("m.component").alias("major"), F.col("m.c").alias("most"))
+    return rows.join(per.withColumn("few", (F.col("all") * F.col("all") - F.col("within")) / 2 <= SMALL * F.col("all")), "node")
+
+
+def _linkable(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The rows without those that no other component among them can have a link to: a link shares `percent` of a set's shingles
+    at least, and so many are in no other component. held: (id, component, hashes) of all rows. A shingle is held against two
+    members of its component at most, which lets more rows stay than need to, but never too few."""
+    each = held.select("id", "component", F.explode("hashes").alias("h"))
+    own = each.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a"), F.max("id").alias("b")).where("low = high")
+    own = own.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    sizes = held.select(F.col("id").alias("rep"), F.size("hashes").alias("size"))
+    gone = sizes.join(own, "rep").where(100 * (F.col("size") - F.col("own")) < percent * F.col("size")).select("rep")
+    return rows.join(gone, "rep", "left_anti")
+
+
+def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the components of each node as all links between them do.
+
+    Similar documents meet in the nodes of most trees. They are compared in the largest node of each first (its home), with those
+    that are at home there too; then nodes compare what isn't in their largest group of the same home, or of the same component,
+    with everybody.
+    """
+    homes = rows.groupBy("rep").agg(F.max(F.struct("all", "node"))["node"].alias("home"))
+    rows = stash(rows.join(homes, "rep").select("node", "rep", "component", "major", "most", "home"), "dense")
+    strange = F.col("component") != F.col("major")
+    at_home = _tiled(rows.where("node = home").withColumn("minor", strange), sets, percent)
+    each = rows.groupBy("node", "home").agg(F.count(F.lit(1)).alias("c"))
+    main = each.groupBy("node").agg(F.max(F.struct("c", "home")).alias("m")).select("node", F.col("m.c").alias("settled"), F.col("m.home").alias("of"))
+    guests = rows.join(main, "node").withColumn("minor", F.when(F.col("settled") > F.col("most"), F.col("home") != F.col("of")).otherwise(strange))
+    out = stash(at_home.unionByName(_tiled(guests, sets, percent)).distinct(), "links")
+    unstash(rows)
+    return out
+
+
 def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the minor members of each node and all members of other components, worked out tile by tile on the full
     sets; a tile is bounded by TILE rows a side, so no node has to fit a task, and no pairs are listed. Only as many links as connect a tile's
     documents are returned."""
-    minor = F.col("component") != F.col("major")
-    size = rows.groupBy("node").agg(F.ceil(F.count_if(minor) / TILE).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("across"))
+    size = rows.groupBy("node").agg(F.ceil(F.count_if("minor") / TILE).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("across"), F.count(F.lit(1)).alias("all"))
+    size = size.where("down > 0 and all > 1").drop("all")
     cut = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
-    whole = rows.select("node", "rep", "component", minor.alias("minor")).join(size, "node")
+    whole = rows.select("node", "rep", "component", "minor").join(size, "node")
     left = F.when(F.col("minor"), F.transform(spread(F.col("across")), lambda j: F.struct(cut(F.col("down"), 1).alias("i"), j.alias("j"), F.lit(True).alias("left"))))
     right = F.transform(spread(F.col("down")), lambda i: F.struct(i.alias("i"), cut(F.col("across"), 2).alias("j"), F.lit(False).alias("left")))
     placed = whole.withColumn("t", F.explode(F.concat(F.coalesce(left, F.array().cast("array<struct<i:int,j:int,left:boolean>>")), right)))
@@ -264,10 +306,15 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     comp = stash(components(found[0]), "comp").select(F.col("id").alias("rep"), "component")
     named = full.drop("size", "leader").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     for depth in range(DEPTH):
-        each = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
-        per = each.groupBy("node").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "component"))["component"].alias("major"))
-        per = per.where("all * all > within").withColumn("few", (F.col("all") * F.col("all") - F.col("within")) / 2 <= SMALL * F.col("all"))
-        rest = stash(named.join(per, "node"), "mixed")
+        rest = stash(_mixed(named), "mixed")
+        narrow = F.col("few") & (F.col("all") <= PAIRED)
+        wide = rest.where(~narrow)
+        held = None
+        if not wide.isEmpty():
+            held = stash(sets.join(wide.select(F.col("rep").alias("id"), "component").distinct(), "id"), "held")
+            before = rest
+            rest = stash(rest.where(narrow).unionByName(_mixed(_linkable(wide.select(*named.columns), held, percent))), "mixed")
+            unstash(before)
         last = depth == DEPTH - 1
         few = rest if last else rest.where("few")
         # whoever isn't in the node's largest component, against all others there: pairs where these are few, else tiles
@@ -276,8 +323,10 @@ def links(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         pairs = sparse.where("component != major").join(other, "node").where((F.col("component") != F.col("o_component")) & _alike("", "o_", percent))
         found.append(_confirm(pairs.select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")), sets, percent))
         dense = few.where(F.col("all") > PAIRED)
-        if not dense.isEmpty():
-            found.append(stash(_tiled(dense, sets, percent), "links"))
+        if held is not None and not dense.isEmpty():
+            found.append(_compared(dense, held.drop("component"), percent))
+        if held is not None:
+            unstash(held)
         large = rest.where("not few")
         if last or large.isEmpty():
             unstash(rest)
