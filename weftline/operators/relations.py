@@ -11,20 +11,24 @@ from pyspark.sql.window import Window
 from weftline.functions import text as X
 from weftline.functions.fixed import BLOCKING, HEADER_WORD, RELATION_TYPES, REPEATED_HEADER_STEMS, ROLES
 from weftline.operators.rows import distinct_in_order, fill_down, last_write_wins, serial, unpivot_filled
+from weftline.sources.tables import Blocks
 
 
 #: Ids of a page of a list that may be long.
 PAGE = 1000
 
 
-def physical_rows(tables: DataFrame, candidate: str, roles: tuple[str, ...]) -> DataFrame:
-    """Rows below the header, one column a role; a role without a column is empty."""
+def physical_rows(tables: DataFrame, candidate: str, roles: tuple[str, ...], blocks: Blocks | None = None) -> DataFrame:
+    """Rows below the header, one column a role; a role without a column is empty. blocks: rows of tables that come in blocks.
+    `run` rises with document_order and row_no and tells the blocks apart."""
     c = F.col(candidate)
     # cells are cleaned inside the array that is unfolded, so each of them once
     clean = F.transform("matrix", lambda row: F.transform(row, X.clean_text))
-    rows = tables.select("table_id", "document_order", "source_file", c.alias("c"), F.posexplode(clean).alias("at", "cells")).where(F.col("at") >= F.col("c.header_depth"))
+    held = tables.withColumn("first_row", F.lit(0)) if blocks is None else blocks.of(tables)
+    run = (F.shiftleft(F.col("document_order").cast("long"), 31) + F.col("first_row")).alias("run")
+    rows = held.select("table_id", "document_order", "source_file", run, "first_row", c.alias("c"), F.posexplode(clean).alias("at", "cells")).withColumn("at", F.col("first_row") + F.col("at")).where(F.col("at") >= F.col("c.header_depth"))
     cell = lambda role: F.coalesce(F.get("cells", F.try_element_at("c.column_map", F.lit(role))), F.lit("")).alias(role)
-    return rows.select("table_id", "document_order", "source_file", (F.col("at") + 1).alias("row_no"), *[cell(r) for r in roles])
+    return rows.select("table_id", "document_order", "source_file", "run", (F.col("at") + 1).alias("row_no"), *[cell(r) for r in roles])
 
 
 def repeated_header(cols: dict[str, str] = REPEATED_HEADER_STEMS) -> Column:
@@ -38,14 +42,14 @@ def _excerpt(cols: list[str]) -> Column:
     return X.inline_text(F.concat_ws(" | ", *[F.nullif(F.col(c), F.lit("")) for c in cols]))
 
 
-def source_rows(tables: DataFrame) -> DataFrame:
-    """Row manifest of the brand tables: groups filled down over tables, three-valued marks, flags, serial ids."""
+def source_rows(tables: DataFrame, blocks: Blocks | None = None) -> DataFrame:
+    """Row manifest of the brand tables: groups filled down over tables, three-valued marks, flags, serial ids. blocks: as in physical_rows."""
     marks = ["ground", "aviation", "marine"]
-    rows = physical_rows(tables, "brand_candidate", (*ROLES, "group", "subgroup", *marks, "note")).where(~repeated_header())
+    rows = physical_rows(tables, "brand_candidate", (*ROLES, "group", "subgroup", *marks, "note"), blocks).where(~repeated_header())
     raw = rows.select("*", *[F.col(c).alias(f"{c}_cell") for c in ("group", "subgroup", *marks)])
     for c in ("group", "subgroup"):
         raw = raw.withColumn(c, X.let(X.inline_text(F.col(c)), lambda t: F.nullif(t, F.lit(""))))
-    filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("document_order"))
+    filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("run"))
     kept = filled.where(reduce(lambda a, b: a | b, [F.col(r) != "" for r in ROLES]))
     for m in marks:
         kept = kept.withColumn(m, X.let(F.col(m), X.parse_equipment))
@@ -55,7 +59,7 @@ def source_rows(tables: DataFrame) -> DataFrame:
     flags = [F.when((F.col(f"{m}_cell") != "") & F.col(m).isNull(), f"unrecognized_{m}_equipment_marker") for m in marks]
     kept = kept.withColumn("row_flags", F.array_sort(F.array_compact(F.array(*flags, F.when(alone, "possible_continuation_row")))))
     kept = kept.withColumn("source_excerpt", _excerpt(["group_cell", "subgroup_cell", *ROLES, "note"])).drop(*[f"{c}_cell" for c in ("group", "subgroup", *marks)])
-    numbered = serial(kept, "row_index", ["row_no"], F.col("document_order"))
+    numbered = serial(kept, "row_index", ["row_no"], F.col("run")).drop("run")
     return numbered.withColumn("row_id", F.format_string("R%06d", "row_index"))
 
 
@@ -84,11 +88,11 @@ def purposes(tables: DataFrame) -> DataFrame:
     raw = physical_rows(tables, "purpose_candidate", roles).withColumn("excerpt", _excerpt(["group", "subgroup", "brand", "purpose", "note"]))
     for c in ("group", "subgroup"):
         raw = raw.withColumn(c, X.let(X.inline_text(F.col(c)), lambda t: F.nullif(t, F.lit(""))))
-    filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("document_order"))
+    filled = fill_down(raw, ["group", "subgroup"], ["document_order", "row_no"], F.col("run"))
     kept = filled.withColumn("purpose", X.inline_text(F.col("purpose"))).where("brand != '' and purpose != ''").withColumnRenamed("brand", "brand_raw")
     parts = kept.select("*", F.posexplode(F.transform(X.cell_items(F.col("brand_raw")), lambda raw: X.brand_item(raw, F.col("normdoc")))).alias("at", "p"))
     parts = parts.withColumn("brand", F.col("p.brand")).withColumn("document", F.col("p.document")).withColumn("review_flags", F.col("p.flags")).drop("p")
-    numbered = serial(keyed(parts), "purpose_index", ["row_no", "at"], F.col("document_order"))
+    numbered = serial(keyed(parts), "purpose_index", ["row_no", "at"], F.col("run")).drop("run")
     return numbered.withColumn("purpose_row_id", F.format_string("P%06d", "purpose_index"))
 
 
